@@ -35,3 +35,231 @@ def q_classify_rules(spark, sf_dir):
 @query("diet_summary")
 def q_diet_summary(spark, sf_dir):
     return C.diet_summary(classified(spark, sf_dir))
+
+
+# ---- shared inputs -------------------------------------------------------------------------
+
+from pyspark.sql import functions as F  # noqa: E402
+
+from larder.functions import predicates as P  # noqa: E402
+from larder.operators import mapping as M  # noqa: E402
+from larder.operators import publish as PB  # noqa: E402
+from larder.operators import stats as S  # noqa: E402
+from larder.sources import tables as TB  # noqa: E402
+from larder.sources.snapshot import published_snapshot, status_table  # noqa: E402
+
+
+def _recipes(spark, sf_dir):
+    return recipe_view(spark, sf_dir)
+
+
+def _flat(df, *cols):
+    """Arrays rendered as '|'-joined text so results compare as scalars."""
+    return df.select(*[F.array_join(F.col(c), "|").alias(c) if c in cols else F.col(c) for c in df.columns])
+
+
+# ---- scans and projections (S1, P1, P3, P4, L1, L3) ---------------------------------------
+
+@query("scan_projection")
+def q_scan_projection(spark, sf_dir):
+    return TB.select_columns(_recipes(spark, sf_dir), ["recipe_id", "title", "healthScore"])
+
+
+@query("status_defaults")
+def q_status_defaults(spark, sf_dir):
+    return PB.status_defaults(_recipes(spark, sf_dir).select("recipe_id", "title"))
+
+
+@query("preview")
+def q_preview(spark, sf_dir):
+    r = _recipes(spark, sf_dir)
+    from larder.functions.text import fmt_1dp
+    return r.select(
+        "recipe_id",
+        F.substring(F.coalesce("title", F.lit("")), 1, 50).alias("title"),
+        F.coalesce("healthGrade", F.lit("-")).alias("grade"),
+        F.when(F.coalesce(F.col("cookTime"), F.lit(0)) != 0, F.concat(F.col("cookTime").cast("string"), F.lit(" min")))
+        .otherwise(F.lit("-")).alias("cook"),
+        F.when(F.coalesce(F.col("ratings"), F.lit(0.0)) != 0, fmt_1dp(F.col("ratings"))).otherwise(F.lit("-")).alias("rating"),
+    )
+
+
+@query("batch_head")
+def q_batch_head(spark, sf_dir):
+    r = P.apply_filters(_recipes(spark, sf_dir), query={"healthGrade": "A"})
+    return r.orderBy("recipe_id").limit(10).select("recipe_id", "title", "healthGrade")
+
+
+# ---- predicates (F1-F17) -------------------------------------------------------------------
+
+def _pred(filters=(), query=None, cols=("recipe_id", "title", "healthGrade", "healthScore")):
+    def run(spark, sf_dir):
+        return P.apply_filters(_recipes(spark, sf_dir), *filters, query=query).select(*cols)
+    return run
+
+
+QUERIES["filter_eq"] = _pred([P.Col.health_grade.eq("A")])
+QUERIES["filter_ne"] = _pred([P.Col.health_grade.ne("A")])
+QUERIES["filter_lt"] = _pred([P.Col.health_score.lt(30)])
+QUERIES["filter_lte"] = _pred(query={"healthScore__le": 30})
+QUERIES["filter_gt"] = _pred(query={"healthScore__gt": 70})
+QUERIES["filter_gte"] = _pred(query={"healthScore": {"__gte": 70}})
+QUERIES["filter_in"] = _pred([P.Col.cluster_id.is_in([1, 2, 3])], cols=("recipe_id", "cluster_id"))
+QUERIES["filter_contains_ci"] = _pred([P.Col.title.contains("ALMOND (milk|flour)")])
+QUERIES["filter_contains_cs"] = _pred(query={"title__contains": "^white"})
+QUERIES["list_any_contains"] = _pred([P.Col.ingredients.list_any_contains("soy sauce$")])
+QUERIES["filter_conjunction"] = _pred(
+    P.cli_filters({"grade": "b", "max_cook_time": "60", "min_rating": "2.5", "ingredient": "rice"}),
+    cols=("recipe_id", "title", "healthGrade", "cookTime", "ratings"))
+
+
+@query("filter_join_combined")
+def q_filter_join_combined(spark, sf_dir):
+    r = _recipes(spark, sf_dir).select("recipe_id", "title", "healthScore", "cluster_id")
+    return P.join_filtered(r, P.Col.title.contains("rice"), query={"healthScore__gt": 50})
+
+
+@query("status_ids")
+def q_status_ids(spark, sf_dir):
+    return PB.flagged_ids(status_table(spark, sf_dir), "bad")
+
+
+@query("any_diet_tag")
+def q_any_diet_tag(spark, sf_dir):
+    from larder.plans.diet_rules import DIET_NAMES
+    return _recipes(spark, sf_dir).filter(P.any_tag_in(F.col("tags"), list(DIET_NAMES))).select("recipe_id")
+
+
+@query("skip_tagged")
+def q_skip_tagged(spark, sf_dir):
+    from larder.plans.diet_rules import DIET_NAMES
+    return P.skip_tagged(_recipes(spark, sf_dir), list(DIET_NAMES)).select("recipe_id")
+
+
+# ---- statistics (G1-G17, G22) --------------------------------------------------------------
+
+QUERIES["total_recipes"] = lambda spark, sf_dir: S.total_rows(_recipes(spark, sf_dir))
+QUERIES["count_by_cluster"] = lambda spark, sf_dir: S.count_by(_recipes(spark, sf_dir), "cluster_id")
+QUERIES["count_by_grade"] = lambda spark, sf_dir: S.count_by(_recipes(spark, sf_dir), "healthGrade")
+QUERIES["distinct_ingredients"] = lambda spark, sf_dir: S.distinct_values_incl_null(_recipes(spark, sf_dir), "ingredients")
+QUERIES["grade_distribution"] = lambda spark, sf_dir: S.grade_distribution(_recipes(spark, sf_dir))
+QUERIES["tag_counts"] = lambda spark, sf_dir: S.tag_counts(_recipes(spark, sf_dir))
+QUERIES["tag_counts_published"] = lambda spark, sf_dir: S.tag_counts(published_snapshot(spark, sf_dir), drop_empty=True)
+QUERIES["tag_distribution"] = lambda spark, sf_dir: S.tag_distribution(published_snapshot(spark, sf_dir))
+QUERIES["ingredient_top100"] = lambda spark, sf_dir: S.ingredient_top(published_snapshot(spark, sf_dir), 100)
+QUERIES["nutrient_coverage"] = lambda spark, sf_dir: S.nutrient_coverage(published_snapshot(spark, sf_dir))
+QUERIES["nutrient_field_counts"] = lambda spark, sf_dir: S.nutrient_field_counts(published_snapshot(spark, sf_dir))
+QUERIES["missing_fields"] = lambda spark, sf_dir: S.missing_fields(published_snapshot(spark, sf_dir))
+QUERIES["missing_fields_local"] = lambda spark, sf_dir: S.missing_fields(_recipes(spark, sf_dir))
+QUERIES["coverage_audit"] = lambda spark, sf_dir: S.coverage_audit(published_snapshot(spark, sf_dir))
+QUERIES["tag_len_hist"] = lambda spark, sf_dir: S.tag_len_hist(published_snapshot(spark, sf_dir))
+QUERIES["embedding_dims"] = lambda spark, sf_dir: S.embedding_dims(published_snapshot(spark, sf_dir))
+QUERIES["coverage_verdict"] = lambda spark, sf_dir: S.coverage_verdict(published_snapshot(spark, sf_dir))
+QUERIES["missing_embedding_sample"] = lambda spark, sf_dir: S.missing_embedding_sample(published_snapshot(spark, sf_dir))
+QUERIES["avg_score_by_cluster"] = lambda spark, sf_dir: S.avg_score_by(_recipes(spark, sf_dir))
+QUERIES["top_score"] = lambda spark, sf_dir: S.top_by(_recipes(spark, sf_dir), "healthScore", 10).select(
+    "recipe_id", "title", "healthScore")
+
+
+# ---- mapping and validation (V1-V9) --------------------------------------------------------
+
+@query("map_recipes")
+def q_map_recipes(spark, sf_dir):
+    m = M.map_recipes(_recipes(spark, sf_dir))
+    return _flat(m.select("id", "title", "channel", "numServings", "cookTime", "tags", "instructions"),
+                 "tags", "instructions")
+
+
+@query("map_ingredients")
+def q_map_ingredients(spark, sf_dir):
+    m = M.map_recipes(_recipes(spark, sf_dir))
+    return m.select("id", F.array_join("ingredientStrings", "|").alias("ingredientStrings"),
+                    F.size("ingredients").alias("n_structured"),
+                    F.array_join(F.transform("ingredients", lambda i: i["foodCodes"]["ingredientID"]), "|")
+                    .alias("ingredient_ids"))
+
+
+@query("normalize_nutrients")
+def q_normalize_nutrients(spark, sf_dir):
+    m = M.map_recipes(_recipes(spark, sf_dir))
+    return m.select("id", F.size("nutrients").alias("n"),
+                    F.array_join(F.transform("nutrients", lambda n: F.concat(n["name"], F.lit("="), n["quantity"])), "|")
+                    .alias("nutrients"))
+
+
+@query("normalize_servings")
+def q_normalize_servings(spark, sf_dir):
+    r = _recipes(spark, sf_dir)
+    return r.select("recipe_id", "numServings", M.normalize_servings(r).alias("servings"))
+
+
+@query("validate_recipes")
+def q_validate_recipes(spark, sf_dir):
+    v = M.validate(M.map_recipes(_recipes(spark, sf_dir)))
+    return v.select("id", "valid", "error")
+
+
+@query("validation_failures")
+def q_validation_failures(spark, sf_dir):
+    v = M.validate(M.map_recipes(_recipes(spark, sf_dir)))
+    return v.filter(~F.col("valid")).groupBy("error").agg(F.count(F.lit(1)).alias("count"))
+
+
+# ---- publish (J2-J5, S5, S9, S10, V10, G20) ------------------------------------------------
+
+@query("snapshot_ids")
+def q_snapshot_ids(spark, sf_dir):
+    return published_snapshot(spark, sf_dir).select("id")
+
+
+@query("exclude_uploaded")
+def q_exclude_uploaded(spark, sf_dir):
+    return PB.exclude_ids(_recipes(spark, sf_dir).select("recipe_id", "title"), published_snapshot(spark, sf_dir))
+
+
+@query("skipped_ids")
+def q_skipped_ids(spark, sf_dir):
+    return PB.matching_ids(_recipes(spark, sf_dir).select("recipe_id"), published_snapshot(spark, sf_dir))
+
+
+@query("exclude_bad")
+def q_exclude_bad(spark, sf_dir):
+    r = P.apply_filters(_recipes(spark, sf_dir), query={"cookTime__le": 60}).select("recipe_id")
+    return PB.exclude_ids(r, PB.flagged_ids(status_table(spark, sf_dir), "bad"), "recipe_id", "recipe_id")
+
+
+@query("mark_flag")
+def q_mark_flag(spark, sf_dir):
+    st = status_table(spark, sf_dir)
+    ids = P.apply_filters(_recipes(spark, sf_dir), P.Col.health_grade.eq("C")).select("recipe_id")
+    return PB.mark_flag(st, ids, "bad")
+
+
+def _publish_inputs(spark, sf_dir):
+    r = _recipes(spark, sf_dir)
+    selected = P.apply_filters(r, query={"cookTime__le": 60})
+    return selected, published_snapshot(spark, sf_dir, r), status_table(spark, sf_dir, r)
+
+
+@query("publish_outcomes")
+def q_publish_outcomes(spark, sf_dir):
+    return PB.publish_outcomes(*_publish_inputs(spark, sf_dir))
+
+
+@query("publish_summary")
+def q_publish_summary(spark, sf_dir):
+    return PB.publish_summary(PB.publish_outcomes(*_publish_inputs(spark, sf_dir)))
+
+
+@query("upsert_by_id")
+def q_upsert_by_id(spark, sf_dir):
+    selected, published, status = _publish_inputs(spark, sf_dir)
+    _, snapshot, _ = PB.publish_job(selected, published, status, dry_run=False)
+    return _flat(snapshot.select("id", "title", "tags", "channel"), "tags")
+
+
+@query("publish_status")
+def q_publish_status(spark, sf_dir):
+    selected, published, status = _publish_inputs(spark, sf_dir)
+    _, _, new_status = PB.publish_job(selected, published, status, dry_run=False)
+    return new_status

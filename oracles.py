@@ -184,3 +184,232 @@ SELECT diet_order, diet,
        (SELECT count(DISTINCT recipe_id) FROM classified WHERE applies AND confidence >= 0.75) AS recipes_with_tags,
        (SELECT count(*) FROM recipes) AS total
 FROM classified GROUP BY diet_order, diet""")
+
+
+# ---- mapped / published / status views in SQL ---------------------------------------------
+
+MAPPED_CTE = """
+mapped AS (
+  SELECT recipe_id AS id, uuid, coalesce(nullif(title, ''), 'Unknown') AS title, description, url, host, image, author,
+         coalesce(instructions, []::VARCHAR[]) AS instructions,
+         CASE WHEN len(coalesce(ingredients, []::VARCHAR[])) > 0 THEN ingredients
+              ELSE coalesce(list_filter(list_transform(procesedIngredients, lambda i: i.displayString),
+                                        lambda s: s IS NOT NULL AND s <> ''), []::VARCHAR[]) END AS ingredientStrings,
+         coalesce(procesedIngredients, []) AS ingredients,
+         coalesce(tags, []::VARCHAR[]) AS tags,
+         cookingMethod, coalesce(nutrients, []) AS nutrients, healthScore, healthGrade,
+         TRY_CAST(nullif(regexp_extract(numServings, '\\d+\\.?\\d*'), '') AS DOUBLE) AS numServings,
+         cookTime, prepTime, totalTime, ratings, ratingsCount, cluster_id,
+         'discover' AS channel
+  FROM recipes),
+published AS (
+  SELECT m.* EXCLUDE (tags, cluster_id),
+         m.tags[1:greatest(len(m.tags) - 1, 0)] AS tags,
+         coalesce(CAST(e.embedding AS DOUBLE[]), []::DOUBLE[]) AS embedding,
+         CAST(e.label AS INTEGER) AS cluster_id
+  FROM mapped m LEFT JOIN embeddings e ON m.id = CAST(e.vec_id AS VARCHAR)
+  WHERE m.uuid IS NOT NULL AND m.image IS NOT NULL),
+status AS (
+  SELECT recipe_id, (uuid IS NOT NULL AND image IS NOT NULL) AS uploaded,
+         coalesce(healthGrade = 'F' AND image IS NULL, false) AS bad
+  FROM recipes),
+validated AS (
+  SELECT *, concat_ws('; ',
+      CASE WHEN id IS NULL OR id = '' THEN 'id is required' END,
+      CASE WHEN uuid IS NULL OR uuid = '' THEN 'uuid is required' END,
+      CASE WHEN title IS NULL OR title = '' THEN 'title is required' END,
+      CASE WHEN len(ingredients) = 0 THEN 'ingredients are required structured' END,
+      CASE WHEN len(ingredientStrings) = 0 THEN 'ingredient strings are required' END,
+      CASE WHEN len(nutrients) = 0 THEN 'nutrients are required' END) AS error
+  FROM mapped)"""
+
+
+def with_mapped(body: str) -> str:
+    return with_recipes(body, MAPPED_CTE)
+
+
+DIET_LIST = "(" + ", ".join(_q(d.name) for d in DIETS) + ")"
+
+SQL["scan_projection"] = with_recipes("SELECT recipe_id, title, healthScore FROM recipes")
+SQL["status_defaults"] = with_recipes("SELECT recipe_id, title, false AS uploaded, false AS bad FROM recipes")
+SQL["preview"] = with_recipes("""
+SELECT recipe_id, substring(coalesce(title, ''), 1, 50) AS title, coalesce(healthGrade, '-') AS grade,
+       CASE WHEN coalesce(cookTime, 0) <> 0 THEN CAST(cookTime AS VARCHAR) || ' min' ELSE '-' END AS cook,
+       CASE WHEN coalesce(ratings, 0) <> 0 THEN printf('%.1f', ratings) ELSE '-' END AS rating
+FROM recipes""")
+SQL["batch_head"] = with_recipes(
+    "SELECT recipe_id, title, healthGrade FROM recipes WHERE healthGrade = 'A' ORDER BY recipe_id LIMIT 10")
+
+_P = "SELECT recipe_id, title, healthGrade, healthScore FROM recipes WHERE "
+SQL["filter_eq"] = with_recipes(_P + "healthGrade = 'A'")
+SQL["filter_ne"] = with_recipes(_P + "healthGrade <> 'A'")
+SQL["filter_lt"] = with_recipes(_P + "healthScore < 30")
+SQL["filter_lte"] = with_recipes(_P + "healthScore <= 30")
+SQL["filter_gt"] = with_recipes(_P + "healthScore > 70")
+SQL["filter_gte"] = with_recipes(_P + "healthScore >= 70")
+SQL["filter_in"] = with_recipes("SELECT recipe_id, cluster_id FROM recipes WHERE cluster_id IN (1, 2, 3)")
+SQL["filter_contains_ci"] = with_recipes(_P + "regexp_matches(title, 'ALMOND (milk|flour)', 'i')")
+SQL["filter_contains_cs"] = with_recipes(_P + "regexp_matches(title, '^white')")
+SQL["list_any_contains"] = with_recipes(
+    _P + "len(list_filter(ingredients, lambda x: regexp_matches(x, 'soy sauce$', 'i'))) > 0")
+SQL["filter_conjunction"] = with_recipes("""
+SELECT recipe_id, title, healthGrade, cookTime, ratings FROM recipes
+WHERE healthGrade = 'B' AND cookTime <= 60 AND ratings >= 2.5
+  AND len(list_filter(ingredients, lambda x: regexp_matches(x, 'rice', 'i'))) > 0""")
+SQL["filter_join_combined"] = with_recipes("""
+SELECT l.recipe_id, l.title, l.healthScore, l.cluster_id,
+       r.title AS title_right, r.healthScore AS healthScore_right, r.cluster_id AS cluster_id_right
+FROM (SELECT * FROM recipes WHERE regexp_matches(title, 'rice', 'i')) l
+JOIN (SELECT * FROM recipes WHERE healthScore > 50) r ON l.recipe_id = r.recipe_id""")
+SQL["status_ids"] = with_mapped("SELECT recipe_id FROM status WHERE bad")
+SQL["any_diet_tag"] = with_recipes(
+    f"SELECT recipe_id FROM recipes WHERE len(list_filter(tags, lambda t: t IN {DIET_LIST})) > 0")
+SQL["skip_tagged"] = with_recipes(
+    f"SELECT recipe_id FROM recipes WHERE tags IS NOT NULL AND NOT len(list_filter(tags, lambda t: t IN {DIET_LIST})) > 0")
+
+SQL["total_recipes"] = with_recipes("SELECT count(*) AS total_recipes FROM recipes")
+SQL["count_by_cluster"] = with_recipes("SELECT cluster_id, count(*) AS count FROM recipes GROUP BY cluster_id")
+SQL["count_by_grade"] = with_recipes("SELECT healthGrade, count(*) AS count FROM recipes GROUP BY healthGrade")
+SQL["distinct_ingredients"] = with_recipes("""
+SELECT count(DISTINCT x) + max(CASE WHEN x IS NULL THEN 1 ELSE 0 END) AS unique_ingredients_count
+FROM (SELECT unnest(CASE WHEN len(coalesce(ingredients, []::VARCHAR[])) = 0 THEN [NULL::VARCHAR] ELSE ingredients END) AS x
+      FROM recipes)""")
+SQL["grade_distribution"] = with_recipes("""
+SELECT g.grade, coalesce(c.n, 0) AS count, coalesce(c.n, 0) / (SELECT count(*) FROM recipes) * 100 AS pct
+FROM (VALUES ('A'), ('B'), ('C'), ('D'), ('F')) g(grade)
+LEFT JOIN (SELECT healthGrade, count(*) AS n FROM recipes GROUP BY healthGrade) c ON c.healthGrade = g.grade""")
+SQL["tag_counts"] = with_recipes("""
+SELECT tag, count(*) AS count FROM (SELECT unnest(tags) AS tag FROM recipes) WHERE tag IS NOT NULL GROUP BY tag""")
+SQL["tag_counts_published"] = with_mapped("""
+SELECT tag, count(*) AS count FROM (SELECT unnest(tags) AS tag FROM published)
+WHERE tag IS NOT NULL AND tag <> '' GROUP BY tag""")
+SQL["tag_distribution"] = with_mapped("""
+SELECT tag, count(*) AS count, count(*) / (SELECT count(*) FROM published) * 100 AS pct
+FROM (SELECT unnest(tags) AS tag FROM published) GROUP BY tag""")
+SQL["ingredient_top100"] = with_mapped("""
+SELECT ingredient, count(*) AS count FROM (
+  SELECT regexp_replace(lower(x), '^\\s+|\\s+$', '', 'g') AS ingredient FROM (
+    SELECT unnest(list_filter(list_transform(ingredients, lambda i: i.displayString),
+                              lambda n: n IS NOT NULL AND n <> '')) AS x FROM published
+    UNION ALL
+    SELECT unnest(list_filter(ingredientStrings, lambda s: s IS NOT NULL)) AS x FROM published))
+GROUP BY ingredient ORDER BY count DESC, ingredient LIMIT 100""")
+SQL["nutrient_coverage"] = with_mapped("""
+SELECT count(*) AS total_recipes, count(*) FILTER (WHERE len(nutrients) > 0) AS recipes_with_nutrients,
+       CASE WHEN count(*) > 0 THEN count(*) FILTER (WHERE len(nutrients) > 0) / count(*) * 100 ELSE 0.0 END
+         AS coverage_percent
+FROM published""")
+SQL["nutrient_field_counts"] = with_mapped("""
+SELECT coalesce(n.name, 'unknown') AS field, count(*) AS count FROM (SELECT unnest(nutrients) AS n FROM published)
+GROUP BY 1""")
+
+
+def _missing_sql(table: str, fields: list[tuple[str, str]]) -> str:
+    parts = []
+    for name, kind in fields:
+        cond = {"s": f"{name} IS NULL OR {name} = ''", "a": f"{name} IS NULL OR len({name}) = 0",
+                "n": f"{name} IS NULL"}[kind]
+        parts.append(f"SELECT '{name}' AS field, count(*) FILTER (WHERE {cond}) AS missing FROM {table}")
+    return "\nUNION ALL ".join(parts)
+
+
+SQL["missing_fields"] = with_mapped(_missing_sql("published", [
+    ("title", "s"), ("instructions", "a"), ("ingredients", "a"), ("tags", "a"), ("image", "s"),
+    ("description", "s"), ("numServings", "n"), ("cookTime", "n"), ("prepTime", "n")]))
+SQL["missing_fields_local"] = with_recipes(_missing_sql("recipes", [
+    ("title", "s"), ("instructions", "a"), ("ingredients", "a"), ("tags", "a"), ("image", "s"),
+    ("description", "s"), ("numServings", "s"), ("cookTime", "n"), ("prepTime", "n")]))
+SQL["coverage_audit"] = with_mapped("""
+SELECT metric, count, count / (SELECT count(*) FROM published) * 100 AS pct FROM (
+  SELECT 'total' AS metric, count(*) AS count FROM published
+  UNION ALL SELECT 'channel_discover', count(*) FILTER (WHERE channel = 'discover') FROM published
+  UNION ALL SELECT 'embedding_present', count(*) FILTER (WHERE embedding IS NOT NULL) FROM published
+  UNION ALL SELECT 'embedding_valid', count(*) FILTER (WHERE len(embedding) > 0) FROM published
+  UNION ALL SELECT 'cluster_present', count(*) FILTER (WHERE cluster_id IS NOT NULL) FROM published
+  UNION ALL SELECT 'tags_present', count(*) FILTER (WHERE tags IS NOT NULL) FROM published
+  UNION ALL SELECT 'tags_non_empty', count(*) FILTER (WHERE len(tags) > 0) FROM published)""")
+SQL["tag_len_hist"] = with_mapped("""
+SELECT CAST(len(tags) AS INTEGER) AS n_tags, count(*) AS count FROM published WHERE len(tags) > 0 GROUP BY 1""")
+SQL["embedding_dims"] = with_mapped("""
+SELECT CAST(len(embedding) AS INTEGER) AS dim, count(*) AS count,
+       count(*) / (SELECT count(*) FROM published) * 100 AS pct
+FROM published WHERE len(embedding) > 0 GROUP BY 1""")
+SQL["coverage_verdict"] = with_mapped("""
+SELECT total, embedding_valid, embedding_valid / total AS share,
+       CASE WHEN embedding_valid = 0 THEN 'none' WHEN embedding_valid / total < 0.8 THEN 'partial'
+            ELSE 'viable' END AS verdict
+FROM (SELECT count(*) AS total, count(*) FILTER (WHERE len(embedding) > 0) AS embedding_valid FROM published)""")
+SQL["missing_embedding_sample"] = with_mapped("""
+SELECT id, CASE WHEN embedding IS NULL THEN 'missing field' ELSE 'invalid: empty' END AS reason
+FROM published WHERE NOT coalesce(len(embedding) > 0, false) ORDER BY id LIMIT 5""")
+SQL["avg_score_by_cluster"] = with_recipes(
+    "SELECT cluster_id, count(*) AS count, avg(healthScore) AS avg_score FROM recipes GROUP BY cluster_id")
+SQL["top_score"] = with_recipes(
+    "SELECT recipe_id, title, healthScore FROM recipes ORDER BY healthScore DESC NULLS LAST, recipe_id LIMIT 10")
+
+SQL["map_recipes"] = with_mapped("""
+SELECT id, title, channel, numServings, cookTime, array_to_string(tags, '|') AS tags,
+       array_to_string(instructions, '|') AS instructions FROM mapped""")
+SQL["map_ingredients"] = with_mapped("""
+SELECT id, array_to_string(ingredientStrings, '|') AS ingredientStrings,
+       CAST(len(ingredients) AS INTEGER) AS n_structured,
+       array_to_string(list_transform(ingredients, lambda i: i.foodCodes.ingredientID), '|') AS ingredient_ids
+FROM mapped""")
+SQL["normalize_nutrients"] = with_mapped("""
+SELECT id, CAST(len(nutrients) AS INTEGER) AS n,
+       array_to_string(list_transform(nutrients, lambda n: n.name || '=' || n.quantity), '|') AS nutrients
+FROM mapped""")
+SQL["normalize_servings"] = with_recipes("""
+SELECT recipe_id, numServings,
+       TRY_CAST(nullif(regexp_extract(numServings, '\\d+\\.?\\d*'), '') AS DOUBLE) AS servings FROM recipes""")
+SQL["validate_recipes"] = with_mapped("SELECT id, error = '' AS valid, error FROM validated")
+SQL["validation_failures"] = with_mapped(
+    "SELECT error, count(*) AS count FROM validated WHERE error <> '' GROUP BY error")
+
+SQL["snapshot_ids"] = with_mapped("SELECT id FROM published")
+SQL["exclude_uploaded"] = with_mapped(
+    "SELECT recipe_id, title FROM recipes r WHERE NOT EXISTS (SELECT 1 FROM published p WHERE p.id = r.recipe_id)")
+SQL["skipped_ids"] = with_mapped(
+    "SELECT recipe_id FROM recipes r WHERE EXISTS (SELECT 1 FROM published p WHERE p.id = r.recipe_id)")
+SQL["exclude_bad"] = with_mapped("""
+SELECT recipe_id FROM recipes r WHERE cookTime <= 60
+  AND NOT EXISTS (SELECT 1 FROM status s WHERE s.bad AND s.recipe_id = r.recipe_id)""")
+SQL["mark_flag"] = with_mapped("""
+SELECT recipe_id, uploaded,
+       CASE WHEN recipe_id IN (SELECT recipe_id FROM recipes WHERE healthGrade = 'C') THEN true ELSE bad END AS bad
+FROM status""")
+
+_OUTCOMES = """,
+_sel AS (SELECT * FROM recipes WHERE cookTime <= 60),
+_bad AS (SELECT recipe_id FROM status WHERE bad),
+_not_bad AS (SELECT * FROM _sel WHERE recipe_id NOT IN (SELECT recipe_id FROM _bad)),
+outcomes AS (
+  SELECT recipe_id, 'dropped_bad' AS outcome, '' AS error FROM _sel WHERE recipe_id IN (SELECT recipe_id FROM _bad)
+  UNION ALL
+  SELECT recipe_id, 'skipped', '' FROM _not_bad WHERE recipe_id IN (SELECT id FROM published)
+  UNION ALL
+  SELECT v.id, CASE WHEN v.error = '' THEN 'published' ELSE 'failed' END, v.error
+  FROM validated v WHERE v.id IN (SELECT recipe_id FROM _not_bad) AND v.id NOT IN (SELECT id FROM published))"""
+
+
+def with_outcomes(body: str) -> str:
+    return with_recipes(body, MAPPED_CTE + _OUTCOMES)
+
+
+SQL["publish_outcomes"] = with_outcomes("SELECT recipe_id, outcome, error FROM outcomes")
+SQL["publish_summary"] = with_outcomes("""
+SELECT count(*) AS selected, count(*) FILTER (WHERE outcome IN ('published', 'failed')) AS checked,
+       count(*) FILTER (WHERE outcome = 'published') AS valid, count(*) FILTER (WHERE outcome = 'published') AS published,
+       count(*) FILTER (WHERE outcome = 'failed') AS failed, count(*) FILTER (WHERE outcome = 'skipped') AS skipped,
+       count(*) FILTER (WHERE outcome = 'dropped_bad') AS dropped_bad
+FROM outcomes""")
+SQL["upsert_by_id"] = with_outcomes("""
+SELECT id, title, array_to_string(tags, '|') AS tags, channel FROM published
+WHERE id NOT IN (SELECT recipe_id FROM outcomes WHERE outcome = 'published')
+UNION ALL
+SELECT id, title, array_to_string(tags, '|') AS tags, channel FROM mapped
+WHERE id IN (SELECT recipe_id FROM outcomes WHERE outcome = 'published')""")
+SQL["publish_status"] = with_outcomes("""
+SELECT recipe_id, CASE WHEN recipe_id IN (SELECT recipe_id FROM outcomes WHERE outcome = 'published') THEN true
+                       ELSE uploaded END AS uploaded, bad
+FROM status""")
