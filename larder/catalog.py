@@ -263,3 +263,128 @@ def q_publish_status(spark, sf_dir):
     selected, published, status = _publish_inputs(spark, sf_dir)
     _, _, new_status = PB.publish_job(selected, published, status, dry_run=False)
     return new_status
+
+
+# ---- tags, review exchange (T3, T5-T10, J6-J9, S6, S10, G19, G21, W1-W2) -------------------
+
+from larder.operators import tags as TG  # noqa: E402
+from larder.operators.ordering import fixed_size_groups  # noqa: E402
+from larder.plans import review as RV  # noqa: E402
+
+
+def _classified_with_tags(spark, sf_dir):
+    r = _recipes(spark, sf_dir)
+    return r, C.with_classification(r.select("recipe_id", "title", "ingredients", "nutrients", "tags"))
+
+
+def tagged_dataset(classified_df):
+    """The dataset after the tag write-back: merged tags where new tags exist."""
+    return classified_df.withColumn(
+        "tags", F.when(F.size("new_tags") > 0, C.merge_tags(F.col("tags"), F.col("new_tags"))).otherwise(F.col("tags")))
+
+
+@query("nutrient_value")
+def q_nutrient_value(spark, sf_dir):
+    r = _recipes(spark, sf_dir)
+    fields = ["carbohydrate", "fat", "protein", "sodium", "sugar"]
+    return r.select("recipe_id", *[C.nutrient_value(F.col("nutrients"), f).alias(f"nv_{f}") for f in fields])
+
+
+@query("new_tags")
+def q_new_tags(spark, sf_dir):
+    _, c = _classified_with_tags(spark, sf_dir)
+    return c.filter(F.size("new_tags") > 0).select("recipe_id", F.array_join("new_tags", "|").alias("new_tags"))
+
+
+@query("merge_tags")
+def q_merge_tags(spark, sf_dir):
+    _, c = _classified_with_tags(spark, sf_dir)
+    return _flat(C.tag_update(c), "tags", "merged_tags")
+
+
+@query("uncertain_pairs")
+def q_uncertain_pairs(spark, sf_dir):
+    return C.uncertain_pairs(C.classify_rules(_recipes(spark, sf_dir)))
+
+
+@query("tag_counts_both")
+def q_tag_counts_both(spark, sf_dir):
+    r = _recipes(spark, sf_dir)
+    return TG.tag_counts_both(r, published_snapshot(spark, sf_dir, r))
+
+
+@query("diet_distribution")
+def q_diet_distribution(spark, sf_dir):
+    _, c = _classified_with_tags(spark, sf_dir)
+    return TG.diet_distribution(tagged_dataset(c))
+
+
+@query("patch_tags")
+def q_patch_tags(spark, sf_dir):
+    r, c = _classified_with_tags(spark, sf_dir)
+    patched = PB.patch_tags(published_snapshot(spark, sf_dir, r), c.filter(F.size("new_tags") > 0))
+    return _flat(patched.select("id", "tags"), "tags")
+
+
+@query("patch_skipped")
+def q_patch_skipped(spark, sf_dir):
+    r, c = _classified_with_tags(spark, sf_dir)
+    return PB.patch_skipped(published_snapshot(spark, sf_dir, r),
+                            c.filter(F.size("new_tags") > 0).select("recipe_id", "new_tags")).select("recipe_id")
+
+
+@query("verify_compare")
+def q_verify_compare(spark, sf_dir):
+    r, c = _classified_with_tags(spark, sf_dir)
+    snapshot = PB.patch_tags(published_snapshot(spark, sf_dir, r), c.filter(F.size("new_tags") > 0))
+    return TG.verify_compare(tagged_dataset(c), snapshot)
+
+
+@query("snapshot_to_classifier_rows")
+def q_snapshot_to_classifier_rows(spark, sf_dir):
+    from larder.functions.text import empty_array
+    p = published_snapshot(spark, sf_dir)
+    own = F.coalesce(F.col("ingredientStrings"), empty_array())
+    ing = F.when(F.size(own) > 0, own).otherwise(
+        F.filter(F.transform("ingredients", lambda i: i["displayString"]), lambda s: s.isNotNull() & (s != "")))
+    return p.select(F.col("id").alias("recipe_id"), F.coalesce("title", F.lit("")).alias("title"),
+                    F.array_join(F.filter(ing, lambda s: s != ""), "|").alias("ingredients"))
+
+
+def _review_inputs(spark, sf_dir):
+    r = _recipes(spark, sf_dir)
+    long = C.classify_rules(r)
+    unc = RV.uncertain_by_recipe(long, r)
+    return long, unc
+
+
+@query("review_batches")
+def q_review_batches(spark, sf_dir):
+    _, unc = _review_inputs(spark, sf_dir)
+    return RV.review_requests(unc).select("batch", "n_recipes", "diets", "payload")
+
+
+@query("parse_review")
+def q_parse_review(spark, sf_dir):
+    _, unc = _review_inputs(spark, sf_dir)
+    index = RV.recipe_index(unc)
+    return RV.parse_replies(RV.offline_replies(index), index)
+
+
+@query("apply_review")
+def q_apply_review(spark, sf_dir):
+    long, unc = _review_inputs(spark, sf_dir)
+    index = RV.recipe_index(unc)
+    return RV.apply_review(long, RV.parse_replies(RV.offline_replies(index), index))
+
+
+@query("cost_ledger")
+def q_cost_ledger(spark, sf_dir):
+    _, unc = _review_inputs(spark, sf_dir)
+    return RV.cost_ledger(RV.review_requests(unc), RV.offline_replies(RV.recipe_index(unc)))
+
+
+@query("commit_chunks")
+def q_commit_chunks(spark, sf_dir):
+    g = fixed_size_groups(published_snapshot(spark, sf_dir).select("id"), "id", 50)
+    return g.select("id", F.col("group").alias("chunk"), "idx")
