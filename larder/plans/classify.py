@@ -20,6 +20,7 @@ and the result rides along the input rows so tag merging needs no join back.
 from __future__ import annotations
 
 import json
+import re
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -121,11 +122,14 @@ def string_array_literal(values: list[str]) -> Column:
     return F.from_json(F.lit(json.dumps(values)), "array<string>")
 
 
-def _rule_result(x: Column, safe_present: Column) -> Column:
+def _rule_result(x: Column, safe_present: Column, lazy_safe: bool = False) -> Column:
     """Result struct for one (recipe, diet) from x = (r: rule, fh: first hit, nv: nutrient value)."""
     r, fh, nv = x["r"], x["fh"], x["nv"]
     passes = F.when(r["nop"] == "lt", nv < r["nval"]).otherwise(nv > r["nval"])
-    safe = F.exists(r["safe"], lambda s: (F.instr(s, F.lower(fh)) > 0) & F.array_contains(safe_present, s))
+    if lazy_safe:  # safe_present is the ingredient text itself
+        safe = F.exists(r["safe"], lambda s: (F.instr(s, F.lower(fh)) > 0) & (F.instr(safe_present, s) > 0))
+    else:
+        safe = F.exists(r["safe"], lambda s: (F.instr(s, F.lower(fh)) > 0) & F.array_contains(safe_present, s))
     nutrient_reason = F.concat(
         r["nfield"], F.lit(" = "), fmt_1dp(nv), F.lit("g ("),
         F.when(passes, F.lit("✓")).otherwise(F.lit("✗")),
@@ -142,45 +146,95 @@ def _rule_result(x: Column, safe_present: Column) -> Column:
 
 
 def classification_results(ingredients: Column, nutrients: Column, diets=DIETS) -> Column:
-    """Array of rule results, one struct per diet in rule order.
+    """Array of rule results, one struct per diet, as a single expression.
 
-    Per row: the ingredient text is bound once; the hit set is the terms that
-    pass a cheap ``instr`` test and then the whole-word regex; safe compounds
-    present are plain substring tests; then each rule picks its first hit in
-    list order and, if needed, its nutrient value.
+    Self-contained form (per-row values bound once with ``let``) for use in
+    ad-hoc selects; ``with_classification`` is the staged, faster plan.
     """
     terms = string_array_literal(all_terms(diets))
     safes = string_array_literal(all_safe_compounds(diets))
     rules = rules_literal(diets)
+    fields = _fields(diets)
 
     def per_text(txt: Column) -> Column:
         ctx = F.struct(
             F.filter(terms, lambda t: (F.instr(txt, t) > 0)
                      & F.rlike(txt, F.concat(F.lit(r"(?U)\b\Q"), t, F.lit(r"\E\b")))).alias("hits"),
             F.filter(safes, lambda s: F.instr(txt, s) > 0).alias("safe"),
+            *[nutrient_value(nutrients, f).alias(f"nv_{f}") for f in fields],
         )
-        return let(ctx, lambda c: F.transform(rules, lambda r: let(F.struct(
-            r.alias("r"),
-            F.when(F.size(c["hits"]) > 0,
-                   F.get(F.filter(r["block"], lambda t: F.array_contains(c["hits"], t)), 0)).alias("fh"),
-            F.when(r["nfield"].isNotNull(), nutrient_value_dyn(nutrients, r["nfield"])).alias("nv"),
-        ), lambda x: _rule_result(x, c["safe"]))))
+        return let(ctx, lambda c: _rules_over(rules, c["hits"], c["safe"], {f: c[f"nv_{f}"] for f in fields}))
 
     return let(ingredient_text(ingredients), per_text)
 
 
+def _fields(diets) -> list[str]:
+    return list(dict.fromkeys(d.nutrient_rule.field for d in diets if d.nutrient_rule))
+
+
+def _rules_over(rules: Column, hits: Column, safe_present: Column, values: dict[str, Column],
+                lazy_safe: bool = False) -> Column:
+    """transform(rules, r -> result) given the row's hit set, safe set and nutrient values."""
+    if values:
+        value_map = F.create_map(*[x for f, v in values.items() for x in (F.lit(f), v)])
+    return F.transform(rules, lambda r: let(F.struct(
+        r.alias("r"),
+        F.when(F.size(hits) > 0, F.get(F.array_intersect(r["block"], hits), 0)).alias("fh"),
+        (F.element_at(value_map, r["nfield"]) if values else F.lit(None).cast("double")).alias("nv"),
+    ), lambda x: _rule_result(x, safe_present, lazy_safe)))
+
+
 def nutrient_value_dyn(nutrients: Column, field: Column) -> Column:
     first = F.get(F.filter(nutrients, lambda n: F.coalesce(F.instr(F.lower(n["name"]), field) > 0, F.lit(False))), 0)
     return first_number(first["quantity"])
 
 
+def first_word_index(terms: list[str]) -> dict[str, list[str]]:
+    """Terms keyed by their first word (a whole-word match of a term needs its
+    first word as a token of the text)."""
+    index: dict[str, list[str]] = {}
+    for t in terms:
+        m = re.match(r"\w+", t)
+        index.setdefault(m.group(0) if m else t, []).append(t)
+    return index
+
+
 def with_classification(df: DataFrame, diets=DIETS, ingredients: str = "ingredients",
                         nutrients: str = "nutrients") -> DataFrame:
     """Adds ``results`` (array of per-diet structs) and ``new_tags``.
 
-    ``new_tags``: diets that apply with confidence >= 0.75, in rule order.
+    Plan, per row and without shuffle:
+    1. ingredient text, split once into word tokens (``(?U)\\W+``, the same
+       word definition as the ``(?U)\\b`` boundaries);
+    2. candidate terms = terms whose first word is a token (native
+       ``array_intersect`` with the constant first-word list, then a constant
+       word -> terms map); only candidates run the whole-word regex;
+    3. a one-row ``inline`` generate fences these columns, so a later filter
+       on ``results``/``new_tags`` is not pushed down into the per-row work;
+    4. one ``transform`` over the constant rule array decides each diet:
+       first hit = ``array_intersect(block, hits)[0]`` (list order), safe
+       compounds are substring-tested only for a diet that has a hit.
     """
-    out = df.withColumn("results", classification_results(F.col(ingredients), F.col(nutrients), diets))
+    terms = all_terms(diets)
+    index = first_word_index(terms)
+    words = string_array_literal(list(index))
+    word_terms = F.from_json(F.lit(json.dumps(index)), "map<string,array<string>>")
+    fields = _fields(diets)
+    base = df.columns
+    staged = df.withColumn("_txt", ingredient_text(F.col(ingredients)))
+    staged = staged.withColumns({
+        "_tok": F.split(F.col("_txt"), r"(?U)\W+"),
+        **{f"_nv_{f}": nutrient_value(F.col(nutrients), f) for f in fields},
+    })
+    staged = staged.withColumn("_cand", F.flatten(F.transform(
+        F.array_intersect(words, F.col("_tok")), lambda w: F.element_at(word_terms, w))))
+    staged = staged.withColumn("_hits", F.filter(
+        "_cand", lambda t: F.rlike(F.col("_txt"), F.concat(F.lit(r"(?U)\b\Q"), t, F.lit(r"\E\b")))))
+    keep = [*base, "_txt", "_hits", *[f"_nv_{f}" for f in fields]]
+    fenced = staged.select(F.inline(F.array(F.struct(*[F.col(c) for c in keep]))))
+    results = _rules_over(rules_literal(diets), F.col("_hits"), F.col("_txt"),
+                          {f: F.col(f"_nv_{f}") for f in fields}, lazy_safe=True)
+    out = fenced.withColumn("results", results).drop(*keep[len(base):])
     return out.withColumn("new_tags", new_tags(F.col("results")))
 
 
