@@ -388,3 +388,89 @@ def q_cost_ledger(spark, sf_dir):
 def q_commit_chunks(spark, sf_dir):
     g = fixed_size_groups(published_snapshot(spark, sf_dir).select("id"), "id", 50)
     return g.select("id", F.col("group").alias("chunk"), "idx")
+
+
+# ---- prompts, pages, restructure, sources/sinks (B1-B9, S3, S4, S7, S8, S11-S14, L2) -------
+
+from larder.plans import prompts as PR  # noqa: E402
+from larder.sources import pages as PG  # noqa: E402
+
+
+@query("prompt_text")
+def q_prompt_text(spark, sf_dir):
+    return PR.prompt_columns(M.map_recipes(_recipes(spark, sf_dir))).select("id", "full_prompt")
+
+
+@query("image_manifest")
+def q_image_manifest(spark, sf_dir):
+    return PR.image_manifest(published_snapshot(spark, sf_dir))
+
+
+@query("pages_to_recipes")
+def q_pages_to_recipes(spark, sf_dir):
+    p = PG.pages_to_recipes(TB.read_table(spark, sf_dir, "pages"))
+    return p.select("id", "url", "title", "description", "host", F.size("instructions").alias("n_instructions"))
+
+
+@query("page_tags")
+def q_page_tags(spark, sf_dir):
+    p = TB.read_table(spark, sf_dir, "pages")
+    return p.select("page_id", F.array_join(PG.page_tags(F.col("html")), "|").alias("tags"))
+
+
+@query("pages_validation")
+def q_pages_validation(spark, sf_dir):
+    p = PG.pages_to_recipes(TB.read_table(spark, sf_dir, "pages"))
+    return M.validate(M.map_recipes(p)).groupBy("error").agg(F.count(F.lit(1)).alias("count"))
+
+
+@query("restructure_wide")
+def q_restructure_wide(spark, sf_dir):
+    ev = TB.read_table(spark, sf_dir, "events").select("event_id", "props")
+    return ev.select("event_id", F.explode(F.from_json("props", "map<string,string>")).alias("key", "value"))
+
+
+@query("describe_columns")
+def q_describe_columns(spark, sf_dir):
+    return TB.describe_columns(_recipes(spark, sf_dir))
+
+
+@query("sample_n")
+def q_sample_n(spark, sf_dir):
+    # exactly n rows without replacement: order by a seeded random key, keep n (top-k heap per partition)
+    return _recipes(spark, sf_dir).select("recipe_id", "title").orderBy(F.rand(42)).limit(10)
+
+
+def _scratch(spark, name):
+    from larder.session import checkpoint_dir
+    return f"{checkpoint_dir(spark).rstrip('/')}/{name}"
+
+
+@query("convert_codec")
+def q_convert_codec(spark, sf_dir):
+    dst = TB.new_version_path(_scratch(spark, "converted"))
+    return TB.convert_codec(spark, f"{sf_dir}/orders.parquet", dst, "zstd")
+
+
+@query("replace_dataset")
+def q_replace_dataset(spark, sf_dir):
+    r, c = _classified_with_tags(spark, sf_dir)
+    path = TB.replace_dataset(tagged_dataset(c).drop("results", "new_tags"), _scratch(spark, "recipes"))
+    return spark.read.parquet(path).agg(F.count(F.lit(1)).alias("rows"),
+                                        F.count_if(F.size("tags") > 0).alias("tagged_rows"))
+
+
+@query("stats_export")
+def q_stats_export(spark, sf_dir):
+    out = TB.new_version_path(_scratch(spark, "stats"))
+    S.tag_counts(published_snapshot(spark, sf_dir), drop_empty=True).coalesce(1).write.json(out)
+    return spark.read.json(out)
+
+
+@query("json_source")
+def q_json_source(spark, sf_dir):
+    out = TB.new_version_path(_scratch(spark, "json_batch"))
+    # a JSON batch written from the published snapshot, then read back with the raw schema
+    published_snapshot(spark, sf_dir).select("id", "title", "tags", "ingredientStrings").write.json(out)
+    return TB.read_json_batch(spark, out, "id string, title string, tags array<string>, ingredientStrings array<string>",
+                              multi_line=False)

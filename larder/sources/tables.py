@@ -56,9 +56,12 @@ def describe_columns(df: DataFrame) -> DataFrame:
     return spark.createDataFrame(rows, "position int, column string, dtype string")
 
 
-def read_json_batch(spark: SparkSession, path: str, schema: T.StructType | str | None = None) -> DataFrame:
-    """A JSON file holding a list of recipes or one object (multi-line JSON)."""
-    reader = spark.read.option("multiLine", True)
+def read_json_batch(spark: SparkSession, path: str, schema: T.StructType | str | None = None,
+                    multi_line: bool = True) -> DataFrame:
+    """JSON recipes: by default files holding a list of recipes or one object
+    (multi-line JSON, one document per file); ``multi_line=False`` reads JSON
+    lines (one recipe per line, splittable)."""
+    reader = spark.read.option("multiLine", multi_line)
     if schema is not None:
         reader = reader.schema(schema)
     return reader.json(path)

@@ -529,3 +529,104 @@ FROM classified c LEFT JOIN _reviewed r ON r.recipe_id = c.recipe_id AND r.diet
 SQL["commit_chunks"] = with_mapped("""
 SELECT id, (row_number() OVER (ORDER BY id) - 1) // 50 AS chunk,
        CAST((row_number() OVER (ORDER BY id) - 1) % 50 AS INTEGER) AS idx FROM published""")
+
+
+# ---- prompts, pages, restructure ----------------------------------------------------------
+
+from larder.plans import prompts as _pr  # noqa: E402
+
+
+def _has_any(col: str, words) -> str:
+    return f"list_has_any({col}, [{', '.join(_q(w) for w in words)}])"
+
+
+def _first_sql(col: str, table, default: str) -> str:
+    whens = " ".join(f"WHEN {_has_any(col, w)} THEN {v}" for w, v in table)
+    return f"CASE {whens} ELSE {default} END"
+
+
+def _style_sql(key: str) -> str:
+    base = _first_sql("ts", [(w, _q(s[key])) for w, s in _pr.DISH_STYLES], _q(_pr.DEFAULT_STYLE[key]))
+    for words, ov in _pr.DIET_OVERRIDES:
+        if key in ov:
+            base = f"CASE WHEN {_has_any('ts', words)} THEN {_q(ov[key])} ELSE {base} END"
+    return base
+
+
+_STRIP = "regexp_replace({}, '^\\s+|\\s+$', '', 'g')"
+_extra = "concat_ws(', ', " + ", ".join(
+    f"CASE WHEN {_has_any('ts', w)} THEN {_q(ov['extra'])} END" for w, ov in _pr.DIET_OVERRIDES if "extra" in ov) + ")"
+_kw = "[" + ", ".join(_q(k) for k in _pr.GARNISH_KEYWORDS) + "]"
+
+SQL["prompt_text"] = with_mapped(f"""
+, _p1 AS (
+  SELECT id, title, instructions, ingredientStrings,
+         list_distinct(list_transform(tags, lambda t: coalesce(lower({_STRIP.format('t')}), 'none'))) AS ts,
+         lower({_STRIP.format("coalesce(cookingMethod, '')")}) AS m
+  FROM mapped),
+_p2 AS (
+  SELECT *, {_style_sql('angle')} AS angle, {_style_sql('lighting')} AS lighting,
+         {_style_sql('surface')} AS surface, {_style_sql('mood')} AS mood, {_extra} AS extra,
+         {_first_sql("list_concat(ts, CASE WHEN m <> '' THEN [m] ELSE []::VARCHAR[] END)",
+                     [(w, _q(t)) for w, t in _pr.TEXTURES], "''")} AS tex,
+         list_filter(list_transform(ingredientStrings[1:8], lambda s: {_STRIP.format('s')}),
+                     lambda s: s IS NOT NULL AND s <> '') AS cands,
+         coalesce(substring({_STRIP.format(f"list_filter(instructions, lambda st: len(list_filter({_kw}, lambda k: contains(lower(st), k))) > 0)[1]")}, 1, 120), '') AS gar
+  FROM _p1),
+_p3 AS (
+  SELECT *, list_filter(cands, lambda s: len(string_split_regex(s, '\\s+')) <= 4)[1:3] AS visual FROM _p2),
+_p4 AS (
+  SELECT *, CASE WHEN len(visual) > 0 THEN visual ELSE cands[1:2] END AS vis FROM _p3),
+_p5 AS (
+  SELECT *, CASE WHEN len(vis) = 0 THEN '' WHEN len(vis) = 1 THEN 'featuring ' || vis[1]
+                 ELSE 'featuring ' || array_to_string(vis[1:len(vis) - 1], ', ') || ' and ' || vis[-1] END AS hl
+  FROM _p4)
+SELECT id, concat_ws(' ',
+    angle || ' photograph of ' || coalesce(title, 'dish') || CASE WHEN tex <> '' THEN ', ' || tex ELSE '' END || '.',
+    'Served on ' || surface || '.',
+    lighting || {_q(_pr.SHADOW_SENTENCE)},
+    mood || ' composition.',
+    CASE WHEN hl <> '' THEN hl || '.' || CASE WHEN extra <> '' THEN ' ' || extra || '.' ELSE '' END
+         WHEN extra <> '' THEN extra || '.' END,
+    CASE WHEN gar <> '' THEN gar || '.' END,
+    {_q(_pr.CLOSING_SENTENCE)}) || ' Avoid: ' || {_q(_pr.NEGATIVE_PROMPT)} || '.' AS full_prompt
+FROM _p5""".replace("\n, _p1 AS", "\nSELECT 1", 0))
+
+
+def _clean(expr: str) -> str:
+    e = f"regexp_replace({expr}, '<[^>]*>', '', 'g')"
+    for ent, ch in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
+        e = f"replace({e}, {_q(ent)}, {_q(ch)})"
+    return _STRIP.format(e)
+
+
+_PAGES = f"""
+_pg AS (
+  SELECT url, sha256(url) AS id,
+         nullif({_clean("regexp_extract(html, '(?s)<title>(.*?)</title>', 1)")}, '') AS title,
+         nullif(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/:?#]+)', 1), '') AS host,
+         list_filter(list_transform(regexp_extract_all(regexp_extract(html, '(?s)<article>(.*)</article>', 1),
+                                                       '(?s)<p>(.*?)</p>', 1), lambda p: {_clean('p')}),
+                     lambda p: p <> '') AS paras
+  FROM pages)"""
+
+SQL["pages_to_recipes"] = f"""WITH {_PAGES}
+SELECT id, url, title, paras[1] AS description, host, CAST(len(paras) AS INTEGER) AS n_instructions
+FROM _pg WHERE title IS NOT NULL"""
+SQL["page_tags"] = f"""
+SELECT page_id, array_to_string(list_sort(list_distinct(list_filter(list_transform(
+         regexp_extract_all(regexp_extract(html, '(?s)<nav>(.*?)</nav>', 1), '(?s)<a[^>]*>(.*?)</a>', 1),
+         lambda t: {_clean('t')}), lambda t: t <> ''))), '|') AS tags
+FROM pages"""
+SQL["pages_validation"] = f"""WITH {_PAGES}
+SELECT concat_ws('; ', 'uuid is required', 'ingredients are required structured', 'ingredient strings are required',
+                 'nutrients are required') AS error, count(*) AS count
+FROM _pg WHERE title IS NOT NULL"""
+SQL["restructure_wide"] = """
+SELECT event_id, k AS key, json_extract_string(props, '$."' || k || '"') AS value
+FROM (SELECT event_id, props, unnest(json_keys(props)) AS k FROM events)"""
+SQL["image_manifest"] = with_mapped("""
+SELECT id, 'recipe_images/' || id AS object_path,
+       CASE lower(regexp_extract(image, '(\\.[A-Za-z0-9]+)$', 1)) WHEN '.jpg' THEN 'image/jpeg'
+            WHEN '.jpeg' THEN 'image/jpeg' WHEN '.png' THEN 'image/png' ELSE 'image/jpeg' END AS content_type
+FROM published WHERE image IS NOT NULL""")
