@@ -172,14 +172,22 @@ def _fields(diets) -> list[str]:
     return list(dict.fromkeys(d.nutrient_rule.field for d in diets if d.nutrient_rule))
 
 
-def _rules_over(rules: Column, hits: Column, safe_present: Column, values: dict[str, Column],
-                lazy_safe: bool = False) -> Column:
-    """transform(rules, r -> result) given the row's hit set, safe set and nutrient values."""
+def _rules_over(rules: Column, hits: Column | None, safe_present: Column, values: dict[str, Column],
+                lazy_safe: bool = False, first_pos: Column | None = None) -> Column:
+    """transform(rules, r -> result) given the row's hits (or the per-diet
+    first-hit positions), safe set and nutrient values."""
     if values:
         value_map = F.create_map(*[x for f, v in values.items() for x in (F.lit(f), v)])
-    return F.transform(rules, lambda r: let(F.struct(
+
+    def fh(r: Column, i: Column) -> Column:
+        if first_pos is not None:
+            p = F.get(first_pos, i)
+            return F.when(p < F.lit(NO_HIT), F.element_at(r["block"], p))
+        return F.when(F.size(hits) > 0, F.get(F.array_intersect(r["block"], hits), 0))
+
+    return F.transform(rules, lambda r, i: let(F.struct(
         r.alias("r"),
-        F.when(F.size(hits) > 0, F.get(F.array_intersect(r["block"], hits), 0)).alias("fh"),
+        fh(r, i).alias("fh"),
         (F.element_at(value_map, r["nfield"]) if values else F.lit(None).cast("double")).alias("nv"),
     ), lambda x: _rule_result(x, safe_present, lazy_safe)))
 
@@ -189,13 +197,18 @@ def nutrient_value_dyn(nutrients: Column, field: Column) -> Column:
     return first_number(first["quantity"])
 
 
-def first_word_index(terms: list[str]) -> dict[str, list[str]]:
+NO_HIT = 1 << 20
+
+
+def first_word_index(terms: list[str], diets=DIETS) -> dict[str, list[dict]]:
     """Terms keyed by their first word (a whole-word match of a term needs its
-    first word as a token of the text)."""
-    index: dict[str, list[str]] = {}
+    first word as a token of the text), each with its 1-based position in
+    every diet's blocklist (0 = not listed)."""
+    index: dict[str, list[dict]] = {}
     for t in terms:
         m = re.match(r"\w+", t)
-        index.setdefault(m.group(0) if m else t, []).append(t)
+        pos = [d.blocklist.index(t) + 1 if t in d.blocklist else 0 for d in diets]
+        index.setdefault(m.group(0) if m else t, []).append({"term": t, "pos": pos})
     return index
 
 
@@ -218,7 +231,7 @@ def with_classification(df: DataFrame, diets=DIETS, ingredients: str = "ingredie
     terms = all_terms(diets)
     index = first_word_index(terms)
     words = string_array_literal(list(index))
-    word_terms = F.from_json(F.lit(json.dumps(index)), "map<string,array<string>>")
+    word_terms = F.from_json(F.lit(json.dumps(index)), "map<string,array<struct<term:string,pos:array<int>>>>")
     fields = _fields(diets)
     base = df.columns
     staged = df.withColumn("_txt", ingredient_text(F.col(ingredients)))
@@ -229,11 +242,15 @@ def with_classification(df: DataFrame, diets=DIETS, ingredients: str = "ingredie
     staged = staged.withColumn("_cand", F.flatten(F.transform(
         F.array_intersect(words, F.col("_tok")), lambda w: F.element_at(word_terms, w))))
     staged = staged.withColumn("_hits", F.filter(
-        "_cand", lambda t: F.rlike(F.col("_txt"), F.concat(F.lit(r"(?U)\b\Q"), t, F.lit(r"\E\b")))))
-    keep = [*base, "_txt", "_hits", *[f"_nv_{f}" for f in fields]]
+        "_cand", lambda c: F.rlike(F.col("_txt"), F.concat(F.lit(r"(?U)\b\Q"), c["term"], F.lit(r"\E\b")))))
+    # per diet, the smallest blocklist position among the row's hits (NO_HIT when none)
+    staged = staged.withColumn("_first", F.aggregate(
+        "_hits", F.array_repeat(F.lit(NO_HIT), len(diets)),
+        lambda acc, c: F.zip_with(acc, c["pos"], lambda a, b: F.when((b > 0) & (b < a), b).otherwise(a))))
+    keep = [*base, "_txt", "_first", *[f"_nv_{f}" for f in fields]]
     fenced = staged.select(F.inline(F.array(F.struct(*[F.col(c) for c in keep]))))
-    results = _rules_over(rules_literal(diets), F.col("_hits"), F.col("_txt"),
-                          {f: F.col(f"_nv_{f}") for f in fields}, lazy_safe=True)
+    results = _rules_over(rules_literal(diets), None, F.col("_txt"),
+                          {f: F.col(f"_nv_{f}") for f in fields}, lazy_safe=True, first_pos=F.col("_first"))
     out = fenced.withColumn("results", results).drop(*keep[len(base):])
     return out.withColumn("new_tags", new_tags(F.col("results")))
 
