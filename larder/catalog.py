@@ -11,6 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from larder.plans import classify as C
+from larder.session import materialize
 from larder.sources.recipe_view import recipe_view
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -272,9 +273,10 @@ from larder.operators.ordering import fixed_size_groups  # noqa: E402
 from larder.plans import review as RV  # noqa: E402
 
 
-def _classified_with_tags(spark, sf_dir):
+def _classified_with_tags(spark, sf_dir, reuse: bool = False):
     r = _recipes(spark, sf_dir)
-    return r, C.with_classification(r.select("recipe_id", "title", "ingredients", "nutrients", "tags"))
+    c = C.with_classification(r.select("recipe_id", "title", "ingredients", "nutrients", "tags"))
+    return r, (materialize(c) if reuse else c)
 
 
 def tagged_dataset(classified_df):
@@ -315,7 +317,7 @@ def q_tag_counts_both(spark, sf_dir):
 
 @query("diet_distribution")
 def q_diet_distribution(spark, sf_dir):
-    _, c = _classified_with_tags(spark, sf_dir)
+    _, c = _classified_with_tags(spark, sf_dir, reuse=True)
     return TG.diet_distribution(tagged_dataset(c))
 
 
@@ -335,7 +337,7 @@ def q_patch_skipped(spark, sf_dir):
 
 @query("verify_compare")
 def q_verify_compare(spark, sf_dir):
-    r, c = _classified_with_tags(spark, sf_dir)
+    r, c = _classified_with_tags(spark, sf_dir, reuse=True)
     snapshot = PB.patch_tags(published_snapshot(spark, sf_dir, r), c.filter(F.size("new_tags") > 0))
     return TG.verify_compare(tagged_dataset(c), snapshot)
 
@@ -353,8 +355,8 @@ def q_snapshot_to_classifier_rows(spark, sf_dir):
 
 def _review_inputs(spark, sf_dir):
     r = _recipes(spark, sf_dir)
-    long = C.classify_rules(r)
-    unc = RV.uncertain_by_recipe(long, r)
+    long = materialize(C.classify_rules(r))  # feeds the requests, the index and the merge
+    unc = materialize(RV.uncertain_by_recipe(long, r))
     return long, unc
 
 

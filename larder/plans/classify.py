@@ -38,7 +38,7 @@ from larder.plans.diet_rules import (
 )
 
 RULES_TYPE = ("array<struct<diet:string,block:array<string>,safe:array<string>,nfield:string,"
-              "nop:string,nval:double,ntext:string>>")
+              "nop:string,nval:double,ntext:string,nidx:int>>")
 RESULT_TYPE = "struct<diet:string,applies:boolean,confidence:double,method:string,reason:string>"
 
 REASON_SAFE = "' found but may be a safe compound — needs LLM review"
@@ -114,6 +114,7 @@ def rules_literal(diets=DIETS) -> Column:
         "nop": d.nutrient_rule.op if d.nutrient_rule else None,
         "nval": d.nutrient_rule.value if d.nutrient_rule else None,
         "ntext": threshold_text(d.nutrient_rule.value) if d.nutrient_rule else None,
+        "nidx": _fields(diets).index(d.nutrient_rule.field) if d.nutrient_rule else -1,
     } for d in diets]
     return F.from_json(F.lit(json.dumps(rows)), RULES_TYPE)
 
@@ -122,9 +123,12 @@ def string_array_literal(values: list[str]) -> Column:
     return F.from_json(F.lit(json.dumps(values)), "array<string>")
 
 
-def _rule_result(x: Column, safe_present: Column, lazy_safe: bool = False) -> Column:
-    """Result struct for one (recipe, diet) from x = (r: rule, fh: first hit, nv: nutrient value)."""
-    r, fh, nv = x["r"], x["fh"], x["nv"]
+def _rule_result(x: Column | None, safe_present: Column, lazy_safe: bool = False,
+                 r: Column | None = None, fh: Column | None = None, nv: Column | None = None) -> Column:
+    """Result struct for one (recipe, diet) from the rule, its first hit and nutrient value
+    (given directly, or packed in x = (r, fh, nv))."""
+    if x is not None:
+        r, fh, nv = x["r"], x["fh"], x["nv"]
     passes = F.when(r["nop"] == "lt", nv < r["nval"]).otherwise(nv > r["nval"])
     if lazy_safe:  # safe_present is the ingredient text itself
         safe = F.exists(r["safe"], lambda s: (F.instr(s, F.lower(fh)) > 0) & (F.instr(safe_present, s) > 0))
@@ -173,7 +177,8 @@ def _fields(diets) -> list[str]:
 
 
 def _rules_over(rules: Column, hits: Column | None, safe_present: Column, values: dict[str, Column],
-                lazy_safe: bool = False, first_pos: Column | None = None) -> Column:
+                lazy_safe: bool = False, first_pos: Column | None = None,
+                nv_array: Column | None = None) -> Column:
     """transform(rules, r -> result) given the row's hits (or the per-diet
     first-hit positions), safe set and nutrient values."""
     if values:
@@ -185,6 +190,12 @@ def _rules_over(rules: Column, hits: Column | None, safe_present: Column, values
             return F.when(p < F.lit(NO_HIT), F.element_at(r["block"], p))
         return F.when(F.size(hits) > 0, F.get(F.array_intersect(r["block"], hits), 0))
 
+    if first_pos is not None and nv_array is not None:
+        # direct form: no per-rule struct or map building
+        return F.transform(rules, lambda r, i: _rule_result(
+            None, safe_present, lazy_safe, r=r, fh=fh(r, i),
+            nv=F.when(r["nidx"] >= 0, F.get(nv_array, r["nidx"]))))
+
     return F.transform(rules, lambda r, i: let(F.struct(
         r.alias("r"),
         fh(r, i).alias("fh"),
@@ -212,6 +223,47 @@ def first_word_index(terms: list[str], diets=DIETS) -> dict[str, list[dict]]:
     return index
 
 
+def _diet_expr(d: Diet, i: int, first: Column, nv_array: Column, txt: Column, fields: list[str]) -> Column:
+    """Codegen-friendly result struct of diet ``d`` (rule order ``i``) from the
+    fenced per-row columns: first-hit positions, nutrient values and text.
+    Static rule properties are resolved here, so each diet is a short
+    ``when`` chain over literals and attribute references."""
+    chain = None
+
+    def add(cond: Column, value: Column):
+        nonlocal chain
+        chain = F.when(cond, value) if chain is None else chain.when(cond, value)
+
+    default = None
+    if d.blocklist:
+        p = F.get(first, F.lit(i))
+        fh = F.when(p < F.lit(NO_HIT), F.element_at(F.array(*[F.lit(t) for t in d.blocklist]), p))
+        table = {t: safe_for_term(d, t) for t in dict.fromkeys(d.blocklist)}
+        table = {t: v for t, v in table.items() if v}
+        if table:
+            # constant term -> safe compounds containing it; tested only when the diet has a hit
+            lookup = F.from_json(F.lit(json.dumps(table)), "map<string,array<string>>")
+            safe = F.coalesce(F.exists(F.element_at(lookup, fh), lambda sc: F.instr(txt, sc) > 0), F.lit(False))
+            add(fh.isNotNull() & safe,
+                _result(d.name, None, 0.45, "uncertain", F.concat(F.lit("'"), fh, F.lit(REASON_SAFE))))
+        add(fh.isNotNull(), _result(d.name, False, 0.92, "rules", F.concat(F.lit("Contains '"), fh, F.lit("'"))))
+        default = _result(d.name, True, 0.85, "rules", REASON_NO_HIT)
+    rule = d.nutrient_rule
+    if rule is not None:
+        v = F.get(nv_array, F.lit(fields.index(rule.field)))
+        passes = (v < F.lit(rule.value)) if rule.op == "lt" else (v > F.lit(rule.value))
+        direction = "below" if rule.op == "lt" else "above"
+        reason = F.concat(F.lit(f"{rule.field} = "), fmt_1dp(v), F.lit("g ("),
+                          F.when(passes, F.lit("✓")).otherwise(F.lit("✗")),
+                          F.lit(f" {direction} {threshold_text(rule.value)}g threshold)"))
+        add(v.isNotNull(), _result(d.name, passes, 0.90, "nutrients", reason))
+        if default is None:
+            default = _result(d.name, None, 0.40, "uncertain", REASON_NO_NUTRIENT)
+    if default is None:
+        default = _result(d.name, None, 0.40, "uncertain", REASON_NO_RULES)
+    return default if chain is None else chain.otherwise(default)
+
+
 def with_classification(df: DataFrame, diets=DIETS, ingredients: str = "ingredients",
                         nutrients: str = "nutrients") -> DataFrame:
     """Adds ``results`` (array of per-diet structs) and ``new_tags``.
@@ -224,9 +276,9 @@ def with_classification(df: DataFrame, diets=DIETS, ingredients: str = "ingredie
        word -> terms map); only candidates run the whole-word regex;
     3. a one-row ``inline`` generate fences these columns, so a later filter
        on ``results``/``new_tags`` is not pushed down into the per-row work;
-    4. one ``transform`` over the constant rule array decides each diet:
-       first hit = ``array_intersect(block, hits)[0]`` (list order), safe
-       compounds are substring-tested only for a diet that has a hit.
+    4. each diet is a short generated ``when`` chain over the fenced columns
+       (codegen'd): its first hit is ``block[_first[i]]``, safe compounds are
+       substring-tested only when the diet has a hit.
     """
     terms = all_terms(diets)
     index = first_word_index(terms)
@@ -247,10 +299,11 @@ def with_classification(df: DataFrame, diets=DIETS, ingredients: str = "ingredie
     staged = staged.withColumn("_first", F.aggregate(
         "_hits", F.array_repeat(F.lit(NO_HIT), len(diets)),
         lambda acc, c: F.zip_with(acc, c["pos"], lambda a, b: F.when((b > 0) & (b < a), b).otherwise(a))))
-    keep = [*base, "_txt", "_first", *[f"_nv_{f}" for f in fields]]
+    staged = staged.withColumn("_nv", F.array(*[F.col(f"_nv_{f}") for f in fields]).cast("array<double>"))
+    keep = [*base, "_txt", "_first", "_nv"]
     fenced = staged.select(F.inline(F.array(F.struct(*[F.col(c) for c in keep]))))
-    results = _rules_over(rules_literal(diets), None, F.col("_txt"),
-                          {f: F.col(f"_nv_{f}") for f in fields}, lazy_safe=True, first_pos=F.col("_first"))
+    results = F.array(*[_diet_expr(d, i, F.col("_first"), F.col("_nv"), F.col("_txt"), fields)
+                        for i, d in enumerate(diets)])
     out = fenced.withColumn("results", results).drop(*keep[len(base):])
     return out.withColumn("new_tags", new_tags(F.col("results")))
 

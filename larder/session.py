@@ -56,3 +56,11 @@ def checkpoint_dir(spark: SparkSession) -> str:
     spark.conf.set("spark.checkpoint.dir", local)
     spark.sparkContext.setCheckpointDir(local)
     return local
+
+
+def materialize(df):
+    """Compute ``df`` once and cut its lineage: a reliable checkpoint in the
+    shared checkpoint folder (survives executor loss, unlike a local one).
+    Used where one expensive result feeds several branches of a plan."""
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
