@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from larder.plans import classify as C
 from larder.session import materialize
-from larder.sources.recipe_view import recipe_view
+from larder.sources.recipe_view import recipe_table, recipe_view
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -25,12 +25,12 @@ def query(name: str):
 
 
 def classified(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return C.with_classification(recipe_view(spark, sf_dir))
+    return C.with_classification(recipe_table(spark, sf_dir).select("recipe_id", "ingredients", "nutrients"))
 
 
 @query("classify_rules")
 def q_classify_rules(spark, sf_dir):
-    return C.classify_rules(recipe_view(spark, sf_dir))
+    return C.classify_rules(recipe_table(spark, sf_dir))
 
 
 @query("diet_summary")
@@ -51,7 +51,7 @@ from larder.sources.snapshot import published_snapshot, status_table  # noqa: E4
 
 
 def _recipes(spark, sf_dir):
-    return recipe_view(spark, sf_dir)
+    return recipe_table(spark, sf_dir)
 
 
 def _flat(df, *cols):

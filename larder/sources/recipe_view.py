@@ -7,7 +7,7 @@ as grams), and the remaining recipe fields are derived from order columns.
 Every row of ``orders`` becomes a recipe; orders without lines get NULL
 ingredient/nutrient lists, which exercises the null-list semantics.
 
-The same derivation is written in DuckDB SQL in ``oracle_queries.py`` so
+The same derivation is written in DuckDB SQL in ``oracles.py`` so
 every query on this view has an independent oracle.
 
 Scale: lines are grouped per order (bounded: an order holds a handful of
@@ -138,3 +138,29 @@ def recipe_view(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("o_custkey") % 1000).cast("int").alias("ratingsCount"),
         F.month("o_orderdate").cast("int").alias("cluster_id"),
     )
+
+
+_TABLES: dict[tuple[str, str], str] = {}
+
+
+def recipe_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The derived recipe view written once as a parquet table, then scanned.
+
+    In production the catalogue is a stored table; here it is derived from the
+    driver tables the first time a session asks for it and written to the
+    shared ``spark.checkpoint.dir`` folder (so a lost executor does not lose
+    it), hash-partitioned by ``recipe_id`` into as many files as the cluster
+    has cores, so later scans are parallel and get parquet filter pushdown
+    and column pruning.
+    """
+    from larder.session import checkpoint_dir
+    from larder.sources.tables import new_version_path
+
+    key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"))
+    path = _TABLES.get(key)
+    if path is None:
+        path = new_version_path(f"{checkpoint_dir(spark).rstrip('/')}/recipes")
+        n = spark.sparkContext.defaultParallelism
+        recipe_view(spark, sf_dir).repartition(n, "recipe_id").write.parquet(path)
+        _TABLES[key] = path
+    return spark.read.parquet(path)

@@ -15,12 +15,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from larder.operators.mapping import PUBLISHED_COLUMNS, map_recipes
-from larder.sources.recipe_view import recipe_view
+from larder.sources.recipe_view import recipe_table
 from larder.sources.tables import read_table
 
 
 def published_snapshot(spark: SparkSession, sf_dir: str, recipes: DataFrame | None = None) -> DataFrame:
-    r = recipes if recipes is not None else recipe_view(spark, sf_dir)
+    r = recipes if recipes is not None else recipe_table(spark, sf_dir)
     mapped = map_recipes(r.filter(F.col("uuid").isNotNull() & F.col("image").isNotNull()))
     mapped = mapped.withColumn("tags", F.slice("tags", 1, F.greatest(F.size("tags") - 1, F.lit(0))))
     emb = read_table(spark, sf_dir, "embeddings").select(
@@ -33,7 +33,7 @@ def published_snapshot(spark: SparkSession, sf_dir: str, recipes: DataFrame | No
 
 
 def status_table(spark: SparkSession, sf_dir: str, recipes: DataFrame | None = None) -> DataFrame:
-    r = recipes if recipes is not None else recipe_view(spark, sf_dir)
+    r = recipes if recipes is not None else recipe_table(spark, sf_dir)
     return r.select(
         "recipe_id",
         (F.col("uuid").isNotNull() & F.col("image").isNotNull()).alias("uploaded"),
