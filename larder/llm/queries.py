@@ -8,8 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 from larder.session import checkpoint_dir
 
+from .decontamination import decontaminate
+from .jaccard_join import jaccard_components
+from .license_scan import license_scan
+from .oracles import decontamination_sql, jaccard_sql, substring_sql
 from .quality import quality_rules
 from .shared import documents
+from .substring_dedup import remove_repeats
 from .token_counts import token_counts
 from .word_bpe import encode_digests
 
@@ -21,6 +26,16 @@ def tokenizer_file(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of ``documents`` linked by a Jaccard similarity of 0.8 over five-word shingles."""
+    return jaccard_components(documents(spark, sf_dir)).select("doc_id", "n_shingles", "component_id")
+
+
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence templates found in every text of ``documents``."""
+    return license_scan(documents(spark, sf_dir))
+
+
 def op6_word_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encode and decode every text of ``documents`` with the word-end BPE vocabulary."""
     return encode_digests(documents(spark, sf_dir), tokenizer_file("word_bpe_49k.json"))
@@ -31,12 +46,29 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(documents(spark, sf_dir))
 
 
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words and items of ``benchmark`` that occur in every text of ``documents``."""
+    return decontaminate(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select(
+        "doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token counts of every text of ``documents`` through a digest cache kept for this input in the shared folder."""
     cache = f"{checkpoint_dir(spark)}/larder-llm/token-cache/{hashlib.sha256(sf_dir.encode()).hexdigest()[:16]}"
     return token_counts(documents(spark, sf_dir), tokenizer_file("byte_bpe_50k.json"), cache)
 
 
-QUERIES = {f.__name__: f for f in (op6_word_bpe, op7_quality_rules, op9_token_counts)}
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every text of ``documents`` that lie in a 35-word passage found elsewhere too."""
+    return remove_repeats(documents(spark, sf_dir))
+
+
+QUERIES = {f.__name__: f for f in (
+    op1_jaccard_join, op3_license_scan, op6_word_bpe, op7_quality_rules, op8_decontamination, op9_token_counts,
+    op10_substring_dedup)}
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op1_jaccard_join": jaccard_sql(),
+    "op8_decontamination": decontamination_sql(),
+    "op10_substring_dedup": substring_sql(),
+}
