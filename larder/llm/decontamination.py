@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import content_key, keyed, stored
+from .shared import content_key, keyed, stored, without
 from .textwords import count_words, join_small, shingle_at, split_words
 
 _SHINGLE = 3
@@ -98,3 +98,10 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = 10, id_col: s
                     F.size(items_of).cast("long").alias("n_items"),
                     F.sha2(F.array_join(items_of, ","), 256).alias("items_sha256"),
                     F.col("m.n_hit").isNotNull().alias("contaminated"), items_of.alias("items"), F.col("b.part").alias("part")))
+
+
+def uncontaminated(docs: DataFrame, items: DataFrame, window: int = 10, id_col: str = "doc_id",
+                   text_col: str = "text") -> DataFrame:
+    """Rows without an occurrence of an item window, all columns kept."""
+    found, _ = occurrences(docs, items, window, id_col, text_col)
+    return without(docs, stored(found.select("id", "part").distinct(), "contaminated"), "left_anti", id_col, text_col)

@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import content_key, keyed, raw_texts, stored
+from .shared import content_key, keyed, raw_texts, row_key, stored, without
 from .wordhash import LOWER_ASCII, mix, shingle_set
 
 
@@ -151,7 +151,8 @@ def _near_size(n: Column, m: Column, percent: int) -> Column:
 
 def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80, share: float = 0.001, pivots: int = 4,
                        id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, n_shingles, component_id, part`` per row; ``part`` is the text's digest."""
+    """``doc_id, n_shingles, component_id, part, component`` per row; ``part`` is the text's digest, and ``component`` tells
+    components apart where ids repeat (null for an empty set)."""
     rows = keyed(docs, id_col, text_col).withColumn("part", content_key())
     work = Shingler(docs.sparkSession, common_shingles(rows, width, share), width, percent)
     own = stored(rows.mapInArrow(work.rows, "id long, part long, n long, s1 long, s2 long, grp long"), "sets")
@@ -210,10 +211,28 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80, share
     label = components(links).select(F.col("vertex").alias("vid"), "component")
     named = classes.join(label, "vid", "left").withColumn("component", F.coalesce("component", "vid"))
     least = named.groupBy("component").agg(F.min("label").alias("component_id"))
-    named = named.select("n", "s1", "s2", "component").join(least, "component").select("n", "s1", "s2", "component_id")
+    named = named.select("n", "s1", "s2", "component").join(least, "component").select(
+        "n", "s1", "s2", "component_id", "component")
     return (own.join(named, ["n", "s1", "s2"], "left")
             .select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"),
-                    F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"), "part"))
+                    F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"), "part", "component"))
+
+
+def one_of_each(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of every component, that of the smallest id, with all columns; rows with an empty set all stay."""
+    found = stored(jaccard_components(docs, width, percent, id_col=id_col, text_col=text_col)
+                   .filter("component is not null").select(F.col("doc_id").alias("id"), "part", "component"), "placed")
+    least = found.groupBy("component").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "part")).alias("at"))
+    keep = least.select("at.id", "at.part", F.lit(True).alias("keep"))
+    rows = found.groupBy("id", "part").agg(F.count(F.lit(1)).alias("copies")).alias("f")
+    rows = rows.join(keep.alias("k"), F.col("f.id").eqNullSafe(F.col("k.id")) & (F.col("f.part") == F.col("k.part")), "left")
+    rows = rows.select("f.id", "f.part", "f.copies", F.coalesce("k.keep", F.lit(False)).alias("keep"))
+    out = stored(rows.filter("not keep or copies > 1").select("id", "part", "keep"), "leaving")
+    # rows alike in id and text leave too, but for one of each that is kept
+    copies = without(docs, out.filter("keep").select("id", "part"), "left_semi", id_col, text_col)
+    own, part = row_key(docs, id_col, text_col)
+    copies = copies.withColumns({"__a": own, "__b": part}).dropDuplicates(["__a", "__b"]).drop("__a", "__b")
+    return without(docs, out.select("id", "part"), "left_anti", id_col, text_col).unionByName(copies)
 
 
 def verified(pairs: DataFrame, classes: DataFrame, rows: DataFrame, work: Shingler, percent: int) -> DataFrame:

@@ -10,8 +10,9 @@ Any passage of seven or more template words holds a whole document window (simil
 case, a three-word notice among other words, has similarity 1/3 and is retrieved with probability 1 - (2/3)**bands: 0.998
 with the 16 bands set here.
 
-The templates are a parameter of bounded size and broadcast after a count. Band keys are generated columns; only verified
-matches leave the stage that reads the texts, and are combined map-side per document and template.
+The templates are a parameter, a few hundred at most: their band keys are part of the plan and filter the windows inside
+the generated stage that reads the texts. Windows that agree in some band, few in any corpus, are joined to the templates
+and verified there; matches are combined map-side per document and template.
 
 Defined cases: null or empty texts, and texts of fewer than three words, match nothing; repeated rows and null ids get
 their own rows; extra columns are ignored; templates of fewer than three words are refused.
@@ -19,6 +20,8 @@ their own rows; extra columns are ignored; templates of fewer than three words a
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -54,11 +57,19 @@ def default_templates(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(list(TEMPLATES), "name string, text string")
 
 
-def _bands(words: str, at: Column, bands: int) -> Column:
-    """Array of (band, key) of the window of ``words`` at ``at``."""
-    prints = [shingle_at(words, at + k, SHINGLE) for k in range(WINDOW - SHINGLE + 1)]
-    return F.array(*(F.struct(F.lit(b).alias("band"), F.least(*(
-        F.when(p.isNotNull(), F.xxhash64(p, F.lit(b))) for p in prints)).alias("key")) for b in range(bands)))
+def _prints(words: str, at: Column) -> Column:
+    """One-row array of the shingles' digests of the window of ``words`` at ``at``; past the end the first stands in."""
+    first, *rest = [shingle_at(words, at + k, SHINGLE) for k in range(WINDOW - SHINGLE + 1)]
+    return F.array(F.struct(first.alias("p0"), *(F.coalesce(p, first).alias(f"p{k}") for k, p in enumerate(rest, 1))))
+
+
+def _key(band: int) -> Column:
+    """A band's key: the least of the digests, hashed anew for each band."""
+    return F.least(*(F.xxhash64(f"p{k}", F.lit(band)) for k in range(WINDOW - SHINGLE + 1)))
+
+
+def _keys(bands: int) -> Column:
+    return F.explode(F.array(*(F.struct(F.lit(b).alias("band"), _key(b).alias("key")) for b in range(bands)))).alias("b")
 
 
 def _shingles(words: str | Column) -> Column:
@@ -76,13 +87,18 @@ def matches(docs: DataFrame, templates: DataFrame, bands: int = 16, containment:
     own = own.withColumn("shingles", _shingles("own"))
     cut = own.select("name", F.size("own").alias("size"), "shingles", "own",
                      F.explode(F.sequence(F.lit(0), F.greatest(F.size("own") - WINDOW, F.lit(0)))).alias("at"))
-    cut = cut.select("name", "size", "shingles", F.explode(_bands("own", F.col("at"), bands)).alias("b"))
+    cut = cut.select("name", "size", "shingles", F.inline(_prints("own", F.col("at")))).select(
+        "name", "size", "shingles", _keys(bands))
     index = stored(cut.select("b.band", "b.key", "name", "size", "shingles").dropDuplicates(["band", "key", "name"]),
                    "template-bands")
+    listed = index.groupBy("band").agg(F.collect_set("key").alias("keys")).limit(bands).collect()  # of the templates only
 
+    # a generated row for each window; only those that agree with a template in some band go on with their words
     starts = rows.filter(F.size("words") >= SHINGLE).select("id", "part", "words", F.explode(
         F.sequence(F.lit(0), F.size("words") - SHINGLE, F.lit(STRIDE))).alias("at"))
-    keys = starts.select("id", "part", "words", "at", F.explode(_bands("words", F.col("at"), bands)).alias("b")).select(
+    prints = starts.select("id", "part", "words", "at", F.inline(_prints("words", F.col("at"))))
+    agrees = reduce(Column.__or__, (_key(r["band"]).isin(r["keys"]) for r in listed), F.lit(False))
+    keys = prints.filter(agrees).select("id", "part", "words", "at", _keys(bands)).select(
         "id", "part", "words", "at", "b.band", "b.key")
     begin = F.greatest(F.col("at") - F.col("size"), F.lit(0))
     region = F.slice("words", begin + 1, F.col("at") + F.col("size") + WINDOW - begin)

@@ -10,12 +10,15 @@ from larder.session import checkpoint_dir
 
 from .decontamination import decontaminate
 from .jaccard_join import jaccard_components
+from .language_id import language_id
 from .license_scan import license_scan
 from .oracles import decontamination_sql, jaccard_sql, substring_sql
+from .pii import find_pii
 from .quality import quality_rules
 from .shared import documents
 from .substring_dedup import remove_repeats
 from .token_counts import token_counts
+from .toxicity import toxicity
 from .word_bpe import encode_digests
 
 
@@ -31,11 +34,26 @@ def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(documents(spark, sf_dir)).select("doc_id", "n_shingles", "component_id")
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity score of every text of ``documents``, learned from ``labels.toxic``."""
+    return toxicity(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Licence templates found in every text of ``documents``."""
     return license_scan(documents(spark, sf_dir))
 
 
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every text of ``documents``."""
+    return find_pii(documents(spark, sf_dir)).drop("part")
+
+
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every text of ``documents``."""
+    return language_id(documents(spark, sf_dir)).drop("part")
+
+
 def op6_word_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encode and decode every text of ``documents`` with the word-end BPE vocabulary."""
     return encode_digests(documents(spark, sf_dir), tokenizer_file("word_bpe_49k.json"))
@@ -64,7 +82,7 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_jaccard_join, op3_license_scan, op6_word_bpe, op7_quality_rules, op8_decontamination, op9_token_counts,
+    op1_jaccard_join, op2_toxicity, op3_license_scan, op4_pii, op5_language_id, op6_word_bpe, op7_quality_rules, op8_decontamination, op9_token_counts,
     op10_substring_dedup)}
 
 SQL: dict[str, str] = {

@@ -62,3 +62,16 @@ def per_batch(compute: Callable[[list, list[bytes]], dict], schema: pa.Schema
             if batch.num_rows:
                 yield pa.RecordBatch.from_pydict(compute(batch.column(0), raw_texts(batch.column(1))), schema)
     return run
+
+
+def row_key(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[Column, Column]:
+    """The key of a row as ``keyed`` and ``content_key`` give it, over the table's own columns."""
+    return (F.col(id_col).cast("long"), content_key(F.coalesce(F.col(text_col).cast("string"), F.lit(""))))
+
+
+def without(docs: DataFrame, keys: DataFrame, how: str = "left_anti", id_col: str = "doc_id",
+            text_col: str = "text") -> DataFrame:
+    """Rows of ``docs`` whose key is not (``left_anti``) or is (``left_semi``) in ``keys(id, part)``, all columns kept."""
+    own, part = row_key(docs, id_col, text_col)
+    other = keys.select(F.col("id").alias("__id"), F.col("part").alias("__part"))
+    return docs.join(other, own.eqNullSafe(F.col("__id")) & (part == F.col("__part")), how)
