@@ -11,8 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from larder.plans import classify as C
-from larder.session import materialize
-from larder.sources.recipe_view import recipe_table, recipe_view
+from larder.sources.recipe_view import PRIORITY_MEAL, recipe_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -25,7 +24,7 @@ def query(name: str):
 
 
 def classified(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return C.with_classification(recipe_table(spark, sf_dir).select("recipe_id", "ingredients", "nutrients"))
+    return C.with_classification(recipe_table(spark, sf_dir).select("recipe_id", "ingredients", "nutrients"), reasons=False)
 
 
 @query("classify_rules")
@@ -43,11 +42,12 @@ def q_diet_summary(spark, sf_dir):
 from pyspark.sql import functions as F  # noqa: E402
 
 from larder.functions import predicates as P  # noqa: E402
+from larder.operators import batch as B  # noqa: E402
 from larder.operators import mapping as M  # noqa: E402
 from larder.operators import publish as PB  # noqa: E402
 from larder.operators import stats as S  # noqa: E402
 from larder.sources import tables as TB  # noqa: E402
-from larder.sources.snapshot import published_snapshot, status_table  # noqa: E402
+from larder.sources.snapshot import collection, published_snapshot, status_table  # noqa: E402
 
 
 def _recipes(spark, sf_dir):
@@ -87,8 +87,7 @@ def q_preview(spark, sf_dir):
 
 @query("batch_head")
 def q_batch_head(spark, sf_dir):
-    r = P.apply_filters(_recipes(spark, sf_dir), query={"healthGrade": "A"})
-    return r.orderBy("recipe_id").limit(10).select("recipe_id", "title", "healthGrade")
+    return B.get_batch(_recipes(spark, sf_dir), 10, query={"healthGrade": "A"}).select("recipe_id", "title", "healthGrade")
 
 
 # ---- predicates (F1-F17) -------------------------------------------------------------------
@@ -210,7 +209,12 @@ def q_validation_failures(spark, sf_dir):
 
 @query("snapshot_ids")
 def q_snapshot_ids(spark, sf_dir):
-    return published_snapshot(spark, sf_dir).select("id")
+    return collection(spark, sf_dir, ["id"])
+
+
+@query("collection_fields")
+def q_collection_fields(spark, sf_dir):
+    return collection(spark, sf_dir, ["id", "title", "healthGrade"], limit=100)
 
 
 @query("exclude_uploaded")
@@ -225,7 +229,7 @@ def q_skipped_ids(spark, sf_dir):
 
 @query("exclude_bad")
 def q_exclude_bad(spark, sf_dir):
-    r = P.apply_filters(_recipes(spark, sf_dir), query={"cookTime__le": 60}).select("recipe_id")
+    r = _recipes(spark, sf_dir).select("recipe_id")
     return PB.exclude_ids(r, PB.flagged_ids(status_table(spark, sf_dir), "bad"), "recipe_id", "recipe_id")
 
 
@@ -238,8 +242,7 @@ def q_mark_flag(spark, sf_dir):
 
 def _publish_inputs(spark, sf_dir):
     r = _recipes(spark, sf_dir)
-    selected = P.apply_filters(r, query={"cookTime__le": 60})
-    return selected, published_snapshot(spark, sf_dir, r), status_table(spark, sf_dir, r)
+    return r, published_snapshot(spark, sf_dir, r), status_table(spark, sf_dir, r)
 
 
 @query("publish_outcomes")
@@ -266,17 +269,44 @@ def q_publish_status(spark, sf_dir):
     return new_status
 
 
+@query("publish_job")
+def q_publish_job(spark, sf_dir):
+    """The whole job, written as new versions and read back: every published document with its status flag."""
+    paths = PB.write_publish(*_publish_inputs(spark, sf_dir), base=_scratch(spark, "publish"))
+    flags = spark.read.parquet(paths["status"]).select(F.col("recipe_id").alias("id"), "uploaded")
+    docs = spark.read.parquet(paths["snapshot"]).select("id", "title", "tags", "channel")
+    return _flat(docs.join(flags, "id", "left"), "tags")
+
+
+@query("type_check")
+def q_type_check(spark, sf_dir):
+    """Lax types over the recipe table with its numbers turned to text, wide integers and fractions."""
+    r = _recipes(spark, sf_dir)
+    cook, c = F.col("cookTime").cast("string"), F.col("cluster_id")
+    raw = r.select(
+        "recipe_id",
+        F.when(c % 4 == 0, F.concat(cook, F.lit(" min"))).when(c % 4 == 1, F.concat(cook, F.lit(".0")))
+        .when(c % 4 == 2, F.concat(F.lit(" "), cook, F.lit(" "))).otherwise(cook).alias("cookTime"),
+        (F.col("prepTime").cast("long") * F.when(c % 3 == 0, F.lit(1000000000)).otherwise(F.lit(1))).alias("prepTime"),
+        (F.col("totalTime") + F.when(c % 2 == 0, F.lit(0.5)).otherwise(F.lit(0.0))).alias("totalTime"),
+        F.when(F.col("healthGrade") == "F", F.lit("abc")).otherwise(F.col("healthScore").cast("string")).alias("healthScore"))
+    return M.map_recipes(raw).select(F.col("id").alias("recipe_id"), "cookTime", "prepTime", "totalTime", "healthScore", "type_error")
+
+
 # ---- tags, review exchange (T3, T5-T10, J6-J9, S6, S10, G19, G21, W1-W2) -------------------
 
 from larder.operators import tags as TG  # noqa: E402
 from larder.operators.ordering import fixed_size_groups  # noqa: E402
+from larder.plans import diet_job as DJ  # noqa: E402
 from larder.plans import review as RV  # noqa: E402
 
 
 def _classified_with_tags(spark, sf_dir, reuse: bool = False):
+    """(recipes, recipe_id/title/tags/new_tags); ``reuse`` stores that narrow table for several branches of a plan."""
     r = _recipes(spark, sf_dir)
-    c = C.with_classification(r.select("recipe_id", "title", "ingredients", "nutrients", "tags"))
-    return r, (materialize(c) if reuse else c)
+    c = C.with_classification(r.select("recipe_id", "title", "ingredients", "nutrients", "tags"), reasons=False)
+    c = c.select("recipe_id", "title", "tags", "new_tags")
+    return r, (TB.stored(c, "new-tags") if reuse else c)
 
 
 def tagged_dataset(classified_df):
@@ -354,36 +384,60 @@ def q_snapshot_to_classifier_rows(spark, sf_dir):
 
 
 def _review_inputs(spark, sf_dir):
-    r = _recipes(spark, sf_dir)
-    long = materialize(C.classify_rules(r))  # feeds the requests, the index and the merge
-    unc = materialize(RV.uncertain_by_recipe(long, r))
-    return long, unc
+    """(classified rows, the stored index of the uncertain ones)."""
+    r = _recipes(spark, sf_dir).select("recipe_id", "title", "ingredients", "nutrients")
+    return C.with_classification(r), RV.review_index(RV.uncertain_by_recipe(C.with_classification(r, reasons=False)))
+
+
+def _replies(index):
+    """Replies of every kind, made from the index: true, false and numeric answers, answers without confidence or reason, an
+    unknown recipe in every third batch, and no JSON in every seventh."""
+    n, size = F.col("idx"), F.length
+    answers = F.transform("diets", lambda d: F.concat(
+        F.lit('"'), d, F.lit('":{"applies":'),
+        F.when((n + size(d)) % 3 == 0, "true").when((n + size(d)) % 3 == 1, "false").otherwise("1"),
+        F.when((n + size(d)) % 4 == 0, "").otherwise(F.concat(F.lit(',"confidence":0.'), (6 + size(d) % 4).cast("string"))),
+        F.when(n % 5 == 0, "").otherwise(F.concat(F.lit(',"reason":"reviewed '), d, F.lit('"'))), F.lit("}")))
+    item = F.concat(F.lit('{"id":'), n.cast("string"), F.lit(',"classifications":{'), F.array_join(answers, ","), F.lit("}}"))
+    batches = index.select("batch", "idx", item.alias("item")).groupBy("batch").agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("idx", "item"))), lambda x: x["item"]), ",").alias("items"))
+    b = F.col("batch")
+    return batches.select("batch", F.concat(
+        F.when(b % 7 == 3, "no JSON: ").otherwise(""), F.lit('{"results":['), "items",
+        F.when(b % 3 == 0, ',{"id":1000,"classifications":{"vegan":{"applies":true}}}').otherwise(""), F.lit("]}")).alias("reply"))
 
 
 @query("review_batches")
 def q_review_batches(spark, sf_dir):
-    _, unc = _review_inputs(spark, sf_dir)
-    return RV.review_requests(unc).select("batch", "n_recipes", "diets", "payload")
+    _, index = _review_inputs(spark, sf_dir)
+    return RV.review_requests(index).select("batch", "n_recipes", "diets", "payload")
 
 
 @query("parse_review")
 def q_parse_review(spark, sf_dir):
-    _, unc = _review_inputs(spark, sf_dir)
-    index = RV.recipe_index(unc)
-    return RV.parse_replies(RV.offline_replies(index), index)
+    _, index = _review_inputs(spark, sf_dir)
+    return RV.parse_replies(_replies(index), index)
 
 
 @query("apply_review")
 def q_apply_review(spark, sf_dir):
-    long, unc = _review_inputs(spark, sf_dir)
-    index = RV.recipe_index(unc)
-    return RV.apply_review(long, RV.parse_replies(RV.offline_replies(index), index))
+    rows, index = _review_inputs(spark, sf_dir)
+    return RV.apply_review(rows, RV.parse_replies(_replies(index), index))
 
 
 @query("cost_ledger")
 def q_cost_ledger(spark, sf_dir):
-    _, unc = _review_inputs(spark, sf_dir)
-    return RV.cost_ledger(RV.review_requests(unc), RV.offline_replies(RV.recipe_index(unc)))
+    """The ledger over a usage table: one batch per user, tokens as the text that the user's events hold."""
+    usage = TB.read_table(spark, sf_dir, "events").groupBy(F.col("user_id").alias("batch")).agg(
+        F.sum(F.length("props")).alias("input_tokens"), F.sum(F.length("event_type")).alias("output_tokens"))
+    return RV.cost_ledger(usage)
+
+
+@query("diet_job")
+def q_diet_job(spark, sf_dir):
+    """The whole job over the whole table, written as a new version and read back."""
+    _, path = DJ.diet_job(_recipes(spark, sf_dir), _scratch(spark, "tagged"))
+    return _flat(spark.read.parquet(path).select("recipe_id", "tags"), "tags")
 
 
 @query("commit_chunks")
@@ -428,51 +482,76 @@ def q_pages_validation(spark, sf_dir):
 
 @query("restructure_wide")
 def q_restructure_wide(spark, sf_dir):
-    ev = TB.read_table(spark, sf_dir, "events").select("event_id", "props")
-    return ev.select("event_id", F.explode(F.from_json("props", "map<string,string>")).alias("key", "value"))
+    """A wide table, one struct column per order priority, turned to rows."""
+    orders = TB.read_table(spark, sf_dir, "orders")
+    wide = orders.agg(*(F.struct(F.count_if(F.col("o_orderpriority") == p).alias("n"),
+                                 F.max(F.when(F.col("o_orderpriority") == p, F.col("o_totalprice"))).alias("top")).alias(p)
+                        for p in PRIORITY_MEAL))
+    return TB.restructure_wide(wide)
+
+
+@query("restructure_json")
+def q_restructure_json(spark, sf_dir):
+    """A JSON object {id: {...}} per customer turned to one row per order."""
+    entry = F.struct(F.col("o_orderkey").cast("string").alias("key"),
+                     F.struct(F.col("o_totalprice").alias("total"), F.col("o_orderpriority").alias("priority")).alias("value"))
+    packed = TB.read_table(spark, sf_dir, "orders").groupBy("o_custkey").agg(
+        F.to_json(F.map_from_entries(F.collect_list(entry))).alias("payload"))
+    return TB.restructure_json_map(packed.select("payload"), "payload", "struct<total:double,priority:string>")
+
+
+@query("restructure_props")
+def q_restructure_props(spark, sf_dir):
+    return TB.json_map_rows(TB.read_table(spark, sf_dir, "events").select("event_id", "props"), "props")
 
 
 @query("describe_columns")
 def q_describe_columns(spark, sf_dir):
-    return TB.describe_columns(_recipes(spark, sf_dir))
+    return TB.describe_columns(_recipes(spark, sf_dir)).drop("dtype")
 
 
 @query("sample_n")
 def q_sample_n(spark, sf_dir):
-    # exactly n rows without replacement: order by a seeded random key, keep n (top-k heap per partition)
-    return _recipes(spark, sf_dir).select("recipe_id", "title").orderBy(F.rand(42)).limit(10)
+    """Size, distinct ids and members of a random sample, which is what a random result can be held against."""
+    r = _recipes(spark, sf_dir).select("recipe_id")
+    some = B.select_rows(r, 10).withColumn("picked", F.lit(1))
+    return some.join(r, "recipe_id", "left_semi").agg(
+        F.count(F.lit(1)).alias("members"), F.countDistinct("recipe_id").alias("distinct_ids"), F.sum("picked").alias("picked"))
 
 
 def _scratch(spark, name):
     from larder.session import checkpoint_dir
-    return f"{checkpoint_dir(spark).rstrip('/')}/{name}"
+    return f"{checkpoint_dir(spark)}/{name}"
 
 
 @query("convert_codec")
 def q_convert_codec(spark, sf_dir):
     dst = TB.new_version_path(_scratch(spark, "converted"))
-    return TB.convert_codec(spark, f"{sf_dir}/orders.parquet", dst, "zstd")
+    # the byte counts of the report vary with the writer
+    return TB.convert_codec(spark, TB.table_path(sf_dir, "orders"), dst, "zstd").select("rows", "columns", "codec")
 
 
 @query("replace_dataset")
 def q_replace_dataset(spark, sf_dir):
-    r, c = _classified_with_tags(spark, sf_dir)
-    path = TB.replace_dataset(tagged_dataset(c).drop("results", "new_tags"), _scratch(spark, "recipes"))
+    _, c = _classified_with_tags(spark, sf_dir)
+    path = TB.replace_dataset(tagged_dataset(c).drop("new_tags"), _scratch(spark, "recipes"))
     return spark.read.parquet(path).agg(F.count(F.lit(1)).alias("rows"),
                                         F.count_if(F.size("tags") > 0).alias("tagged_rows"))
 
 
 @query("stats_export")
 def q_stats_export(spark, sf_dir):
+    """The statistics of the published snapshot as JSON lines (section, name, count), written and read back."""
     out = TB.new_version_path(_scratch(spark, "stats"))
-    S.tag_counts(published_snapshot(spark, sf_dir), drop_empty=True).coalesce(1).write.json(out)
-    return spark.read.json(out)
+    S.statistics(published_snapshot(spark, sf_dir)).write.json(out)
+    return spark.read.schema("section string, name string, count long").json(out)
 
 
 @query("json_source")
 def q_json_source(spark, sf_dir):
+    """A JSON batch written from the published snapshot, then read back with the raw schema."""
     out = TB.new_version_path(_scratch(spark, "json_batch"))
-    # a JSON batch written from the published snapshot, then read back with the raw schema
     published_snapshot(spark, sf_dir).select("id", "title", "tags", "ingredientStrings").write.json(out)
-    return TB.read_json_batch(spark, out, "id string, title string, tags array<string>, ingredientStrings array<string>",
+    back = TB.read_json_batch(spark, out, "id string, title string, tags array<string>, ingredientStrings array<string>",
                               multi_line=False)
+    return _flat(back, "tags", "ingredientStrings")

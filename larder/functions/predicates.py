@@ -56,7 +56,6 @@ class RecipeColumn(StrEnum):
         return name in cls.values()
 
 
-OPERATORS = ("eq", "ne", "lt", "lte", "gt", "gte", "is_in", "contains", "list_any_contains")
 
 
 @dataclass(frozen=True)

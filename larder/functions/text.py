@@ -6,7 +6,6 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-
 def empty_array(element_type: str = "string") -> Column:
     return F.array().cast(f"array<{element_type}>")
 
@@ -24,8 +23,3 @@ def fmt_1dp(c: Column) -> Column:
 def first_number(c: Column, pattern: str = r"[\d.]+") -> Column:
     """First match of ``pattern`` parsed as double; no match or unparsable -> null."""
     return F.nullif(F.regexp_extract(c, pattern, 0), F.lit("")).try_cast("double")
-
-
-def is_blank(c: Column) -> Column:
-    """Null or empty string (not white space)."""
-    return c.isNull() | (c == F.lit(""))

@@ -25,6 +25,7 @@ PUBLISHED_COLUMNS = (
     "healthScore", "healthGrade", "numServings", "cookTime", "prepTime", "totalTime", "ratings",
     "ratingsCount", "embedding", "cluster_id", "channel")
 
+# The published error texts
 ERRORS = (
     ("id", "id is required"),
     ("uuid", "uuid is required"),
@@ -103,8 +104,9 @@ def ingredient_strings(df: DataFrame, structured: Column) -> Column:
     return F.when(F.size(chosen) > 0, chosen).otherwise(F.coalesce(from_struct, empty_array()))
 
 
-def map_recipes(df: DataFrame) -> DataFrame:
-    """Map raw/local rows to the published schema (defaults and coercions)."""
+def map_recipes(df: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Map raw/local rows to the published schema (defaults and coercions). ``keep`` names further columns to carry along;
+    ``type_error`` says which values no coercion accepts ('' when none)."""
     rid = _col_or_null(df, "recipe_id", "string")
     own_id = _col_or_null(df, "id", "string").cast("string")
     structured = structured_ingredients(df)
@@ -128,33 +130,44 @@ def map_recipes(df: DataFrame) -> DataFrame:
         lst("tags", "string").alias("tags"),
         s("cookingMethod").alias("cookingMethod"),
         normalize_nutrients(df).alias("nutrients"),
-        _col_or_null(df, "healthScore", "double").cast("double").alias("healthScore"),
+        lax_float(df, "healthScore").alias("healthScore"),
         s("healthGrade").alias("healthGrade"),
         normalize_servings(df).alias("numServings"),
         *[lax_int(df, n).alias(n) for n in ("cookTime", "prepTime", "totalTime")],
-        _col_or_null(df, "ratings", "double").cast("double").alias("ratings"),
+        lax_float(df, "ratings").alias("ratings"),
         lax_int(df, "ratingsCount").alias("ratingsCount"),
-        F.coalesce(_col_or_null(df, "embedding", "array<double>").cast("array<double>"),
+        F.coalesce(_col_or_null(df, "embedding", "array<double>").try_cast("array<double>"),
                    empty_array("double")).alias("embedding"),
         lax_int(df, "cluster_id").alias("cluster_id"),
         F.coalesce(F.nullif(s("channel"), F.lit("")), F.lit("discover")).alias("channel"),
+        type_errors(df).alias("type_error"),
+        *(F.col(k).alias(f"_keep_{k}") for k in keep),
     )
-    return staged.select(*PUBLISHED_COLUMNS)
+    return staged.select(*PUBLISHED_COLUMNS, "type_error", *(f"_keep_{k}" for k in keep)).withColumnsRenamed(
+        {f"_keep_{k}": k for k in keep})
+
+
+def lax_float(df: DataFrame, name: str) -> Column:
+    """Number with lax coercion: numeric types and numeric text; anything else becomes null (see ``type_errors``)."""
+    if name not in df.columns:
+        return F.lit(None).cast("double")
+    c = F.col(name)
+    return F.trim(c).try_cast("double") if isinstance(df.schema[name].dataType, T.StringType) else c.try_cast("double")
 
 
 def lax_int(df: DataFrame, name: str) -> Column:
     """Integer with lax coercion: 3.0, "30", " 30 ", true accepted; 3.5 and
-    "30 min" become null (and are reported by ``type_errors``)."""
+    "30 min" and numbers beyond 32 bits become null (and are reported by ``type_errors``)."""
     if name not in df.columns:
         return F.lit(None).cast("int")
     dt = df.schema[name].dataType
     c = F.col(name)
     if isinstance(dt, (T.IntegerType, T.LongType, T.ShortType, T.ByteType)):
-        return c.cast("int")
+        return c.try_cast("int")
     if isinstance(dt, T.BooleanType):
         return c.cast("int")
     v = F.trim(c.cast("string")).try_cast("double") if isinstance(dt, T.StringType) else c.cast("double")
-    return F.when(v == F.floor(v), v.cast("int"))
+    return F.when(v == F.floor(v), v.try_cast("int"))
 
 
 def type_errors(df: DataFrame, int_fields=("cookTime", "prepTime", "totalTime", "ratingsCount", "cluster_id"),
@@ -166,8 +179,8 @@ def type_errors(df: DataFrame, int_fields=("cookTime", "prepTime", "totalTime",
             msgs.append(F.when(F.col(n).isNotNull() & lax_int(df, n).isNull(),
                                F.lit(f"{n}: Input should be a valid integer")))
     for n in float_fields:
-        if n in df.columns and isinstance(df.schema[n].dataType, T.StringType):
-            msgs.append(F.when(F.col(n).isNotNull() & F.trim(F.col(n)).try_cast("double").isNull(),
+        if n in df.columns:
+            msgs.append(F.when(F.col(n).isNotNull() & lax_float(df, n).isNull(),
                                F.lit(f"{n}: Input should be a valid number")))
     if not msgs:
         return F.lit("")
@@ -186,5 +199,8 @@ def validation_error(published: DataFrame) -> Column:
 
 
 def validate(published: DataFrame) -> DataFrame:
-    """Adds ``error`` ('' = valid) and ``valid``."""
-    return published.withColumn("error", validation_error(published)).withColumn("valid", F.col("error") == "")
+    """Replaces ``type_error`` by ``error`` ('' = valid; type errors before missing fields) and adds ``valid``."""
+    error = validation_error(published)
+    if "type_error" in published.columns:
+        error = F.array_join(F.filter(F.array(F.col("type_error"), error), lambda e: e != ""), "; ")
+    return published.withColumn("error", error).drop("type_error").withColumn("valid", F.col("error") == "")

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from larder.functions.text import empty_array
 from larder.operators.mapping import map_recipes, validate
+from larder.sources.tables import replace_dataset, stored
 
 
 def exclude_ids(df: DataFrame, ids: DataFrame, key: str = "recipe_id", ids_key: str = "id") -> DataFrame:
@@ -50,12 +51,18 @@ def mark_flag(status: DataFrame, ids: DataFrame, flag: str) -> DataFrame:
                       else F.col(c) for c in status.columns])
 
 
+def last_by_id(updates: DataFrame, order_col: str | None = None) -> DataFrame:
+    """One row per ``id``: the last by ``order_col``. A table has no arrival order of its own, so without one the row with
+    the largest digest stands, the same in every run."""
+    order = F.desc(order_col) if order_col else F.desc(F.xxhash64(*updates.columns))
+    w = Window.partitionBy("id").orderBy(order)
+    out = updates.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").drop("_rn")
+    return out.drop(order_col) if order_col else out
+
+
 def upsert_by_id(target: DataFrame, updates: DataFrame, order_col: str | None = None) -> DataFrame:
-    """Full-row replace by ``id``: target rows without an update, plus updates
-    (the last row per id wins when ``order_col`` orders arrivals)."""
-    if order_col is not None:
-        w = Window.partitionBy("id").orderBy(F.desc(order_col))
-        updates = updates.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").drop("_rn", order_col)
+    """Full-row replace by ``id``: target rows without an update, plus one update per id (see ``last_by_id``)."""
+    updates = last_by_id(updates, order_col)
     kept = target.join(updates.select(F.col("id").alias("_k")), target.id == F.col("_k"), "left_anti")
     return kept.unionByName(updates.select(*target.columns))
 
@@ -79,25 +86,29 @@ def patch_skipped(target: DataFrame, new_tags: DataFrame) -> DataFrame:
     return new_tags.join(target.select(F.col("id").alias("recipe_id")), "recipe_id", "left_anti")
 
 
-def publish_outcomes(selected: DataFrame, published: DataFrame, status: DataFrame) -> DataFrame:
-    """Outcome per selected recipe: dropped_bad / skipped / failed / published.
+def publish_rows(selected: DataFrame, published: DataFrame, status: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Every selected recipe, mapped, with ``outcome`` (dropped_bad / skipped / failed / published) and ``error``.
 
-    select -> drop bad -> exclude already published -> map -> validate. One
-    outcome table; valid rows go on to the upsert, failures keep their error.
+    One pass: two narrow id tables are left-joined and one ``when`` chain decides: drop bad -> skip already published ->
+    map and validate. A row that fails, in whatever way, carries its error and never stops the job.
     """
-    bad = flagged_ids(status, "bad")
-    sel = selected.withColumn("_bad", F.lit(False))
-    not_bad = exclude_ids(sel, bad, "recipe_id", "recipe_id")
-    dropped = sel.join(bad.select(F.col("recipe_id").alias("_k")), F.col("recipe_id") == F.col("_k"), "left_semi")
-    fresh = exclude_ids(not_bad, published, "recipe_id", "id")
-    skipped = not_bad.join(published.select(F.col("id").alias("_k")).distinct(),
-                           F.col("recipe_id") == F.col("_k"), "left_semi")
-    checked = validate(map_recipes(fresh.drop("_bad")))
-    return (checked.select(F.col("id").alias("recipe_id"),
-                           F.when(F.col("valid"), "published").otherwise("failed").alias("outcome"),
-                           F.col("error"))
-            .unionByName(skipped.select("recipe_id", F.lit("skipped").alias("outcome"), F.lit("").alias("error")))
-            .unionByName(dropped.select("recipe_id", F.lit("dropped_bad").alias("outcome"), F.lit("").alias("error"))))
+    bad = flagged_ids(status, "bad").select(F.col("recipe_id").alias("_b")).distinct().withColumn("_bad", F.lit(True))
+    known = published.select(F.col("id").alias("_p")).distinct().withColumn("_known", F.lit(True))
+    rows = (selected.join(bad, F.col("recipe_id") == F.col("_b"), "left")
+            .join(known, F.col("recipe_id") == F.col("_p"), "left"))
+    checked = validate(map_recipes(rows, keep=("recipe_id", "_bad", "_known", *keep)))
+    outcome = (F.when(F.col("_bad"), "dropped_bad").when(F.col("_known"), "skipped")
+               .when(F.col("valid"), "published").otherwise("failed"))
+    return (checked.withColumn("outcome", outcome)
+            .withColumn("error", F.when(F.col("outcome") == "failed", F.col("error")).otherwise(""))
+            .withColumn("recipe_id", F.when(F.col("outcome").isin("published", "failed"), F.col("id"))
+                        .otherwise(F.col("recipe_id")))
+            .drop("_bad", "_known", "valid"))
+
+
+def publish_outcomes(selected: DataFrame, published: DataFrame, status: DataFrame) -> DataFrame:
+    """(recipe_id, outcome, error) per selected recipe."""
+    return publish_rows(selected, published, status).select("recipe_id", "outcome", "error")
 
 
 def publish_summary(outcomes: DataFrame) -> DataFrame:
@@ -114,38 +125,30 @@ def publish_summary(outcomes: DataFrame) -> DataFrame:
     )
 
 
-def publish_job(selected: DataFrame, published: DataFrame, status: DataFrame, dry_run: bool = True):
-    """Returns (outcomes, new_snapshot, new_status); the caller writes the two
-    tables as new versions. ``dry_run`` stops before the upsert and flags."""
-    outcomes = publish_outcomes(selected, published, status)
+def publish_job(selected: DataFrame, published: DataFrame, status: DataFrame, dry_run: bool = True,
+                order_col: str | None = None):
+    """Returns (outcomes, new_snapshot, new_status). ``dry_run`` stops before the upsert and flags. The mapped rows are
+    stored once; of several rows with one id the last by ``order_col`` is published."""
+    selected = selected.withColumn("_order", F.col(order_col) if order_col else F.lit(0))
+    rows = publish_rows(selected, published, status, keep=("_order",))
+    outcomes = rows.select("recipe_id", "outcome", "error")
     if dry_run:
         return outcomes, published, status
-    ok_ids = outcomes.filter(F.col("outcome") == "published").select("recipe_id")
-    rows = map_recipes(selected.join(ok_ids, "recipe_id", "left_semi"))
-    snapshot = upsert_by_id(published, rows)
-    new_status = mark_flag(status, ok_ids, "uploaded")
-    return outcomes, snapshot, new_status
-
-
-def numbered_chunks(df: DataFrame, key: str, size: int, buckets: int | None = None) -> DataFrame:
-    """Deterministic chunks of at most ``size`` rows: (chunk, idx) per row.
-
-    Rows are hash-bucketed on ``key`` (bucket count = shuffle partitions, so
-    parallelism follows the cluster's setting), numbered by ``key`` inside the
-    bucket, and cut every ``size`` rows: chunk = bucket * 2^32 + n, idx from 0.
-    """
-    b = buckets or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    w = Window.partitionBy("_bucket").orderBy(key)
-    return (df.withColumn("_bucket", F.pmod(F.xxhash64(key), F.lit(b)))
-            .withColumn("_rn", F.row_number().over(w) - 1)
-            .withColumn("chunk", F.col("_bucket") * F.lit(1 << 32) + F.floor(F.col("_rn") / size))
-            .withColumn("idx", (F.col("_rn") % size).cast("int"))
-            .drop("_rn", "_bucket"))
-
-
-def commit_chunks(df: DataFrame, key: str, size: int) -> DataFrame:
-    """Chunk id per row for sinks that commit in fixed-size groups (50 / 400)."""
-    return numbered_chunks(df, key, size).drop("idx")
+    rows = stored(rows, "publish-rows")
+    good = rows.filter(F.col("outcome") == "published")
+    snapshot = upsert_by_id(published, good.select(*published.columns, *(["_order"] if order_col else [])),
+                            "_order" if order_col else None)
+    new_status = mark_flag(status, good.select("recipe_id"), "uploaded")
+    return rows.select("recipe_id", "outcome", "error"), snapshot, new_status
+
+
+def write_publish(selected: DataFrame, published: DataFrame, status: DataFrame, base: str,
+                  order_col: str | None = None) -> dict[str, str]:
+    """The whole job: writes outcomes, snapshot and status as new versions below ``base`` and returns their paths. Readers
+    switch to the returned paths; the tables that were read stay as they are."""
+    names = ("outcomes", "snapshot", "status")
+    frames = publish_job(selected, published, status, dry_run=False, order_col=order_col)
+    return {name: replace_dataset(frame, f"{base}/{name}") for name, frame in zip(names, frames)}
 
 
 def dedupe_last(df: DataFrame, key: str, order: Column) -> DataFrame:

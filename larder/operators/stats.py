@@ -172,6 +172,16 @@ def top_by(df: DataFrame, score: str, k: int = 10, tie: str = "recipe_id") -> Da
     return df.orderBy(F.desc_nulls_last(score), tie).limit(k)
 
 
+def statistics(df: DataFrame) -> DataFrame:
+    """(section, name, count): tag counts, nutrient field counts and missing fields of a dataset in one long table."""
+    def section(label: str, part: DataFrame, name: str, count: str) -> DataFrame:
+        return part.select(F.lit(label).alias("section"), F.col(name).cast("string").alias("name"),
+                           F.col(count).cast("long").alias("count"))
+    return (section("tags", tag_counts(df, drop_empty=True), "tag", "count")
+            .unionByName(section("missing", missing_fields(df), "field", "missing"))
+            .unionByName(section("grades", grade_distribution(df), "grade", "count")))
+
+
 def top_k_per_group(df: DataFrame, group: str, order: list[Column], k: int) -> DataFrame:
     """First ``k`` rows per group by ``order``.
 

@@ -8,13 +8,8 @@ Per (recipe, diet) the first matching rule wins:
 2. no hit -> applies (0.85), unless a nutrient rule finds a value (0.90).
 3. no blocklist: nutrient value decides, else uncertain (0.40).
 
-Plan shape: the rule set is compiled on the driver into literal expressions
-(229 distinct terms, 58 safe compounds) and evaluated row by row inside
-whole-stage codegen. Each term is a cheap ``instr`` pre-check guarding a
-literal (so compiled-once) ``\\b...\\b`` regex; the per-diet first hit is a
-``filter`` over a literal term array against the recipe's hit set. The whole
-classification is a map-only stage: no shuffle, no join, no skew exposure,
-and the result rides along the input rows so tag merging needs no join back.
+The whole classification is a map-only stage: no shuffle, no join, no skew exposure, and the result rides along the
+input rows, so tag merging needs no join back (see ``with_classification``).
 """
 
 from __future__ import annotations
@@ -31,16 +26,12 @@ from larder.plans.diet_rules import (
     DIETS,
     UNCERTAINTY_THRESHOLD,
     Diet,
-    all_safe_compounds,
     all_terms,
     safe_for_term,
     threshold_text,
 )
 
-RULES_TYPE = ("array<struct<diet:string,block:array<string>,safe:array<string>,nfield:string,"
-              "nop:string,nval:double,ntext:string,nidx:int>>")
-RESULT_TYPE = "struct<diet:string,applies:boolean,confidence:double,method:string,reason:string>"
-
+# The reasons of the results
 REASON_SAFE = "' found but may be a safe compound — needs LLM review"
 REASON_NO_HIT = "No disqualifying ingredients found"
 REASON_NO_NUTRIENT = "Nutrient data unavailable for threshold check"
@@ -57,19 +48,6 @@ def word_pattern(term: str) -> str:
     return r"(?U)\b\Q" + term + r"\E\b"
 
 
-def term_hits(text: Column, terms: list[str]) -> Column:
-    """Array of the terms that occur as whole words in ``text`` (order = ``terms``)."""
-    return F.array_compact(F.array(*[
-        F.when((F.instr(text, term) > 0) & text.rlike(word_pattern(term)), F.lit(term))
-        for term in terms
-    ]))
-
-
-def substrings_present(text: Column, phrases: list[str]) -> Column:
-    """Array of the phrases that occur as substrings in ``text``."""
-    return F.array_compact(F.array(*[F.when(F.instr(text, p) > 0, F.lit(p)) for p in phrases]))
-
-
 def nutrient_value(nutrients: Column, field: str) -> Column:
     """Number in the quantity of the first nutrient whose name contains ``field``.
 
@@ -78,152 +56,37 @@ def nutrient_value(nutrients: Column, field: str) -> Column:
     """
     first = F.get(F.filter(F.coalesce(nutrients, F.array().cast("array<struct<name:string,quantity:string>>")),
                            lambda n: F.coalesce(F.instr(F.lower(n["name"]), field.lower()) > 0, F.lit(False))), 0)
-    return _parse_first_number(first["quantity"])
-
-
-def _parse_first_number(q: Column) -> Column:
-    return first_number(q)
+    return first_number(first["quantity"])
 
 
-def _result(diet: str, applies, confidence: float, method: str, reason: Column | str) -> Column:
-    return F.struct(
+def _result(diet: str, applies, confidence: float, method: str, reason: Column | str, reasons: bool) -> Column:
+    fields = [
         F.lit(diet).alias("diet"),
         (applies if isinstance(applies, Column) else F.lit(applies).cast("boolean")).alias("applies"),
         F.lit(confidence).cast("double").alias("confidence"),
-        F.lit(method).alias("method"),
-        (reason if isinstance(reason, Column) else F.lit(reason)).alias("reason"),
-    )
-
-
-def let(value: Column, body) -> Column:
-    """Bind ``value`` once and evaluate ``body(bound)`` (a one-element transform).
-
-    Keeps an expression that is used several times from being copied when the
-    optimizer inlines projections (e.g. a filter on a derived column).
-    """
-    return F.get(F.transform(F.array(value), body), 0)
-
-
-def rules_literal(diets=DIETS) -> Column:
-    """The rule set as one constant array of structs (folded to a literal)."""
-    rows = [{
-        "diet": d.name,
-        "block": list(d.blocklist),
-        "safe": [s.lower() for s in d.safe_compounds],
-        "nfield": d.nutrient_rule.field if d.nutrient_rule else None,
-        "nop": d.nutrient_rule.op if d.nutrient_rule else None,
-        "nval": d.nutrient_rule.value if d.nutrient_rule else None,
-        "ntext": threshold_text(d.nutrient_rule.value) if d.nutrient_rule else None,
-        "nidx": _fields(diets).index(d.nutrient_rule.field) if d.nutrient_rule else -1,
-    } for d in diets]
-    return F.from_json(F.lit(json.dumps(rows)), RULES_TYPE)
+    ]
+    if reasons:
+        fields += [F.lit(method).alias("method"), (reason if isinstance(reason, Column) else F.lit(reason)).alias("reason")]
+    return F.struct(*fields)
 
 
 def string_array_literal(values: list[str]) -> Column:
     return F.from_json(F.lit(json.dumps(values)), "array<string>")
 
 
-def _rule_result(x: Column | None, safe_present: Column, lazy_safe: bool = False,
-                 r: Column | None = None, fh: Column | None = None, nv: Column | None = None) -> Column:
-    """Result struct for one (recipe, diet) from the rule, its first hit and nutrient value
-    (given directly, or packed in x = (r, fh, nv))."""
-    if x is not None:
-        r, fh, nv = x["r"], x["fh"], x["nv"]
-    passes = F.when(r["nop"] == "lt", nv < r["nval"]).otherwise(nv > r["nval"])
-    if lazy_safe:  # safe_present is the ingredient text itself
-        safe = F.exists(r["safe"], lambda s: (F.instr(s, F.lower(fh)) > 0) & (F.instr(safe_present, s) > 0))
-    else:
-        safe = F.exists(r["safe"], lambda s: (F.instr(s, F.lower(fh)) > 0) & F.array_contains(safe_present, s))
-    nutrient_reason = F.concat(
-        r["nfield"], F.lit(" = "), fmt_1dp(nv), F.lit("g ("),
-        F.when(passes, F.lit("✓")).otherwise(F.lit("✗")),
-        F.when(r["nop"] == "lt", F.lit(" below ")).otherwise(F.lit(" above ")),
-        r["ntext"], F.lit("g threshold)"))
-    return (
-        F.when(fh.isNotNull() & safe,
-               _result(r["diet"], None, 0.45, "uncertain", F.concat(F.lit("'"), fh, F.lit(REASON_SAFE))))
-        .when(fh.isNotNull(), _result(r["diet"], False, 0.92, "rules", F.concat(F.lit("Contains '"), fh, F.lit("'"))))
-        .when(nv.isNotNull(), _result(r["diet"], passes, 0.90, "nutrients", nutrient_reason))
-        .when(F.size(r["block"]) > 0, _result(r["diet"], True, 0.85, "rules", REASON_NO_HIT))
-        .when(r["nfield"].isNotNull(), _result(r["diet"], None, 0.40, "uncertain", REASON_NO_NUTRIENT))
-        .otherwise(_result(r["diet"], None, 0.40, "uncertain", REASON_NO_RULES)))
-
-
-def classification_results(ingredients: Column, nutrients: Column, diets=DIETS) -> Column:
-    """Array of rule results, one struct per diet, as a single expression.
-
-    Self-contained form (per-row values bound once with ``let``) for use in
-    ad-hoc selects; ``with_classification`` is the staged, faster plan.
-    """
-    terms = string_array_literal(all_terms(diets))
-    safes = string_array_literal(all_safe_compounds(diets))
-    rules = rules_literal(diets)
-    fields = _fields(diets)
-
-    def per_text(txt: Column) -> Column:
-        ctx = F.struct(
-            F.filter(terms, lambda t: (F.instr(txt, t) > 0)
-                     & F.rlike(txt, F.concat(F.lit(r"(?U)\b\Q"), t, F.lit(r"\E\b")))).alias("hits"),
-            F.filter(safes, lambda s: F.instr(txt, s) > 0).alias("safe"),
-            *[nutrient_value(nutrients, f).alias(f"nv_{f}") for f in fields],
-        )
-        return let(ctx, lambda c: _rules_over(rules, c["hits"], c["safe"], {f: c[f"nv_{f}"] for f in fields}))
-
-    return let(ingredient_text(ingredients), per_text)
-
-
 def _fields(diets) -> list[str]:
     return list(dict.fromkeys(d.nutrient_rule.field for d in diets if d.nutrient_rule))
 
 
-def _rules_over(rules: Column, hits: Column | None, safe_present: Column, values: dict[str, Column],
-                lazy_safe: bool = False, first_pos: Column | None = None,
-                nv_array: Column | None = None) -> Column:
-    """transform(rules, r -> result) given the row's hits (or the per-diet
-    first-hit positions), safe set and nutrient values."""
-    if values:
-        value_map = F.create_map(*[x for f, v in values.items() for x in (F.lit(f), v)])
-
-    def fh(r: Column, i: Column) -> Column:
-        if first_pos is not None:
-            p = F.get(first_pos, i)
-            return F.when(p < F.lit(NO_HIT), F.element_at(r["block"], p))
-        return F.when(F.size(hits) > 0, F.get(F.array_intersect(r["block"], hits), 0))
-
-    if first_pos is not None and nv_array is not None:
-        # direct form: no per-rule struct or map building
-        return F.transform(rules, lambda r, i: _rule_result(
-            None, safe_present, lazy_safe, r=r, fh=fh(r, i),
-            nv=F.when(r["nidx"] >= 0, F.get(nv_array, r["nidx"]))))
-
-    return F.transform(rules, lambda r, i: let(F.struct(
-        r.alias("r"),
-        fh(r, i).alias("fh"),
-        (F.element_at(value_map, r["nfield"]) if values else F.lit(None).cast("double")).alias("nv"),
-    ), lambda x: _rule_result(x, safe_present, lazy_safe)))
-
-
-def nutrient_value_dyn(nutrients: Column, field: Column) -> Column:
-    first = F.get(F.filter(nutrients, lambda n: F.coalesce(F.instr(F.lower(n["name"]), field) > 0, F.lit(False))), 0)
-    return first_number(first["quantity"])
-
-
 NO_HIT = 1 << 20
 
 
-def first_word_index(terms: list[str], diets=DIETS) -> dict[str, list[dict]]:
-    """Terms keyed by their first word (a whole-word match of a term needs its
-    first word as a token of the text), each with its 1-based position in
-    every diet's blocklist (0 = not listed)."""
-    index: dict[str, list[dict]] = {}
-    for t in terms:
-        m = re.match(r"\w+", t)
-        pos = [d.blocklist.index(t) + 1 if t in d.blocklist else 0 for d in diets]
-        index.setdefault(m.group(0) if m else t, []).append({"term": t, "pos": pos})
-    return index
+def positions(term: str, diets=DIETS) -> list[int]:
+    """1-based position of a term in every diet's blocklist (0 = not listed)."""
+    return [d.blocklist.index(term) + 1 if term in d.blocklist else 0 for d in diets]
 
 
-def _diet_expr(d: Diet, i: int, first: Column, nv_array: Column, txt: Column, fields: list[str]) -> Column:
+def _diet_expr(d: Diet, i: int, first: Column, nv_array: Column, txt: Column, fields: list[str], reasons: bool) -> Column:
     """Codegen-friendly result struct of diet ``d`` (rule order ``i``) from the
     fenced per-row columns: first-hit positions, nutrient values and text.
     Static rule properties are resolved here, so each diet is a short
@@ -245,9 +108,9 @@ def _diet_expr(d: Diet, i: int, first: Column, nv_array: Column, txt: Column, fi
             lookup = F.from_json(F.lit(json.dumps(table)), "map<string,array<string>>")
             safe = F.coalesce(F.exists(F.element_at(lookup, fh), lambda sc: F.instr(txt, sc) > 0), F.lit(False))
             add(fh.isNotNull() & safe,
-                _result(d.name, None, 0.45, "uncertain", F.concat(F.lit("'"), fh, F.lit(REASON_SAFE))))
-        add(fh.isNotNull(), _result(d.name, False, 0.92, "rules", F.concat(F.lit("Contains '"), fh, F.lit("'"))))
-        default = _result(d.name, True, 0.85, "rules", REASON_NO_HIT)
+                _result(d.name, None, 0.45, "uncertain", F.concat(F.lit("'"), fh, F.lit(REASON_SAFE)), reasons))
+        add(fh.isNotNull(), _result(d.name, False, 0.92, "rules", F.concat(F.lit("Contains '"), fh, F.lit("'")), reasons))
+        default = _result(d.name, True, 0.85, "rules", REASON_NO_HIT, reasons)
     rule = d.nutrient_rule
     if rule is not None:
         v = F.get(nv_array, F.lit(fields.index(rule.field)))
@@ -256,34 +119,34 @@ def _diet_expr(d: Diet, i: int, first: Column, nv_array: Column, txt: Column, fi
         reason = F.concat(F.lit(f"{rule.field} = "), fmt_1dp(v), F.lit("g ("),
                           F.when(passes, F.lit("✓")).otherwise(F.lit("✗")),
                           F.lit(f" {direction} {threshold_text(rule.value)}g threshold)"))
-        add(v.isNotNull(), _result(d.name, passes, 0.90, "nutrients", reason))
+        add(v.isNotNull(), _result(d.name, passes, 0.90, "nutrients", reason, reasons))
         if default is None:
-            default = _result(d.name, None, 0.40, "uncertain", REASON_NO_NUTRIENT)
+            default = _result(d.name, None, 0.40, "uncertain", REASON_NO_NUTRIENT, reasons)
     if default is None:
-        default = _result(d.name, None, 0.40, "uncertain", REASON_NO_RULES)
+        default = _result(d.name, None, 0.40, "uncertain", REASON_NO_RULES, reasons)
     return default if chain is None else chain.otherwise(default)
 
 
 def with_classification(df: DataFrame, diets=DIETS, ingredients: str = "ingredients",
-                        nutrients: str = "nutrients") -> DataFrame:
-    """Adds ``results`` (array of per-diet structs) and ``new_tags``.
+                        nutrients: str = "nutrients", reasons: bool = True) -> DataFrame:
+    """Adds ``results`` (array of per-diet structs) and ``new_tags``. Without ``reasons`` a result is only (diet, applies,
+    confidence), which is all that summaries and tag writing need.
 
     Plan, per row and without shuffle:
-    1. ingredient text, split once into word tokens (``(?U)\\W+``, the same
-       word definition as the ``(?U)\\b`` boundaries);
-    2. candidate terms = terms whose first word is a token (native
-       ``array_intersect`` with the constant first-word list, then a constant
-       word -> terms map); only candidates run the whole-word regex;
-    3. a one-row ``inline`` generate fences these columns, so a later filter
-       on ``results``/``new_tags`` is not pushed down into the per-row work;
-    4. each diet is a short generated ``when`` chain over the fenced columns
-       (codegen'd): its first hit is ``block[_first[i]]``, safe compounds are
-       substring-tested only when the diet has a hit.
+    1. ingredient text, split once into word tokens (``(?U)\\W+``, the word definition of the ``(?U)\\b`` boundaries);
+    2. a term of one word occurs as a whole word exactly when it is a token: one native ``array_intersect`` with the constant
+       list of those terms. Each other term is a substring pre-check before a constant pattern, compiled once per task;
+    3. the hits' constant blocklist positions give each diet's first hit (``NO_HIT`` when none);
+    4. a one-row ``inline`` generate fences these columns, so a later filter on ``results``/``new_tags`` is not pushed down
+       into the per-row work;
+    5. each diet is a short generated ``when`` chain over the fenced columns: its first hit is ``block[_first[i]]``, and safe
+       compounds are substring-tested only when the diet has a hit.
     """
     terms = all_terms(diets)
-    index = first_word_index(terms)
-    words = string_array_literal(list(index))
-    word_terms = F.from_json(F.lit(json.dumps(index)), "map<string,array<struct<term:string,pos:array<int>>>>")
+    single = [t for t in terms if re.fullmatch(r"\w+", t)]
+    longer = [t for t in terms if t not in set(single)]
+    where = F.from_json(F.lit(json.dumps([positions(t, diets) for t in single])), "array<array<int>>")
+    words = string_array_literal(single)
     fields = _fields(diets)
     base = df.columns
     staged = df.withColumn("_txt", ingredient_text(F.col(ingredients)))
@@ -291,18 +154,18 @@ def with_classification(df: DataFrame, diets=DIETS, ingredients: str = "ingredie
         "_tok": F.split(F.col("_txt"), r"(?U)\W+"),
         **{f"_nv_{f}": nutrient_value(F.col(nutrients), f) for f in fields},
     })
-    staged = staged.withColumn("_cand", F.flatten(F.transform(
-        F.array_intersect(words, F.col("_tok")), lambda w: F.element_at(word_terms, w))))
-    staged = staged.withColumn("_hits", F.filter(
-        "_cand", lambda c: F.rlike(F.col("_txt"), F.concat(F.lit(r"(?U)\b\Q"), c["term"], F.lit(r"\E\b")))))
-    # per diet, the smallest blocklist position among the row's hits (NO_HIT when none)
+    found = F.transform(F.array_intersect(words, F.col("_tok")), lambda w: F.element_at(where, F.array_position(words, w).cast("int")))
+    phrases = F.array_compact(F.array(*(
+        F.when((F.instr(F.col("_txt"), t) > 0) & F.col("_txt").rlike(word_pattern(t)),
+               F.array(*(F.lit(p) for p in positions(t, diets)))) for t in longer)))
+    staged = staged.withColumn("_hits", F.concat(found, phrases.cast("array<array<int>>")))
     staged = staged.withColumn("_first", F.aggregate(
         "_hits", F.array_repeat(F.lit(NO_HIT), len(diets)),
-        lambda acc, c: F.zip_with(acc, c["pos"], lambda a, b: F.when((b > 0) & (b < a), b).otherwise(a))))
+        lambda acc, c: F.zip_with(acc, c, lambda a, b: F.when((b > 0) & (b < a), b).otherwise(a))))
     staged = staged.withColumn("_nv", F.array(*[F.col(f"_nv_{f}") for f in fields]).cast("array<double>"))
     keep = [*base, "_txt", "_first", "_nv"]
     fenced = staged.select(F.inline(F.array(F.struct(*[F.col(c) for c in keep]))))
-    results = F.array(*[_diet_expr(d, i, F.col("_first"), F.col("_nv"), F.col("_txt"), fields)
+    results = F.array(*[_diet_expr(d, i, F.col("_first"), F.col("_nv"), F.col("_txt"), fields, reasons)
                         for i, d in enumerate(diets)])
     out = fenced.withColumn("results", results).drop(*keep[len(base):])
     return out.withColumn("new_tags", new_tags(F.col("results")))

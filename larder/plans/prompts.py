@@ -145,6 +145,15 @@ def prompt_columns(df: DataFrame) -> DataFrame:
     ).withColumn("full_prompt", F.concat(F.col("prompt"), F.lit(" Avoid: "), F.col("negative_prompt"), F.lit(".")))
 
 
+def image_requests(prompts: DataFrame, num_images: int = 1) -> DataFrame:
+    """Prompts with the number of images to ask for (1 to 4); blank prompts carry an error and must not be sent."""
+    if not 1 <= num_images <= 4:
+        raise ValueError("num_images must be between 1 and 4")
+    blank = F.coalesce(py_strip(F.col("full_prompt")) == "", F.lit(True))
+    return prompts.withColumn("num_images", F.lit(num_images)).withColumn(
+        "error", F.when(blank, F.lit("prompt is empty")).otherwise(F.lit("")))
+
+
 def image_manifest(df: DataFrame, prefix: str = IMAGE_PREFIX) -> DataFrame:
     """Storage object path and content type per image (by file suffix; default jpeg)."""
     suffix = F.lower(F.regexp_extract(F.col("image"), r"(\.[A-Za-z0-9]+)$", 1))

@@ -14,41 +14,42 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from larder.operators.ordering import fixed_size_groups
-from larder.plans.diet_rules import DIETS, REVIEW_BATCH_SIZE
+from larder.plans.diet_rules import DIETS, REVIEW_BATCH_SIZE, UNCERTAINTY_THRESHOLD
 
-# Token prices used for the ledger (USD per 1M tokens) and the image price (USD per image).
+# Token prices of the ledger (USD per 1M tokens)
 PRICE_IN_PER_M = 0.10
 PRICE_OUT_PER_M = 0.40
-PRICE_PER_IMAGE = 0.04
 
 REPLY_SCHEMA = ("struct<results:array<struct<id:bigint,"
                 "classifications:map<string,struct<applies:string,confidence:double,reason:string>>>>>")
+#: texts of ``applies`` that are read as false; any other value is true, as a number or text other than these
+FALSE_TEXTS = ("false", "0", "0.0", "")
 
 
-def uncertain_by_recipe(classified_long: DataFrame, recipes: DataFrame) -> DataFrame:
-    """(recipe_id, title, ingredients, diets) for recipes with undecided results < 0.90."""
-    order = {d.name: i for i, d in enumerate(DIETS)}
-    diet_ord = F.element_at(F.create_map(*[x for k, v in order.items() for x in (F.lit(k), F.lit(v))]), F.col("diet"))
-    pairs = (classified_long.filter(F.col("applies").isNull() & (F.col("confidence") < 0.90))
-             .groupBy("recipe_id")
-             .agg(F.transform(F.array_sort(F.collect_list(F.struct(diet_ord.alias("o"), F.col("diet").alias("d")))),
-                              lambda x: x["d"]).alias("diets")))
-    return pairs.join(recipes.select("recipe_id", "title", "ingredients"), "recipe_id")
+def uncertain_by_recipe(classified: DataFrame) -> DataFrame:
+    """(recipe_id, title, ingredients, diets) for recipes with undecided results below the threshold, diets in rule order.
 
+    The results already lie in the recipe's row (see ``with_classification``): a filter on that array, no shuffle.
+    """
+    undecided = F.filter("results", lambda r: r["applies"].isNull() & (r["confidence"] < UNCERTAINTY_THRESHOLD))
+    return classified.select("recipe_id", "title", "ingredients", F.transform(undecided, lambda r: r["diet"]).alias("diets")).filter(
+        F.size("diets") > 0)
 
-def review_requests(uncertain: DataFrame, batch_size: int = REVIEW_BATCH_SIZE) -> DataFrame:
-    """One row per batch: batch, n_recipes, diets (rule order), payload JSON, prompt text.
 
-    Batches are consecutive runs of ``batch_size`` recipes in recipe_id order
-    (global numbering without a single-task sort); each batch is a group of at
-    most ``batch_size`` rows, so ``collect_list`` per batch is bounded.
-    """
-    g = fixed_size_groups(uncertain, "recipe_id", batch_size)
+def review_index(uncertain: DataFrame, batch_size: int = REVIEW_BATCH_SIZE) -> DataFrame:
+    """(batch, idx, recipe_id, title, ingredients, diets): batches are consecutive runs of ``batch_size`` recipes in recipe_id
+    order. Requests and replies must use one such table; it is stored when it is numbered."""
+    return fixed_size_groups(uncertain, "recipe_id", batch_size).withColumnRenamed("group", "batch")
+
+
+def review_requests(index: DataFrame) -> DataFrame:
+    """One row per batch of the index: batch, n_recipes, diets (rule order), payload JSON, prompt text. A batch has a fixed
+    number of rows, so ``collect_list`` per batch is bounded."""
     order = {d.name: i for i, d in enumerate(DIETS)}
     desc = {d.name: d.description for d in DIETS}
     item = F.struct(F.col("idx").cast("long").alias("id"), F.coalesce("title", F.lit("")).alias("title"),
                     F.coalesce("ingredients", F.array().cast("array<string>")).alias("ingredients"))
-    batches = g.groupBy(F.col("group").alias("batch")).agg(
+    batches = index.groupBy("batch").agg(
         F.count(F.lit(1)).alias("n_recipes"),
         F.array_sort(F.collect_list(item)).alias("_items"),
         F.array_distinct(F.flatten(F.collect_list("diets"))).alias("_diets"),
@@ -69,71 +70,41 @@ def review_requests(uncertain: DataFrame, batch_size: int = REVIEW_BATCH_SIZE) -
                           payload.alias("payload"), prompt.alias("prompt"))
 
 
-def recipe_index(uncertain: DataFrame, batch_size: int = REVIEW_BATCH_SIZE) -> DataFrame:
-    """(batch, idx, recipe_id, diets): how reply indices map back to recipes."""
-    g = fixed_size_groups(uncertain, "recipe_id", batch_size)
-    return g.select(F.col("group").alias("batch"), "idx", "recipe_id", "diets")
-
-
-def offline_replies(index: DataFrame) -> DataFrame:
-    """A reply table for runs without a reviewer: every requested diet is
-    answered "does not apply" (confidence 0.8). Same (batch, reply) shape as
-    real replies, so the parsing and merge jobs run unchanged."""
-    cls = F.map_from_arrays("diets", F.transform("diets", lambda d: F.struct(
-        F.lit("false").alias("applies"), F.lit(0.8).alias("confidence"), F.lit("offline review").alias("reason"))))
-    per_batch = index.groupBy("batch").agg(F.array_sort(
-        F.collect_list(F.struct(F.col("idx").cast("long").alias("id"), cls.alias("classifications"))),
-        lambda a, b: F.when(a["id"] < b["id"], -1).when(a["id"] > b["id"], 1).otherwise(0)).alias("results"))
-    return per_batch.select("batch", F.to_json(F.struct("results")).alias("reply"))
-
-
 def parse_replies(replies: DataFrame, index: DataFrame) -> DataFrame:
     """(recipe_id, diet, applies, confidence, method, reason) from reply JSON.
 
-    Malformed replies parse to null and contribute nothing (the whole batch
-    is skipped); unknown indices find no recipe and are dropped; confidence
-    defaults to 0.7 and reason to "LLM classification". ``applies`` is read
-    as a boolean (the text "false" is false).
+    Malformed replies parse to null and contribute nothing (the whole batch is skipped); unknown indices find no recipe and
+    are dropped; confidence defaults to 0.7 and reason to "LLM classification". ``applies`` is read by truth value, but
+    for the text "false". Where a reply answers a recipe's diet twice, the later answer holds.
     """
     parsed = replies.select("batch", F.from_json("reply", REPLY_SCHEMA).alias("r"))
-    items = parsed.select("batch", F.explode("r.results").alias("it")).select(
-        "batch", F.col("it.id").alias("idx"), F.explode("it.classifications").alias("diet", "c"))
+    items = parsed.select("batch", F.posexplode("r.results").alias("pos", "it")).select(
+        "batch", "pos", F.col("it.id").alias("idx"), F.explode("it.classifications").alias("diet", "c"))
     known = items.join(index.select("batch", F.col("idx").cast("long").alias("idx"), "recipe_id"), ["batch", "idx"])
-    return known.select(
-        "recipe_id", "diet",
-        F.coalesce(F.lower(F.trim(F.col("c.applies"))) == "true", F.lit(False)).alias("applies"),
+    answer = F.struct(
+        F.coalesce(~F.lower(F.trim(F.col("c.applies"))).isin(*FALSE_TEXTS), F.lit(False)).alias("applies"),
         F.coalesce(F.col("c.confidence"), F.lit(0.7)).alias("confidence"),
         F.lit("llm").alias("method"),
-        F.coalesce(F.col("c.reason"), F.lit("LLM classification")).alias("reason"),
-    )
+        F.coalesce(F.col("c.reason"), F.lit("LLM classification")).alias("reason"))
+    return (known.groupBy("recipe_id", "diet").agg(F.max_by(answer, F.col("pos")).alias("v"))
+            .select("recipe_id", "diet", "v.*"))
 
 
-def apply_review(classified_long: DataFrame, reviewed: DataFrame) -> DataFrame:
-    """Replace the result of every returned (recipe, diet), uncertain or not;
-    diets the recipe was not classified for are ignored (left join)."""
-    r = reviewed.select("recipe_id", "diet", *[F.col(c).alias(f"_r_{c}") for c in
-                                                ("applies", "confidence", "method", "reason")])
-    j = classified_long.join(r, ["recipe_id", "diet"], "left")
-    hit = F.col("_r_method").isNotNull()
-    return j.select("recipe_id", "diet", *[F.when(hit, F.col(f"_r_{c}")).otherwise(F.col(c)).alias(c)
-                                           for c in ("applies", "confidence", "method", "reason")])
+def apply_review(classified: DataFrame, reviewed: DataFrame) -> DataFrame:
+    """(recipe_id, diet, applies, confidence, method, reason): every returned (recipe, diet) replaced, uncertain or not; diets
+    the recipe was not classified for are ignored. Answers are gathered per recipe (at most one a diet) and joined once
+    per recipe; the result is exploded last."""
+    answers = reviewed.groupBy("recipe_id").agg(F.collect_list(
+        F.struct("diet", "applies", "confidence", "method", "reason")).alias("_a"))
+    joined = classified.select("recipe_id", "results").join(answers, "recipe_id", "left")
+    merged = F.transform("results", lambda r: F.coalesce(F.get(F.filter("_a", lambda a: a["diet"] == r["diet"]), 0), r))
+    return joined.select("recipe_id", F.inline(merged))
 
 
-def cost_ledger(requests: DataFrame, replies: DataFrame) -> DataFrame:
-    """Per batch token estimate (4 characters per token) and cost, plus a total row."""
-    usage = requests.select("batch", F.ceil(F.length("prompt") / 4).alias("input_tokens")).join(
-        replies.select("batch", F.ceil(F.length("reply") / 4).alias("output_tokens")), "batch", "left"
-    ).fillna(0, ["output_tokens"])
+def cost_ledger(usage: DataFrame) -> DataFrame:
+    """(batch, input_tokens, output_tokens, cost) of a usage table (batch, input_tokens, output_tokens), plus a total row."""
     cost = F.col("input_tokens") / 1e6 * PRICE_IN_PER_M + F.col("output_tokens") / 1e6 * PRICE_OUT_PER_M
     per = usage.select(F.col("batch").cast("string").alias("batch"), "input_tokens", "output_tokens", cost.alias("cost"))
     total = usage.agg(F.lit("total").alias("batch"), F.sum("input_tokens").alias("input_tokens"),
-                      F.sum("output_tokens").alias("output_tokens")).select(
-        "batch", "input_tokens", "output_tokens",
-        (F.col("input_tokens") / 1e6 * PRICE_IN_PER_M + F.col("output_tokens") / 1e6 * PRICE_OUT_PER_M).alias("cost"))
+                      F.sum("output_tokens").alias("output_tokens")).select("batch", "input_tokens", "output_tokens", cost.alias("cost"))
     return per.unionByName(total)
-
-
-def image_cost(images: DataFrame) -> DataFrame:
-    """Image spend: count x price (4 decimals in the report)."""
-    return images.agg(F.count(F.lit(1)).alias("images")).withColumn(
-        "cost", F.bround(F.col("images") * F.lit(PRICE_PER_IMAGE), 4))

@@ -1,4 +1,4 @@
-"""Session construction and shared-folder helpers.
+"""Session construction and the shared folder.
 
 On a cluster the session comes from the launcher and already names a shared
 ``spark.checkpoint.dir``; we only fill in settings that are unset, so the same
@@ -43,24 +43,17 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder for checkpoints and intermediate tables.
+    """The folder that the driver and all executors share, from ``spark.checkpoint.dir``.
 
-    Read from ``spark.checkpoint.dir``; only when it is unset (local tests) a
-    fresh scratch folder is created and recorded in the session.
+    Unset on a cluster it is an error: a machine-local folder would be another one on every executor. With a local
+    master (tests) there is one machine, and a scratch folder is made and recorded.
     """
     current = spark.conf.get("spark.checkpoint.dir", None)
     if current:
-        spark.sparkContext.setCheckpointDir(current)
-        return current
-    local = tempfile.mkdtemp(prefix="larder-ckpt-")
-    spark.conf.set("spark.checkpoint.dir", local)
-    spark.sparkContext.setCheckpointDir(local)
-    return local
-
-
-def materialize(df):
-    """Compute ``df`` once and cut its lineage: a reliable checkpoint in the
-    shared checkpoint folder (survives executor loss, unlike a local one).
-    Used where one expensive result feeds several branches of a plan."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+        return current.rstrip("/")
+    context = spark.sparkContext
+    if not context.master.startswith("local[") and context.master != "local":
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="larder-ckpt-"))
+    return context.getCheckpointDir().rstrip("/")

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from larder.functions.text import py_strip
+from larder.functions.text import empty_array, py_strip
 
 # The HTML entities decoded in extracted text.
 ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&"))
@@ -35,19 +35,67 @@ def host_of(url: Column) -> Column:
     return F.nullif(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://([^/:?#]+)", 1), F.lit(""))
 
 
+def _ld(html: Column) -> Column:
+    """Text of the page's first linked-data block."""
+    return F.nullif(F.regexp_extract(html, r"(?s)<script[^>]*application/ld\+json[^>]*>(.*?)</script>", 1), F.lit(""))
+
+
+def _text(ld: Column, *paths: str) -> Column:
+    """First non-empty text at one of the paths."""
+    return F.coalesce(*(F.nullif(py_strip(F.get_json_object(ld, p)), F.lit("")) for p in paths))
+
+
+def _texts(ld: Column, path: str) -> Column:
+    """Texts at a path that holds a list, or one comma-separated text; [] where it is missing."""
+    raw = F.get_json_object(ld, path)
+    many = F.when(raw.startswith("["), F.from_json(raw, "array<string>")).otherwise(F.split(raw, ","))
+    return F.coalesce(F.filter(F.transform(many, lambda t: py_strip(t)), lambda t: t.isNotNull() & (t != "")), empty_array())
+
+
+def iso_minutes(text: Column) -> Column:
+    """Minutes of an ISO 8601 duration such as PT1H30M, or of a plain number; null otherwise."""
+    def part(pattern):
+        return F.coalesce(F.nullif(F.regexp_extract(text, pattern, 1), F.lit("")).try_cast("int"), F.lit(0))
+    minutes = part(r"(\d+)D") * 1440 + part(r"T.*?(\d+)H") * 60 + part(r"T(?:.*?H)?(\d+)M")
+    return F.when(text.rlike(r"^P(?=.*\d)"), minutes).otherwise(text.try_cast("int"))
+
+
 def pages_to_recipes(pages: DataFrame) -> DataFrame:
+    """Recipe rows of pages with a title: title, text, image and navigation from the markup, the recipe fields from linked
+    data. Each field falls back to null or [] on its own."""
     title = F.nullif(clean_text(F.regexp_extract("html", r"(?s)<title>(.*?)</title>", 1)), F.lit(""))
     article = F.regexp_extract("html", r"(?s)<article>(.*)</article>", 1)
     paragraphs = F.filter(F.transform(F.regexp_extract_all(article, F.lit(r"(?s)<p>(.*?)</p>"), 1),
                                       lambda p: clean_text(p)), lambda p: p != "")
     image = F.nullif(F.regexp_extract("html", r"<img[^>]*\ssrc=\"([^\"]+)\"", 1), F.lit(""))
-    return pages.select(
+    ld = F.col("_ld")
+    ingredients = _texts(ld, "$.recipeIngredient")
+    nutrition = F.map_entries(F.from_json(F.get_json_object(ld, "$.nutrition"), "map<string,string>"))
+    nutrients = F.transform(F.filter(nutrition, lambda e: ~e["key"].startswith("@") & e["value"].isNotNull()),
+                            lambda e: F.struct(e["key"].alias("name"), e["value"].alias("quantity")))
+    group = F.array(F.struct(ingredients.alias("ingredients"), F.lit(None).cast("string").alias("purpose")))
+    tags = F.array_union(page_tags(F.col("html")), F.concat(*(_texts(ld, f"$.{k}") for k in (
+        "recipeCategory", "recipeCuisine", "keywords"))))
+    return pages.withColumn("_ld", _ld(F.col("html"))).select(
         F.sha2(F.col("url"), 256).alias("id"), "url", title.alias("title"),
         F.get(paragraphs, 0).alias("description"), host_of(F.col("url")).alias("host"), image.alias("image"),
-        paragraphs.alias("instructions"), page_tags(F.col("html")).alias("tags"),
+        paragraphs.alias("instructions"), F.array_sort(tags).alias("tags"),
+        _text(ld, "$.author.name", "$.author[0].name", "$.author").alias("author"),
+        _text(ld, "$.recipeYield[0]", "$.recipeYield").alias("numServings"),
+        *(iso_minutes(_text(ld, f"$.{k}")).alias(k) for k in ("prepTime", "cookTime", "totalTime")),
+        _text(ld, "$.cookingMethod").alias("cookingMethod"),
+        _text(ld, "$.aggregateRating.ratingValue").try_cast("double").alias("ratings"),
+        _text(ld, "$.aggregateRating.ratingCount", "$.aggregateRating.reviewCount").try_cast("int").alias("ratingsCount"),
+        ingredients.alias("ingredients"),
+        F.when(F.size(ingredients) > 0, group).otherwise(F.array().cast(group_type())).alias("ingredientGroups"),
+        F.coalesce(nutrients, F.array().cast("array<struct<name:string,quantity:string>>")).alias("nutrients"),
     ).filter(F.col("title").isNotNull())
 
 
+def group_type() -> str:
+    return "array<struct<ingredients:array<string>,purpose:string>>"
+
+
 def page_tags(html: Column) -> Column:
     nav = F.regexp_extract(html, r"(?s)<nav>(.*?)</nav>", 1)
     texts = F.transform(F.regexp_extract_all(nav, F.lit(r"(?s)<a[^>]*>(.*?)</a>"), 1), lambda t: clean_text(t))

@@ -23,7 +23,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larder.sources.tables import read_table
+from larder.session import checkpoint_dir
+from larder.sources.tables import new_version_path, read_table, table_path, version_of
 
 # ---- FIXED VALUES: vocabulary of the derived catalogue ------------------------------------
 # part-name noun -> food, part-name adjective -> modifier, part type -> nutrient name
@@ -140,27 +141,23 @@ def recipe_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-_TABLES: dict[tuple[str, str], str] = {}
+_TABLES: dict[tuple, str] = {}
+_INPUTS = ("orders", "lineitem", "part")
 
 
 def recipe_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The derived recipe view written once as a parquet table, then scanned.
 
-    In production the catalogue is a stored table; here it is derived from the
-    driver tables the first time a session asks for it and written to the
-    shared ``spark.checkpoint.dir`` folder (so a lost executor does not lose
-    it), hash-partitioned by ``recipe_id`` into as many files as the cluster
-    has cores, so later scans are parallel and get parquet filter pushdown
-    and column pruning.
+    In production the catalogue is a stored table; here it is derived from the driver tables the first time a session asks
+    for it and written to the shared ``spark.checkpoint.dir`` folder (so a lost executor does not lose it). The number of
+    files follows the data: it is that of the join's partitions as adaptive execution sizes them. The copy is derived
+    anew when an input changes (size or time).
     """
-    from larder.session import checkpoint_dir
-    from larder.sources.tables import new_version_path
-
-    key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"))
+    key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"),
+           *(version_of(spark, table_path(sf_dir, name)) for name in _INPUTS))
     path = _TABLES.get(key)
     if path is None:
-        path = new_version_path(f"{checkpoint_dir(spark).rstrip('/')}/recipes")
-        n = spark.sparkContext.defaultParallelism
-        recipe_view(spark, sf_dir).repartition(n, "recipe_id").write.parquet(path)
+        path = new_version_path(f"{checkpoint_dir(spark)}/recipes")
+        recipe_view(spark, sf_dir).write.parquet(path)
         _TABLES[key] = path
     return spark.read.parquet(path)

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from larder.operators.mapping import PUBLISHED_COLUMNS, map_recipes
 from larder.sources.recipe_view import recipe_table
-from larder.sources.tables import read_table
+from larder.sources.tables import read_table, select_columns
 
 
 def published_snapshot(spark: SparkSession, sf_dir: str, recipes: DataFrame | None = None) -> DataFrame:
@@ -39,3 +39,13 @@ def status_table(spark: SparkSession, sf_dir: str, recipes: DataFrame | None = N
         (F.col("uuid").isNotNull() & F.col("image").isNotNull()).alias("uploaded"),
         F.coalesce((F.col("healthGrade") == "F") & F.col("image").isNull(), F.lit(False)).alias("bad"),
     )
+
+
+def collection(spark: SparkSession, sf_dir: str, fields: list[str] | None = None, limit: int | None = None) -> DataFrame:
+    """The published collection as a source: all or the named fields, all rows or the first ``limit`` by id."""
+    docs = published_snapshot(spark, sf_dir)
+    if limit is not None:
+        if limit < 0:
+            raise ValueError("limit must not be negative")
+        docs = docs.orderBy("id").limit(limit)
+    return select_columns(docs, fields)

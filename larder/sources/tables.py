@@ -3,20 +3,44 @@ schema listings, codec conversion and versioned (never in-place) rewrites."""
 
 from __future__ import annotations
 
-import os
 import uuid as _uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from larder.session import checkpoint_dir
+
 PARQUET_SUFFIXES = (".parquet", ".pq")
 CODECS = ("zstd", "snappy", "gzip", "lz4", "none")
 
 
+def table_path(sf_dir: str, name: str) -> str:
+    return f"{sf_dir.rstrip('/')}/{name}.parquet"
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One driver table by name (``{sf_dir}/{name}.parquet``)."""
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    return scan_parquet(spark, table_path(sf_dir, name))
+
+
+def _file_system(spark: SparkSession, path: str):
+    """(file system, path) of any path that Spark can read, whatever its scheme."""
+    own = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return own.getFileSystem(spark._jsc.hadoopConfiguration()), own
+
+
+def version_of(spark: SparkSession, path: str) -> tuple[int, int]:
+    """(bytes, latest change) of a file, or of a dataset folder and its part files."""
+    fs, own = _file_system(spark, path)
+    return size_bytes(spark, path), max([fs.getFileStatus(own).getModificationTime(),
+                                         *(f.getModificationTime() for f in fs.listStatus(own))])
+
+
+def size_bytes(spark: SparkSession, path: str) -> int:
+    """Bytes below a path, by its own file system."""
+    fs, own = _file_system(spark, path)
+    return fs.getContentSummary(own).getLength()
 
 
 def scan_parquet(spark: SparkSession, path: str) -> DataFrame:
@@ -28,10 +52,10 @@ def scan_parquet(spark: SparkSession, path: str) -> DataFrame:
     """
     if not path or not str(path).strip():
         raise ValueError("path must not be empty")
-    local = not ("://" in path)
-    if local and not os.path.exists(path):
+    fs, own = _file_system(spark, path)
+    if not fs.exists(own):
         raise FileNotFoundError(path)
-    if local and os.path.isfile(path) and not path.endswith(PARQUET_SUFFIXES):
+    if fs.getFileStatus(own).isFile() and not path.endswith(PARQUET_SUFFIXES):
         raise ValueError(f"not a parquet file: {path}")
     return spark.read.parquet(path)
 
@@ -47,13 +71,16 @@ def select_columns(df: DataFrame, columns: list[str] | None = None) -> DataFrame
 
 
 def describe_columns(df: DataFrame) -> DataFrame:
-    """(position, column, dtype) listing of a DataFrame's schema.
+    """(position, column, dtype, rows, filled): the schema with each column's count of non-null values.
 
-    Built from the schema on the driver: metadata only, size = column count.
+    One aggregate over the table, then an unpivot to one row per column.
     """
-    spark = df.sparkSession
-    rows = [(i, f.name, f.dataType.simpleString()) for i, f in enumerate(df.schema.fields)]
-    return spark.createDataFrame(rows, "position int, column string, dtype string")
+    fields = df.schema.fields
+    counts = df.agg(F.count(F.lit(1)).alias("rows"), *(F.count(F.col(f"`{f.name}`")).alias(f"c{i}") for i, f in enumerate(fields)))
+    return counts.select("rows", F.inline(F.array(*(
+        F.struct(F.lit(i).alias("position"), F.lit(f.name).alias("column"),
+                 F.lit(f.dataType.simpleString()).alias("dtype"), F.col(f"c{i}").alias("filled"))
+        for i, f in enumerate(fields))))).select("position", "column", "dtype", "rows", "filled")
 
 
 def read_json_batch(spark: SparkSession, path: str, schema: T.StructType | str | None = None,
@@ -92,8 +119,7 @@ def convert_codec(spark: SparkSession, src: str, dst: str, codec: str = "zstd",
         raise ValueError(f"Unsupported source format {src_format!r}")
     write_parquet(df, dst, codec)
     out = spark.read.parquet(dst)
-    in_bytes = _dir_bytes(src)
-    out_bytes = _dir_bytes(dst)
+    in_bytes, out_bytes = size_bytes(spark, src), size_bytes(spark, dst)
     reduction = (1 - out_bytes / in_bytes) * 100 if in_bytes else 0.0
     return out.agg(F.count(F.lit(1)).alias("rows")).select(
         "rows",
@@ -105,24 +131,20 @@ def convert_codec(spark: SparkSession, src: str, dst: str, codec: str = "zstd",
     )
 
 
-def _dir_bytes(path: str) -> int:
-    if "://" in path:
-        return 0
-    if os.path.isfile(path):
-        return os.path.getsize(path)
-    total = 0
-    for root, _, files in os.walk(path):
-        for name in files:
-            if not name.startswith((".", "_")):
-                total += os.path.getsize(os.path.join(root, name))
-    return total
-
-
 def new_version_path(base: str) -> str:
     """A fresh version directory under ``base`` (never the path being read)."""
     return f"{base.rstrip('/')}/v-{_uuid.uuid4().hex}"
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` once to a fresh table in the shared folder and read it back: cuts the lineage at files that every
+    executor can reach, and several branches of a plan then read the same rows."""
+    spark = df.sparkSession
+    path = new_version_path(f"{checkpoint_dir(spark)}/{name}")
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def replace_dataset(df: DataFrame, base: str, codec: str = "zstd") -> str:
     """Write ``df`` as a new version of the dataset at ``base`` and return its path.
 
@@ -151,6 +173,12 @@ def restructure_wide(df: DataFrame, value_schema: str | None = None) -> DataFram
     return long
 
 
+def json_map_rows(df: DataFrame, json_col: str) -> DataFrame:
+    """One row per entry of a flat JSON object text column: the other columns, ``key`` and ``value``."""
+    others = [c for c in df.columns if c != json_col]
+    return df.select(*others, F.explode(F.from_json(json_col, "map<string,string>")).alias("key", "value"))
+
+
 def restructure_json_map(df: DataFrame, json_col: str, value_schema: str) -> DataFrame:
     """Same restructure for a JSON object text column ``{id: {...}, ...}``."""
     parsed = df.select(F.explode(F.from_json(F.col(json_col), f"map<string,{value_schema}>"))

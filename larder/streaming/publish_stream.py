@@ -21,7 +21,7 @@ from larder.session import checkpoint_dir
 def publish_stream(spark: SparkSession, source_dir: str, target_base: str, schema: str,
                    checkpoint: str | None = None, available_now: bool = True):
     """Start the stream; returns the StreamingQuery."""
-    chk = checkpoint or f"{checkpoint_dir(spark).rstrip('/')}/publish-stream"
+    chk = checkpoint or f"{checkpoint_dir(spark)}/publish-stream"
     stream = spark.readStream.schema(schema).json(source_dir)
 
     def write_batch(batch: DataFrame, epoch_id: int) -> None:

@@ -372,15 +372,14 @@ SQL["exclude_uploaded"] = with_mapped(
 SQL["skipped_ids"] = with_mapped(
     "SELECT recipe_id FROM recipes r WHERE EXISTS (SELECT 1 FROM published p WHERE p.id = r.recipe_id)")
 SQL["exclude_bad"] = with_mapped("""
-SELECT recipe_id FROM recipes r WHERE cookTime <= 60
-  AND NOT EXISTS (SELECT 1 FROM status s WHERE s.bad AND s.recipe_id = r.recipe_id)""")
+SELECT recipe_id FROM recipes r WHERE NOT EXISTS (SELECT 1 FROM status s WHERE s.bad AND s.recipe_id = r.recipe_id)""")
 SQL["mark_flag"] = with_mapped("""
 SELECT recipe_id, uploaded,
        CASE WHEN recipe_id IN (SELECT recipe_id FROM recipes WHERE healthGrade = 'C') THEN true ELSE bad END AS bad
 FROM status""")
 
 _OUTCOMES = """,
-_sel AS (SELECT * FROM recipes WHERE cookTime <= 60),
+_sel AS (SELECT * FROM recipes),
 _bad AS (SELECT recipe_id FROM status WHERE bad),
 _not_bad AS (SELECT * FROM _sel WHERE recipe_id NOT IN (SELECT recipe_id FROM _bad)),
 outcomes AS (
@@ -409,6 +408,27 @@ WHERE id NOT IN (SELECT recipe_id FROM outcomes WHERE outcome = 'published')
 UNION ALL
 SELECT id, title, array_to_string(tags, '|') AS tags, channel FROM mapped
 WHERE id IN (SELECT recipe_id FROM outcomes WHERE outcome = 'published')""")
+SQL["publish_job"] = with_outcomes("""
+SELECT d.id, d.title, array_to_string(d.tags, '|') AS tags, d.channel,
+       s.uploaded OR s.recipe_id IN (SELECT recipe_id FROM outcomes WHERE outcome = 'published') AS uploaded
+FROM (SELECT id, title, tags, channel FROM published
+      WHERE id NOT IN (SELECT recipe_id FROM outcomes WHERE outcome = 'published')
+      UNION ALL
+      SELECT id, title, tags, channel FROM mapped
+      WHERE id IN (SELECT recipe_id FROM outcomes WHERE outcome = 'published')) d
+LEFT JOIN status s ON s.recipe_id = d.id""")
+SQL["collection_fields"] = with_mapped("SELECT id, title, healthGrade FROM published ORDER BY id LIMIT 100")
+SQL["type_check"] = with_recipes("""
+SELECT recipe_id, CASE WHEN cluster_id % 4 <> 0 THEN cookTime END AS cookTime,
+       TRY_CAST(prep AS INTEGER) AS prepTime,
+       CASE WHEN cluster_id % 2 <> 0 THEN totalTime END AS totalTime,
+       CASE WHEN healthGrade IS DISTINCT FROM 'F' THEN healthScore END AS healthScore,
+       concat_ws('; ',
+         CASE WHEN cookTime IS NOT NULL AND cluster_id % 4 = 0 THEN 'cookTime: Input should be a valid integer' END,
+         CASE WHEN prep IS NOT NULL AND TRY_CAST(prep AS INTEGER) IS NULL THEN 'prepTime: Input should be a valid integer' END,
+         CASE WHEN totalTime IS NOT NULL AND cluster_id % 2 = 0 THEN 'totalTime: Input should be a valid integer' END,
+         CASE WHEN healthGrade = 'F' THEN 'healthScore: Input should be a valid number' END) AS type_error
+FROM (SELECT *, CAST(prepTime AS BIGINT) * CASE WHEN cluster_id % 3 = 0 THEN 1000000000 ELSE 1 END AS prep FROM recipes)""")
 SQL["publish_status"] = with_outcomes("""
 SELECT recipe_id, CASE WHEN recipe_id IN (SELECT recipe_id FROM outcomes WHERE outcome = 'published') THEN true
                        ELSE uploaded END AS uploaded, bad
@@ -494,10 +514,13 @@ _idx AS (
          (row_number() OVER (ORDER BY u.recipe_id) - 1) // 20 AS batch,
          CAST((row_number() OVER (ORDER BY u.recipe_id) - 1) % 20 AS INTEGER) AS idx
   FROM _unc u JOIN recipes r ON r.recipe_id = u.recipe_id),
-_pairs_r AS (SELECT i.batch, i.recipe_id, unnest(i.diets) AS diet FROM _idx i),
+_pairs_r AS (SELECT i.batch, i.idx, i.recipe_id, unnest(i.diets) AS diet FROM _idx i),
 _reviewed AS (
-  SELECT recipe_id, diet, false AS applies, 0.8::DOUBLE AS confidence, 'llm' AS method, 'offline review' AS reason
-  FROM _pairs_r)"""
+  SELECT recipe_id, diet, (idx + length(diet)) % 3 <> 1 AS applies,
+         CASE WHEN (idx + length(diet)) % 4 = 0 THEN 0.7
+              ELSE CAST('0.' || CAST(6 + length(diet) % 4 AS VARCHAR) AS DOUBLE) END::DOUBLE AS confidence,
+         'llm' AS method, CASE WHEN idx % 5 = 0 THEN 'LLM classification' ELSE 'reviewed ' || diet END AS reason
+  FROM _pairs_r WHERE batch % 7 <> 3)"""
 
 
 def with_review(body: str, extra: str = "") -> str:
@@ -526,6 +549,19 @@ SELECT c.recipe_id, c.diet,
        CASE WHEN r.method IS NOT NULL THEN r.method ELSE c.method END AS method,
        CASE WHEN r.method IS NOT NULL THEN r.reason ELSE c.reason END AS reason
 FROM classified c LEFT JOIN _reviewed r ON r.recipe_id = c.recipe_id AND r.diet = c.diet""")
+SQL["cost_ledger"] = """
+WITH usage AS (SELECT user_id, sum(length(props))::BIGINT AS i, sum(length(event_type))::BIGINT AS o FROM events GROUP BY user_id)
+SELECT CAST(user_id AS VARCHAR) AS batch, i AS input_tokens, o AS output_tokens,
+       i / 1e6::DOUBLE * 0.10::DOUBLE + o / 1e6::DOUBLE * 0.40::DOUBLE AS cost FROM usage
+UNION ALL
+SELECT 'total', sum(i)::BIGINT, sum(o)::BIGINT,
+       sum(i)::BIGINT / 1e6::DOUBLE * 0.10::DOUBLE + sum(o)::BIGINT / 1e6::DOUBLE * 0.40::DOUBLE FROM usage"""
+SQL["diet_job"] = with_tags(f"""
+SELECT r.recipe_id, array_to_string(CASE WHEN r.tags IS NOT NULL AND NOT list_has_any(r.tags, [{', '.join(_q(d.name) for d in DIETS)}])
+              AND m._c IS NOT NULL THEN list_filter(m._c, lambda x, i: list_position(m._c, x) = i) ELSE r.tags END, '|') AS tags
+FROM recipes r LEFT JOIN _merge m ON m.recipe_id = r.recipe_id""")
+SQL["replace_dataset"] = with_tags(
+    "SELECT count(*) AS rows, count(*) FILTER (WHERE len(tags) > 0) AS tagged_rows FROM tagged")
 SQL["commit_chunks"] = with_mapped("""
 SELECT id, (row_number() OVER (ORDER BY id) - 1) // 50 AS chunk,
        CAST((row_number() OVER (ORDER BY id) - 1) % 50 AS INTEGER) AS idx FROM published""")
@@ -590,7 +626,7 @@ SELECT id, concat_ws(' ',
          WHEN extra <> '' THEN extra || '.' END,
     CASE WHEN gar <> '' THEN gar || '.' END,
     {_q(_pr.CLOSING_SENTENCE)}) || ' Avoid: ' || {_q(_pr.NEGATIVE_PROMPT)} || '.' AS full_prompt
-FROM _p5""".replace("\n, _p1 AS", "\nSELECT 1", 0))
+FROM _p5""")
 
 
 def _clean(expr: str) -> str:
@@ -623,6 +659,10 @@ SELECT concat_ws('; ', 'uuid is required', 'ingredients are required structured'
                  'nutrients are required') AS error, count(*) AS count
 FROM _pg WHERE title IS NOT NULL"""
 SQL["restructure_wide"] = """
+SELECT o_orderpriority AS recipe_id, count(*) AS n, max(o_totalprice) AS top FROM orders GROUP BY o_orderpriority"""
+SQL["restructure_json"] = """
+SELECT CAST(o_orderkey AS VARCHAR) AS recipe_id, o_totalprice AS total, o_orderpriority AS priority FROM orders"""
+SQL["restructure_props"] = """
 SELECT event_id, k AS key, json_extract_string(props, '$."' || k || '"') AS value
 FROM (SELECT event_id, props, unnest(json_keys(props)) AS k FROM events)"""
 SQL["image_manifest"] = with_mapped("""
@@ -630,3 +670,27 @@ SELECT id, 'recipe_images/' || id AS object_path,
        CASE lower(regexp_extract(image, '(\\.[A-Za-z0-9]+)$', 1)) WHEN '.jpg' THEN 'image/jpeg'
             WHEN '.jpeg' THEN 'image/jpeg' WHEN '.png' THEN 'image/png' ELSE 'image/jpeg' END AS content_type
 FROM published WHERE image IS NOT NULL""")
+
+
+# ---- sources and exports --------------------------------------------------------------------
+
+_COLUMNS = ("recipe_id", "title", "description", "url", "host", "image", "author", "uuid", "instructions", "ingredients",
+            "procesedIngredients", "tags", "cookingMethod", "nutrients", "healthScore", "healthGrade", "numServings",
+            "cookTime", "prepTime", "totalTime", "ratings", "ratingsCount", "cluster_id")
+SQL["describe_columns"] = with_recipes("\nUNION ALL\n".join(
+    f"SELECT {i}::INTEGER AS position, {_q(c)} AS \"column\", count(*) AS rows, count({c}) AS filled FROM recipes"
+    for i, c in enumerate(_COLUMNS)))
+SQL["sample_n"] = with_recipes(
+    "SELECT least(10, count(*)) AS members, least(10, count(*)) AS distinct_ids, least(10, count(*)) AS picked FROM recipes")
+SQL["convert_codec"] = """
+SELECT (SELECT count(*) FROM orders) AS rows, CAST((SELECT count(*) FROM (DESCRIBE SELECT * FROM orders)) AS INTEGER) AS columns,
+       'zstd' AS codec"""
+SQL["json_source"] = with_mapped("""
+SELECT id, title, array_to_string(tags, '|') AS tags, array_to_string(ingredientStrings, '|') AS ingredientStrings FROM published""")
+_PUBLISHED_GRADES = with_mapped("""
+SELECT g.grade, count(p.id) AS count FROM (VALUES ('A'), ('B'), ('C'), ('D'), ('F')) g(grade)
+LEFT JOIN published p ON p.healthGrade = g.grade GROUP BY g.grade""")
+SQL["stats_export"] = f"""
+SELECT 'tags' AS section, tag AS name, count FROM ({SQL["tag_counts_published"]})
+UNION ALL SELECT 'missing', field, missing FROM ({SQL["missing_fields"]})
+UNION ALL SELECT 'grades', grade, count FROM ({_PUBLISHED_GRADES})"""

@@ -91,33 +91,32 @@ def test_merge_and_new_tags(spark):
     assert df.select(C.merge_tags(F.col("tags"), F.col("new"))).first()[0] == ["b", "a", "c"]
 
 
-# ---- brute force: a plain-Python restatement of the rules on random lists ---------------
+# ---- brute force over random lists, from token sets and character neighbourhoods ----------
 
-def py_classify(ingredients, nutrients, diet):
+def stands_alone(term, text, tokens):
+    """Whether the term occurs with no word character running on at either end."""
+    if term in tokens:
+        return True
+    word = lambda c: bool(c) and (c.isalnum() or c == "_")
+    starts = [k for k in range(len(text) - len(term) + 1) if text.startswith(term, k)]
+    return any(word(text[k - 1] if k else "") != word(term[0])
+               and word(text[k + len(term):k + len(term) + 1]) != word(term[-1]) for k in starts)
+
+
+def expected(ingredients, nutrients):
+    """(applies, confidence) by diet name."""
     text = " | ".join(ingredients).lower()
-    ingredient_result = None
-    if diet.blocklist:
-        for term in diet.blocklist:
-            if re.search(r"\b" + re.escape(term) + r"\b", text):
-                if any(s.lower() in text for s in diet.safe_compounds if term.lower() in s.lower()):
-                    return (None, 0.45)
-                return (False, 0.92)
-        ingredient_result = (True, 0.85)
-    if diet.nutrient_rule:
-        value = None
-        for name, q in nutrients:
-            if diet.nutrient_rule.field in name.lower():
-                m = re.search(r"[\d.]+", q or "")
-                try:
-                    value = float(m.group()) if m else None
-                except ValueError:
-                    value = None
-                break
-        if value is not None:
-            ok = value < diet.nutrient_rule.value if diet.nutrient_rule.op == "lt" else value > diet.nutrient_rule.value
-            return (ok, 0.90)
-        return ingredient_result or (None, 0.40)
-    return ingredient_result or (None, 0.40)
+    tokens = set(re.split(r"\W+", text)) - {""}
+    amounts = [(name.lower(), float(quantity[:-1])) for name, quantity in nutrients]
+    out = {}
+    for d in DIETS:
+        listed = [t for t in d.blocklist if stands_alone(t, text, tokens)]
+        sheltered = [s for s in map(str.lower, d.safe_compounds) if listed and listed[0].lower() in s and s in text]
+        grams = [g for n, g in amounts if d.nutrient_rule and d.nutrient_rule.field in n][:1]
+        passes = [g < d.nutrient_rule.value if d.nutrient_rule.op == "lt" else g > d.nutrient_rule.value for g in grams]
+        verdicts = [(None, 0.45)] * bool(sheltered) + [(False, 0.92)] * bool(listed) + [(p, 0.90) for p in passes]
+        out[d.name] = (verdicts + [(True, 0.85) if d.blocklist else (None, 0.40)])[0]
+    return out
 
 
 def test_matches_plain_python(spark):
@@ -133,6 +132,14 @@ def test_matches_plain_python(spark):
         rows.append((str(i), ings, nuts, None))
     got = classify(spark, rows)
     for rid, ings, nuts, _ in rows:
-        for d in DIETS:
-            r = got[(rid, d.name)]
-            assert (r.applies, r.confidence) == py_classify(ings, nuts, d), (rid, ings, nuts, d.name)
+        for name, want in expected(ings, nuts).items():
+            r = got[(rid, name)]
+            assert (r.applies, r.confidence) == want, (rid, ings, nuts, name)
+
+
+def test_lean_results_agree(spark):
+    df = spark.createDataFrame([("a", ["almond milk", "beef"], []), ("b", None, None)], f"recipe_id string, ingredients array<string>, nutrients {NUT}")
+    full, lean = (C.with_classification(df, reasons=r).orderBy("recipe_id").collect() for r in (True, False))
+    for x, y in zip(full, lean):
+        assert x.new_tags == y.new_tags
+        assert [(r.diet, r.applies, r.confidence) for r in x.results] == [(r.diet, r.applies, r.confidence) for r in y.results]

@@ -98,10 +98,22 @@ def test_upsert_and_patch(spark):
     assert [r.recipe_id for r in PB.patch_skipped(target, new).collect()] == ["9"]
 
 
-def test_global_row_number(spark):
-    df = spark.range(0, 1000, 1, 7).select(F.format_string("k%04d", "id").alias("k"))
-    rows = global_row_number(df, "k").collect()
-    assert sorted((r.k, r.rn) for r in rows) == [(f"k{i:04d}", i) for i in range(1000)]
+@pytest.mark.parametrize("conf", [
+    {"spark.sql.adaptive.coalescePartitions.enabled": "true"}, {"spark.sql.adaptive.coalescePartitions.enabled": "false"},
+    {"spark.sql.adaptive.advisoryPartitionSizeInBytes": "1m"}])
+def test_global_row_number(spark, conf):
+    """Every row once, numbers 0..n-1 in key order, for a frame of several columns over many range partitions."""
+    held = {k: spark.conf.get(k, None) for k in [*conf, "spark.sql.shuffle.partitions"]}
+    try:
+        for k, v in {**conf, "spark.sql.shuffle.partitions": "12"}.items():
+            spark.conf.set(k, v)
+        df = spark.range(0, 60_000, 1, 9).select(F.format_string("k%06d", "id").alias("k"), (F.col("id") * 2).alias("v"),
+                                                 F.repeat(F.lit("x"), F.lit(60)).alias("pad"))
+        rows = global_row_number(df.orderBy(F.rand(3)), "k").collect()
+        assert sorted((r.k, r.rn, r.v) for r in rows) == [(f"k{i:06d}", i, 2 * i) for i in range(60_000)]
+    finally:
+        for k, v in held.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
 def test_parse_replies(spark):
@@ -110,7 +122,7 @@ def test_parse_replies(spark):
     replies = spark.createDataFrame([
         (0, '{"results":[{"id":0,"classifications":{"vegan":{"applies":"false","confidence":0.9}}},'
             '{"id":7,"classifications":{"keto":{"applies":true}}},'
-            '{"id":1,"classifications":{"keto":{"applies":true}}}]}'),
+            '{"id":1,"classifications":{"keto":{"applies":false}}},{"id":1,"classifications":{"keto":{"applies":1}}}]}'),
         (1, "not json")], "batch long, reply string")
     got = {(r.recipe_id, r.diet): (r.applies, r.confidence, r.reason) for r in RV.parse_replies(replies, index).collect()}
     assert got == {("r1", "vegan"): (False, 0.9, "LLM classification"), ("r2", "keto"): (True, 0.7, "LLM classification")}
@@ -133,3 +145,111 @@ def test_publish_stream(spark, scratch):
     q.awaitTermination(120)
     assert [r.id for r in current_snapshot(spark, out).collect()] == ["1"]
     assert [r.id for r in failures(spark, out).collect()] == ["2"]
+
+
+RAW = ("recipe_id string, uuid string, title string, ingredients array<string>, cookTime {}, healthScore string, ratings string, "
+       "nutrients array<struct<name:string,quantity:string>>, procesedIngredients array<struct<quantity:double,unit:string,"
+       "displayString:string,foodCodes:struct<ingredientID:string>>>")
+
+
+def raw(rid, title, cook, score="1.5", ratings="4"):
+    return (rid, "u", title, ["x"], cook, score, ratings, [("fat", "1g")], [(1.0, "g", "x", None)])
+
+
+def test_bad_values_fail_their_row_only(spark):
+    df = spark.createDataFrame([raw("1", "A", " 30 "), raw("2", "B", "30 min"), raw("3", "C", "3000000000"), raw("4", "D", "5", "abc"),
+                                raw("5", "E", "5.0", "2", "abc"), raw("6", "F", "3.5")], RAW.format("string"))
+    got = {r.id: (r.valid, r.error, r.cookTime) for r in M.validate(M.map_recipes(df)).collect()}
+    assert got["1"] == (True, "", 30)
+    assert got["2"] == got["3"] == got["6"] == (False, "cookTime: Input should be a valid integer", None)
+    assert got["4"][:2] == (False, "healthScore: Input should be a valid number")
+    assert got["5"][:2] == (False, "ratings: Input should be a valid number")
+    wide = spark.createDataFrame([raw("1", "A", 3_000_000_000)], RAW.format("long"))
+    assert not M.validate(M.map_recipes(wide)).first().valid
+
+
+def test_publish_job_takes_the_last_of_an_id(spark, scratch):
+    rows = [(*raw("1", "old", "5"), 1), (*raw("1", "new", "5"), 2), (*raw("2", "bad", "x"), 3), (*raw("3", "known", "5"), 4), (*raw("4", "b", "5"), 5)]
+    df = spark.createDataFrame(rows, RAW.format("string") + ", seq int")
+    known = M.map_recipes(spark.createDataFrame([raw("3", "published", "5")], RAW.format("string"))).drop("type_error")
+    status = spark.createDataFrame([("1", False, False), ("3", True, False), ("4", False, True)], "recipe_id string, uploaded boolean, bad boolean")
+    outcomes, snapshot, flags = PB.publish_job(df, known, status, dry_run=False, order_col="seq")
+    assert sorted((r.recipe_id, r.outcome) for r in outcomes.collect()) == [
+        ("1", "published"), ("1", "published"), ("2", "failed"), ("3", "skipped"), ("4", "dropped_bad")]
+    assert sorted((r.id, r.title) for r in snapshot.collect()) == [("1", "new"), ("3", "published")]
+    assert {r.recipe_id: r.uploaded for r in flags.collect()} == {"1": True, "3": True, "4": False}
+    _, twice, _ = PB.publish_job(df, known, status, dry_run=False)
+    assert sorted(r.id for r in twice.collect()) == ["1", "3"]  # without an order still one row an id
+    paths = PB.write_publish(df, known, status, scratch, "seq")
+    assert spark.read.parquet(paths["snapshot"]).count() == 2
+
+
+def test_batches_and_samples(spark):
+    from larder.operators.batch import get_batch, select_rows
+
+    df = spark.createDataFrame([(f"r{i}", i % 2) for i in range(20)], "recipe_id string, odd int")
+    assert [r.recipe_id for r in get_batch(df, 3, query={"odd": 1}).collect()] == ["r1", "r11", "r13"]
+    none = get_batch(df, 0)
+    assert none.count() == 0 and none.schema == df.schema
+    for bad in (lambda: get_batch(df, -1), lambda: select_rows(df, -1), lambda: select_rows(df, 1, "best")):
+        with pytest.raises(ValueError):
+            bad()
+    assert [r.recipe_id for r in select_rows(df, 2, "first").collect()] == ["r0", "r1"]
+    assert len({r.recipe_id for r in select_rows(df, 7).collect()}) == 7 and select_rows(df, 99).count() == 20
+
+
+def test_diet_job(spark, scratch):
+    from larder.plans.diet_job import diet_job
+
+    rows = [("1", "a", ["beef"], ["x"]), ("2", "b", ["rice"], []), ("3", "c", ["rice"], None), ("4", "d", ["rice"], ["vegan"])]
+    df = spark.createDataFrame(rows, "recipe_id string, title string, ingredients array<string>, tags array<string>").withColumn(
+        "nutrients", F.array().cast("array<struct<name:string,quantity:string>>"))
+    summary, path = diet_job(df, f"{scratch}/a")
+    tags = {r.recipe_id: r.tags for r in spark.read.parquet(path).collect()}
+    assert tags["3"] is None and tags["4"] == ["vegan"] and "vegan" in tags["2"] and "vegan" not in tags["1"]
+    assert summary.first().total == 2
+    _, path = diet_job(df, f"{scratch}/b", limit=1)
+    assert {r.recipe_id: r.tags for r in spark.read.parquet(path).collect()}["2"] == []
+
+
+def test_page_fields(spark):
+    from larder.sources.pages import pages_to_recipes
+
+    ld = ('{"recipeIngredient":["2 eggs"," flour "],"nutrition":{"@type":"N","fatContent":"3g"},"author":{"name":"Ann"},'
+          '"recipeYield":["4 servings"],"prepTime":"PT1H30M","cookTime":"PT45M","totalTime":"P1DT15M","cookingMethod":"Baking",'
+          '"aggregateRating":{"ratingValue":"4.5","ratingCount":12},"recipeCategory":"Dessert, Cake","keywords":["sweet"]}')
+    html = f'<title>Cake</title><nav><a href="/">Home</a></nav><script type="application/ld+json">{ld}</script>'
+    rows = [("http://x.org/a", html), ("http://x.org/b", "<title>Plain</title>"), ("http://x.org/c", '<title>Bad</title><script type="application/ld+json">{oops</script>')]
+    a, b, c = pages_to_recipes(spark.createDataFrame(rows, "url string, html string")).orderBy("url").collect()
+    assert a.ingredients == ["2 eggs", "flour"] and a.author == "Ann" and a.numServings == "4 servings"
+    assert (a.prepTime, a.cookTime, a.totalTime, a.ratings, a.ratingsCount) == (90, 45, 1455, 4.5, 12)
+    assert [tuple(n) for n in a.nutrients] == [("fatContent", "3g")] and a.ingredientGroups[0].ingredients == a.ingredients
+    assert a.tags == ["Cake", "Dessert", "Home", "sweet"] and a.cookingMethod == "Baking"
+    for r in (b, c):
+        assert r.ingredients == [] == r.nutrients == r.ingredientGroups and r.author is None and r.prepTime is None
+
+
+def test_image_requests(spark):
+    from larder.plans.prompts import image_requests
+
+    df = spark.createDataFrame([("1", "a dish"), ("2", "  "), ("3", None)], "id string, full_prompt string")
+    assert [r.error for r in image_requests(df, 2).orderBy("id").collect()] == ["", "prompt is empty", "prompt is empty"]
+    for n in (0, 5):
+        with pytest.raises(ValueError):
+            image_requests(df, n)
+
+
+def test_restructure(spark):
+    wide = spark.createDataFrame([('{"title":"A","n":1}', '{"title":"B","n":2}')], "r1 string, r2 string")
+    long = TB.restructure_wide(wide, "struct<title:string,n:int>")
+    assert sorted(tuple(r) for r in long.collect()) == [("r1", "A", 1), ("r2", "B", 2)]
+
+
+def test_recipe_table_follows_its_inputs(spark, scratch):
+    from larder.sources.recipe_view import recipe_table
+
+    for t in ("orders", "lineitem", "part"):
+        spark.read.parquet(f"/root/testdata/sf0.001/{t}.parquet").write.parquet(f"{scratch}/{t}.parquet")
+    before = recipe_table(spark, scratch).count()
+    spark.read.parquet("/root/testdata/sf0.001/orders.parquet").limit(3).write.mode("append").parquet(f"{scratch}/orders.parquet")
+    assert recipe_table(spark, scratch).count() == before + 3
