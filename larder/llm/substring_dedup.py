@@ -12,7 +12,8 @@ about a tenth of the rows, and none of the text, goes through the shuffle. Edges
 of the seed's words, then 40 bits of the passage.
 
 Plan: (1) count seeds, with map-side combining; those of more than ``group_limit`` records are *crowded*. (2) Shuffle the
-records by seed; each task sorts them and streams group by group, a group being at most ``group_limit`` records.
+records by seed; each task sorts them and streams group by group, a group being at most ``group_limit`` records (some
+4 MB of edges).
 Suffixes under crowded seeds have their prefix extended to the whole passage instead: their leaves are counted per
 passage with map-side combining and a join that may be split, so no task meets a crowded group whole.
 (3) Join the repeated spans to the texts by row key. Passages that recur inside one text are found there, and enter the
@@ -198,7 +199,7 @@ def _crowded_leaves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
             ["seed", "offset", "edge", "id", "part", "start"])
 
 
-def repeated_spans(docs: DataFrame, width: int = 35, seed: int = 8, group_limit: int = 2000,
+def repeated_spans(docs: DataFrame, width: int = 35, seed: int = 8, group_limit: int = 20_000,
                    id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id, part, start, size``: runs of ``size`` passage starts, from word ``start`` on, whose ``width`` words also start
     in another row. ``part`` is the text's digest; with the id it is the row's key. Passages that recur only inside one
@@ -245,7 +246,7 @@ def _kept(width: int, with_text: bool):
     return run
 
 
-def remove_repeats(docs: DataFrame, width: int = 35, seed: int = 8, group_limit: int = 2000, with_text: bool = False,
+def remove_repeats(docs: DataFrame, width: int = 35, seed: int = 8, group_limit: int = 20_000, with_text: bool = False,
                    id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, n_words, n_removed, kept_sha256`` (and ``kept_text``) per row: words in a passage of ``width`` words whose
     sequence also starts anywhere else are removed, judged on the input."""
