@@ -26,7 +26,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 
 from .shared import keyed
@@ -35,10 +34,28 @@ LONG = 48
 _NONE = np.iinfo(np.int32).max
 
 # The split pattern of the vocabulary's file, in full and with its classes spelt out for plain Latin text.
-_WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+_WORDS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zé]+|[0-9²]|[^ a-zé0-9²]+")  # over a text's classes, see ``_Classes``
 _PLAIN_WORDS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zà-öø-ɏß]+|[0-9]|[^\\sa-zà-öø-ɏß0-9]+")
 #: Texts of these characters only: NFC leaves them alone and lower case maps each to one letter of the pattern above.
-_PLAIN = re.compile("[\\t-\\r -~À-ÖØ-öø-įIJ-ň–-”†-…]*")
+_PLAIN = re.compile("[\\t-\\r -~\\u00c0-\\u00d6\\u00d8-\\u00f6\\u00f8-\\u012f\\u0131-\\u0148\\u2013-\\u201d\\u2020-\\u2026]*")
+
+
+#: White space of the vocabulary's regex engine
+_BLANKS = re.compile("[\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]+")
+
+
+class _Classes(dict):
+    """``str.translate`` table: ASCII letters, digits, quote and blank as they are, any other letter as é, number as ² and the
+    rest as a dash, by Unicode category."""
+
+    def __missing__(self, code: int) -> str:
+        char = chr(code)
+        plain = char in "abcdefghijklmnopqrstuvwxyz0123456789' "
+        self[code] = char if plain else {"L": "é", "N": "²"}.get(unicodedata.category(char)[0], "-")
+        return self[code]
+
+
+_CLASSES = _Classes()
 
 
 class WordBpe:
@@ -50,7 +67,7 @@ class WordBpe:
         self.ids: dict[str, int] = dict(model["vocab"])
         self.special = {x["content"]: x["id"] for x in spec["added_tokens"]}
         self.tokens = {i: t for t, i in [*self.ids.items(), *self.special.items()]}
-        self.special_split = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True)))
+        self.special_split = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True)))
                                            + ")") if self.special else None
         end = model["end_of_word_suffix"] or ""
         # the byte-level alphabet: printable Latin-1 bytes stand for themselves, the others for code points from 256
@@ -172,8 +189,9 @@ class WordBpe:
         """Words of a text without special strings."""
         if _PLAIN.fullmatch(text):
             return _PLAIN_WORDS.findall(text.lower())
-        text = regex.sub(r"\s+", " ", unicodedata.normalize("NFC", text))
-        return _WORDS.findall("".join([c.lower() for c in text]))
+        text = _BLANKS.sub(" ", unicodedata.normalize("NFC", text))
+        text = "".join([c.lower() for c in text])
+        return [text[m.start():m.end()] for m in _WORDS.finditer(text.translate(_CLASSES))]
 
     def encode(self, texts: list[str]) -> Iterator[tuple[np.ndarray, str]]:
         """Ids of each text, and the decoded text of those ids."""
