@@ -30,7 +30,8 @@ BYTE_LIB = Tokenizer.from_file(BYTE_FILE)
 BPE = WordBpe(open(WORD_FILE).read())
 COUNTER = TC.Counter(BYTE_FILE, open(BYTE_FILE, "rb").read())
 
-texts = st.one_of(st.text(max_size=60), st.text(alphabet="abcXYZéÉ'sStT d12 \n\t!?-ßßĳİΣ<|endoftext|>²½", max_size=60))
+# characters that this Python's Unicode tables know; later ones may differ from the library's
+texts = st.one_of(st.text(st.characters(exclude_categories=("Cs", "Cn")), max_size=60), st.text(alphabet="abcXYZéÉ'sStT d12 \n\t!?-ßßĳİΣ<|endoftext|>²½", max_size=60))
 
 
 @settings(max_examples=300, deadline=None)
