@@ -180,7 +180,7 @@ def new_tags(results: Column) -> Column:
 def classify_rules(recipes: DataFrame, diets=DIETS) -> DataFrame:
     """Long table: one row per (recipe, diet) with the rule result."""
     c = with_classification(recipes.select("recipe_id", "ingredients", "nutrients"), diets)
-    return c.select("recipe_id", F.posexplode("results").alias("diet_order", "r")).select(
+    return c.select("recipe_id", F.posexplode_outer("results").alias("diet_order", "r")).select(
         "recipe_id", "r.diet", "r.applies", "r.confidence", "r.method", "r.reason")
 
 

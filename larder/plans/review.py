@@ -98,7 +98,8 @@ def apply_review(classified: DataFrame, reviewed: DataFrame) -> DataFrame:
         F.struct("diet", "applies", "confidence", "method", "reason")).alias("_a"))
     joined = classified.select("recipe_id", "results").join(answers, "recipe_id", "left")
     merged = F.transform("results", lambda r: F.coalesce(F.get(F.filter("_a", lambda a: a["diet"] == r["diet"]), 0), r))
-    return joined.select("recipe_id", F.inline(merged))
+    # outer: a plain generate would have the whole classification once more in an inferred filter
+    return joined.select("recipe_id", F.inline_outer(merged))
 
 
 def cost_ledger(usage: DataFrame) -> DataFrame:
