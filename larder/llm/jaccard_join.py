@@ -6,9 +6,9 @@ Documents with one prefix and one size form a group, and a group's prefix enters
 has. Pairs of groups that share a prefix shingle are filtered by size and by the overlap that remains possible, then
 expanded to their members, which are verified exactly.
 
-* Order: shingles found in more than a share of the documents of any block of the corpus are *common* and come last, by
-  count; the list is bounded by that share, not by the corpus. All others are ordered by fingerprint, which is the same
-  for every document. Any global order gives whole results; this one keeps shared passages out of the prefixes.
+* Order: blocks of documents report the shingles that they hold more than once; the most reported, a fixed number, are
+  *common* and come last, by count. All others are ordered by fingerprint, which is the same for every document. Any global
+  order gives whole results; this one fills the prefixes of near copies with what is their own.
 * Copies: rows with one shingle set are one class, found by a 128-bit digest. Only classes are compared.
 * Hot prefixes: a prefix shingle shared by thousands of near copies is never expanded into pairs. Its classes are first
   compared with a few pivots (a linear number of pairs), verified links are contracted to components, and only pairs
@@ -41,13 +41,13 @@ def prefix_size(n: int, percent: int) -> int:
     return n - -(-percent * n // 100) + 1
 
 
-def common_shingles(rows: DataFrame, width: int, share: float, block: int = 4000) -> DataFrame:
-    """``token, seen``: shingles in at least ``share`` of the documents of some block of ``block`` documents, with the sum
-    of their counts over such blocks. At most (shingles per document) / share tokens can pass in a block."""
+def common_shingles(rows: DataFrame, width: int, most: int, block: int = 4000) -> DataFrame:
+    """``token, seen``: the ``most`` shingles that blocks of ``block`` documents report most often, with the sum of the
+    reports. A block reports every shingle that two of its documents or more hold; all documents are counted."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def counted(sets: list[np.ndarray]) -> pa.RecordBatch:
             tokens, counts = np.unique(np.concatenate(sets), return_counts=True)
-            often = counts >= max(8, share * len(sets))
+            often = counts > 1
             return pa.RecordBatch.from_arrays([pa.array(tokens[often].view(np.int64)), pa.array(counts[often])],
                                               ["token", "seen"])
         sets, held = [], 0
@@ -61,10 +61,8 @@ def common_shingles(rows: DataFrame, width: int, share: float, block: int = 4000
         if sets:
             yield counted(sets)
 
-    documents = rows.count()
     found = rows.mapInArrow(run, "token long, seen long").groupBy("token").agg(F.sum("seen").alias("seen"))
-    # shingles of a block's own copies fall below the share of the whole corpus again
-    return found.filter(F.col("seen") >= share * documents / 2)
+    return found.orderBy(F.desc("seen"), "token").limit(most)
 
 
 def _ordered(raw: bytes, width: int, tokens: np.ndarray, seen: np.ndarray) -> np.ndarray:
@@ -89,10 +87,10 @@ class Shingler:
     """Arrow functions over ``(id, text, ...)``, bound to the order that ``common`` gives."""
 
     def __init__(self, spark, common: DataFrame, width: int, percent: int):
-        listed = common.orderBy("token").toPandas()  # bounded by the share, see common_shingles
-        tokens = listed["token"].to_numpy(np.int64).view(np.uint64)
+        listed = common.toArrow()  # of a fixed greatest size, see common_shingles
+        tokens = listed["token"].to_numpy().view(np.uint64)
         order = np.argsort(tokens)
-        self.common = spark.sparkContext.broadcast((tokens[order], listed["seen"].to_numpy(np.int64)[order]))
+        self.common = spark.sparkContext.broadcast((tokens[order], listed["seen"].to_numpy()[order].astype(np.int32)))
         self.width, self.percent = width, percent
 
     def sets(self, batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, int]]:
@@ -149,12 +147,12 @@ def _near_size(n: Column, m: Column, percent: int) -> Column:
     return F.lit(100) * F.least(n, m) >= F.lit(percent) * F.greatest(n, m)
 
 
-def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80, share: float = 0.001, pivots: int = 4,
+def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80, common: int = 1 << 20, pivots: int = 4,
                        id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, n_shingles, component_id, part, component`` per row; ``part`` is the text's digest, and ``component`` tells
     components apart where ids repeat (null for an empty set)."""
     rows = keyed(docs, id_col, text_col).withColumn("part", content_key())
-    work = Shingler(docs.sparkSession, common_shingles(rows, width, share), width, percent)
+    work = Shingler(docs.sparkSession, common_shingles(rows, width, common), width, percent)
     own = stored(rows.mapInArrow(work.rows, "id long, part long, n long, s1 long, s2 long, grp long"), "sets")
     # classes of equal sets; the row that stands for one is its smallest
     classes = stored(own.filter("n > 0").groupBy("n", "s1", "s2", "grp")
@@ -163,11 +161,9 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80, share
 
     prefixes = rows.mapInArrow(work.prefixes, "token long, grp long")
     # the shuffle carries one row per group, prefix shingle and batch; shingles of one group only drop out here
-    low = [F.min(F.xxhash64("grp", F.lit(k))).alias(f"p{k}") for k in range(pivots)]
-    shared = (prefixes.groupBy("token").agg(F.min("grp").alias("g0"), F.max("grp").alias("g1"), *low)
-              .filter("g0 <> g1"))
-    groups = stored(prefixes.join(shared.select("token", *(f"p{k}" for k in range(pivots))), "token")
-                    .dropDuplicates(["token", "grp"]), "shared-prefixes")
+    shared = (prefixes.groupBy("token").agg(F.min("grp").alias("g0"), F.max("grp").alias("g1"))
+              .filter("g0 <> g1").select("token"))
+    groups = stored(prefixes.join(shared, "token").dropDuplicates(["token", "grp"]), "shared-prefixes")
 
     # expand groups to members; a group of several classes is a bucket of its own
     member = classes.select("vid", "n", "grp")
@@ -178,7 +174,8 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80, share
 
     # pivots: each class against the first member of a few groups of each of its buckets
     first = member.groupBy("grp").agg(F.min("vid").alias("pivot"), F.first("n").alias("m"))
-    chosen = groups.select("grp", F.explode(F.array(*(f"p{k}" for k in range(pivots)))).alias("mark"))
+    low = groups.groupBy("token").agg(*(F.min(F.xxhash64("grp", F.lit(k))).alias(f"p{k}") for k in range(pivots)))
+    chosen = groups.join(low, "token").select("grp", F.explode(F.array(*(f"p{k}" for k in range(pivots)))).alias("mark"))
     chosen = chosen.groupBy("grp", "mark").agg(F.count(F.lit(1)).alias("c"))
     marks = F.explode(F.array(*(F.xxhash64("grp", F.lit(k)) for k in range(pivots)))).alias("mark")
     stars = (chosen.join(first.select("pivot", "m", marks), "mark").join(member, "grp")
