@@ -32,7 +32,17 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 _BYTE_VALUES = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(_MULTIPLIER))
-_POWERS: dict[int, np.ndarray] = {}
+_PIECE = 1 << 21  # bytes hashed at once
+
+
+class _Powers(dict):
+    """Powers by base, made as they are needed; shipped to workers empty."""
+
+    def __reduce__(self):
+        return _Powers, ()
+
+
+_POWERS = _Powers()
 
 
 def _powers(base: int, n: int) -> np.ndarray:
@@ -54,9 +64,21 @@ def word_spans(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
 
 
 def word_hashes(raw: bytes, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit fingerprint of each word ``raw[starts[i]:ends[i]]``."""
+    """64-bit fingerprint of each word ``raw[starts[i]:ends[i]]``; long texts are taken in pieces that end with a word."""
     if not starts.size:
         return np.zeros(0, np.uint64)
+    if len(raw) > _PIECE and starts.size > 1:
+        out, k = [], 0
+        while k < starts.size:
+            last = max(k + 1, int(np.searchsorted(ends, starts[k] + _PIECE, side="right")))
+            a, b = int(starts[k]), int(ends[last - 1])
+            out.append(_piece_hashes(raw[a:b], starts[k:last] - a, ends[k:last] - a))
+            k = last
+        return np.concatenate(out)
+    return _piece_hashes(raw, starts, ends)
+
+
+def _piece_hashes(raw: bytes, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     terms = _BYTE_VALUES[np.frombuffer(raw, np.uint8)] * _powers(_MULTIPLIER, len(raw))
     sums = np.zeros(len(raw) + 1, np.uint64)
     np.cumsum(terms, out=sums[1:])
