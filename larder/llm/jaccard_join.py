@@ -174,8 +174,12 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80, commo
 
     # pivots: each class against the first member of a few groups of each of its buckets
     first = member.groupBy("grp").agg(F.min("vid").alias("pivot"), F.first("n").alias("m"))
-    low = groups.groupBy("token").agg(*(F.min(F.xxhash64("grp", F.lit(k))).alias(f"p{k}") for k in range(pivots)))
-    chosen = groups.join(low, "token").select("grp", F.explode(F.array(*(f"p{k}" for k in range(pivots)))).alias("mark"))
+    # a group with most of its prefix shared lies in the middle of its near copies, where most of them link
+    shares = groups.groupBy("grp").agg(F.count(F.lit(1)).alias("d")).join(first, "grp").select(
+        "grp", F.round(-F.col("d") / F.col("m"), 2).alias("d"))
+    low = groups.join(shares, "grp").groupBy("token").agg(*(
+        F.min(F.struct("d", F.xxhash64("grp", F.lit(k)).alias("h"))).alias(f"p{k}") for k in range(pivots)))
+    chosen = groups.join(low, "token").select("grp", F.explode(F.array(*(f"p{k}.h" for k in range(pivots)))).alias("mark"))
     chosen = chosen.groupBy("grp", "mark").agg(F.count(F.lit(1)).alias("c"))
     marks = F.explode(F.array(*(F.xxhash64("grp", F.lit(k)) for k in range(pivots)))).alias("mark")
     stars = (chosen.join(first.select("pivot", "m", marks), "mark").join(member, "grp")
