@@ -30,12 +30,19 @@ _SYMBOLS = b"#*$%&|<>"
 
 @dataclass(frozen=True)
 class Bands:
-    """``whole``: (least bytes, lowest ratio, highest ratio), longest first; the first that a text reaches holds.
-    ``chunk`` bounds the ratio of each full chunk; more than ``chunk_share`` of them outside rejects the text."""
-    whole: tuple[tuple[int, float, float], ...] = ((16384, 0.15, 0.80), (4096, 0.18, 0.85), (1024, 0.22, 0.90),
-                                                   (256, 0.28, 0.98))
+    """``whole``: (least bytes, lowest ratio, highest ratio, highest ratio of three-byte scripts), longest first; the first
+    that a text reaches holds. ``chunk`` bounds the ratio of each full chunk; more than ``chunk_share`` of them outside
+    rejects the text.
+
+    The highest ratios lie between prose of the band's least length and opaque text of its greatest, as measured (see
+    README). Three-byte scripts come nearer to noise while short: their limit holds from half the bytes on, and between
+    the two for a smaller share. Below 128 bytes neither prose nor a key compresses, and there is no upper limit."""
+    whole: tuple[tuple[int, float, float, float], ...] = (
+        (16384, 0.15, 0.64, 0.64), (4096, 0.18, 0.64, 0.64), (2048, 0.22, 0.64, 0.71), (1536, 0.22, 0.66, 0.74),
+        (1024, 0.22, 0.72, 0.785), (768, 0.28, 0.765, 0.83), (512, 0.28, 0.78, 0.90), (384, 0.28, 0.815, 0.97),
+        (256, 0.28, 0.85, 1.045))
     chunk_bytes: int = 4096
-    chunk: tuple[float, float] = (0.18, 0.85)
+    chunk: tuple[float, float] = (0.18, 0.64)
     chunk_share: float = 0.25
     level: int = 3
 
@@ -50,12 +57,21 @@ def duplicate_lines(raw: bytes) -> int:
     return len(lines) - len(set(lines))
 
 
+def limits(raw: bytes, bands: Bands) -> tuple[float, float]:
+    """(lowest, highest ratio) for a text of this length and script."""
+    low, high, wide = next((x[1:] for x in bands.whole if len(raw) >= x[0]), (0.0, float("inf"), float("inf")))
+    if wide == high:
+        return low, high
+    share = 3 * int((np.frombuffer(raw, np.uint8) >= 0xE0).sum()) / len(raw)
+    return low, high + min(1.0, 2 * share) * (wide - high)
+
+
 def compression(raw: bytes, bands: Bands, packer: zstandard.ZstdCompressor) -> tuple[float, int, int, bool]:
     """(whole ratio, chunks outside their band, chunks, whether the text is within its bands)."""
     if not raw:
         return 1.0, 0, 0, True
     ratio = len(packer.compress(raw)) / len(raw)
-    low, high = next(((lo, hi) for least, lo, hi in bands.whole if len(raw) >= least), (0.0, float("inf")))
+    low, high = limits(raw, bands)
     size = bands.chunk_bytes
     parts = [len(packer.compress(raw[k:k + size])) / size for k in range(0, len(raw) - size + 1, size)]
     bad = sum(not bands.chunk[0] <= x <= bands.chunk[1] for x in parts)
