@@ -3,13 +3,14 @@
 Text that repeats itself compresses far better than prose, and text without structure (keys, encoded blobs) far worse.
 Each document's zstandard ratio (compressed bytes / bytes) must lie in a band that depends on the document's length,
 because short texts carry the frame's overhead and long ones profit from distant repeats. Fixed chunks of long
-documents are held against a band of their own, so a repetitive or opaque part is seen inside a sound document.
+documents, and the rest behind the last, are held against bands of their own, so a repetitive or opaque part is seen
+inside a sound document.
 Word counts, symbol counts, repeated lines and repeated five-word windows are taken in the same pass.
 
 Map-only: one Arrow pass over the texts, no shuffle. One text is held at a time.
 
-Defined cases: null or empty text has zero counts, fails the base rule (fewer than 10 words) and is not kept; texts below
-the shortest band get no compression verdict; repeated rows, null ids and extra columns change nothing.
+Defined cases: null or empty text has zero counts, fails the base rule (fewer than 10 words) and is not kept; texts of one
+chunk or less are judged whole only; repeated rows, null ids and extra columns change nothing.
 """
 
 from __future__ import annotations
@@ -26,13 +27,14 @@ from .shared import keyed, raw_texts
 from .wordhash import repeated_window_words, text_words, word_spans
 
 _SYMBOLS = b"#*$%&|<>"
+_NONE = float("inf")
 
 
 @dataclass(frozen=True)
 class Bands:
     """``whole``: (least bytes, lowest ratio, highest ratio, highest ratio of three-byte scripts), longest first; the first
-    that a text reaches holds. ``chunk`` bounds the ratio of each full chunk; more than ``chunk_share`` of them outside
-    rejects the text.
+    that a text reaches holds. ``chunk`` bounds the ratio of each full chunk; the rest behind the last is a chunk with the band of
+    its own length. More than ``chunk_share`` of the bytes in chunks outside their band rejects the text.
 
     The highest ratios lie between prose of the band's least length and opaque text of its greatest, as measured (see
     README). Three-byte scripts come nearer to noise while short: their limit holds from half the bytes on, and between
@@ -40,7 +42,8 @@ class Bands:
     whole: tuple[tuple[int, float, float, float], ...] = (
         (16384, 0.15, 0.64, 0.64), (4096, 0.18, 0.64, 0.64), (2048, 0.22, 0.64, 0.71), (1536, 0.22, 0.66, 0.74),
         (1024, 0.22, 0.72, 0.785), (768, 0.28, 0.765, 0.83), (512, 0.28, 0.78, 0.90), (384, 0.28, 0.815, 0.97),
-        (256, 0.28, 0.85, 1.045))
+        (256, 0.28, 0.85, 1.045), (192, 0.34, 0.89, 1.1), (160, 0.34, 0.93, 1.1), (128, 0.34, 0.97, 1.1),
+        (64, 0.45, _NONE, _NONE), (32, 0.65, _NONE, _NONE), (1, 0.75, _NONE, _NONE))
     chunk_bytes: int = 4096
     chunk: tuple[float, float] = (0.18, 0.64)
     chunk_share: float = 0.25
@@ -59,7 +62,7 @@ def duplicate_lines(raw: bytes) -> int:
 
 def limits(raw: bytes, bands: Bands) -> tuple[float, float]:
     """(lowest, highest ratio) for a text of this length and script."""
-    low, high, wide = next((x[1:] for x in bands.whole if len(raw) >= x[0]), (0.0, float("inf"), float("inf")))
+    low, high, wide = next((x[1:] for x in bands.whole if len(raw) >= x[0]), (0.0, _NONE, _NONE))
     if wide == high:
         return low, high
     share = 3 * int((np.frombuffer(raw, np.uint8) >= 0xE0).sum()) / len(raw)
@@ -74,8 +77,14 @@ def compression(raw: bytes, bands: Bands, packer: zstandard.ZstdCompressor) -> t
     low, high = limits(raw, bands)
     size = bands.chunk_bytes
     parts = [len(packer.compress(raw[k:k + size])) / size for k in range(0, len(raw) - size + 1, size)]
-    bad = sum(not bands.chunk[0] <= x <= bands.chunk[1] for x in parts)
-    return ratio, bad, len(parts), low <= ratio <= high and bad <= bands.chunk_share * len(parts)
+    n, outside = len(parts), sum(not bands.chunk[0] <= x <= bands.chunk[1] for x in parts)
+    lost = outside * size
+    if n and (tail := raw[n * size:]):
+        n += 1
+        least, most = limits(tail, bands)
+        if not least <= len(packer.compress(tail)) / len(tail) <= most:
+            outside, lost = outside + 1, lost + len(tail)
+    return ratio, outside, n, low <= ratio <= high and lost <= bands.chunk_share * len(raw)
 
 
 def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bands: Bands = Bands()) -> DataFrame:

@@ -50,3 +50,22 @@ def test_prose_in_three_byte_scripts_stays(name):
         pytest.skip("the standard library's samples are not installed")
     raw = open(path, "rb").read()
     assert compression(raw, Bands(), zstandard.ZstdCompressor(level=Bands().level))[3]
+
+
+def test_the_rest_behind_the_last_chunk_is_judged(spark):
+    packer = zstandard.ZstdCompressor(level=Bands().level)
+    docs = spark.read.parquet(f"{SF}/documents.parquet").orderBy("doc_id").collect()
+    prose = max((r.text.encode() for r in docs if r.text and compression(r.text.encode(), Bands(), packer)[3]), key=len)
+    assert len(prose) > 8100
+    sound, long_word = prose[:8000], prose[:4096] + b" " + b"A" * 3900
+    blob = prose[:4096] + base64.encodebytes(random.Random(3).randbytes(3000))[:3900]
+    assert [compression(x, Bands(), packer)[1:] for x in (sound, long_word, blob)] == [(0, 2, True), (1, 2, False), (1, 2, False)]
+
+
+def test_short_texts_have_bands(spark):
+    rng = random.Random(5)
+    rows = [(0, "We walked down to the harbour before noon, bought bread, olives and two lemons, and sat by the water until the ferry came."),
+            (1, " ".join("z" * k for k in range(1, 18))), (2, opaque("words", 250, rng)), (3, "x " + " ".join("y" * k for k in range(3, 14)))]
+    got = {r.doc_id: r for r in quality_rules(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert not any(r.base_failed for r in got.values())
+    assert [got[i].kept for i in range(4)] == [True, False, False, False]
