@@ -110,12 +110,15 @@ GENERATORS = tuple((kind, re.compile(pattern)) for kind, pattern in (
 _CONTEXT = tuple(re.compile(p) for p in (
     r"e-?mail|mailto|contact|correo|courriel", r"\bip\b|host|server|addr|login", r"card|visa|carte|karte|tarjeta|credit",
     r"phone|tel|call|fax|mobil|appel|anruf|whatsapp", r"key|token|secret|passw|pwd|auth|bearer|credential"))
+#: What every candidate holds: a digit, an at sign, a spelled-out "at" or "dot", or two colon-separated hex groups.
+_NEEDED = re.compile(r"[0-9@]|\(at\)|\[at\]|\(dot\)|\[dot\]|\sdot\s|[A-Fa-f]:[A-Fa-f]")
+_ENDING = re.compile(r"[.)\]\s](?:com|org|net|edu|gov|info|io|co|uk|eu|de|fr|es)$")
 _PREFIX = re.compile(r"(?:AKIA|ASIA|ghp_|gho_|sk-|sk_live|xox[bp]-|AIza|eyJ)")
 
 
 def candidates(text: str) -> list[tuple[str, int, int]]:
     """Overlapping candidate spans of all generators."""
-    if not any(c in text for c in "0123456789@") and "at)" not in text and "at]" not in text and " dot " not in text:
+    if not _NEEDED.search(text):
         return []
     found = []
     for kind, pattern in GENERATORS:
@@ -143,7 +146,7 @@ def features(text: str, kind: str, start: int, end: int) -> list[float]:
             sum(c.isupper() for c in span) / n, sum(c in "aeiouAEIOU" for c in span) / n, float(bool(_PREFIX.match(span))),
             *(float(bool(p.search(before))) for p in _CONTEXT), float(before[-1:] in "=\"':"), float(after in "\"'"),
             float(bool(re.search(r"[=:]\s?[\"']?$", before))), float(min(numbers, default=-1) >= 1900),
-            float(":" in span), float(len({len(g) for g in groups}))]
+            float(":" in span), float(len({len(g) for g in groups})), float(bool(_ENDING.search(span)))]
 
 
 class Trees:
@@ -221,7 +224,8 @@ def _forms(draw: np.random.Generator, word: str) -> list[tuple[str | None, str]]
     name, host = f"{word}.{d(2)}", f"{word[:6]}{d(1)}"
     four = lambda s, sep: sep.join(s[k:k + 4] for k in range(0, 16, 4))
     return [("email", f"{name} (at) {host} (dot) com"), ("email", f"{name}[at]{host}.org"), ("email", f"{name} @ {host}.com"),
-            ("email", f"{name} at {host} dot com"), ("ip", "contact ip " + " . ".join(quad)),
+            ("email", f"{name} at {host} dot com"), ("email", f"{word} at {word[:6]} dot com"), ("email", f"{word} at {word[:6]} (dot) com"),
+            ("email", f"{word}.{word[:4]} (at) {word[:6]} [dot] org"), ("email", f"{word}\tat\t{word[:6]}\tdot\tnet"), ("ip", "contact ip " + " . ".join(quad)),
             ("card", "card " + four(card, ".")), ("card", four(card, " - ")), ("card", four(card, "/")),
             ("phone", f"tel ({d(3)}) {d(3)}-{d(4)}"), ("phone", f"call {d(3)}.{d(3)}.{d(4)}"), ("phone", f"phone: 00{d(2)} {d(3)} {d(4)}"),
             ("secret", f"password={key[:18]}"), ("secret", f"token = \"{key}\""), ("secret", f"AKIA{upper}"), ("secret", f"api_key: {key}"),
@@ -229,7 +233,7 @@ def _forms(draw: np.random.Generator, word: str) -> list[tuple[str | None, str]]
             (None, f"{d(2)}.{d(3)}.{d(3)},{d(2)}"), (None, wrong), (None, four(wrong, "/")), (None, f"{d(1)}.{d(2)}, {d(1)}.{d(2)}"),
             (None, f"{d(4)} {d(4)} {d(4)}"), (None, f"version {d(1)}.{d(1)}.{d(2)}.{d(4)}"), (None, ".".join(["999", *quad[:3]])),
             (None, f"{word}{word}{word}1"), (None, f"{word}-{word}-{word}-{d(2)}"), (None, d(12)), (None, d(20)),
-            (None, f"{word} at {word}. {word}"), (None, f"{d(3)} {d(3)} {d(3)} {d(3)}"), (None, f"/{word}/{word}/{word}{d(1)}")]
+            (None, f"{word} at {word}. {word}"), (None, f"{word} at {word[:6]} dot {word}"), (None, f"{word} at {word} dot {word[:3]} {word}"), (None, f"{d(3)} {d(3)} {d(3)} {d(3)}"), (None, f"/{word}/{word}/{word}{d(1)}")]
 
 
 def fit(texts: list[str], settings: Settings = Settings()) -> Trees | None:
