@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -104,7 +105,7 @@ GENERATORS = tuple((kind, re.compile(pattern)) for kind, pattern in (
     ("ip", r"(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{1,4}:){4,7}[0-9A-Fa-f]{1,4}(?![0-9A-Fa-f:])"),
     ("card", r"(?<![0-9])[0-9]{4}(?:[\x20./_-]{0,2}[0-9]{2,6}){2,5}(?![0-9])"),
     ("phone", r"(?<![0-9+])(?:\+|00|\()?[0-9][0-9\x20().\-/]{6,20}[0-9](?![0-9])"),
-    ("secret", r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,200}(?![A-Za-z0-9+/_-])"),
+    ("secret", r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}+"),
 ))
 
 _CONTEXT = tuple(re.compile(p) for p in (
@@ -221,19 +222,26 @@ def _forms(draw: np.random.Generator, word: str) -> list[tuple[str | None, str]]
     quad = [str(x) for x in draw.integers(1, 255, 4)]
     key = "".join(draw.choice(list("abcdef0123456789"), 32))
     upper = "".join(draw.choice(list("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"), 16))
+    mixed = lambda n: "".join(draw.choice(list("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"), n))
+    long = int(2 ** draw.uniform(7.6, 12))  # of a key that no line break divides
     name, host = f"{word}.{d(2)}", f"{word[:6]}{d(1)}"
     four = lambda s, sep: sep.join(s[k:k + 4] for k in range(0, 16, 4))
     return [("email", f"{name} (at) {host} (dot) com"), ("email", f"{name}[at]{host}.org"), ("email", f"{name} @ {host}.com"),
             ("email", f"{name} at {host} dot com"), ("email", f"{word} at {word[:6]} dot com"), ("email", f"{word} at {word[:6]} (dot) com"),
-            ("email", f"{word}.{word[:4]} (at) {word[:6]} [dot] org"), ("email", f"{word}\tat\t{word[:6]}\tdot\tnet"), ("ip", "contact ip " + " . ".join(quad)),
+            ("email", f"{word}.{word[:4]} (at) {word[:6]} [dot] org"), ("email", f"{word}\tat\t{word[:6]}\tdot\tnet"),
+            ("ip", "contact ip " + " . ".join(quad)),
             ("card", "card " + four(card, ".")), ("card", four(card, " - ")), ("card", four(card, "/")),
             ("phone", f"tel ({d(3)}) {d(3)}-{d(4)}"), ("phone", f"call {d(3)}.{d(3)}.{d(4)}"), ("phone", f"phone: 00{d(2)} {d(3)} {d(4)}"),
             ("secret", f"password={key[:18]}"), ("secret", f"token = \"{key}\""), ("secret", f"AKIA{upper}"), ("secret", f"api_key: {key}"),
+            ("secret", f"token: {mixed(long)}"), ("secret", mixed(long)), ("secret", "eyJ" + mixed(long).replace("+", "-").replace("/", "_")),
+            ("secret", "".join(draw.choice(list("abcdef0123456789"), long))),
+            (None, f"/{word}{d(1)}" * (long // 8)), (None, f"{word}-{d(1)}-" * (long // 8) + word), (None, f"{word}_" * (long // 8) + d(2)),
             (None, f"{draw.integers(1900, 2030)}-{draw.integers(10, 13)}-{draw.integers(10, 29)}"),
             (None, f"{d(2)}.{d(3)}.{d(3)},{d(2)}"), (None, wrong), (None, four(wrong, "/")), (None, f"{d(1)}.{d(2)}, {d(1)}.{d(2)}"),
             (None, f"{d(4)} {d(4)} {d(4)}"), (None, f"version {d(1)}.{d(1)}.{d(2)}.{d(4)}"), (None, ".".join(["999", *quad[:3]])),
             (None, f"{word}{word}{word}1"), (None, f"{word}-{word}-{word}-{d(2)}"), (None, d(12)), (None, d(20)),
-            (None, f"{word} at {word}. {word}"), (None, f"{word} at {word[:6]} dot {word}"), (None, f"{word} at {word} dot {word[:3]} {word}"), (None, f"{d(3)} {d(3)} {d(3)} {d(3)}"), (None, f"/{word}/{word}/{word}{d(1)}")]
+            (None, f"{word} at {word}. {word}"), (None, f"{word} at {word[:6]} dot {word}"),
+            (None, f"{word} at {word} dot {word[:3]} {word}"), (None, f"{d(3)} {d(3)} {d(3)} {d(3)}"), (None, f"/{word}/{word}/{word}{d(1)}")]
 
 
 def fit(texts: list[str], settings: Settings = Settings()) -> Trees | None:
@@ -291,10 +299,11 @@ def spans(text: str, trees: Trees | None) -> tuple[dict[str, list[tuple[int, int
     if proposed:
         p = trees.score(np.array([features(text, *c) for c in proposed], float))
         chosen = sorted(((-s, a, b, k) for s, (k, a, b) in zip(p.tolist(), proposed) if s >= trees.thresholds[k]))
-        covered: set[int] = set()
+        covered: list[tuple[int, int]] = []  # disjoint, in order
         for _, a, b, k in chosen:
-            if covered.isdisjoint(range(a, b)):
-                covered.update(range(a, b))
+            at = bisect(covered, (a, b))
+            if (at == 0 or covered[at - 1][1] <= a) and (at == len(covered) or covered[at][0] >= b):
+                covered.insert(at, (a, b))
                 every.append((k, a, b))
     return base, sorted(every, key=lambda s: (KINDS.index(s[0]), s[1]))
 

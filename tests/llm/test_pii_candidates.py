@@ -1,6 +1,8 @@
 """Candidates of personal data: no shortcut hides what a generator proposes, and what is proposed is redacted."""
 
+import base64
 import random
+import time
 
 from larder.llm import pii as P
 
@@ -34,3 +36,19 @@ def test_spelled_out_emails_without_a_digit_are_redacted(spark):
         assert P.redact_text(text, P.spans(text, trees)[1]) == "write to [EMAIL] for details please"
     for text in ("we met at home dot the end of it", "write to the team at noon. come along"):
         assert P.spans(text, trees)[1] == []
+
+
+def test_long_keys_are_redacted_whole(spark):
+    trees, rng = P.learn(spark.read.parquet(CORPUS)), random.Random(4)
+    key = lambda n: base64.b64encode(rng.randbytes(n)).decode()[:n].replace("=", "A")
+    for n in (200, 201, 400, 2000, 30_000):
+        own = key(n)
+        assert ("secret", 5, 5 + n) in P.candidates(f"key: {own} end")
+        text = f"the api_key: {own} was lost"
+        assert P.redact_text(text, P.spans(text, trees)[1]) == "the api_key: [SECRET] was lost"
+    token = "eyJ" + key(300) + ".eyJ" + key(500) + "." + key(342)
+    assert P.redact_text(token, P.spans(token, trees)[1]) == "[SECRET].[SECRET].[SECRET]"
+    path = "/usr/" + "/".join(["local", "share", "python3"] * 12)
+    assert P.spans(f"see {path} for it", trees)[1] == []
+    began = time.time()
+    assert len(P.spans(key(1_000_000), trees)[1]) == 1 and time.time() - began < 30
