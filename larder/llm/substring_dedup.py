@@ -1,19 +1,22 @@
-"""Substring dedup by prefix-partitioned suffix trees.
+"""Substring dedup by window fingerprints, partitioned by seeds.
 
-Every word position starts a suffix; two places share a passage of ``width`` words exactly where their suffixes agree to
-that depth. The suffixes are split into groups by short prefixes, and prefixes that too many suffixes share are extended,
-so that each group fits in memory; a group's suffix tree is then built by sorting, and its internal nodes at depth
-``width`` (two or more leaves) are the repeats. Overlapping repeats of a document join to its maximal repeated spans.
+Built in place of a literal suffix tree. Every word position starts a suffix; two places share a passage of ``width``
+words exactly where their suffixes agree to that depth. The suffixes are split into groups by short prefixes, and
+prefixes that too many suffixes share are extended, so that each group fits in memory; a group's leaves are then sorted
+by the fingerprint of their first ``width`` words, and runs of two or more are the repeats: the tree's internal nodes
+at that one depth. Other depths are not asked for, so no suffix is sorted word by word and no edge is split.
+Overlapping repeats of a document join to its maximal repeated spans.
 
 A group's prefix is a *seed* of ``seed`` words. Suffixes that start next to each other share most of their words, so a
-suffix is filed not under its literal first words but under the seed with the smallest fingerprint among those inside its
-first ``width`` words (equal passages choose equal seeds at equal offsets). A run of suffixes with one seed is one record:
-about a tenth of the rows, and none of the text, goes through the shuffle. Edges of the tree are fingerprints: 64 bits
-of the seed's words, then 40 bits of the passage.
+suffix is filed not under its literal first words but under the seed with the smallest fingerprint among those inside
+its first ``width`` words (equal passages choose equal seeds at equal offsets). A run of suffixes with one seed is one
+record: about a tenth of the rows, and none of the text, goes through the shuffle. A leaf's path is 64 bits of the
+seed's words, the offset, and all 64 bits of the passage's fingerprint: under one seed, where the first 64 agree by
+construction, n distinct passages make some n*n / 2^65 false pairs. Words are not compared.
 
 Plan: (1) count seeds, with map-side combining; those of more than ``group_limit`` records are *crowded*. (2) Shuffle the
 records by seed; each task sorts them and streams group by group, a group being at most ``group_limit`` records (some
-4 MB of edges).
+6 MB of edges).
 Suffixes under crowded seeds have their prefix extended to the whole passage instead: their leaves are counted per
 passage with map-side combining and a join that may be split, so no task meets a crowded group whole.
 (3) Join the repeated spans to the texts by row key. Passages that recur inside one text are found there, and enter the
@@ -36,7 +39,7 @@ from pyspark.sql import functions as F
 from .shared import content_key, keyed, raw_texts, stored
 from .wordhash import covered, text_words, window_hashes, word_spans
 
-_EDGE = 5  # bytes of a passage's fingerprint under its seed
+_EDGE = 8  # bytes of a passage's fingerprint under its seed: all of it, as one hot seed may have millions of passages
 
 
 def least_positions(values: np.ndarray, span: int) -> np.ndarray:
@@ -83,8 +86,8 @@ def seed_runs(raw: bytes, width: int, seed: int) -> tuple[np.ndarray, ...]:
 
 
 def _edges(prints: np.ndarray) -> np.ndarray:
-    """Lowest ``_EDGE`` bytes of each fingerprint, as rows of bytes."""
-    return np.ascontiguousarray(prints.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :_EDGE])
+    """Each fingerprint as a row of bytes."""
+    return prints.astype("<u8").view(np.uint8).reshape(-1, _EDGE)
 
 
 def _records(width: int, seed: int, whole: bool):
@@ -125,13 +128,11 @@ def _flatten(batch: pa.RecordBatch) -> tuple[np.ndarray, ...]:
     """Leaves of a batch of records: (record, index in the record, seed offset, edge)."""
     edges = batch.column("edges").cast(pa.large_binary())
     ends = np.frombuffer(edges.buffers()[1], np.int64)[edges.offset:edges.offset + len(edges) + 1]
-    raw = np.frombuffer(edges.buffers()[2], np.uint8)[ends[0]:ends[-1]].reshape(-1, _EDGE)
+    edge = np.frombuffer(edges.buffers()[2] or b"", np.uint8)[ends[0]:ends[-1]].copy().view("<u8")
     sizes = np.diff(ends) // _EDGE
-    edge = np.zeros((raw.shape[0], 8), np.uint8)
-    edge[:, :_EDGE] = raw
     record = np.repeat(np.arange(len(edges)), sizes)
     index = np.arange(record.size) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-    return record, index, batch.column("offset").to_numpy()[record] - index, edge.view("<u8").ravel()
+    return record, index, batch.column("offset").to_numpy()[record] - index, edge
 
 
 def _spans(batch: pa.RecordBatch, record: np.ndarray, index: np.ndarray) -> pa.RecordBatch:
