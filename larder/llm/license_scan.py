@@ -4,7 +4,8 @@ Every document is cut into overlapping windows of ``WINDOW`` words, ``STRIDE`` a
 words. Templates are cut at every position. Each of ``bands`` bands is the least digest of the set under a hash of
 its own; a document window that agrees with a template window in any band retrieves the template. The region around the
 window, wide enough for the whole template, is then compared exactly: the share of the template's distinct shingles that
-it holds must reach ``containment``.
+it holds must reach ``containment``, and no shingle of the template's ``required`` phrases (optional; the version and the
+family) may be missing. A name may have several forms, each a template of its own.
 
 Any passage of seven or more template words holds a whole document window (similarity 1, retrieved for certain). The least
 case, a three-word notice among other words, has similarity 1/3 and is retrieved with probability 1 - (2/3)**bands: 0.998
@@ -52,9 +53,87 @@ TEMPLATES = (
 )
 
 
+#: Public licences and standard notices at full length (the long ones by their notice)
+WHOLE = (
+    ("MIT-text", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and "
+     "associated documentation files (the 'Software'), to deal in the Software without restriction, including "
+     "without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell "
+     "copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the "
+     "following conditions: The above copyright notice and this permission notice shall be included in all "
+     "copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED 'AS IS', WITHOUT WARRANTY OF ANY"
+     " KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A "
+     "PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR "
+     "ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM,"
+     " OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."),
+    ("ISC-text", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is "
+     "hereby granted, provided that the above copyright notice and this permission notice appear in all copies."
+     " THE SOFTWARE IS PROVIDED 'AS IS' AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE "
+     "INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE "
+     "FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS"
+     " OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING "
+     "OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."),
+    ("BSD-2-Clause-text", "Redistribution and use in source and binary forms, with or without modification, are permitted provided "
+     "that the following conditions are met: Redistributions of source code must retain the above copyright "
+     "notice, this list of conditions and the following disclaimer. Redistributions in binary form must "
+     "reproduce the above copyright notice, this list of conditions and the following disclaimer in the "
+     "documentation and/or other materials provided with the distribution."),
+    ("BSD-3-Clause-text", "Redistribution and use in source and binary forms, with or without modification, are permitted provided "
+     "that the following conditions are met: Redistributions of source code must retain the above copyright "
+     "notice, this list of conditions and the following disclaimer. Redistributions in binary form must "
+     "reproduce the above copyright notice, this list of conditions and the following disclaimer in the "
+     "documentation and/or other materials provided with the distribution. Neither the name of the copyright "
+     "holder nor the names of its contributors may be used to endorse or promote products derived from this "
+     "software without specific prior written permission."),
+    ("Apache-2.0-notice", "Licensed under the Apache License, Version 2.0 (the 'License'); you may not use this file except in "
+     "compliance with the License. You may obtain a copy of the License at "
+     "http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, "
+     "software distributed under the License is distributed on an 'AS IS' BASIS, WITHOUT WARRANTIES OR "
+     "CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing "
+     "permissions and limitations under the License."),
+    ("Unlicense-text", "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, "
+     "publish, use, compile, sell, or distribute this software, either in source code form or as a compiled "
+     "binary, for any purpose, commercial or non-commercial, and by any means."),
+)
+
+
+def _variants() -> list[tuple[str, str, list[str]]]:
+    """(name, text, phrases of which no shingle may be missing): common forms of the notices. The phrases carry what tells
+    neighbouring licences apart: the version and the family."""
+    out = [("MIT", "under the MIT License", []), ("MIT", "The MIT License (MIT)", []), ("MIT", "licensed under MIT", []),
+           ("Apache-2.0", "Apache License, Version 2.0", ["License Version 2.0"]), ("Apache-2.0", "Apache License 2.0", ["Apache License 2.0"]),
+           ("Apache-2.0", "Apache 2.0 License", ["Apache 2.0 License"]),
+           ("MPL-2.0", "Mozilla Public License, v. 2.0", ["License v 2.0"]), ("MPL-2.0", "Mozilla Public License, version 2.0", ["License version 2.0"]),
+           ("MPL-2.0", "Mozilla Public License 2.0", ["License 2.0"])]
+    for short, family, versions in (("GPL", "GNU", ("2", "3")), ("LGPL", "GNU Lesser", ("2.1", "3")), ("AGPL", "GNU Affero", ("3",)),
+                                    ("LGPL", "GNU Library", ("2",))):
+        for version in versions:
+            name = f"{short}-{version if '.' in version else version + '.0'}"
+            begin = f"{family} General Public License"
+            forms = [(f"{begin}, version {version}", f"Public License version {version}"), (f"{begin} v{version}", f"Public License v{version}"),
+                     (f"{begin} {version}", f"Public License {version}"), (f"version {version} of the {begin}", f"version {version} of the")]
+            forms += [(f"{begin} as published by the Free Software Foundation{middle} version {version} of the License", f"version {version} of the License")
+                      for middle in (", either", ",")]
+            out += [(name, text, [f"{family} General Public", carries]) for text, carries in forms]
+            if family != "GNU Library":  # "LGPL version 2" also begins "LGPL version 2.1"
+                out += [(name, f"{short} version {version}", [f"{short} version {version}"])]
+    for marks, words in (("BY", "Attribution"), ("BY-SA", "Attribution-ShareAlike"), ("BY-NC", "Attribution-NonCommercial"),
+                         ("BY-ND", "Attribution-NoDerivatives"), ("BY-NC-SA", "Attribution-NonCommercial-ShareAlike"),
+                         ("BY-NC-ND", "Attribution-NonCommercial-NoDerivatives")):
+        for version in ("3.0", "4.0"):
+            out += [(f"CC-{marks}-{version}", f"CC {marks} {version}", [f"CC {marks} {version}"]),
+                    (f"CC-{marks}-{version}", f"Creative Commons {words} {version}", [f"Creative Commons {words} {version}"])]
+    return out + [("CC0-1.0", "CC0 1.0 Universal", ["CC0 1.0 Universal"])]
+
+
+#: Phrases that the built-in notices may not miss
+REQUIRED = {"GPL-3.0": ["License version 3"], "Apache-2.0": ["Version 2.0"], "MPL-2.0": ["v 2.0"], "CC-BY-NC-4.0": ["BY-NC 4.0"],
+            "CC-BY-SA-4.0": ["Attribution-ShareAlike 4.0"], "BSD-3-Clause-text": ["Neither the name of"], "Apache-2.0-notice": ["Version 2.0"]}
+
+
 def default_templates(spark: SparkSession) -> DataFrame:
-    """``name, text`` of the built-in templates."""
-    return spark.createDataFrame(list(TEMPLATES), "name string, text string")
+    """``name, text, required`` of the built-in templates; a name has as many rows as its licence has forms."""
+    rows = [(n, t, REQUIRED.get(n, [])) for n, t in (*TEMPLATES, *WHOLE)] + _variants()
+    return spark.createDataFrame(rows, "name string, text string, required array<string>")
 
 
 def _prints(words: str, at: Column) -> Column:
@@ -81,16 +160,19 @@ def matches(docs: DataFrame, templates: DataFrame, bands: int = 16, containment:
             id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id, part, name, first_word, containment``: templates that a document's text holds."""
     rows = keyed(docs, id_col, text_col).select("id", content_key().alias("part"), split_words("text").alias("words"))
-    own = templates.select("name", F.filter(split_words("text"), lambda x: x != "").alias("own"))
-    own = own.select("name", "own", F.raise_error(F.lit("a template needs three words")).alias("_")).filter(
-        F.size("own") < SHINGLE).select("name", "own").unionByName(own.filter(F.size("own") >= SHINGLE))
-    own = own.withColumn("shingles", _shingles("own"))
-    cut = own.select("name", F.size("own").alias("size"), "shingles", "own",
+    clean = lambda text: F.filter(split_words(text), lambda x: x != "")
+    phrases = F.col("required") if "required" in templates.columns else F.lit(None).cast("array<string>")
+    own = templates.select("name", F.xxhash64("text", phrases).alias("form"), clean("text").alias("own"),
+                           F.coalesce(phrases, F.array().cast("array<string>")).alias("phrases"))
+    own = own.select("name", "form", "own", "phrases", F.raise_error(F.lit("a template needs three words")).alias("_")).filter(
+        F.size("own") < SHINGLE).drop("_").unionByName(own.filter(F.size("own") >= SHINGLE))
+    own = own.withColumn("shingles", _shingles("own")).withColumn(
+        "must", F.array_distinct(F.flatten(F.transform("phrases", lambda p: _shingles(clean(p))))))
+    kept = ["name", "form", "size", "shingles", "must"]
+    cut = own.select("name", "form", F.size("own").alias("size"), "shingles", "must", "own",
                      F.explode(F.sequence(F.lit(0), F.greatest(F.size("own") - WINDOW, F.lit(0)))).alias("at"))
-    cut = cut.select("name", "size", "shingles", F.inline(_prints("own", F.col("at")))).select(
-        "name", "size", "shingles", _keys(bands))
-    index = stored(cut.select("b.band", "b.key", "name", "size", "shingles").dropDuplicates(["band", "key", "name"]),
-                   "template-bands")
+    cut = cut.select(*kept, F.inline(_prints("own", F.col("at")))).select(*kept, _keys(bands))
+    index = stored(cut.select("b.band", "b.key", *kept).dropDuplicates(["band", "key", "name", "form"]), "template-bands")
     listed = index.groupBy("band").agg(F.collect_set("key").alias("keys")).limit(bands).collect()  # of the templates only
 
     # a generated row for each window; only those that agree with a template in some band go on with their words
@@ -102,9 +184,11 @@ def matches(docs: DataFrame, templates: DataFrame, bands: int = 16, containment:
         "id", "part", "words", "at", "b.band", "b.key")
     begin = F.greatest(F.col("at") - F.col("size"), F.lit(0))
     region = F.slice("words", begin + 1, F.col("at") + F.col("size") + WINDOW - begin)
-    share = F.size(F.array_intersect(_shingles(region), F.col("shingles"))) / F.size("shingles")
-    return (join_small(keys, index, ["band", "key"]).select("id", "part", "name", "at", share.alias("share"))
-            .filter(F.col("share") >= containment)
+    share = F.size(F.array_intersect("there", F.col("shingles"))) / F.size("shingles")
+    lacks = F.size(F.array_except("must", F.col("there")))
+    return (join_small(keys, index, ["band", "key"]).select("id", "part", "name", "at", "shingles", "must", _shingles(region).alias("there"))
+            .select("id", "part", "name", "at", share.alias("share"), lacks.alias("lacks"))
+            .filter((F.col("share") >= containment) & (F.col("lacks") == 0))
             .groupBy("id", "part", "name").agg(F.min("at").alias("first_word"), F.max("share").alias("containment")))
 
 
