@@ -159,6 +159,12 @@ def training_rows(docs: DataFrame, settings: Settings, id_col: str, text_col: st
             .select("text", "lang").collect())
 
 
+def predict(text: str | None, profile: Profile, model: Model | None, settings: Settings) -> tuple[str, float]:
+    """(language, score) of a text; ``und`` where it has no letter or nothing could be learned."""
+    vector = profile.of(text or "", settings.piece) if model else None
+    return model.decode(vector) if vector is not None else (UNKNOWN, 0.0)
+
+
 def identify(docs: DataFrame, model: Model | None, settings: Settings = Settings(), id_col: str = "doc_id",
              text_col: str = "text") -> DataFrame:
     """``doc_id, held_out, lang_pred, score, ambiguous, part`` per row with a fitted model."""
@@ -169,8 +175,7 @@ def identify(docs: DataFrame, model: Model | None, settings: Settings = Settings
         for batch in batches:
             out = []
             for text in batch.column(1).to_pylist():
-                vector = profile.of(text or "", settings.piece) if fitted else None
-                name, score = fitted.decode(vector) if vector is not None else (UNKNOWN, 0.0)
+                name, score = predict(text, profile, fitted, settings)
                 out.append((name, score, score < settings.ambiguous))
             if out:
                 yield pa.RecordBatch.from_arrays(
@@ -192,8 +197,8 @@ def language_id(docs: DataFrame, settings: Settings = Settings(), id_col: str =
 
 def known_language(docs: DataFrame, settings: Settings = Settings(), id_col: str = "doc_id", text_col: str = "text",
                    lang_col: str = "lang") -> DataFrame:
-    """Rows whose language is recognised, all columns kept: only ``und`` is rejected, never a merely ambiguous text.
-    Where no language could be learned every text is ``und``, but then nothing is rejected."""
+    """Rows whose language is recognised, all columns kept: rejects exactly the rows that ``language_id`` calls ``und``, never
+    a merely ambiguous text. Where no language could be learned every text is ``und`` and rejected."""
     sample = training_rows(docs, settings, id_col, text_col, lang_col)
     shared = docs.sparkSession.sparkContext.broadcast(fit([r["text"] for r in sample], [r["lang"] for r in sample], settings))
 
@@ -202,10 +207,6 @@ def known_language(docs: DataFrame, settings: Settings = Settings(), id_col: str
         for batch in batches:
             if not batch.num_rows:
                 continue
-            found = []
-            for text in batch.column(at).to_pylist():
-                vector = profile.of(text or "", settings.piece) if fitted else None
-                found.append(not fitted or (vector is not None and fitted.decode(vector)[0] != UNKNOWN))
-            yield batch.filter(pa.array(found))
+            yield batch.filter(pa.array([predict(t, profile, fitted, settings)[0] != UNKNOWN for t in batch.column(at).to_pylist()]))
     at = docs.columns.index(text_col)
     return docs.mapInArrow(run, docs.schema)
