@@ -78,3 +78,45 @@ WITH words AS (
 SELECT words.doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n_kept, 0))::BIGINT AS n_removed,
        sha256(coalesce(kept.text, '')) AS kept_sha256
 FROM words LEFT JOIN kept USING (doc_id)"""
+
+
+def filter_audit_sql(docs: str = "documents") -> str:
+    """Rows of op13, by counting every combination of failed filters at every step of every order."""
+    return rf"""
+WITH texts AS (
+  SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t,
+         regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM {docs}
+), told AS (
+  SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic
+  FROM labels GROUP BY doc_id
+), failing AS (
+  SELECT part, good, toxic, concat(
+    CASE WHEN len(w) < 50 THEN 'A' ELSE '' END,
+    CASE WHEN 100 * len(list_distinct(w)) < 65 * len(w) THEN 'B' ELSE '' END,
+    CASE WHEN 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 5 * length(t) THEN 'C' ELSE '' END,
+    CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 'D' ELSE '' END,
+    CASE WHEN texts.doc_id > min(texts.doc_id) OVER (PARTITION BY t) THEN 'E' ELSE '' END) AS f
+  FROM texts LEFT JOIN told ON told.doc_id = texts.doc_id
+), states AS (
+  SELECT part, f, count(*) AS n, count(*) FILTER (good = 1) AS g, count(*) FILTER (toxic = 1) AS x FROM failing GROUP BY part, f
+), letters AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS c),
+orders AS (
+  SELECT a.c || b.c || c.c || d.c || e.c AS o FROM letters a, letters b, letters c, letters d, letters e
+  WHERE len(list_distinct([a.c, b.c, c.c, d.c, e.c])) = 5
+), steps AS (
+  SELECT o, s, substr(o, s, 1) AS c, substr(o, 1, s - 1) AS before FROM orders, (SELECT unnest(range(1, 6)) AS s)
+), outcomes AS (
+  SELECT part, o, s, c, n, g, x, f, contains(f, c) AS fails, translate(f, before, '') <> f AS gone FROM states, steps
+), counted AS (
+  SELECT part, o, s, c,
+    coalesce(sum(n) FILTER (NOT gone AND NOT fails), 0)::BIGINT AS kept,
+    coalesce(sum(n) FILTER (NOT gone AND fails), 0)::BIGINT AS removed,
+    coalesce(sum(n) FILTER (gone AND fails), 0)::BIGINT AS redundant,
+    coalesce(sum(n) FILTER (f = c), 0)::BIGINT AS unique_fails,
+    coalesce(sum(g) FILTER (NOT gone AND fails), 0)::BIGINT AS good_lost,
+    coalesce(sum(x) FILTER (NOT gone AND fails), 0)::BIGINT AS toxic_lost
+  FROM outcomes GROUP BY part, o, s, c
+)
+SELECT part, o AS filter_order, s::INTEGER AS step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+       (sum(removed) OVER (PARTITION BY part, c))::BIGINT AS shapley
+FROM counted"""

@@ -9,10 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 from larder.session import checkpoint_dir
 
 from .decontamination import decontaminate
+from .filter_audit import filter_audit
 from .jaccard_join import jaccard_components
 from .language_id import language_id
 from .license_scan import license_scan
-from .oracles import decontamination_sql, jaccard_sql, substring_sql
+from .oracles import decontamination_sql, filter_audit_sql, jaccard_sql, substring_sql
+from .periodic_runs import periodic_runs, repeat_tail
 from .pii import find_pii
 from .quality import quality_rules
 from .shared import documents
@@ -81,12 +83,23 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(documents(spark, sf_dir))
 
 
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Periodic runs of words in every text of ``documents``, a tenth of which are rewritten as repetitions first."""
+    return periodic_runs(documents(spark, sf_dir), rewrite=repeat_tail)
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What every order of five filters keeps, removes and hides in each source of ``documents``."""
+    return filter_audit(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_jaccard_join, op2_toxicity, op3_license_scan, op4_pii, op5_language_id, op6_word_bpe, op7_quality_rules, op8_decontamination, op9_token_counts,
-    op10_substring_dedup)}
+    op10_substring_dedup, op12_periodic_runs, op13_filter_audit)}
 
 SQL: dict[str, str] = {
     "op1_jaccard_join": jaccard_sql(),
     "op8_decontamination": decontamination_sql(),
     "op10_substring_dedup": substring_sql(),
+    "op13_filter_audit": filter_audit_sql(),
 }
