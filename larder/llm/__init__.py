@@ -1,4 +1,5 @@
-"""Training-data operators: ten corpus stages written for Spark, independent of the rest of the library.
+"""Training-data operators: corpus stages written for Spark. Of the rest of the library they use the session helpers only;
+nothing there uses them.
 
 Functions that run inside Spark's Python workers are shipped by value, so executors need only the interpreter's own
 packages and not a copy of this one.

@@ -120,3 +120,31 @@ orders AS (
 SELECT part, o AS filter_order, s::INTEGER AS step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
        (sum(removed) OVER (PARTITION BY part, c))::BIGINT AS shapley
 FROM counted"""
+
+
+def earlier_passages_sql(docs: str = "documents") -> str:
+    """Rows of op11, by the smallest id of every window of 50 bytes (texts as hexadecimal digits, two a byte)."""
+    return f"""
+WITH texts AS (
+  SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM {docs}
+), windows AS (
+  SELECT doc_id, i, substr(h, 2 * i + 1, 100) AS w
+  FROM (SELECT doc_id, h, unnest(range(0, length(h) // 2 - 49)) AS i FROM texts WHERE length(h) >= 100)
+), least AS (
+  SELECT w, min(doc_id) AS first_id FROM windows GROUP BY w
+), marked AS (
+  SELECT doc_id, i, i > lag(i, 1, -100) OVER (PARTITION BY doc_id ORDER BY i) + 50 AS opens
+  FROM windows JOIN least USING (w) WHERE first_id < doc_id
+), spans AS (
+  SELECT doc_id, min(i) AS a, max(i) + 50 AS b
+  FROM (SELECT doc_id, i, sum(opens::INTEGER) OVER (PARTITION BY doc_id ORDER BY i) AS k FROM marked) GROUP BY doc_id, k
+), cut AS (
+  SELECT doc_id, a, b, lag(b, 1, 0) OVER (PARTITION BY doc_id ORDER BY a) AS before FROM spans
+), kept AS (
+  SELECT doc_id, count(*) AS n_spans, sum(b - a) AS n_removed, max(b) AS tail,
+         string_agg(substr(h, 2 * before + 1, 2 * (a - before)), '' ORDER BY a) AS left_over
+  FROM cut JOIN texts USING (doc_id) GROUP BY doc_id
+)
+SELECT doc_id, length(h) // 2 AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0) AS n_spans,
+       sha256(unhex(coalesce(left_over, '') || substr(h, 2 * coalesce(tail, 0) + 1))) AS kept_sha256
+FROM texts LEFT JOIN kept USING (doc_id)"""

@@ -13,12 +13,13 @@ from .filter_audit import filter_audit
 from .jaccard_join import jaccard_components
 from .language_id import language_id
 from .license_scan import license_scan
-from .oracles import decontamination_sql, filter_audit_sql, jaccard_sql, substring_sql
+from .oracles import decontamination_sql, earlier_passages_sql, filter_audit_sql, jaccard_sql, substring_sql
 from .periodic_runs import periodic_runs, repeat_tail
 from .pii import find_pii
 from .quality import quality_rules
 from .shared import documents
 from .substring_dedup import remove_repeats
+from .suffix_runs import remove_earlier_passages
 from .token_counts import token_counts
 from .toxicity import toxicity
 from .word_bpe import encode_digests
@@ -83,6 +84,11 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(documents(spark, sf_dir))
 
 
+def op11_suffix_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of every text of ``documents`` in a 50-byte string that a document with a smaller id holds too."""
+    return remove_earlier_passages(documents(spark, sf_dir))
+
+
 def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Periodic runs of words in every text of ``documents``, a tenth of which are rewritten as repetitions first."""
     return periodic_runs(documents(spark, sf_dir), rewrite=repeat_tail)
@@ -95,11 +101,12 @@ def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     op1_jaccard_join, op2_toxicity, op3_license_scan, op4_pii, op5_language_id, op6_word_bpe, op7_quality_rules, op8_decontamination, op9_token_counts,
-    op10_substring_dedup, op12_periodic_runs, op13_filter_audit)}
+    op10_substring_dedup, op11_suffix_runs, op12_periodic_runs, op13_filter_audit)}
 
 SQL: dict[str, str] = {
     "op1_jaccard_join": jaccard_sql(),
     "op8_decontamination": decontamination_sql(),
     "op10_substring_dedup": substring_sql(),
+    "op11_suffix_runs": earlier_passages_sql(),
     "op13_filter_audit": filter_audit_sql(),
 }
