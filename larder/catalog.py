@@ -43,10 +43,13 @@ from pyspark.sql import functions as F  # noqa: E402
 
 from larder.functions import predicates as P  # noqa: E402
 from larder.operators import batch as B  # noqa: E402
+from larder.operators import keyed_store as KS  # noqa: E402
 from larder.operators import mapping as M  # noqa: E402
 from larder.operators import publish as PB  # noqa: E402
 from larder.operators import stats as S  # noqa: E402
+from larder.sources import document_sink as DS  # noqa: E402
 from larder.sources import tables as TB  # noqa: E402
+from larder.sources import versions as VS  # noqa: E402
 from larder.sources.snapshot import collection, published_snapshot, status_table  # noqa: E402
 
 
@@ -446,6 +449,17 @@ def q_commit_chunks(spark, sf_dir):
     return g.select("id", F.col("group").alias("chunk"), "idx")
 
 
+@query("commit_sink")
+def q_commit_sink(spark, sf_dir):
+    """Every published document's fate in a sink of 50-row commits that stores no document of more than 225 bytes; grade C is not in the target."""
+    p = published_snapshot(spark, sf_dir).select("id", F.array_join("instructions", " ").alias("text"), "healthGrade")
+    p = p.withColumn("text", F.when(F.col("healthGrade") == "A", F.col("text")).otherwise(F.substring("text", 1, 200)))
+    target = p.filter(~F.col("healthGrade").eqNullSafe(F.lit("C"))).select("id")
+    done = DS.commit_documents(p.select("id", "text"), TB.new_version_path(_scratch(spark, "commits")), existing=target, max_bytes=225)
+    return (done.stored.select("chunk", "id", F.lit("success").alias("outcome"))
+            .unionByName(done.failures.select("chunk", "id", F.lit("failed").alias("outcome"))))
+
+
 # ---- prompts, pages, restructure, sources/sinks (B1-B9, S3, S4, S7, S8, S11-S14, L2) -------
 
 from larder.plans import prompts as PR  # noqa: E402
@@ -533,10 +547,39 @@ def q_convert_codec(spark, sf_dir):
 
 @query("replace_dataset")
 def q_replace_dataset(spark, sf_dir):
-    _, c = _classified_with_tags(spark, sf_dir)
-    path = TB.replace_dataset(tagged_dataset(c).drop("new_tags"), _scratch(spark, "recipes"))
-    return spark.read.parquet(path).agg(F.count(F.lit(1)).alias("rows"),
-                                        F.count_if(F.size("tags") > 0).alias("tagged_rows"))
+    """The tagged dataset takes the place of the untagged one; a plain read of the base folder gives its rows."""
+    base = TB.new_version_path(_scratch(spark, "recipes"))
+    r, c = _classified_with_tags(spark, sf_dir, reuse=True)
+    VS.replace_dataset(r.select("recipe_id", "title", "tags"), base)
+    VS.replace_dataset(tagged_dataset(c).drop("new_tags"), base)
+    return VS.read_version(spark, base).agg(F.count(F.lit(1)).alias("rows"),
+                                            F.count_if(F.size("tags") > 0).alias("tagged_rows"))
+
+
+@query("dataset_versions")
+def q_dataset_versions(spark, sf_dir):
+    """Rows that differ between a dataset's current version and its backup, after the tags were written back."""
+    base = TB.new_version_path(_scratch(spark, "recipes"))
+    r, c = _classified_with_tags(spark, sf_dir, reuse=True)
+    VS.replace_dataset(r.select("recipe_id", "tags"), base)
+    VS.replace_dataset(tagged_dataset(c).select("recipe_id", "tags"), base, expected=1)
+    before = VS.read_version(spark, base, 1).select("recipe_id", F.col("tags").alias("before"))
+    both = VS.read_version(spark, base).join(before, "recipe_id").filter(~F.col("tags").eqNullSafe(F.col("before")))
+    return _flat(both, "tags", "before")
+
+
+@query("upsert_store")
+def q_upsert_store(spark, sf_dir):
+    """The published titles in a keyed store, after a table of edits in which most recipes come several times."""
+    base = TB.new_version_path(_scratch(spark, "store"))
+    r = _recipes(spark, sf_dir)
+    KS.create_store(published_snapshot(spark, sf_dir, r).select("id", "title", "healthGrade"), base)
+    edits = r.select(F.col("recipe_id").alias("id"), "title", "healthGrade", F.explode(F.sequence(F.lit(1), F.lit(5))).alias("n"))
+    edits = edits.filter((F.col("id").cast("long") + F.col("n")) % 3 == 0).select(
+        "id", F.concat_ws(" / edit ", "title", F.col("n").cast("string")).alias("title"), "healthGrade",
+        (F.col("n") * 7 % 5).alias("arrived"))
+    KS.upsert_store(edits, base, "arrived")
+    return VS.read_version(spark, base)
 
 
 @query("stats_export")

@@ -3,7 +3,7 @@ the whole de-duplicating publish job.
 
 A published collection is a table keyed by ``id`` (a snapshot). Writes never
 replace the path being read: each job writes a new version (see
-``sources.tables.replace_dataset``). Id-set operations are semi/anti joins:
+``sources.versions.replace_dataset``). Id-set operations are semi/anti joins:
 the planner broadcasts the id side only when its size estimate is under
 ``spark.sql.autoBroadcastJoinThreshold`` and otherwise shuffles both sides on
 the key; AQE splits skewed partitions.
@@ -16,7 +16,8 @@ from pyspark.sql import functions as F
 
 from larder.functions.text import empty_array
 from larder.operators.mapping import map_recipes, validate
-from larder.sources.tables import replace_dataset, stored
+from larder.sources.tables import stored
+from larder.sources.versions import replace_dataset
 
 
 def exclude_ids(df: DataFrame, ids: DataFrame, key: str = "recipe_id", ids_key: str = "id") -> DataFrame:
@@ -51,11 +52,11 @@ def mark_flag(status: DataFrame, ids: DataFrame, flag: str) -> DataFrame:
                       else F.col(c) for c in status.columns])
 
 
-def last_by_id(updates: DataFrame, order_col: str | None = None) -> DataFrame:
-    """One row per ``id``: the last by ``order_col``. A table has no arrival order of its own, so without one the row with
-    the largest digest stands, the same in every run."""
-    order = F.desc(order_col) if order_col else F.desc(F.xxhash64(*updates.columns))
-    w = Window.partitionBy("id").orderBy(order)
+def last_by_id(updates: DataFrame, order_col: str | None = None, key: str = "id") -> DataFrame:
+    """One row per ``key``: the last by ``order_col``. A table has no arrival order of its own, so without one, and among
+    rows that arrived together, the row with the largest digest stands, the same in every run."""
+    digest = F.desc(F.xxhash64(*updates.columns))
+    w = Window.partitionBy(key).orderBy(*([F.desc_nulls_last(order_col)] if order_col else []), digest)
     out = updates.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").drop("_rn")
     return out.drop(order_col) if order_col else out
 
@@ -149,8 +150,3 @@ def write_publish(selected: DataFrame, published: DataFrame, status: DataFrame,
     names = ("outcomes", "snapshot", "status")
     frames = publish_job(selected, published, status, dry_run=False, order_col=order_col)
     return {name: replace_dataset(frame, f"{base}/{name}") for name, frame in zip(names, frames)}
-
-
-def dedupe_last(df: DataFrame, key: str, order: Column) -> DataFrame:
-    w = Window.partitionBy(key).orderBy(order.desc())
-    return df.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").drop("_rn")

@@ -9,7 +9,7 @@ from larder.functions.predicates import any_tag_in
 from larder.operators.batch import get_batch
 from larder.plans.classify import diet_summary, merge_tags, with_classification
 from larder.plans.diet_rules import DIET_NAMES
-from larder.sources.tables import replace_dataset
+from larder.sources.versions import replace_dataset
 
 
 def diet_job(recipes: DataFrame, base: str, skip_tagged: bool = True, limit: int | None = None) -> tuple[DataFrame, str]:

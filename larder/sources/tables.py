@@ -24,7 +24,7 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return scan_parquet(spark, table_path(sf_dir, name))
 
 
-def _file_system(spark: SparkSession, path: str):
+def file_system(spark: SparkSession, path: str):
     """(file system, path) of any path that Spark can read, whatever its scheme."""
     own = spark._jvm.org.apache.hadoop.fs.Path(path)
     return own.getFileSystem(spark._jsc.hadoopConfiguration()), own
@@ -32,14 +32,14 @@ def _file_system(spark: SparkSession, path: str):
 
 def version_of(spark: SparkSession, path: str) -> tuple[int, int]:
     """(bytes, latest change) of a file, or of a dataset folder and its part files."""
-    fs, own = _file_system(spark, path)
+    fs, own = file_system(spark, path)
     return size_bytes(spark, path), max([fs.getFileStatus(own).getModificationTime(),
                                          *(f.getModificationTime() for f in fs.listStatus(own))])
 
 
 def size_bytes(spark: SparkSession, path: str) -> int:
     """Bytes below a path, by its own file system."""
-    fs, own = _file_system(spark, path)
+    fs, own = file_system(spark, path)
     return fs.getContentSummary(own).getLength()
 
 
@@ -52,7 +52,7 @@ def scan_parquet(spark: SparkSession, path: str) -> DataFrame:
     """
     if not path or not str(path).strip():
         raise ValueError("path must not be empty")
-    fs, own = _file_system(spark, path)
+    fs, own = file_system(spark, path)
     if not fs.exists(own):
         raise FileNotFoundError(path)
     if fs.getFileStatus(own).isFile() and not path.endswith(PARQUET_SUFFIXES):
@@ -145,17 +145,6 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def replace_dataset(df: DataFrame, base: str, codec: str = "zstd") -> str:
-    """Write ``df`` as a new version of the dataset at ``base`` and return its path.
-
-    Spark cannot overwrite the path it is reading from; the old version stays
-    in place as the backup and readers switch to the returned path.
-    """
-    path = new_version_path(base)
-    write_parquet(df, path, codec)
-    return path
-
-
 def restructure_wide(df: DataFrame, value_schema: str | None = None) -> DataFrame:
     """Wide -> long: columns named by recipe id, one struct per column, become rows.
 

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from larder.operators.mapping import map_recipes, validate
-from larder.operators.publish import dedupe_last
+from larder.operators.publish import last_by_id
 from larder.session import checkpoint_dir
 
 
@@ -37,9 +37,9 @@ def publish_stream(spark: SparkSession, source_dir: str, target_base: str, schem
 
 
 def current_snapshot(spark: SparkSession, target_base: str) -> DataFrame:
-    """Latest row per id across all published epochs."""
+    """Latest row per id across all published epochs; of an id's rows in one epoch the one with the largest digest."""
     updates = spark.read.option("basePath", f"{target_base}/updates").parquet(f"{target_base}/updates")
-    return dedupe_last(updates, "id", F.col("epoch")).drop("epoch")
+    return last_by_id(updates, "epoch")
 
 
 def failures(spark: SparkSession, target_base: str) -> DataFrame:

@@ -562,10 +562,29 @@ SELECT r.recipe_id, array_to_string(CASE WHEN r.tags IS NOT NULL AND NOT list_ha
 FROM recipes r LEFT JOIN _merge m ON m.recipe_id = r.recipe_id""")
 SQL["replace_dataset"] = with_tags(
     "SELECT count(*) AS rows, count(*) FILTER (WHERE len(tags) > 0) AS tagged_rows FROM tagged")
+SQL["dataset_versions"] = with_tags("""
+SELECT t.recipe_id, array_to_string(t.tags, '|') AS tags, array_to_string(r.tags, '|') AS before
+FROM tagged t JOIN recipes r USING (recipe_id) WHERE t.tags IS DISTINCT FROM r.tags""")
+SQL["upsert_store"] = with_mapped("""
+SELECT id, title, healthGrade FROM published WHERE id NOT IN (
+  SELECT recipe_id FROM recipes, range(1, 6) e(n) WHERE (CAST(recipe_id AS BIGINT) + n) % 3 = 0)
+UNION ALL
+SELECT recipe_id, concat_ws(' / edit ', title, CAST(n AS VARCHAR)), healthGrade
+FROM recipes, range(1, 6) e(n) WHERE (CAST(recipe_id AS BIGINT) + n) % 3 = 0
+QUALIFY row_number() OVER (PARTITION BY recipe_id ORDER BY n * 7 % 5 DESC) = 1""")
 SQL["commit_chunks"] = with_mapped("""
 SELECT id, (row_number() OVER (ORDER BY id) - 1) // 50 AS chunk,
        CAST((row_number() OVER (ORDER BY id) - 1) % 50 AS INTEGER) AS idx FROM published""")
 
+SQL["commit_sink"] = with_mapped("""
+SELECT chunk, id, CASE WHEN max(CASE WHEN known AND bytes > 225 THEN 1 ELSE 0 END) OVER (PARTITION BY chunk) = 1
+                       THEN 'failed' ELSE 'success' END AS outcome
+FROM (SELECT id, (row_number() OVER (ORDER BY id) - 1) // 50 AS chunk, healthGrade IS DISTINCT FROM 'C' AS known,
+             length('{"id":"' || id || '","text":"' ||
+                    CASE WHEN healthGrade = 'A' THEN array_to_string(instructions, ' ')
+                         ELSE substr(array_to_string(instructions, ' '), 1, 200) END || '"}') AS bytes FROM published)
+QUALIFY known""")
+
 
 # ---- prompts, pages, restructure ----------------------------------------------------------
 
