@@ -7,8 +7,8 @@ on a part of the sample the trees did not see, selects those that are redacted a
 
 The trees are fitted on a sample bounded by ``Settings.rows`` documents (the smallest digests of the id) and
 ``Settings.chars`` characters each. Positives are base spans, and rewritten forms set into the sample's own contexts;
-negatives are near misses set there alike (dates, versions, decimals, failed checksums, plain long words), and candidates
-of number kinds that no base rule confirms. Every text is then scanned whole, map-only.
+negatives are near misses set there alike (dates, versions, decimals, failed checksums, paths, slugs, digests, UUIDs), and
+candidates of number kinds that no base rule confirms. Every text is then scanned whole, map-only.
 
 Defined cases: null text is empty and has no spans; positions are code points; repeated rows, null ids and extra columns
 change nothing; where the sample offers nothing to learn from, the base spans are the result.
@@ -114,6 +114,11 @@ _CONTEXT = tuple(re.compile(p) for p in (
 #: What every candidate holds: a digit, an at sign, a spelled-out "at" or "dot", or two colon-separated hex groups.
 _NEEDED = re.compile(r"[0-9@]|\(at\)|\[at\]|\(dot\)|\[dot\]|\sdot\s|[A-Fa-f]:[A-Fa-f]")
 _ENDING = re.compile(r"[.)\]\s](?:com|org|net|edu|gov|info|io|co|uk|eu|de|fr|es)$")
+#: A piece of a name, path or slug: a word that can be spoken, with a few figures behind it at most; a year or small number
+_WORDY = re.compile(r"[A-Z]?(?=[a-z]*[aeiouy])(?![a-z]*[bcdfghjklmnpqrstvwxz]{5})[a-z]{2,14}[0-9]{0,2}|[0-9]{1,4}")
+_UUID = re.compile(r"[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}")
+_DIGEST = re.compile(r"(?:[0-9a-f]{40}|[0-9a-f]{64})")
+_NAMED = re.compile(r"commit|sha-?\d|digest|checksum|revision|uuid|guid|http|www|path|file|see |\bid\b")
 _PREFIX = re.compile(r"(?:AKIA|ASIA|ghp_|gho_|sk-|sk_live|xox[bp]-|AIza|eyJ)")
 
 
@@ -147,7 +152,9 @@ def features(text: str, kind: str, start: int, end: int) -> list[float]:
             sum(c.isupper() for c in span) / n, sum(c in "aeiouAEIOU" for c in span) / n, float(bool(_PREFIX.match(span))),
             *(float(bool(p.search(before))) for p in _CONTEXT), float(before[-1:] in "=\"':"), float(after in "\"'"),
             float(bool(re.search(r"[=:]\s?[\"']?$", before))), float(min(numbers, default=-1) >= 1900),
-            float(":" in span), float(len({len(g) for g in groups})), float(bool(_ENDING.search(span)))]
+            float(":" in span), float(len({len(g) for g in groups})), float(bool(_ENDING.search(span))),
+            sum(len(g) for g in groups if _WORDY.fullmatch(g)) / n, float(max((len(g) for g in groups if not _WORDY.fullmatch(g)), default=0)),
+            float(bool(_UUID.fullmatch(span))), float(bool(_DIGEST.fullmatch(span))), float(bool(_NAMED.search(before)))]
 
 
 class Trees:
@@ -213,8 +220,12 @@ class Trees:
             self.thresholds[kind] = max(self.settings.floor, float(p[own][order][fine[-1]])) if fine.size else 2.0
 
 
-def _forms(draw: np.random.Generator, word: str) -> list[tuple[str | None, str]]:
-    """Rewritten personal data (kind, form) and near misses (None, form) to set into a context."""
+def _forms(draw: np.random.Generator, words: list[str]) -> list[tuple[str | None, str]]:
+    """Rewritten personal data (kind, form) and near misses (None, form) to set into a context, made of the text's words."""
+    word = words[int(draw.integers(len(words)))]
+    some = lambda n, sep: sep.join(words[int(k)] + (str(draw.integers(0, 30)) if draw.random() < 0.2 else "")
+                                   for k in draw.integers(0, len(words), n))
+    hexed = lambda n: "".join(draw.choice(list("abcdef0123456789"), n))
     d = lambda n: "".join(map(str, draw.integers(0, 10, n)))
     card = d(15)
     card = next(card + str(c) for c in range(10) if luhn(card + str(c)))
@@ -232,13 +243,20 @@ def _forms(draw: np.random.Generator, word: str) -> list[tuple[str | None, str]]
             ("ip", "contact ip " + " . ".join(quad)),
             ("card", "card " + four(card, ".")), ("card", four(card, " - ")), ("card", four(card, "/")),
             ("phone", f"tel ({d(3)}) {d(3)}-{d(4)}"), ("phone", f"call {d(3)}.{d(3)}.{d(4)}"), ("phone", f"phone: 00{d(2)} {d(3)} {d(4)}"),
-            ("secret", f"password={key[:18]}"), ("secret", f"token = \"{key}\""), ("secret", f"AKIA{upper}"), ("secret", f"api_key: {key}"),
+            ("secret", f"password={key[:18]}"), ("secret", f"token = \"{key}\""), ("secret", f"token = \"{hexed(40)}\""), ("secret", f"secret: {hexed(64)}"),
+            ("secret", f"AKIA{upper}"), ("secret", f"key AKIA{upper}"), ("secret", f"ASIA{upper}"),
+            ("secret", "ghp_" + mixed(36).replace("+", "a").replace("/", "b")), ("secret", "sk-" + mixed(32).replace("+", "c").replace("/", "d")), ("secret", f"api_key: {key}"),
             ("secret", f"token: {mixed(long)}"), ("secret", mixed(long)), ("secret", "eyJ" + mixed(long).replace("+", "-").replace("/", "_")),
             ("secret", "".join(draw.choice(list("abcdef0123456789"), long))),
             (None, f"/{word}{d(1)}" * (long // 8)), (None, f"{word}-{d(1)}-" * (long // 8) + word), (None, f"{word}_" * (long // 8) + d(2)),
             (None, f"{draw.integers(1900, 2030)}-{draw.integers(10, 13)}-{draw.integers(10, 29)}"),
             (None, f"{d(2)}.{d(3)}.{d(3)},{d(2)}"), (None, wrong), (None, four(wrong, "/")), (None, f"{d(1)}.{d(2)}, {d(1)}.{d(2)}"),
             (None, f"{d(4)} {d(4)} {d(4)}"), (None, f"version {d(1)}.{d(1)}.{d(2)}.{d(4)}"), (None, ".".join(["999", *quad[:3]])),
+            (None, "/" + some(int(draw.integers(3, 60)), "/")), (None, f"see /{some(4, '/')}/{some(3, '_')}.py"),
+            (None, some(int(draw.integers(3, 40)), "-")), (None, f"{some(4, '-')}-{draw.integers(1990, 2030)}"),
+            (None, f"{word}.com/{some(1, '/')}/{draw.integers(2000, 2030)}/0{d(1)}/{some(6, '-')}"), (None, f"https://www.{word}.org/{some(5, '/')}"),
+            (None, f"commit {hexed(40)}"), (None, f"sha256 {hexed(64)}"), (None, hexed(40)), (None, f"id {hexed(8)}-{hexed(4)}-{hexed(4)}-{hexed(4)}-{hexed(12)}"),
+            (None, f"{hexed(8)}-{hexed(4)}-{hexed(4)}-{hexed(4)}-{hexed(12)}"),
             (None, f"{word}{word}{word}1"), (None, f"{word}-{word}-{word}-{d(2)}"), (None, d(12)), (None, d(20)),
             (None, f"{word} at {word}. {word}"), (None, f"{word} at {word[:6]} dot {word}"),
             (None, f"{word} at {word} dot {word[:3]} {word}"), (None, f"{d(3)} {d(3)} {d(3)} {d(3)}"), (None, f"/{word}/{word}/{word}{d(1)}")]
@@ -258,8 +276,8 @@ def fit(texts: list[str], settings: Settings = Settings()) -> Trees | None:
         words = re.findall(r"[a-z]{2,12}", text)
         if not gaps or not words:
             continue
-        kinds = _forms(draw, words[int(draw.integers(len(words)))])
-        for pick in draw.choice(len(kinds), 6, replace=False):
+        kinds = _forms(draw, words)
+        for pick in draw.choice(len(kinds), min(len(kinds), max(8, 6000 // len(texts))), replace=False):
             kind, form = kinds[pick]
             at = gaps[int(draw.integers(len(gaps)))]
             left, right = text[max(0, at - 60):at] + " ", " " + text[at + 1:at + 60]
@@ -320,10 +338,14 @@ def redact_text(text: str, found: list[tuple[str, int, int]]) -> str:
 
 def learn(docs: DataFrame, settings: Settings = Settings(), id_col: str = "doc_id", text_col: str = "text") -> Trees | None:
     """Fit on a bounded sample of texts that hold a digit or an at sign."""
-    rows = keyed(docs, id_col, text_col).filter(F.col("text").rlike("[0-9@]"))
-    sample = (rows.select(F.substring("text", 1, settings.chars).alias("text"), F.xxhash64("id", "text").alias("k"))
-              .orderBy("k").limit(settings.rows).collect())
-    return fit([r["text"] for r in sample], settings)
+    rows = keyed(docs, id_col, text_col).filter(F.col("text").rlike("[0-9@]")).withColumn("k", F.xxhash64("id", "text"))
+    # keys first: a task sends eight bytes a row to choose among, and the texts of the chosen rows only
+    least = rows.select("k").orderBy("k").limit(settings.rows).agg(F.max("k")).first()[0]
+    if least is None:
+        return None
+    sample = (rows.filter(F.col("k") <= least).select("k", F.substring("text", 1, settings.chars).alias("text"))
+              .groupBy("k").agg(F.min("text").alias("text")).collect())  # rows alike in id and text once
+    return fit([r["text"] for r in sorted(sample, key=lambda r: r["k"])], settings)
 
 
 def _listed(found) -> str:
