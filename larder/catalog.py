@@ -386,10 +386,17 @@ def q_snapshot_to_classifier_rows(spark, sf_dir):
                     F.array_join(F.filter(ing, lambda s: s != ""), "|").alias("ingredients"))
 
 
+def _review_index(spark, sf_dir):
+    """The stored index of the recipes with undecided diets; numbering reads its input twice, so the classification is stored."""
+    r = _recipes(spark, sf_dir).select("recipe_id", "title", "ingredients", "nutrients")
+    return RV.review_index(TB.stored(RV.uncertain_by_recipe(C.with_classification(r, reasons=False)), "uncertain"))
+
+
 def _review_inputs(spark, sf_dir):
-    """(classified rows, the stored index of the uncertain ones)."""
+    """(classified rows, the stored index of the uncertain ones), of one classification."""
     r = _recipes(spark, sf_dir).select("recipe_id", "title", "ingredients", "nutrients")
-    return C.with_classification(r), RV.review_index(RV.uncertain_by_recipe(C.with_classification(r, reasons=False)))
+    rows = TB.stored(C.with_classification(r).select("recipe_id", "title", "ingredients", "results"), "classified")
+    return rows, RV.review_index(RV.uncertain_by_recipe(rows))
 
 
 def _replies(index):
@@ -412,13 +419,13 @@ def _replies(index):
 
 @query("review_batches")
 def q_review_batches(spark, sf_dir):
-    _, index = _review_inputs(spark, sf_dir)
+    index = _review_index(spark, sf_dir)
     return RV.review_requests(index).select("batch", "n_recipes", "diets", "payload")
 
 
 @query("parse_review")
 def q_parse_review(spark, sf_dir):
-    _, index = _review_inputs(spark, sf_dir)
+    index = _review_index(spark, sf_dir)
     return RV.parse_replies(_replies(index), index)
 
 
@@ -590,6 +597,30 @@ def q_stats_export(spark, sf_dir):
     return spark.read.schema("section string, name string, count long").json(out)
 
 
+@query("stats_report")
+def q_stats_report(spark, sf_dir):
+    """All sections of the exported statistics, written as JSON lines and read back."""
+    out = TB.new_version_path(_scratch(spark, "stats"))
+    S.report(published_snapshot(spark, sf_dir)).write.json(out)
+    return spark.read.schema("section string, name string, value double").json(out)
+
+
+@query("sample_ids")
+def q_sample_ids(spark, sf_dir):
+    """The seeded sample's own ids: the same from any partitioning."""
+    return B.select_rows(_recipes(spark, sf_dir).select("recipe_id"), 200)
+
+
+@query("type_check_text")
+def q_type_check_text(spark, sf_dir):
+    """Numbers where text belongs: an author's number, and nutrients in list form with numeric quantities."""
+    r = _recipes(spark, sf_dir)
+    raw = r.select("recipe_id", "title", F.when(F.col("cluster_id") % 4 == 0, F.col("cluster_id")).alias("author"),
+                   F.when(F.col("cluster_id") % 3 == 0, F.transform("nutrients", lambda n: F.struct(
+                       n["name"].alias("name"), F.length(n["quantity"]).alias("quantity")))).alias("nutrients"))
+    return M.validate(M.map_recipes(raw)).select("id", "error")
+
+
 @query("json_source")
 def q_json_source(spark, sf_dir):
     """A JSON batch written from the published snapshot, then read back with the raw schema."""

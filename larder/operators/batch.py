@@ -21,11 +21,14 @@ def get_batch(df: DataFrame, count: int, *filters: Filter, query: dict[str, Any]
 
 def select_rows(df: DataFrame, count: int, mode: str = "random", seed: int = 42, key: str = "recipe_id") -> DataFrame:
     """Exactly ``count`` rows (all, if there are fewer): ``random`` without replacement, or the ``first`` by ``key``.
-    Either is a top-k: each task keeps at most ``count`` rows."""
+
+    Either is a top-k: each task keeps at most ``count`` rows. The random sample takes the smallest digests of seed and
+    key, so a seed names the same keys from any partitioning, and samples of parts merge to the sample of the whole."""
     if count < 0:
         raise ValueError("count must not be negative")
     if mode == "first":
         return df.orderBy(key).limit(count)
     if mode != "random":
         raise ValueError("mode must be random or first")
-    return df.orderBy(F.rand(seed)).limit(count)
+    text = F.coalesce(F.col(key).cast("string"), F.lit(""))
+    return df.orderBy(F.md5(F.concat(F.lit(f"{seed}:"), text).cast("binary")), key).limit(count)

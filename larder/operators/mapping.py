@@ -60,7 +60,7 @@ def normalize_nutrients(df: DataFrame, name: str = "nutrients") -> Column:
                         for f in dt.fields])
         out = F.when(c.isNotNull(), out)
     elif isinstance(dt, T.ArrayType):
-        out = c
+        out = c.cast(f"array<{NUTRIENT_TYPE}>")
     else:
         return empty_array(NUTRIENT_TYPE)
     return F.coalesce(out, empty_array(NUTRIENT_TYPE))
@@ -147,6 +147,10 @@ def map_recipes(df: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
         {f"_keep_{k}": k for k in keep})
 
 
+#: Text fields, in which a number is an error
+TEXT_FIELDS = ("uuid", "title", "description", "url", "host", "image", "author", "cookingMethod", "healthGrade", "channel")
+
+
 def lax_float(df: DataFrame, name: str) -> Column:
     """Number with lax coercion: numeric types and numeric text; anything else becomes null (see ``type_errors``)."""
     if name not in df.columns:
@@ -182,6 +186,15 @@ def type_errors(df: DataFrame, int_fields=("cookTime", "prepTime", "totalTime",
         if n in df.columns:
             msgs.append(F.when(F.col(n).isNotNull() & lax_float(df, n).isNull(),
                                F.lit(f"{n}: Input should be a valid number")))
+    for n in TEXT_FIELDS:  # text takes no coercion
+        if n in df.columns and not isinstance(df.schema[n].dataType, (T.StringType, T.NullType)):
+            msgs.append(F.when(F.col(n).isNotNull(), F.lit(f"{n}: Input should be a valid string")))
+    dt = df.schema["nutrients"].dataType if "nutrients" in df.columns else None
+    if isinstance(dt, T.ArrayType) and isinstance(dt.elementType, T.StructType):  # other forms are turned to text first
+        for f in dt.elementType.fields:
+            if f.name in ("name", "quantity") and not isinstance(f.dataType, T.StringType):
+                some = F.size(F.array_compact(F.col(f"nutrients.{f.name}"))) > 0
+                msgs.append(F.when(some, F.lit(f"nutrients.{f.name}: Input should be a valid string")))
     if not msgs:
         return F.lit("")
     return F.array_join(F.array_compact(F.array(*msgs)), "; ")

@@ -173,7 +173,7 @@ def top_by(df: DataFrame, score: str, k: int = 10, tie: str = "recipe_id") -> Da
 
 
 def statistics(df: DataFrame) -> DataFrame:
-    """(section, name, count): tag counts, nutrient field counts and missing fields of a dataset in one long table."""
+    """(section, name, count): tag counts, missing fields and grades of a dataset in one long table."""
     def section(label: str, part: DataFrame, name: str, count: str) -> DataFrame:
         return part.select(F.lit(label).alias("section"), F.col(name).cast("string").alias("name"),
                            F.col(count).cast("long").alias("count"))
@@ -182,6 +182,45 @@ def statistics(df: DataFrame) -> DataFrame:
             .unionByName(section("grades", grade_distribution(df), "grade", "count")))
 
 
+def report(df: DataFrame, top: int = 100, fields=REQUIRED_FIELDS) -> DataFrame:
+    """(section, name, value): the whole statistics export of one dataset in one scan.
+
+    Sections are total, tags (not empty), the ``top`` ingredients (as in ``ingredient_top``), nutrients (recipes with any, and
+    their percentage to two places), nutrient_fields and missing_fields (all of them, at 0 too). Every row is turned to its
+    (section, name) pairs, which are counted together with map-side partials, so a hot name is one row a task.
+    """
+    def named(section: str, names: Column) -> Column:
+        return F.transform(F.coalesce(names, F.array().cast("array<string>")),
+                           lambda n: F.struct(F.lit(section).alias("section"), n.alias("name")))
+
+    def one(section: str, name: str, when: Column | None = None) -> Column:
+        return named(section, F.array(F.lit(name)) if when is None else F.when(when, F.array(F.lit(name))))
+
+    structured = F.filter(F.transform("ingredients", lambda i: F.nullif(i["displayString"], F.lit(""))), lambda n: n.isNotNull())
+    strings = F.filter("ingredientStrings", lambda s: s.isNotNull())
+    clean = lambda names: F.transform(names, lambda n: py_strip(F.lower(n)))
+    pairs = F.concat(
+        one("total", "recipes"), named("tags", F.filter("tags", lambda t: t.isNotNull() & (t != ""))),
+        named("ingredients", clean(structured)), named("ingredients", clean(strings)),
+        one("nutrients", "recipes_with_nutrients", F.coalesce(F.size("nutrients") > 0, F.lit(False))),
+        named("nutrient_fields", F.transform("nutrients", lambda n: F.coalesce(n["name"], F.lit("unknown")))),
+        *(one("missing_fields", f, _missing(df, f)) for f in fields))
+    zero = [("total", "recipes"), ("nutrients", "recipes_with_nutrients"), *(("missing_fields", f) for f in fields)]
+    zeros = df.sparkSession.range(1).select(F.inline(F.array(*(
+        F.struct(F.lit(s).alias("section"), F.lit(n).alias("name"), F.lit(0).cast("long").alias("n")) for s, n in zero))))
+    counted = (df.select(F.inline(pairs)).withColumn("n", F.lit(1).cast("long")).unionByName(zeros)
+               .groupBy("section", "name").agg(F.sum("n").alias("n")))
+    small = counted.filter(F.col("section") != "ingredients")
+    best = top_k_per_group(counted.filter(F.col("section") == "ingredients"), "section", [F.desc("n"), F.col("name")], top)
+    share = small.filter(F.col("section").isin("total", "nutrients")).agg(
+        F.max(F.when(F.col("section") == "nutrients", F.col("n"))).alias("with"),
+        F.max(F.when(F.col("section") == "total", F.col("n"))).alias("all")).select(
+        F.lit("nutrients").alias("section"), F.lit("coverage_percent").alias("name"),
+        F.when(F.col("all") > 0, F.round(F.col("with") / F.col("all") * 100, 2)).otherwise(F.lit(0.0)).alias("value"))
+    counts = small.unionByName(best).select("section", "name", F.col("n").cast("double").alias("value"))
+    return counts.unionByName(share)
+
+
 def top_k_per_group(df: DataFrame, group: str, order: list[Column], k: int) -> DataFrame:
     """First ``k`` rows per group by ``order``.
 

