@@ -64,10 +64,10 @@ class Profile:
     def __init__(self, buckets: int):
         self.buckets = buckets
         self.letter = np.zeros(0x110000, bool)
-        for a, b in ((0, 0x3400), (0xA000, 0xD7FF + 1), (0xF900, 0x20000)):
+        for a, b in ((0, 0x3400), (0xA000, 0xD7FF + 1), (0xF900, 0x33480)):
             self.letter[a:b] = [chr(c).isalpha() for c in range(a, b)]
-        self.letter[0x3400:0xA000] = True  # ideographs; the few gaps are unassigned
-        self.letter[0x20000:0x32000] = True
+        self.letter[0x3400:0x4DC0] = True  # ideographs; the hexagrams between them are symbols
+        self.letter[0x4E00:0xA000] = True
 
     def counts(self, text: str) -> np.ndarray | None:
         """Counts of the 1- to 3-grams of the text's letters, words parted by one blank; None without a letter."""
@@ -148,12 +148,19 @@ def fit(texts: list[str], languages: list[str], settings: Settings = Settings())
 
 
 def training_rows(docs: DataFrame, settings: Settings, id_col: str, text_col: str, lang_col: str) -> list:
-    """At most ``rows`` (text, lang) of each of at most ``languages`` languages, from the rows that may be learned."""
+    """At most ``rows`` (text, lang) of each language, and ``rows * languages`` in all, from the rows that may be learned; where
+    there are more languages than that, all of them have equally many rows, to one.
+
+    A language's rows are counted first, and only those whose digest lies below a bound that some four times ``rows`` stay
+    under go on to be ordered, so no task meets all rows of a language.
+    """
     rows = keyed(docs, id_col, text_col, lang_col).filter(F.col("lang").isNotNull() & (F.col("text") != ""))
     fold = crc_fold("id", settings.folds)
     rows = rows.filter(fold.isNull() | (fold != settings.held_out))
+    counts = rows.groupBy(F.col("lang").alias("_lang")).agg(F.count(F.lit(1)).alias("_rows"))
+    bound = F.least(F.lit(1.0), 4.0 * settings.rows / F.col("_rows")) * float(1 << 32)
+    rows = rows.join(counts, F.col("lang") == F.col("_lang")).filter(F.pmod(F.xxhash64("id", "text"), F.lit(1 << 32)) < bound)
     order = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id", F.xxhash64("text"))
-    # Spark keeps at most ``rows`` of a language in each task before the shuffle
     rows = rows.select("lang", F.substring("text", 1, settings.chars).alias("text"), F.row_number().over(order).alias("k"))
     return (rows.filter(F.col("k") <= settings.rows).orderBy("k", "lang").limit(settings.rows * settings.languages)
             .select("text", "lang").collect())
