@@ -151,15 +151,16 @@ def training_rows(docs: DataFrame, settings: Settings, id_col: str, text_col: st
     """At most ``rows`` (text, lang) of each language, and ``rows * languages`` in all, from the rows that may be learned; where
     there are more languages than that, all of them have equally many rows, to one.
 
-    A language's rows are counted first, and only those whose digest lies below a bound that some four times ``rows`` stay
-    under go on to be ordered, so no task meets all rows of a language.
+    Rows are counted by language first. Of the ``languages`` most frequent ones only rows go on to be ordered whose digest lies
+    below a bound that some four times ``rows`` stay under, so no task meets all rows of a large language.
     """
     rows = keyed(docs, id_col, text_col, lang_col).filter(F.col("lang").isNotNull() & (F.col("text") != ""))
     fold = crc_fold("id", settings.folds)
     rows = rows.filter(fold.isNull() | (fold != settings.held_out))
     counts = rows.groupBy(F.col("lang").alias("_lang")).agg(F.count(F.lit(1)).alias("_rows"))
-    bound = F.least(F.lit(1.0), 4.0 * settings.rows / F.col("_rows")) * float(1 << 32)
-    rows = rows.join(counts, F.col("lang") == F.col("_lang")).filter(F.pmod(F.xxhash64("id", "text"), F.lit(1 << 32)) < bound)
+    counts = counts.orderBy(F.desc("_rows"), "_lang").limit(settings.languages)  # so few that they may be broadcast
+    bound = F.coalesce(F.least(F.lit(1.0), 4.0 * settings.rows / F.col("_rows")), F.lit(1.0)) * float(1 << 32)
+    rows = rows.join(F.broadcast(counts), F.col("lang") == F.col("_lang"), "left").filter(F.pmod(F.xxhash64("id", "text"), F.lit(1 << 32)) < bound)
     order = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id", F.xxhash64("text"))
     rows = rows.select("lang", F.substring("text", 1, settings.chars).alias("text"), F.row_number().over(order).alias("k"))
     return (rows.filter(F.col("k") <= settings.rows).orderBy("k", "lang").limit(settings.rows * settings.languages)
