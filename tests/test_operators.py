@@ -253,3 +253,12 @@ def test_recipe_table_follows_its_inputs(spark, scratch):
     before = recipe_table(spark, scratch).count()
     spark.read.parquet("/root/testdata/sf0.001/orders.parquet").limit(3).write.mode("append").parquet(f"{scratch}/orders.parquet")
     assert recipe_table(spark, scratch).count() == before + 3
+
+
+def test_seeded_sample_does_not_depend_on_partitions(spark):
+    from larder.operators.batch import select_rows
+
+    df = spark.range(2000).selectExpr("cast(id as string) AS recipe_id")
+    picks = [[r.recipe_id for r in select_rows(df.repartition(n), 25).collect()] for n in (1, 7, 200)]
+    assert picks[0] == picks[1] == picks[2] and len(set(picks[0])) == 25
+    assert set(picks[0]) != {r.recipe_id for r in select_rows(df, 25, seed=7).collect()}
