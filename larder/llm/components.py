@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import stored
+from .shared import dropped, stored
 
 
 def _least(edges: DataFrame) -> DataFrame:
@@ -35,7 +35,9 @@ def components(edges: DataFrame) -> DataFrame:
         low = large.groupBy(F.col("a").alias("u")).agg(F.min("b").alias("m"))
         small = (large.join(low, F.col("a") == F.col("u")).select(F.col("b").alias("a"), F.col("m").alias("b"))
                  .unionByName(low.select(F.col("u").alias("a"), F.col("m").alias("b"))))
+        done = (edges, large)
         edges = stored(small.filter("a <> b").distinct(), "edges")
+        dropped(*done)
         now = edges.agg(F.count(F.lit(1)), F.sum(F.hash("a", "b").cast("long"))).first()
         if now == before:
             break

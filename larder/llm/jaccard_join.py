@@ -13,13 +13,19 @@ expanded to their members, which are verified exactly.
 * Hot prefixes: a prefix shingle shared by thousands of near copies is never expanded into pairs. Its classes are first
   compared with a few pivots (a linear number of pairs), verified links are contracted to components, and only pairs
   whose components still differ are formed. A class pair inside one component cannot change the result, so none is lost.
+* Positions: such a pair is formed only at a shared shingle that leaves room, in both sets, for the overlap that their
+  sizes ask for. The first shingle that a linked pair shares always does, so none is lost; classes whose own shingles
+  fill the front of their order, as in copies with many edits, form no pairs at all.
 
-Expensive steps are written to the shared folder. Texts are read again for the classes to be verified rather than
-keeping every set.
+Expensive steps are written to the shared folder, and dropped there once their last reader is written. Texts are read
+again for the classes to be verified rather than keeping every set.
 
 Defined cases: null or empty text has the empty set and is linked with nothing; fewer words than ``width`` make one
 shingle; repeated rows are linked with each other (an empty one is not); a row without id has a component like any
-other, named by the smallest id in it (null if none has one). Extra columns are ignored.
+other, named by the smallest id in it (null if none has one). Extra columns are ignored, whatever their names. An empty
+table gives an empty one. Of ties for the row that is kept, the smallest id wins, then the smallest text digest; rows
+alike in both are one row's copies, and one of them stays. A very long text is one set, held by one task at a time and
+compared whole.
 """
 
 from __future__ import annotations
@@ -32,7 +38,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import content_key, keyed, raw_texts, row_key, stored, without
+from .shared import content_key, dropped, keyed, raw_texts, row_key, stored, without
 from .wordhash import LOWER_ASCII, mix, shingle_set
 
 
@@ -42,8 +48,9 @@ def prefix_size(n: int, percent: int) -> int:
 
 
 def common_shingles(rows: DataFrame, width: int, most: int, block: int = 4000) -> DataFrame:
-    """``token, seen``: the ``most`` shingles that blocks of ``block`` documents report most often, with the sum of the
-    reports. A block reports every shingle that two of its documents or more hold; all documents are counted."""
+    """``token, seen``: at most ``most`` shingles that blocks of ``block`` documents report most often, with the sum of the
+    reports. A block reports every shingle that two of its documents or more hold; all documents are counted. The list
+    ends at a level of reports (a sixteenth of a power of two) that it can hold whole, found by counting, not by sorting."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def counted(sets: list[np.ndarray]) -> pa.RecordBatch:
             tokens, counts = np.unique(np.concatenate(sets), return_counts=True)
@@ -62,7 +69,14 @@ def common_shingles(rows: DataFrame, width: int, most: int, block: int = 4000) -
             yield counted(sets)
 
     found = rows.mapInArrow(run, "token long, seen long").groupBy("token").agg(F.sum("seen").alias("seen"))
-    return found.orderBy(F.desc("seen"), "token").limit(most)
+    found = stored(found.withColumn("level", F.floor(F.log2("seen") * 16).cast("int")), "reports")
+    total, cut = 0, None
+    for level, k in sorted(found.groupBy("level").count().collect(), reverse=True):  # at most 16 x 64 levels
+        total += k
+        if total > most:
+            break
+        cut = level
+    return found.filter(F.col("level") >= cut if cut is not None else F.lit(False)).select("token", "seen")
 
 
 def _ordered(raw: bytes, width: int, tokens: np.ndarray, seen: np.ndarray) -> np.ndarray:
@@ -101,27 +115,21 @@ class Shingler:
             yield own, prefix_size(own.size, self.percent) if own.size else 0
 
     def rows(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """``id, part, n, s1, s2, grp``: set size and digest, and the group (size and prefix)."""
+        """``id, part, n, s1, s2, grp, prefix``: set size and digest, the group (size and prefix), and its prefix in order,
+        given once for a group in each batch."""
         for batch in batches:
-            out = [(own.size, _digest(np.sort(own), 1), _digest(np.sort(own), 2), _digest(own[:k], own.size + 3))
-                   for own, k in self.sets(batch)]
-            if out:
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *(pa.array(x) for x in zip(*out))],
-                                                 ["id", "part", "n", "s1", "s2", "grp"])
-
-    def prefixes(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """``token, grp``: prefix shingles, once for a group in each batch."""
-        for batch in batches:
-            tokens, groups, met = [], [], set()
+            out, met = [], set()
             for own, k in self.sets(batch):
                 grp = _digest(own[:k], own.size + 3)
-                if k and grp not in met:
-                    met.add(grp)
-                    tokens.append(own[:k])
-                    groups.append(np.full(k, grp, np.int64))
-            if tokens:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens).view(np.int64)),
-                                                  pa.array(np.concatenate(groups))], ["token", "grp"])
+                first = k > 0 and grp not in met
+                met.add(grp)
+                out.append((own.size, _digest(np.sort(own), 1), _digest(np.sort(own), 2), grp,
+                            own[:k].view(np.int64) if first else None))
+            if out:
+                *digests, prefix = zip(*out)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0), batch.column(2), *(pa.array(x, pa.int64()) for x in digests),
+                     pa.array(prefix, pa.list_(pa.int64()))], ["id", "part", "n", "s1", "s2", "grp", "prefix"])
 
     def members(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """``vid, tokens``: whole sets of (vid, text)."""
@@ -135,12 +143,16 @@ class Shingler:
                     ["vid", "tokens"])
 
 
+def _overlap(n: Column, m: Column, percent: int) -> Column:
+    """Shared shingles that two sets of sizes ``n`` and ``m`` must have."""
+    return F.ceil(F.lit(percent) * (n + m) / F.lit(100 + percent) - F.lit(1e-9))
+
+
 def _needed(n: Column, m: Column, percent: int) -> Column:
     """Shared prefix shingles that two sets of sizes ``n`` and ``m`` must show, at least 1: the overlap their similarity
     asks for, less what can lie behind the prefix of either."""
-    overlap = F.ceil(F.lit(percent) * (n + m) / F.lit(100 + percent) - F.lit(1e-9))
     behind = F.greatest(*(F.ceil(F.lit(percent) * x / F.lit(100) - F.lit(1e-9)) - 1 for x in (n, m)))
-    return F.greatest(overlap - behind, F.lit(1))
+    return F.greatest(_overlap(n, m, percent) - behind, F.lit(1))
 
 
 def _near_size(n: Column, m: Column, percent: int) -> Column:
@@ -153,13 +165,13 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80, commo
     components apart where ids repeat (null for an empty set)."""
     rows = keyed(docs, id_col, text_col).withColumn("part", content_key())
     work = Shingler(docs.sparkSession, common_shingles(rows, width, common), width, percent)
-    own = stored(rows.mapInArrow(work.rows, "id long, part long, n long, s1 long, s2 long, grp long"), "sets")
+    own = stored(rows.mapInArrow(work.rows, "id long, part long, n long, s1 long, s2 long, grp long, prefix array<long>"), "sets")
     # classes of equal sets; the row that stands for one is its smallest
     classes = stored(own.filter("n > 0").groupBy("n", "s1", "s2", "grp")
                      .agg(F.min(F.struct("id", "part")).alias("at"), F.min("id").alias("label"))
                      .withColumn("vid", F.monotonically_increasing_id()), "classes")
 
-    prefixes = rows.mapInArrow(work.prefixes, "token long, grp long")
+    prefixes = own.filter("prefix is not null").select("grp", F.posexplode("prefix").alias("at", "token"))
     # the shuffle carries one row per group, prefix shingle and batch; shingles of one group only drop out here
     shared = (prefixes.groupBy("token").agg(F.min("grp").alias("g0"), F.max("grp").alias("g1"))
               .filter("g0 <> g1").select("token"))
@@ -169,8 +181,8 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80, commo
     member = classes.select("vid", "n", "grp")
     several = member.groupBy("grp").agg(F.count(F.lit(1)).alias("k"), F.min("vid").alias("pivot")).filter("k > 1")
     within = member.join(several, "grp").filter("vid <> pivot").select(F.col("vid").alias("a"), F.col("pivot").alias("b"))
-    bucket = stored(groups.select("token", "grp").join(member, "grp").select("token", "vid", "n").unionByName(
-        several.join(member, "grp").select(F.col("grp").alias("token"), "vid", "n")), "buckets")
+    bucket = stored(groups.select("token", "grp", "at").join(member, "grp").select("token", "vid", "n", "at").unionByName(
+        several.join(member, "grp").select(F.col("grp").alias("token"), "vid", "n", F.lit(0).alias("at"))), "buckets")
 
     # pivots: each class against the first member of a few groups of each of its buckets
     first = member.groupBy("grp").agg(F.min("vid").alias("pivot"), F.first("n").alias("m"))
@@ -189,25 +201,24 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80, commo
              .select(F.col("vid").alias("a"), F.col("pivot").alias("b")))
     pairs = stored(stars.unionByName(within).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
                    .distinct(), "star-pairs")
-    links = stored(verified(pairs, classes, rows, work, percent), "star-links")
+    links = verified(pairs, classes, rows, work, percent)
     label = stored(components(links).select(F.col("vertex").alias("vid"), "component"), "star-components")
 
     # what is left: classes of one bucket whose components still differ
     placed = (bucket.join(label, "vid", "left")
-              .select("token", "vid", "n", F.coalesce("component", "vid").alias("c")))
+              .select("token", "vid", "n", "at", F.coalesce("component", "vid").alias("c")))
     mixed = placed.groupBy("token").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).filter("c0 <> c1").select("token")
     open_ = stored(placed.join(mixed, "token"), "open-buckets")
+    dropped(bucket, groups)
     x, y = open_.alias("x"), open_.alias("y")
+    n, m = F.col("x.n"), F.col("y.n")
+    room = F.least(n - F.col("x.at"), m - F.col("y.at")) >= _overlap(n, m, percent)
     rest = (x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.vid") < F.col("y.vid"))
-                   & (F.col("x.c") != F.col("y.c")) & _near_size(F.col("x.n"), F.col("y.n"), percent))
-            .groupBy(F.col("x.vid").alias("a"), F.col("y.vid").alias("b"), F.col("x.n").alias("n"), F.col("y.n").alias("m"))
-            .agg(F.count(F.lit(1)).alias("c")))
-    # classes of one group share their prefix, which is one bucket here
-    same = classes.select(F.col("vid").alias("a"), F.col("grp").alias("ga"))
-    rest = rest.filter(F.col("c") >= _needed(F.col("n"), F.col("m"), percent)).select("a", "b").unionByName(
-        rest.select("a", "b").join(same, "a").join(same.toDF("b", "gb"), "b").filter("ga = gb").select("a", "b")).distinct()
+                   & (F.col("x.c") != F.col("y.c")) & _near_size(n, m, percent) & room)
+            .select(F.col("x.vid").alias("a"), F.col("y.vid").alias("b")).distinct())
     rest = stored(rest.join(pairs, ["a", "b"], "left_anti"), "open-pairs")
-    links = links.unionByName(stored(verified(rest, classes, rows, work, percent), "open-links"))
+    dropped(open_, pairs)
+    links = links.unionByName(verified(rest, classes, rows, work, percent))
 
     label = components(links).select(F.col("vertex").alias("vid"), "component")
     named = classes.join(label, "vid", "left").withColumn("component", F.coalesce("component", "vid"))
@@ -232,7 +243,8 @@ def one_of_each(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str
     # rows alike in id and text leave too, but for one of each that is kept
     copies = without(docs, out.filter("keep").select("id", "part"), "left_semi", id_col, text_col)
     own, part = row_key(docs, id_col, text_col)
-    copies = copies.withColumns({"__a": own, "__b": part}).dropDuplicates(["__a", "__b"]).drop("__a", "__b")
+    copies = (copies.select(F.struct("*").alias("row"), own.alias("id"), part.alias("part"))
+              .dropDuplicates(["id", "part"]).select("row.*"))
     return without(docs, out.select("id", "part"), "left_anti", id_col, text_col).unionByName(copies)
 
 
@@ -246,4 +258,7 @@ def verified(pairs: DataFrame, classes: DataFrame, rows: DataFrame, work: Shingl
     both = (pairs.join(sets.select(F.col("vid").alias("a"), F.col("tokens").alias("s")), "a")
             .join(sets.select(F.col("vid").alias("b"), F.col("tokens").alias("t")), "b"))
     common = F.size(F.array_intersect("s", "t"))
-    return both.filter(F.lit(100) * common >= F.lit(percent) * (F.size("s") + F.size("t") - common)).select("a", "b")
+    links = stored(both.filter(F.lit(100) * common >= F.lit(percent) * (F.size("s") + F.size("t") - common)).select("a", "b"),
+                   "links")
+    dropped(sets)
+    return links

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -29,6 +28,15 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def dropped(*tables: DataFrame) -> None:
+    """Delete tables of ``stored``, all readers of which are written."""
+    for table in tables:
+        for name in {f.rsplit("/", 1)[0] for f in table.inputFiles()}:
+            context = table.sparkSession.sparkContext
+            path = context._jvm.org.apache.hadoop.fs.Path(name)
+            path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str | None = None) -> DataFrame:
     """``(id, text)`` of every row, null text as empty, under fixed names so that other columns cannot clash."""
     cols = [F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")]
@@ -54,16 +62,6 @@ def raw_texts(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
 
 
-def per_batch(compute: Callable[[list, list[bytes]], dict], schema: pa.Schema
-              ) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """A ``mapInArrow`` function from ``compute(ids, raw texts) -> columns`` over the first two columns (id, text)."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                yield pa.RecordBatch.from_pydict(compute(batch.column(0), raw_texts(batch.column(1))), schema)
-    return run
-
-
 def row_key(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[Column, Column]:
     """The key of a row as ``keyed`` and ``content_key`` give it, over the table's own columns."""
     return (F.col(id_col).cast("long"), content_key(F.coalesce(F.col(text_col).cast("string"), F.lit(""))))
@@ -71,7 +69,9 @@ def row_key(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 def without(docs: DataFrame, keys: DataFrame, how: str = "left_anti", id_col: str = "doc_id",
             text_col: str = "text") -> DataFrame:
-    """Rows of ``docs`` whose key is not (``left_anti``) or is (``left_semi``) in ``keys(id, part)``, all columns kept."""
+    """Rows of ``docs`` whose key is not (``left_anti``) or is (``left_semi``) in ``keys(id, part)``, all columns kept. Whole
+    rows go through the join as one struct, so that no column can clash."""
     own, part = row_key(docs, id_col, text_col)
-    other = keys.select(F.col("id").alias("__id"), F.col("part").alias("__part"))
-    return docs.join(other, own.eqNullSafe(F.col("__id")) & (part == F.col("__part")), how)
+    rows = docs.select(F.struct("*").alias("row"), own.alias("id"), part.alias("part")).alias("d")
+    same = F.col("d.id").eqNullSafe(F.col("k.id")) & (F.col("d.part") == F.col("k.part"))
+    return rows.join(keys.select("id", "part").alias("k"), same, how).select("row.*")
