@@ -107,6 +107,41 @@ def test_near_copy_group_is_whole(spark):
     assert ordered(got) == ordered(r[:3] for r in brute_components(rows))
 
 
+def test_near_copies_under_the_limit_to_every_pivot(spark):
+    """Forty variants of one text, each too far from all others, each with its own close copies: every variant is a
+    component, whichever classes serve as pivots."""
+    rng = np.random.default_rng(5)
+    words = [f"v{i}" for i in range(120)]
+    rows = []
+    for k in range(40):
+        variant = list(words)
+        for at in rng.choice(120, 6, replace=False):
+            variant[at] = f"e{k}x{at}"
+        for c in range(3):
+            own = list(variant)
+            if c:
+                own[int(rng.integers(0, 120))] = f"c{k}x{c}"
+            rows.append((len(rows), " ".join(own)))
+    want = brute_components(rows)
+    assert len({r[2] for r in want}) > 20
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for pivots in (1, 4):
+        got = jaccard_components(docs, pivots=pivots).select("doc_id", "n_shingles", "component_id").collect()
+        assert ordered(got) == ordered(r[:3] for r in want)
+
+
+def test_one_of_each_with_clashing_columns(spark):
+    names = ["id", "part", "row", "keep", "component", "__id", "__a"]
+    text = " ".join(f"w{i}" for i in range(30))
+    rows = [(1, text), (1, text), (2, text + " more"), (3, ""), (None, None), (None, None), (4, "other words")]
+    docs = spark.createDataFrame([(*r, *range(len(names))) for r in rows],
+                                 "doc_id long, text string, " + ", ".join(f"{c} int" for c in names))
+    kept = one_of_each(docs)
+    assert kept.columns == docs.columns
+    assert ordered(tuple(r)[:2] for r in kept.collect()) == ordered([(1, text), (3, ""), (None, None), (None, None), (4, "other words")])
+    assert {tuple(r)[2:] for r in kept.collect()} == {tuple(range(len(names)))}
+
+
 def test_one_of_each_keeps_a_row_of_every_component(odd, odd_texts):
     kept = one_of_each(odd)
     assert kept.columns == odd.columns
