@@ -251,9 +251,7 @@ def one_of_each(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str
 def verified(pairs: DataFrame, classes: DataFrame, rows: DataFrame, work: Shingler, percent: int) -> DataFrame:
     """Those of ``pairs(a, b)`` of classes whose sets reach the similarity, by intersecting the whole sets."""
     wanted = pairs.select(F.col("a").alias("vid")).unionByName(pairs.select(F.col("b").alias("vid"))).distinct()
-    # written first, so that its true size decides whether the texts are shuffled or it is broadcast
-    keys = stored(wanted.join(classes.select("vid", "at.id", "at.part"), "vid"), "wanted")
-    at = keys.alias("w")
+    at = wanted.join(classes.select("vid", "at.id", "at.part"), "vid").alias("w")
     texts = (rows.alias("t").join(at, F.col("t.id").eqNullSafe(F.col("w.id")) & (F.col("t.part") == F.col("w.part")))
              .select("w.vid", "t.text"))
     sets = stored(texts.mapInArrow(work.members, "vid long, tokens array<long>").dropDuplicates(["vid"]), "members")
@@ -262,5 +260,5 @@ def verified(pairs: DataFrame, classes: DataFrame, rows: DataFrame, work: Shingl
     common = F.size(F.array_intersect("s", "t"))
     links = stored(both.filter(F.lit(100) * common >= F.lit(percent) * (F.size("s") + F.size("t") - common)).select("a", "b"),
                    "links")
-    dropped(sets, keys)
+    dropped(sets)
     return links
