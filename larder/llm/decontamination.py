@@ -7,9 +7,11 @@ document (positional bound) and leave room for the window (length bound); then t
 
 The documents' words are exploded inside one generated stage, and only verified matches leave it, so nothing of the
 corpus is shuffled but the matches, pre-aggregated per word. Rarity counts are a partial aggregation. Prefix tables are
-broadcast only if a count shows them small (``BROADCAST_ROWS``); otherwise the join shuffles keys.
+broadcast only if a count shows them small (``broadcast_rows``). Beyond, the joins shuffle positions and 64-bit keys of the
+corpus, and only positions that pass both bounds are joined back to their documents' words.
 
-Defined cases: null or empty texts and items have no words and match nothing; an item without id marks words but is not
+Defined cases: texts of any length are read whole, and what is shuffled of a word does not grow with its text; there are no
+ties, every window that occurs is reported; null or empty texts and items have no words and match nothing; an item without id marks words but is not
 listed; items that repeat count once per id; repeated rows and null document ids get their own rows; extra columns are
 ignored; an empty benchmark leaves every document clean.
 """
@@ -20,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import content_key, keyed, stored, without
-from .textwords import count_words, join_small, shingle_at, split_words
+from .textwords import BROADCAST_ROWS, count_words, shingle_at, split_words
 
 _SHINGLE = 3
 
@@ -43,10 +45,43 @@ def _document_shingles(rows: DataFrame, width: int) -> DataFrame:
         "id", "part", "words", "at", shingle_at("words", "at", width).alias("key")).filter("key is not null")
 
 
+def _seen(shingles: DataFrame, keys: DataFrame, small: bool) -> DataFrame:
+    """``key, seen``: how often the corpus has each of the windows' shingles. A small set of keys filters before the count;
+    a large one joins counts made before the join, so that a frequent shingle is one row a task there."""
+    if small:
+        return shingles.join(F.broadcast(keys), "key").groupBy("key").agg(F.count(F.lit(1)).alias("seen"))
+    return shingles.groupBy("key").agg(F.count(F.lit(1)).alias("seen")).join(keys, "key")
+
+
+def _matches_in_place(rows: DataFrame, prefix: DataFrame, width: int) -> DataFrame:
+    """Occurrences found beside the documents' words, by a broadcast of the windows' prefixes."""
+    start = F.col("at") - F.col("offset")
+    return (_document_shingles(rows, width).join(F.broadcast(prefix), "key")
+            .filter((start >= 0) & (start + F.col("size") <= F.size("words")))
+            .filter(F.slice("words", start + 1, F.col("size")) == F.col("win"))
+            .select("id", "part", start.alias("start"), "size", "win_id"))
+
+
+def _matches_by_key(rows: DataFrame, prefix: DataFrame, width: int) -> DataFrame:
+    """Occurrences by shuffles: positions meet the prefixes without any words, candidates within the bounds are written
+    once and then compared with the words of their documents, each of which is shuffled once."""
+    start = F.col("at") - F.col("offset")
+    near = (_document_shingles(rows, width).select("id", "part", "at", F.size("words").alias("n"), "key")
+            .join(prefix.select("key", "win_id", "offset", "size"), "key")
+            .filter((start >= 0) & (start + F.col("size") <= F.col("n")))
+            .select("id", "part", start.alias("start"), "size", "win_id").distinct())
+    near = stored(near, "window-candidates").join(prefix.select("win_id", "win"), "win_id").alias("c")
+    texts = rows.select("id", "part", split_words("text").alias("words")).alias("d")
+    same = F.col("d.id").eqNullSafe(F.col("c.id")) & (F.col("d.part") == F.col("c.part"))
+    return (texts.join(near, same).filter(F.slice("d.words", F.col("c.start") + 1, F.col("c.size")) == F.col("c.win"))
+            .select("c.id", "c.part", "c.start", "c.size", "c.win_id"))
+
+
 def occurrences(docs: DataFrame, items: DataFrame, window: int = 10, id_col: str = "doc_id", text_col: str = "text",
-                item_col: str = "item_id", item_text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+                item_col: str = "item_id", item_text_col: str = "text",
+                broadcast_rows: int = BROADCAST_ROWS) -> tuple[DataFrame, DataFrame]:
     """(``id, part, start, size, win_id`` of every occurrence of an item window, ``win_id, item``). Positions count the
-    entries of ``split_words``."""
+    entries of ``split_words``. Windows' tables of more than ``broadcast_rows`` rows are joined by shuffles."""
     rows = keyed(docs, id_col, text_col).withColumn("part", content_key())
     windows = _item_windows(items, window, item_col, item_text_col)
     distinct = windows.select("win_id", "win", F.size("win").alias("size")).dropDuplicates(["win_id"])
@@ -58,19 +93,16 @@ def occurrences(docs: DataFrame, items: DataFrame, window: int = 10, id_col: str
         own = distinct.filter(F.col("width") == width)
         keys = own.select("win_id", "win", "size", F.explode(F.sequence(F.lit(0), F.col("size") - width)).alias("offset"))
         keys = stored(keys.withColumn("key", shingle_at("win", "offset", width)), "window-shingles")
-        seen = (join_small(_document_shingles(rows, width).select("key"), stored(keys.select("key").distinct(), "keys"), ["key"])
-                .groupBy("key").agg(F.count(F.lit(1)).alias("seen")))
+        wanted = stored(keys.select("key").distinct(), "keys")
+        seen = _seen(_document_shingles(rows, width).select("key"), wanted, wanted.count() <= broadcast_rows)
         # the rarest shingle of each window; a window with one that no document has cannot occur
         ranked = keys.join(seen, "key", "left").groupBy("win_id").agg(
             F.min(F.struct(F.coalesce("seen", F.lit(0)).alias("seen"), "offset", "key")).alias("rare"),
             F.first("win").alias("win"), F.first("size").alias("size"))
         prefix = stored(ranked.filter("rare.seen > 0").select(
             "win_id", "win", "size", F.col("rare.offset").alias("offset"), F.col("rare.key").alias("key")), "prefixes")
-        start = F.col("at") - F.col("offset")
-        match = (join_small(_document_shingles(rows, width), prefix, ["key"])
-                 .filter((start >= 0) & (start + F.col("size") <= F.size("words")))
-                 .filter(F.slice("words", start + 1, F.col("size")) == F.col("win"))
-                 .select("id", "part", start.alias("start"), "size", "win_id"))
+        matches = _matches_in_place if prefix.count() <= broadcast_rows else _matches_by_key
+        match = matches(rows, prefix, width)
         found = match if found is None else found.unionByName(match)
     if found is None:
         found = docs.sparkSession.createDataFrame([], "id long, part long, start int, size int, win_id long")
@@ -79,9 +111,9 @@ def occurrences(docs: DataFrame, items: DataFrame, window: int = 10, id_col: str
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, window: int = 10, id_col: str = "doc_id", text_col: str = "text",
-                  item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+                  item_col: str = "item_id", item_text_col: str = "text", broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """``doc_id, n_words, n_hit, n_items, items_sha256, contaminated, items, part`` per row."""
-    found, members = occurrences(docs, items, window, id_col, text_col, item_col, item_text_col)
+    found, members = occurrences(docs, items, window, id_col, text_col, item_col, item_text_col, broadcast_rows)
     hit = (found.select("id", "part", F.explode(F.sequence(F.col("start"), F.col("start") + F.col("size") - 1)).alias("at"))
            .groupBy("id", "part", "at").agg(F.lit(1).alias("one"))
            .groupBy("id", "part").agg(F.count(F.lit(1)).alias("n_hit")))

@@ -162,12 +162,14 @@ def test_substring_against_brute_force(odd, odd_texts, limit):
     assert ordered(got) == ordered(brute_repeats(odd_texts, 12))
 
 
-def test_decontamination_against_brute_force(spark, odd, odd_texts):
+@pytest.mark.parametrize("limit", [200_000, 0])
+def test_decontamination_against_brute_force(spark, odd, odd_texts, limit):
+    """With the windows' tables broadcast and, at limit 0, with every join shuffled."""
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
     items += [(None, "one two three"), (501, None), (502, ""), (503, "ONE"), (503, "near1 near2"), (504, "!!"), (505, "a b a b a b a b a b a")]
     table = spark.createDataFrame(items, "item_id long, text string")
     want = brute_leaks(odd_texts, items)
-    got = decontaminate(odd, table).select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated").collect()
+    got = decontaminate(odd, table, broadcast_rows=limit).select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated").collect()
     assert ordered(got) == ordered(want)
     assert uncontaminated(odd, table).count() == sum(not r[5] for r in want)
 
