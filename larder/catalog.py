@@ -491,8 +491,8 @@ def q_pages_to_recipes(spark, sf_dir):
 
 @query("page_tags")
 def q_page_tags(spark, sf_dir):
-    p = TB.read_table(spark, sf_dir, "pages")
-    return p.select("page_id", F.array_join(PG.page_tags(F.col("html")), "|").alias("tags"))
+    p = PG.with_sources(TB.read_table(spark, sf_dir, "pages"))
+    return p.select("page_id", F.array_join(PG.page_tags(F.col("html"), F.col("_ld"), F.col("_items")), "|").alias("tags"))
 
 
 @query("pages_validation")
