@@ -145,18 +145,29 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _quoted(name: str) -> str:
+    """A name as an SQL text literal."""
+    return "'" + name.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
 def restructure_wide(df: DataFrame, value_schema: str | None = None) -> DataFrame:
-    """Wide -> long: columns named by recipe id, one struct per column, become rows.
+    """Wide -> long: columns named by recipe id, one value per column, become rows, in the columns' order per input row.
 
-    ``df`` is a frame whose columns are recipe ids. With a ``value_schema``
-    (DDL of the per-recipe value) the values come in as JSON text and are
-    parsed; struct values are unnested into columns, other values stay in
-    ``recipe_data``. Uses ``unpivot``: the work stays in the executors.
+    With a ``value_schema`` (DDL of the per-recipe value) the values come in as JSON text and are parsed once they are rows;
+    struct values are unnested into columns, other values stay in ``recipe_data``. A null or unreadable value gives a row of
+    nulls; a frame without columns gives no rows. Columns of one type are one ``stack``, a single generator however many
+    there are; ``unpivot``, which widens mixed types but plans a projection per column, takes the rest.
     """
     cols = df.columns
+    if not cols:
+        return df.sparkSession.createDataFrame([], "recipe_id string, recipe_data string")
+    if len({f.dataType.simpleString() for f in df.schema.fields}) == 1:
+        pairs = ", ".join(f"{_quoted(c)}, `{c.replace('`', '``')}`" for c in cols)
+        long = df.selectExpr(f"stack({len(cols)}, {pairs}) AS (recipe_id, recipe_data)")
+    else:
+        long = df.unpivot([], [F.col(f"`{c.replace('`', '``')}`") for c in cols], "recipe_id", "recipe_data")
     if value_schema is not None:
-        df = df.select(*[F.from_json(F.col(f"`{c}`"), value_schema).alias(c) for c in cols])
-    long = df.unpivot([], cols, "recipe_id", "recipe_data")
+        long = long.withColumn("recipe_data", F.from_json("recipe_data", value_schema))
     if isinstance(long.schema["recipe_data"].dataType, T.StructType):
         return long.select("recipe_id", "recipe_data.*")
     return long

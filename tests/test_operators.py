@@ -229,6 +229,44 @@ def test_page_fields(spark):
         assert r.ingredients == [] == r.nutrients == r.ingredientGroups and r.author is None and r.prepTime is None
 
 
+def test_page_recipe_among_blocks_and_graph(spark):
+    import json
+
+    from larder.sources.pages import pages_to_recipes
+
+    recipe = {"@type": ["Article", "Recipe"], "description": "Good <b>soup</b>", "image": {"url": "s.png"}, "author": [{"name": "Bo"}],
+              "recipeInstructions": [{"@type": "HowToSection", "itemListElement": [{"text": "Chop."}, {"name": "Boil."}]}, "Serve."],
+              "recipeIngredient": ["1 leek"], "suitableForDiet": ["https://schema.org/VeganDiet", "GlutenFreeDiet"],
+              "tool": [{"@type": "HowToTool", "name": "Pot"}, "Ladle"], "recipeCuisine": "French", "keywords": "warm, quick"}
+    block = lambda v: f'<script type="application/ld+json">{v if isinstance(v, str) else json.dumps(v)}</script>'
+    site = {"@type": "WebSite", "name": "Site", "description": "not this", "keywords": "site"}
+    forms = [[block(site), block(recipe)], [block({"@graph": [site, recipe]})], [block([site, recipe])],
+             [block("{broken"), block([{"@graph": [site]}, {"@graph": [recipe]}])]]
+    rows = [(f"http://x.org/{i}", "<title>Soup</title>" + "".join(f)) for i, f in enumerate(forms)]
+    got = pages_to_recipes(spark.createDataFrame(rows, "url string, html string")).collect()
+    assert len(got) == len(forms)
+    for r in got:
+        assert (r.description, r.image, r.author, r.ingredients) == ("Good soup", "s.png", "Bo", ["1 leek"])
+        assert r.instructions == ["Chop.", "Boil.", "Serve."]
+        assert r.tags == ["French", "GlutenFreeDiet", "Ladle", "Pot", "VeganDiet", "quick", "warm"]
+
+
+def test_page_microdata_fallback(spark):
+    from larder.sources.pages import pages_to_recipes
+
+    html = ('<div itemscope itemtype="https://schema.org/Recipe"><h1 itemprop="name">Pie &amp; Mash</h1>'
+            '<span itemprop="author">Cy</span><meta itemprop="prepTime" content="PT20M"><time datetime="PT1H" itemprop="cookTime">1 hour</time>'
+            '<li itemprop="recipeIngredient">2 eggs</li><li class="i" itemprop="recipeIngredient"> flour </li>'
+            '<p itemprop="recipeInstructions">Bake.</p><span itemprop="keywords">warm, British</span>'
+            '<link itemprop="suitableForDiet" content="https://schema.org/HalalDiet"><span itemprop="ratingValue">4.5</span></div>')
+    rows = [("http://x.org/a", html), ("http://x.org/b", None), ("http://x.org/c", "<title> </title>"), (None, "<title>T</title>")]
+    got = {r.url: r for r in pages_to_recipes(spark.createDataFrame(rows, "url string, html string")).collect()}
+    a = got["http://x.org/a"]
+    assert set(got) == {"http://x.org/a", None} and got[None].id is None and got[None].tags == []
+    assert (a.title, a.author, a.prepTime, a.cookTime, a.ratings) == ("Pie & Mash", "Cy", 20, 60, 4.5)
+    assert a.ingredients == ["2 eggs", "flour"] and a.instructions == ["Bake."] and a.tags == ["British", "HalalDiet", "warm"]
+
+
 def test_image_requests(spark):
     from larder.plans.prompts import image_requests
 
@@ -245,6 +283,19 @@ def test_restructure(spark):
     assert sorted(tuple(r) for r in long.collect()) == [("r1", "A", 1), ("r2", "B", 2)]
 
 
+def test_restructure_thousands_of_columns(spark):
+    """As many columns as rows come out, in one generator; names and missing values survive."""
+    n = 3000
+    wide = spark.range(1).selectExpr(*(f"named_struct('title', 't{i}', 'n', id + {i}) AS `r{i}`" for i in range(n)))
+    long = TB.restructure_wide(wide)
+    assert long.agg(F.count("*"), F.countDistinct("recipe_id"), F.sum("n")).first()[:] == (n, n, n * (n - 1) // 2)
+    odd = spark.createDataFrame([("x", None)], "`it's a.b` string, `c``d\\\\e` string")
+    assert [tuple(r) for r in TB.restructure_wide(odd).collect()] == [("it's a.b", "x"), ("c`d\\\\e", None)]
+    mixed = spark.createDataFrame([(1, 2)], "a int, b long")
+    assert [tuple(r) for r in TB.restructure_wide(mixed).collect()] == [("a", 1), ("b", 2)]
+    assert TB.restructure_wide(mixed.select()).count() == 0
+
+
 def test_recipe_table_follows_its_inputs(spark, scratch):
     from larder.sources.recipe_view import recipe_table
 
