@@ -11,8 +11,9 @@ from smoothed log-odds of the sample in their first dimension and noise in the o
 
 Scoring is map-only. Words are embedded once per distinct word and block of texts; memory is bounded by the block.
 
-Defined cases: null or empty text, and text without a word, scores 0; without labelled rows of both classes every score
-is the constant 0; repeated rows, null ids and extra columns change nothing; of several labels of one id the largest holds.
+Defined cases: null or empty text, and text without a word, scores 0; texts of any length are scored whole; without labelled
+rows of both classes every score is the constant 0; an empty table gives no rows; repeated rows, null ids and extra columns
+change nothing; of several labels of one id the largest holds, of several texts the one with the least digest is learned from.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from .shared import crc_fold, keyed
+from .shared import content_key, crc_fold, keyed
 from .wordhash import word_hashes
 
 
@@ -313,7 +314,8 @@ def scores(network: Network, texts: list[str], settings: Settings) -> np.ndarray
 
 def training_rows(docs: DataFrame, labels: DataFrame, settings: Settings, id_col: str, text_col: str,
                   label_id_col: str, label_col: str) -> list:
-    """At most ``rows`` (text, label) of each class, of ids that may be learned from and have a text."""
+    """At most ``rows`` (text, label) of each class, of ids that may be learned from and have a text: those with the least
+    digests of their ids. Of several texts of one id the one with the least digest is taken."""
     rows = keyed(docs, id_col, text_col).filter("id is not null and text <> ''")
     marked = labels.select(F.col(label_id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("label"))
     marked = marked.filter("id is not null and label in (0, 1)").filter(crc_fold("id", settings.folds) != settings.held_out)
@@ -321,8 +323,9 @@ def training_rows(docs: DataFrame, labels: DataFrame, settings: Settings, id_col
     order = Window.partitionBy("label").orderBy(F.xxhash64("id"), "id")
     chosen = marked.withColumn("k", F.row_number().over(order)).filter(F.col("k") <= settings.rows).drop("k")
     # the sample is bounded by ``rows`` a class, so it may be broadcast
-    sample = rows.join(F.broadcast(chosen), "id").dropDuplicates(["id"]).orderBy("id")
-    return sample.select("text", "label").collect()
+    least = F.min(F.struct(content_key().alias("digest"), "text")).alias("least")
+    sample = rows.join(F.broadcast(chosen), "id").groupBy("id", "label").agg(least).orderBy("id")
+    return sample.select("least.text", "label").collect()
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, settings: Settings = Settings(), id_col: str = "doc_id",

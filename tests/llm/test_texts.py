@@ -206,15 +206,56 @@ def test_codewords_lie_apart(n):
 def test_toxicity_on_held_out_rows(spark, odd, empty):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
     docs = docs.join(labels.select("doc_id"), "doc_id", "left_semi")
-    got = T.toxicity(docs, labels, T.Settings(rows=400, epochs=6)).join(labels, "doc_id").collect()
+    got = T.toxicity(docs, labels).join(labels, "doc_id").collect()
     held = [r for r in got if r.held_out]
     assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) for r in got)
+    hits = sum(r.predicted == 1 == r.toxic for r in held)
+    flagged, toxic = sum(r.predicted for r in held), sum(r.toxic for r in held)
+    assert 0 < toxic < 0.2 * len(held)
     assert sum(r.predicted == r.toxic for r in held) >= 0.9 * len(held)
+    assert hits >= 0.75 * toxic and hits >= 0.6 * flagged, (hits, toxic, flagged, len(held))
     assert all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.5) for r in got)
     none = spark.createDataFrame([], "doc_id long, toxic int")
     assert T.toxicity(odd, none).filter("score <> 0").count() == 0 and T.toxicity(empty, labels).count() == 0
 
 
+def test_training_rows_do_not_depend_on_partitions(spark):
+    """Ids with several texts give the same sample from any partitioning, one text an id."""
+    docs = spark.createDataFrame([(i % 40, f"text {i}") for i in range(200)] + [(None, "x"), (3, None), (4, "")], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)] + [(5, 0), (None, 1)], "doc_id long, toxic int")
+    s = T.Settings(rows=10)
+    got = [[tuple(r) for r in T.training_rows(docs.repartition(n), labels, s, "doc_id", "text", "doc_id", "toxic")] for n in (1, 7, 30)]
+    assert got[0] == got[1] == got[2] and sorted(label for _, label in got[0]) == [0] * 10 + [1] * 10
+
+
+def test_network_against_a_plain_loop():
+    """Logits of whole batches against one word, gate and window at a time, padding never visited."""
+    s = T.Settings(buckets=64, hidden=3, word_size=2, char_size=2, length=6, stride=4)
+    words = T.Words(["ab cde fghij klmno ab cde q ab xyzzy", "xyzzy cde q"], 64)
+    draw = np.random.default_rng(1)
+    net = T.Network(s, draw.standard_normal((64, 2)), draw.standard_normal((64, 2)))
+    _, first, size = T._spread(words, s, None)
+    at, mask = T._layout(first, size, words.index, s.length)
+    p, h, vectors = net.p, net.h, words.embed(net.p["words"], net.p["chars"])
+    gate = lambda v: 1 / (1 + np.exp(-v))
+
+    def states(side, inputs):
+        state, out = np.zeros(h), []
+        for x in inputs:
+            given, inner = x @ p[f"x{side}"] + p[f"b{side}"], state @ p[f"h{side}"]
+            keep, reset = gate(given[:h] + inner[:h]), gate(given[h:2 * h] + inner[h:2 * h])
+            state = (1 - keep) * np.tanh(given[2 * h:] + reset * inner[2 * h:]) + keep * state
+            out.append(state)
+        return out
+    want = []
+    for a, n in zip(first, size):
+        inputs = [vectors[words.index[k]] for k in range(a, a + n)]
+        both = [np.concatenate(pair) for pair in zip(states("f", inputs), states("b", inputs[::-1])[::-1])]
+        weight = np.exp([np.tanh(b @ p["attend"] + p["attend_b"]) @ p["query"] for b in both])
+        want.append(sum(w * b for w, b in zip(weight / weight.sum(), both)) @ p["out"] + p["out_b"][0])
+    assert len(want) > 2 and np.allclose(net.forward(vectors, at, mask), want, atol=1e-5)
+
+
 def test_network_gradients():
     s = T.Settings(buckets=64, hidden=3, word_size=2, char_size=2, length=6, stride=4)
     words = T.Words(["ab cde fghij klmno ab", "xyzzy cde q", ""], 64)
