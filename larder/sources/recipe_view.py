@@ -11,7 +11,8 @@ The same derivation is written in DuckDB SQL in ``oracles.py`` so
 every query on this view has an independent oracle.
 
 Scale: lines are grouped per order (bounded: an order holds a handful of
-lines), the part dimension is joined after projecting it to three columns
+lines) and stored as lists with the order's columns, texts that follow from
+them are made when they are read, the part dimension is joined after projecting it to three columns
 and the planner chooses broadcast only when its size estimate is below
 ``spark.sql.autoBroadcastJoinThreshold``; the grouped lines are already
 hash-partitioned by order key, so the join to ``orders`` re-uses that
@@ -75,23 +76,36 @@ def ingredient_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.join(part, lines.l_partkey == part.p_partkey, "inner").drop("p_partkey")
 
 
-def recipe_view(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The derived recipe table (local-parquet schema of the catalogue)."""
-    lines = ingredient_lines(spark, sf_dir)
-    per_order = lines.groupBy("l_orderkey").agg(
+def recipe_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per order: the order's own columns, and its lines in order as the lists ``ingredients``, ``nutrients`` and
+    ``parts`` (all null without lines). This is what is stored; every other recipe column follows from it row by row."""
+    # rows are placed by order before they are collected: a partial aggregate of lines in any order would only sort and copy
+    per_order = ingredient_lines(spark, sf_dir).repartition("l_orderkey").groupBy("l_orderkey").agg(
         F.sort_array(F.collect_list(F.struct(
-            "l_linenumber", "l_partkey", "l_quantity", "food", "nutrient_name"))).alias("_lines"),
-        F.count(F.lit(1)).cast("int").alias("_n_lines"),
-    )
+            "l_linenumber", "l_partkey", "l_quantity", "food", "nutrient_name"))).alias("_lines"))
     orders = read_table(spark, sf_dir, "orders").select(
         "o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority")
     j = orders.join(per_order, orders.o_orderkey == per_order.l_orderkey, "left")
+    return j.select(
+        *orders.columns,
+        F.col("_lines.food").alias("ingredients"),
+        F.transform("_lines", lambda x: F.struct(
+            x["nutrient_name"].alias("name"),
+            F.concat(x["l_quantity"].cast("string"), F.lit("g")).alias("quantity"),
+        )).alias("nutrients"),
+        F.transform("_lines", lambda x: F.struct(
+            x["l_partkey"].alias("partkey"), x["l_quantity"].alias("quantity"))).alias("parts"),
+    )
+
 
-    has_lines = F.col("_n_lines").isNotNull()
-    ingredients = F.transform("_lines", lambda x: x["food"])
+def recipe_columns(rows: DataFrame) -> DataFrame:
+    """The recipe table (local-parquet schema of the catalogue) of ``recipe_rows``: a projection, of which a query computes
+    only the columns that it reads."""
+    ingredients = F.col("ingredients")
+    has_lines, n_lines = ingredients.isNotNull(), F.size(ingredients)
     title = F.get(ingredients, 0)
     meal = F.element_at(lit_map(PRIORITY_MEAL), F.col("o_orderpriority"))
-    cook = F.col("_n_lines") * F.lit(15)
+    cook = F.when(has_lines, n_lines) * F.lit(15)
     prep = F.dayofmonth("o_orderdate")
     rid = F.col("o_orderkey").cast("string")
     instructions = F.when(has_lines, F.concat(
@@ -103,10 +117,10 @@ def recipe_view(spark: SparkSession, sf_dir: str) -> DataFrame:
                F.array(F.concat(F.lit("Garnish with "), title, F.lit(" and serve."))))
         .otherwise(F.array().cast("array<string>")),
     ))
-    return j.select(
+    return rows.select(
         rid.alias("recipe_id"),
         title.alias("title"),
-        F.when(has_lines, F.concat(F.lit("A "), meal, F.lit(" of "), F.col("_n_lines").cast("string"),
+        F.when(has_lines, F.concat(F.lit("A "), meal, F.lit(" of "), n_lines.cast("string"),
                                    F.lit(" ingredients"))).otherwise(F.lit("")).alias("description"),
         F.concat(F.lit(RECIPE_URL_PREFIX), rid).alias("url"),
         F.lit("recipes.example.com").alias("host"),
@@ -115,23 +129,20 @@ def recipe_view(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("o_orderstatus") != "O", F.md5(rid)).alias("uuid"),
         instructions.alias("instructions"),
         ingredients.alias("ingredients"),
-        F.transform("_lines", lambda x: F.struct(
-            x["l_quantity"].alias("quantity"), F.lit("g").alias("unit"), x["food"].alias("displayString"),
-            F.struct(x["l_partkey"].cast("string").alias("ingredientID")).alias("foodCodes"),
+        F.transform("parts", lambda x, i: F.struct(
+            x["quantity"].alias("quantity"), F.lit("g").alias("unit"), F.get(ingredients, i).alias("displayString"),
+            F.struct(x["partkey"].cast("string").alias("ingredientID")).alias("foodCodes"),
         )).alias("procesedIngredients"),
         F.when(~has_lines, F.lit(None).cast("array<string>"))
         .when((F.col("o_orderpriority") == "4-NOT SPECIFIED") & (F.col("o_orderstatus") == "P"),
               F.array().cast("array<string>"))
         .otherwise(F.array(meal, F.element_at(lit_map(STATUS_TAG), F.col("o_orderstatus")))).alias("tags"),
         F.element_at(lit_map(STATUS_METHOD), F.col("o_orderstatus")).alias("cookingMethod"),
-        F.transform("_lines", lambda x: F.struct(
-            x["nutrient_name"].alias("name"),
-            F.concat(x["l_quantity"].cast("string"), F.lit("g")).alias("quantity"),
-        )).alias("nutrients"),
+        "nutrients",
         (F.col("o_totalprice") / F.lit(5000.0)).alias("healthScore"),
         F.element_at(lit_map(PRIORITY_GRADE), F.col("o_orderpriority")).alias("healthGrade"),
-        F.when(has_lines, F.concat(F.col("_n_lines").cast("string"), F.lit("-"),
-                                   (F.col("_n_lines") + 2).cast("string"), F.lit(" servings"))).alias("numServings"),
+        F.when(has_lines, F.concat(n_lines.cast("string"), F.lit("-"),
+                                   (n_lines + 2).cast("string"), F.lit(" servings"))).alias("numServings"),
         cook.cast("int").alias("cookTime"),
         prep.cast("int").alias("prepTime"),
         (cook + prep).cast("int").alias("totalTime"),
@@ -141,23 +152,28 @@ def recipe_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def recipe_view(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The derived recipe table, not stored."""
+    return recipe_columns(recipe_rows(spark, sf_dir))
+
+
 _TABLES: dict[tuple, str] = {}
 _INPUTS = ("orders", "lineitem", "part")
 
 
 def recipe_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The derived recipe view written once as a parquet table, then scanned.
+    """The derived recipes written once as a parquet table, then scanned.
 
-    In production the catalogue is a stored table; here it is derived from the driver tables the first time a session asks
-    for it and written to the shared ``spark.checkpoint.dir`` folder (so a lost executor does not lose it). The number of
-    files follows the data: it is that of the join's partitions as adaptive execution sizes them. The copy is derived
-    anew when an input changes (size or time).
+    In production the catalogue is a stored table; here its rows (see ``recipe_rows``) are derived from the driver tables the
+    first time a session asks for them and written to the shared ``spark.checkpoint.dir`` folder (so a lost executor does
+    not lose them). The number of files follows the data: it is that of the join's partitions as adaptive execution sizes
+    them. The copy is derived anew when an input changes (size or time).
     """
     key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"),
            *(version_of(spark, table_path(sf_dir, name)) for name in _INPUTS))
     path = _TABLES.get(key)
     if path is None:
         path = new_version_path(f"{checkpoint_dir(spark)}/recipes")
-        recipe_view(spark, sf_dir).write.parquet(path)
+        recipe_rows(spark, sf_dir).write.parquet(path)
         _TABLES[key] = path
-    return spark.read.parquet(path)
+    return recipe_columns(spark.read.parquet(path))
