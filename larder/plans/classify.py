@@ -70,10 +70,6 @@ def _result(diet: str, applies, confidence: float, method: str, reason: Column |
     return F.struct(*fields)
 
 
-def string_array_literal(values: list[str]) -> Column:
-    return F.from_json(F.lit(json.dumps(values)), "array<string>")
-
-
 def _fields(diets) -> list[str]:
     return list(dict.fromkeys(d.nutrient_rule.field for d in diets if d.nutrient_rule))
 
@@ -82,22 +78,46 @@ NO_HIT = 1 << 20
 
 
 def positions(term: str, diets=DIETS) -> list[int]:
-    """1-based position of a term in every diet's blocklist (0 = not listed)."""
-    return [d.blocklist.index(term) + 1 if term in d.blocklist else 0 for d in diets]
+    """1-based position of a term in every diet's blocklist (``NO_HIT`` = not listed)."""
+    return [d.blocklist.index(term) + 1 if term in d.blocklist else NO_HIT for d in diets]
+
+
+def first_word(term: str) -> str:
+    return re.split(r"\W+", term)[0]
+
+
+BUCKETS = 64
 
 
-def _diet_expr(d: Diet, i: int, first: Column, nv_array: Column, txt: Column, fields: list[str], reasons: bool) -> Column:
-    """Codegen-friendly result struct of diet ``d`` (rule order ``i``) from the
+def term_index(terms: list[str], diets=DIETS) -> Column:
+    """Constant array of ``BUCKETS`` lists of (word, phrase, pattern, at), by the word's first letter: a one-word term without
+    phrase, any other under the first of its words."""
+    lists: list[list[dict]] = [[] for _ in range(BUCKETS)]
+    for t in terms:
+        word = first_word(t)
+        own = {} if t == word else {"phrase": t, "pattern": word_pattern(t)}
+        lists[ord(word[0]) % BUCKETS].append({"word": word, **own, "at": positions(t, diets)})
+    return F.from_json(F.lit(json.dumps(lists)), "array<array<struct<word:string,phrase:string,pattern:string,at:array<int>>>>")
+
+
+def _diet_expr(d: Diet, i: int, first: Column, nv_array: Column, txt: Column, fields: list[str],
+               reasons: bool) -> tuple[Column, Column]:
+    """Codegen-friendly (result struct, whether it gives the tag) of diet ``d`` (rule order ``i``) from the
     fenced per-row columns: first-hit positions, nutrient values and text.
     Static rule properties are resolved here, so each diet is a short
     ``when`` chain over literals and attribute references."""
-    chain = None
+    chain = tag = None
 
-    def add(cond: Column, value: Column):
-        nonlocal chain
+    def add(cond: Column, value: Column, applies: Column):
+        nonlocal chain, tag
         chain = F.when(cond, value) if chain is None else chain.when(cond, value)
+        tag = F.when(cond, applies) if tag is None else tag.when(cond, applies)
+
+    def tagged(applies, confidence: float) -> Column:
+        return F.lit(bool(applies) and confidence >= APPLY_THRESHOLD) if not isinstance(applies, Column) else (
+            applies if confidence >= APPLY_THRESHOLD else F.lit(False))
 
-    default = None
+    default, applies = None, F.lit(False)
     if d.blocklist:
         p = F.get(first, F.lit(i))
         fh = F.when(p < F.lit(NO_HIT), F.element_at(F.array(*[F.lit(t) for t in d.blocklist]), p))
@@ -107,10 +127,13 @@ def _diet_expr(d: Diet, i: int, first: Column, nv_array: Column, txt: Column, fi
             # constant term -> safe compounds containing it; tested only when the diet has a hit
             lookup = F.from_json(F.lit(json.dumps(table)), "map<string,array<string>>")
             safe = F.coalesce(F.exists(F.element_at(lookup, fh), lambda sc: F.instr(txt, sc) > 0), F.lit(False))
-            add(fh.isNotNull() & safe,
-                _result(d.name, None, 0.45, "uncertain", F.concat(F.lit("'"), fh, F.lit(REASON_SAFE)), reasons))
-        add(fh.isNotNull(), _result(d.name, False, 0.92, "rules", F.concat(F.lit("Contains '"), fh, F.lit("'")), reasons))
+            # either way no tag, so the tag's chain does without the test
+            chain = F.when(fh.isNotNull() & safe,
+                           _result(d.name, None, 0.45, "uncertain", F.concat(F.lit("'"), fh, F.lit(REASON_SAFE)), reasons))
+        add(p < F.lit(NO_HIT), _result(d.name, False, 0.92, "rules", F.concat(F.lit("Contains '"), fh, F.lit("'")), reasons),
+            tagged(False, 0.92))
         default = _result(d.name, True, 0.85, "rules", REASON_NO_HIT, reasons)
+        applies = tagged(True, 0.85)
     rule = d.nutrient_rule
     if rule is not None:
         v = F.get(nv_array, F.lit(fields.index(rule.field)))
@@ -119,12 +142,12 @@ def _diet_expr(d: Diet, i: int, first: Column, nv_array: Column, txt: Column, fi
         reason = F.concat(F.lit(f"{rule.field} = "), fmt_1dp(v), F.lit("g ("),
                           F.when(passes, F.lit("✓")).otherwise(F.lit("✗")),
                           F.lit(f" {direction} {threshold_text(rule.value)}g threshold)"))
-        add(v.isNotNull(), _result(d.name, passes, 0.90, "nutrients", reason, reasons))
+        add(v.isNotNull(), _result(d.name, passes, 0.90, "nutrients", reason, reasons), tagged(passes, 0.90))
         if default is None:
             default = _result(d.name, None, 0.40, "uncertain", REASON_NO_NUTRIENT, reasons)
     if default is None:
         default = _result(d.name, None, 0.40, "uncertain", REASON_NO_RULES, reasons)
-    return default if chain is None else chain.otherwise(default)
+    return (default if chain is None else chain.otherwise(default)), (applies if tag is None else tag.otherwise(applies))
 
 
 def with_classification(df: DataFrame, diets=DIETS, ingredients: str = "ingredients",
@@ -134,19 +157,20 @@ def with_classification(df: DataFrame, diets=DIETS, ingredients: str = "ingredie
 
     Plan, per row and without shuffle:
     1. ingredient text, split once into word tokens (``(?U)\\W+``, the word definition of the ``(?U)\\b`` boundaries);
-    2. a term of one word occurs as a whole word exactly when it is a token: one native ``array_intersect`` with the constant
-       list of those terms. Each other term is a substring pre-check before a constant pattern, compiled once per task;
+    2. a term of one word occurs as a whole word exactly when it is a token. Any other term can occur only where its first
+       word is a token. So only tokens that begin a term (one hash-set test each) are looked up in a constant index, and
+       only their phrases are tested, as substrings before the pattern;
     3. the hits' constant blocklist positions give each diet's first hit (``NO_HIT`` when none);
     4. a one-row ``inline`` generate fences these columns, so a later filter on ``results``/``new_tags`` is not pushed down
        into the per-row work;
     5. each diet is a short generated ``when`` chain over the fenced columns: its first hit is ``block[_first[i]]``, and safe
-       compounds are substring-tested only when the diet has a hit.
+       compounds are substring-tested only when the diet has a hit. ``new_tags`` has chains of its own, without them.
     """
     terms = all_terms(diets)
-    single = [t for t in terms if re.fullmatch(r"\w+", t)]
-    longer = [t for t in terms if t not in set(single)]
-    where = F.from_json(F.lit(json.dumps([positions(t, diets) for t in single])), "array<array<int>>")
-    words = string_array_literal(single)
+    heads = list(dict.fromkeys(map(first_word, terms)))
+    if "" in heads:
+        raise ValueError("a blocklist term must begin with a word character")
+    index = term_index(terms, diets)
     fields = _fields(diets)
     base = df.columns
     staged = df.withColumn("_txt", ingredient_text(F.col(ingredients)))
@@ -154,27 +178,23 @@ def with_classification(df: DataFrame, diets=DIETS, ingredients: str = "ingredie
         "_tok": F.split(F.col("_txt"), r"(?U)\W+"),
         **{f"_nv_{f}": nutrient_value(F.col(nutrients), f) for f in fields},
     })
-    found = F.transform(F.array_intersect(words, F.col("_tok")), lambda w: F.element_at(where, F.array_position(words, w).cast("int")))
-    phrases = F.array_compact(F.array(*(
-        F.when((F.instr(F.col("_txt"), t) > 0) & F.col("_txt").rlike(word_pattern(t)),
-               F.array(*(F.lit(p) for p in positions(t, diets)))) for t in longer)))
-    staged = staged.withColumn("_hits", F.concat(found, phrases.cast("array<array<int>>")))
+    staged = staged.withColumn("_tok", F.array_distinct(F.filter("_tok", lambda w: w.isin(heads))))
+    txt = F.col("_txt")
+    hits = F.flatten(F.transform("_tok", lambda w: F.filter(
+        F.get(index, F.pmod(F.ascii(w), F.lit(BUCKETS))),
+        lambda x: (x["word"] == w) & (x["phrase"].isNull() | ((F.instr(txt, x["phrase"]) > 0) & F.rlike(txt, x["pattern"]))))))
+    staged = staged.withColumn("_hits", hits)
     staged = staged.withColumn("_first", F.aggregate(
         "_hits", F.array_repeat(F.lit(NO_HIT), len(diets)),
-        lambda acc, c: F.zip_with(acc, c, lambda a, b: F.when((b > 0) & (b < a), b).otherwise(a))))
+        lambda acc, c: F.zip_with(acc, c["at"], lambda a, b: F.least(a, b))))
     staged = staged.withColumn("_nv", F.array(*[F.col(f"_nv_{f}") for f in fields]).cast("array<double>"))
     keep = [*base, "_txt", "_first", "_nv"]
     fenced = staged.select(F.inline(F.array(F.struct(*[F.col(c) for c in keep]))))
-    results = F.array(*[_diet_expr(d, i, F.col("_first"), F.col("_nv"), F.col("_txt"), fields, reasons)
-                        for i, d in enumerate(diets)])
-    out = fenced.withColumn("results", results).drop(*keep[len(base):])
-    return out.withColumn("new_tags", new_tags(F.col("results")))
-
-
-def new_tags(results: Column) -> Column:
-    return F.transform(
-        F.filter(results, lambda r: F.coalesce(r["applies"], F.lit(False)) & (r["confidence"] >= APPLY_THRESHOLD)),
-        lambda r: r["diet"])
+    made = [_diet_expr(d, i, F.col("_first"), F.col("_nv"), F.col("_txt"), fields, reasons) for i, d in enumerate(diets)]
+    # an empty text marks a diet that gives no tag; the lambda keeps the chains out of one method too large to be compiled
+    tags = F.array(*(F.when(tag, F.lit(d.name)).otherwise(F.lit("")) for d, (_, tag) in zip(diets, made)))
+    return fenced.withColumns({"results": F.array(*(result for result, _ in made)), "new_tags": F.filter(tags, lambda t: t != "")}).drop(
+        *keep[len(base):])
 
 
 def classify_rules(recipes: DataFrame, diets=DIETS) -> DataFrame:
