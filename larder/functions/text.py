@@ -11,8 +11,10 @@ def empty_array(element_type: str = "string") -> Column:
 
 
 def py_strip(c: Column) -> Column:
-    """Remove leading/trailing Unicode white space (Spark ``trim`` removes spaces only)."""
-    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    """Remove leading/trailing Unicode white space (Spark ``trim`` removes spaces only). A text that begins and ends with a
+    printed ASCII character has none, and is not searched."""
+    ends = F.substring(c, 1, 1).between("!", "~") & F.substring(c, -1, 1).between("!", "~")
+    return F.when(ends, c).otherwise(F.regexp_replace(c, r"(?U)^\s+|\s+$", ""))
 
 
 def fmt_1dp(c: Column) -> Column:
