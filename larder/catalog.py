@@ -395,7 +395,8 @@ def _review_index(spark, sf_dir):
 def _review_inputs(spark, sf_dir):
     """(classified rows, the stored index of the uncertain ones), of one classification."""
     r = _recipes(spark, sf_dir).select("recipe_id", "title", "ingredients", "nutrients")
-    rows = TB.stored(C.with_classification(r).select("recipe_id", "title", "ingredients", "results"), "classified")
+    rows = C.with_classification(r).select("recipe_id", "title", "ingredients", "results", RV.undecided_diets().alias("undecided"))
+    rows = TB.stored(rows, "classified")
     return rows, RV.review_index(RV.uncertain_by_recipe(rows))
 
 

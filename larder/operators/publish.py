@@ -55,9 +55,13 @@ def mark_flag(status: DataFrame, ids: DataFrame, flag: str) -> DataFrame:
 def last_by_id(updates: DataFrame, order_col: str | None = None, key: str = "id") -> DataFrame:
     """One row per ``key``: the last by ``order_col``. A table has no arrival order of its own, so without one, and among
     rows that arrived together, the row with the largest digest stands, the same in every run."""
-    digest = F.desc(F.xxhash64(*updates.columns))
-    w = Window.partitionBy(key).orderBy(*([F.desc_nulls_last(order_col)] if order_col else []), digest)
-    out = updates.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").drop("_rn")
+    # the digest is a column before the shuffle, so that only columns that are read later go through it; rows that were joined
+    # before may bring theirs along
+    w = Window.partitionBy(key).orderBy(*([F.desc_nulls_last(order_col)] if order_col else []), F.desc("_digest"))
+    if "_digest" not in updates.columns:
+        updates = updates.withColumn("_digest", F.xxhash64(*updates.columns))
+    out = (updates.withColumn("_rn", F.row_number().over(w))
+           .filter("_rn = 1").drop("_rn", "_digest"))
     return out.drop(order_col) if order_col else out
 
 
@@ -90,14 +94,15 @@ def patch_skipped(target: DataFrame, new_tags: DataFrame) -> DataFrame:
 def publish_rows(selected: DataFrame, published: DataFrame, status: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """Every selected recipe, mapped, with ``outcome`` (dropped_bad / skipped / failed / published) and ``error``.
 
-    One pass: two narrow id tables are left-joined and one ``when`` chain decides: drop bad -> skip already published ->
-    map and validate. A row that fails, in whatever way, carries its error and never stops the job.
+    Rows are mapped and validated where they are read, and two narrow id tables are left-joined: the joins carry only the
+    columns that the caller keeps. One ``when`` chain decides: drop bad -> skip already published -> validate. A row that
+    fails, in whatever way, carries its error and never stops the job.
     """
     bad = flagged_ids(status, "bad").select(F.col("recipe_id").alias("_b")).distinct().withColumn("_bad", F.lit(True))
     known = published.select(F.col("id").alias("_p")).distinct().withColumn("_known", F.lit(True))
-    rows = (selected.join(bad, F.col("recipe_id") == F.col("_b"), "left")
-            .join(known, F.col("recipe_id") == F.col("_p"), "left"))
-    checked = validate(map_recipes(rows, keep=("recipe_id", "_bad", "_known", *keep)))
+    checked = validate(map_recipes(selected, keep=("recipe_id", *keep)))
+    checked = (checked.join(bad, F.col("recipe_id") == F.col("_b"), "left")
+               .join(known, F.col("recipe_id") == F.col("_p"), "left").drop("_b", "_p"))
     outcome = (F.when(F.col("_bad"), "dropped_bad").when(F.col("_known"), "skipped")
                .when(F.col("valid"), "published").otherwise("failed"))
     return (checked.withColumn("outcome", outcome)
@@ -112,6 +117,16 @@ def publish_outcomes(selected: DataFrame, published: DataFrame, status: DataFram
     return publish_rows(selected, published, status).select("recipe_id", "outcome", "error")
 
 
+def publishable(selected: DataFrame, published: DataFrame, status: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """The mapped rows whose outcome is ``published`` (see ``publish_rows``); rows that fail are dropped before the join, bad
+    and known ones in it. Without ids of their own the rows join on ``id``, by which an upsert then finds them placed."""
+    key = "recipe_id" if "id" in selected.columns else "id"
+    rows = validate(map_recipes(selected, keep=("recipe_id", *keep))).filter("valid")
+    rows = rows.withColumn("_digest", F.xxhash64(*published.columns, *keep))
+    out = flagged_ids(status, "bad").unionByName(published.select(F.col("id").alias("recipe_id")))
+    return exclude_ids(rows, out, key, "recipe_id").select(*published.columns, *keep, "_digest")
+
+
 def publish_summary(outcomes: DataFrame) -> DataFrame:
     """selected, valid, published, failed, skipped (one row)."""
     o = F.col("outcome")
@@ -128,19 +143,18 @@ def publish_summary(outcomes: DataFrame) -> DataFrame:
 
 def publish_job(selected: DataFrame, published: DataFrame, status: DataFrame, dry_run: bool = True,
                 order_col: str | None = None):
-    """Returns (outcomes, new_snapshot, new_status). ``dry_run`` stops before the upsert and flags. The mapped rows are
-    stored once; of several rows with one id the last by ``order_col`` is published."""
-    selected = selected.withColumn("_order", F.col(order_col) if order_col else F.lit(0))
-    rows = publish_rows(selected, published, status, keep=("_order",))
-    outcomes = rows.select("recipe_id", "outcome", "error")
+    """Returns (outcomes, new_snapshot, new_status). ``dry_run`` stops before the upsert and flags. The outcomes are stored
+    once; of several rows with one id the last by ``order_col`` is published."""
+    outcomes = publish_outcomes(selected, published, status)
     if dry_run:
         return outcomes, published, status
-    rows = stored(rows, "publish-rows")
-    good = rows.filter(F.col("outcome") == "published")
-    snapshot = upsert_by_id(published, good.select(*published.columns, *(["_order"] if order_col else [])),
-                            "_order" if order_col else None)
-    new_status = mark_flag(status, good.select("recipe_id"), "uploaded")
-    return rows.select("recipe_id", "outcome", "error"), snapshot, new_status
+    outcomes = stored(outcomes, "publish-outcomes")
+    order = ("_order",) if order_col else ()
+    if order_col:
+        selected = selected.withColumn("_order", F.col(order_col))
+    snapshot = upsert_by_id(published, publishable(selected, published, status, order), "_order" if order_col else None)
+    new_status = mark_flag(status, outcomes.filter(F.col("outcome") == "published").select("recipe_id"), "uploaded")
+    return outcomes, snapshot, new_status
 
 
 def write_publish(selected: DataFrame, published: DataFrame, status: DataFrame, base: str,

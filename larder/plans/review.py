@@ -10,7 +10,7 @@ Spark.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from larder.operators.ordering import fixed_size_groups
@@ -26,14 +26,20 @@ REPLY_SCHEMA = ("struct<results:array<struct<id:bigint,"
 FALSE_TEXTS = ("false", "0", "0.0", "")
 
 
+def undecided_diets() -> Column:
+    """The diets of undecided results below the threshold, in rule order."""
+    undecided = F.filter("results", lambda r: r["applies"].isNull() & (r["confidence"] < UNCERTAINTY_THRESHOLD))
+    return F.transform(undecided, lambda r: r["diet"])
+
+
 def uncertain_by_recipe(classified: DataFrame) -> DataFrame:
-    """(recipe_id, title, ingredients, diets) for recipes with undecided results below the threshold, diets in rule order.
+    """(recipe_id, title, ingredients, diets) for recipes with undecided diets.
 
-    The results already lie in the recipe's row (see ``with_classification``): a filter on that array, no shuffle.
+    The results already lie in the recipe's row (see ``with_classification``): a filter on that array, no shuffle. A stored
+    classification has the diets as a column ``undecided``, so that the results need not be read for them.
     """
-    undecided = F.filter("results", lambda r: r["applies"].isNull() & (r["confidence"] < UNCERTAINTY_THRESHOLD))
-    return classified.select("recipe_id", "title", "ingredients", F.transform(undecided, lambda r: r["diet"]).alias("diets")).filter(
-        F.size("diets") > 0)
+    diets = F.col("undecided") if "undecided" in classified.columns else undecided_diets()
+    return classified.select("recipe_id", "title", "ingredients", diets.alias("diets")).filter(F.size("diets") > 0)
 
 
 def review_index(uncertain: DataFrame, batch_size: int = REVIEW_BATCH_SIZE) -> DataFrame:
