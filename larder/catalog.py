@@ -386,18 +386,20 @@ def q_snapshot_to_classifier_rows(spark, sf_dir):
                     F.array_join(F.filter(ing, lambda s: s != ""), "|").alias("ingredients"))
 
 
-def _review_index(spark, sf_dir):
-    """The stored index of the recipes with undecided diets; numbering reads its input twice, so the classification is stored."""
+def _review_index(spark, sf_dir, *columns):
+    """The stored index of the recipes with undecided diets, with ``columns`` beside their ids and diets; numbering reads its
+    input twice, so the classification is stored."""
     r = _recipes(spark, sf_dir).select("recipe_id", "title", "ingredients", "nutrients")
-    return RV.review_index(TB.stored(RV.uncertain_by_recipe(C.with_classification(r, reasons=False)), "uncertain"))
+    uncertain = RV.uncertain_by_recipe(C.with_classification(r, reasons=False, undecided=True))
+    return RV.review_index(TB.stored(uncertain.select("recipe_id", *columns, "diets"), "uncertain"))
 
 
 def _review_inputs(spark, sf_dir):
     """(classified rows, the stored index of the uncertain ones), of one classification."""
     r = _recipes(spark, sf_dir).select("recipe_id", "title", "ingredients", "nutrients")
-    rows = C.with_classification(r).select("recipe_id", "title", "ingredients", "results", RV.undecided_diets().alias("undecided"))
+    rows = C.with_classification(r, undecided=True).select("recipe_id", "title", "ingredients", "results", "undecided")
     rows = TB.stored(rows, "classified")
-    return rows, RV.review_index(RV.uncertain_by_recipe(rows))
+    return rows, RV.review_index(RV.uncertain_by_recipe(rows).select("recipe_id", "diets"))
 
 
 def _replies(index):
@@ -420,7 +422,7 @@ def _replies(index):
 
 @query("review_batches")
 def q_review_batches(spark, sf_dir):
-    index = _review_index(spark, sf_dir)
+    index = _review_index(spark, sf_dir, "title", "ingredients")
     return RV.review_requests(index).select("batch", "n_recipes", "diets", "payload")
 
 

@@ -86,20 +86,47 @@ def first_word(term: str) -> str:
     return re.split(r"\W+", term)[0]
 
 
-BUCKETS = 64
+BUCKETS = 512
+
+
+def word_bucket(first: int | Column, length: int | Column) -> int | Column:
+    """Place of a word in the constant index, by its first letter and its length."""
+    return (first + length * 61) % BUCKETS
 
 
 def term_index(terms: list[str], diets=DIETS) -> Column:
-    """Constant array of ``BUCKETS`` lists of (word, phrase, pattern, at), by the word's first letter: a one-word term without
-    phrase, any other under the first of its words."""
+    """Constant array of ``BUCKETS`` lists of (word, phrase, pattern, at), by ``word_bucket``: a one-word term without phrase,
+    any other under the first of its words."""
     lists: list[list[dict]] = [[] for _ in range(BUCKETS)]
     for t in terms:
         word = first_word(t)
         own = {} if t == word else {"phrase": t, "pattern": word_pattern(t)}
-        lists[ord(word[0]) % BUCKETS].append({"word": word, **own, "at": positions(t, diets)})
+        lists[word_bucket(ord(word[0]), len(word))].append({"word": word, **own, "at": positions(t, diets)})
     return F.from_json(F.lit(json.dumps(lists)), "array<array<struct<word:string,phrase:string,pattern:string,at:array<int>>>>")
 
 
+def _safe(d: Diet, p: Column, txt: Column) -> Column | None:
+    """Whether a safe compound of the diet that holds the term at ``p`` of its blocklist is in the text, false without a hit;
+    None where no term has one."""
+    table = [safe_for_term(d, t) for t in d.blocklist]
+    if not any(table):
+        return None
+    # constant place -> safe compounds containing the term there
+    lookup = F.from_json(F.lit(json.dumps(table)), "array<array<string>>")
+    return F.coalesce(F.exists(F.get(lookup, p - F.lit(1)), lambda sc: F.instr(txt, sc) > 0), F.lit(False))
+
+
+def _undecided(d: Diet, i: int, first: Column, nv_array: Column, txt: Column, fields: list[str]) -> Column | None:
+    """Whether the result of diet ``d`` (see ``_diet_expr``) has no decision and less than the threshold's confidence; None
+    if it never has."""
+    rule = d.nutrient_rule
+    if not d.blocklist:
+        return F.get(nv_array, F.lit(fields.index(rule.field))).isNull() if rule is not None else F.lit(True)
+    p = F.get(first, F.lit(i))
+    safe = _safe(d, p, txt)
+    return None if safe is None else F.when(p < F.lit(NO_HIT), safe).otherwise(F.lit(False))
+
+
 def _diet_expr(d: Diet, i: int, first: Column, nv_array: Column, txt: Column, fields: list[str],
                reasons: bool) -> tuple[Column, Column]:
     """Codegen-friendly (result struct, whether it gives the tag) of diet ``d`` (rule order ``i``) from the
@@ -121,12 +148,8 @@ def _diet_expr(d: Diet, i: int, first: Column, nv_array: Column, txt: Column, fi
     if d.blocklist:
         p = F.get(first, F.lit(i))
         fh = F.when(p < F.lit(NO_HIT), F.element_at(F.array(*[F.lit(t) for t in d.blocklist]), p))
-        table = {t: safe_for_term(d, t) for t in dict.fromkeys(d.blocklist)}
-        table = {t: v for t, v in table.items() if v}
-        if table:
-            # constant term -> safe compounds containing it; tested only when the diet has a hit
-            lookup = F.from_json(F.lit(json.dumps(table)), "map<string,array<string>>")
-            safe = F.coalesce(F.exists(F.element_at(lookup, fh), lambda sc: F.instr(txt, sc) > 0), F.lit(False))
+        safe = _safe(d, p, txt)
+        if safe is not None:  # tested only when the diet has a hit
             # either way no tag, so the tag's chain does without the test
             chain = F.when(fh.isNotNull() & safe,
                            _result(d.name, None, 0.45, "uncertain", F.concat(F.lit("'"), fh, F.lit(REASON_SAFE)), reasons))
@@ -151,9 +174,10 @@ def _diet_expr(d: Diet, i: int, first: Column, nv_array: Column, txt: Column, fi
 
 
 def with_classification(df: DataFrame, diets=DIETS, ingredients: str = "ingredients",
-                        nutrients: str = "nutrients", reasons: bool = True) -> DataFrame:
+                        nutrients: str = "nutrients", reasons: bool = True, undecided: bool = False) -> DataFrame:
     """Adds ``results`` (array of per-diet structs) and ``new_tags``. Without ``reasons`` a result is only (diet, applies,
-    confidence), which is all that summaries and tag writing need.
+    confidence), which is all that summaries and tag writing need. With ``undecided`` the diets that need a review are a
+    column of that name, in rule order, made without the results.
 
     Plan, per row and without shuffle:
     1. ingredient text, split once into word tokens (``(?U)\\W+``, the word definition of the ``(?U)\\b`` boundaries);
@@ -164,7 +188,8 @@ def with_classification(df: DataFrame, diets=DIETS, ingredients: str = "ingredie
     4. a one-row ``inline`` generate fences these columns, so a later filter on ``results``/``new_tags`` is not pushed down
        into the per-row work;
     5. each diet is a short generated ``when`` chain over the fenced columns: its first hit is ``block[_first[i]]``, and safe
-       compounds are substring-tested only when the diet has a hit. ``new_tags`` has chains of its own, without them.
+       compounds are substring-tested only when the diet has a hit. ``new_tags`` has chains of its own, without them;
+    6. ``undecided`` has one test a diet and lies behind the fence, so that a filter on it does not make it twice.
     """
     terms = all_terms(diets)
     heads = list(dict.fromkeys(map(first_word, terms)))
@@ -181,7 +206,7 @@ def with_classification(df: DataFrame, diets=DIETS, ingredients: str = "ingredie
     staged = staged.withColumn("_tok", F.array_distinct(F.filter("_tok", lambda w: w.isin(heads))))
     txt = F.col("_txt")
     hits = F.flatten(F.transform("_tok", lambda w: F.filter(
-        F.get(index, F.pmod(F.ascii(w), F.lit(BUCKETS))),
+        F.get(index, word_bucket(F.ascii(w), F.length(w))),
         lambda x: (x["word"] == w) & (x["phrase"].isNull() | ((F.instr(txt, x["phrase"]) > 0) & F.rlike(txt, x["pattern"]))))))
     staged = staged.withColumn("_hits", hits)
     staged = staged.withColumn("_first", F.aggregate(
@@ -189,6 +214,12 @@ def with_classification(df: DataFrame, diets=DIETS, ingredients: str = "ingredie
         lambda acc, c: F.zip_with(acc, c["at"], lambda a, b: F.least(a, b))))
     staged = staged.withColumn("_nv", F.array(*[F.col(f"_nv_{f}") for f in fields]).cast("array<double>"))
     keep = [*base, "_txt", "_first", "_nv"]
+    if undecided:
+        tests = ((d.name, _undecided(d, i, F.col("_first"), F.col("_nv"), F.col("_txt"), fields)) for i, d in enumerate(diets))
+        open_ = F.array(*(F.when(test, F.lit(name)).otherwise(F.lit("")) for name, test in tests if test is not None))
+        staged = staged.withColumn("undecided", F.filter(open_.cast("array<string>"), lambda t: t != ""))
+        keep.insert(len(base), "undecided")
+        base = keep[:len(base) + 1]
     fenced = staged.select(F.inline(F.array(F.struct(*[F.col(c) for c in keep]))))
     made = [_diet_expr(d, i, F.col("_first"), F.col("_nv"), F.col("_txt"), fields, reasons) for i, d in enumerate(diets)]
     # an empty text marks a diet that gives no tag; the lambda keeps the chains out of one method too large to be compiled

@@ -79,14 +79,20 @@ def review_requests(index: DataFrame) -> DataFrame:
 def parse_replies(replies: DataFrame, index: DataFrame) -> DataFrame:
     """(recipe_id, diet, applies, confidence, method, reason) from reply JSON.
 
+    ``index`` is one of ``review_index``, so a batch has a fixed number of rows and a reply carries its recipes as a list.
     Malformed replies parse to null and contribute nothing (the whole batch is skipped); unknown indices find no recipe and
     are dropped; confidence defaults to 0.7 and reason to "LLM classification". ``applies`` is read by truth value, but
     for the text "false". Where a reply answers a recipe's diet twice, the later answer holds.
     """
-    parsed = replies.select("batch", F.from_json("reply", REPLY_SCHEMA).alias("r"))
-    items = parsed.select("batch", F.posexplode("r.results").alias("pos", "it")).select(
-        "batch", "pos", F.col("it.id").alias("idx"), F.explode("it.classifications").alias("diet", "c"))
-    known = items.join(index.select("batch", F.col("idx").cast("long").alias("idx"), "recipe_id"), ["batch", "idx"])
+    # a reply meets the recipes of its batch as one row, before its answers become rows
+    ids = index.groupBy("batch").agg(F.collect_list(F.struct(F.col("idx").cast("long").alias("idx"), "recipe_id")).alias("ids"))
+    parsed = replies.join(ids, "batch").select("ids", F.from_json("reply", REPLY_SCHEMA).alias("r"))
+    items = parsed.select("ids", F.posexplode("r.results").alias("pos", "it"))
+    known = items.select("pos", F.col("it.classifications").alias("answers"), F.explode(
+        F.filter("ids", lambda x: x["idx"] == F.col("it.id"))).alias("known"))
+    # one row an item goes through the shuffle, and what it answers is sorted once, where it arrives
+    known = (known.select(F.col("known.recipe_id").alias("recipe_id"), "pos", "answers").repartition("recipe_id")
+             .select("recipe_id", "pos", F.explode("answers").alias("diet", "c")))
     answer = F.struct(
         F.coalesce(~F.lower(F.trim(F.col("c.applies"))).isin(*FALSE_TEXTS), F.lit(False)).alias("applies"),
         F.coalesce(F.col("c.confidence"), F.lit(0.7)).alias("confidence"),

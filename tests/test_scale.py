@@ -106,3 +106,41 @@ def test_first_titles_of_a_diet_are_kept_without_a_sort(spark):
     got = {r.diet: r for r in TG.diet_distribution(df).collect()}
     assert list(got) and set(got) == set(DIET_NAMES)
     assert (got["vegan"]["count"], got["vegan"].sample_titles) == (60, "t100 | t101 | t102") and got["keto"]["count"] == 0
+
+
+def test_undecided_diets_are_made_once_and_without_results(spark):
+    df = spark.createDataFrame([
+        ("a", ["almond milk", "Coconut Flour"], [("sodiumContent", "5g")]), ("b", ["beef", "peanut butter", "rice"], None),
+        ("c", None, None), ("d", ["whole wheat flour", "vegetable oil", "soy milk"], [("sugarContent", "x"), ("fatContent", "70g")]),
+        ("e", ["eggplant, cauliflower rice"], [("carbohydrateContent", "3g")])], f"recipe_id string, ingredients array<string>, nutrients {NUT}")
+    df = df.withColumn("title", F.lit("t"))
+    rows = C.with_classification(df, undecided=True).withColumn("want", RV.undecided_diets()).collect()
+    assert len(rows) == 5 and any(len(r.want) > 2 for r in rows)
+    assert [r.undecided for r in rows] == [r.want for r in rows]
+    out = RV.uncertain_by_recipe(C.with_classification(df, reasons=False, undecided=True))
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert sum("may be" in line or "CASE WHEN" in line for line in plan.splitlines()) == 1
+    assert {r.recipe_id: r.diets for r in out.collect()} == {r.recipe_id: r.want for r in rows if r.want}
+
+
+def test_replies_are_parsed_once_and_meet_their_batch_before_they_become_rows(spark):
+    index = spark.createDataFrame([(0, 0, "r1"), (0, 1, "r2"), (0, 2, "r1"), (1, 0, None), (2, 0, "r4")], "batch long, idx int, recipe_id string")
+    replies = spark.createDataFrame([
+        (0, '{"results":[{"id":0,"classifications":{"vegan":{"applies":true},"keto":{"applies":true}}},'
+            '{"id":2,"classifications":{"vegan":{"applies":false,"confidence":0.6,"reason":"later"}}},'
+            '{"id":1,"classifications":null},{"id":null,"classifications":{"vegan":{"applies":true}}}]}'),
+        (1, '{"results":[{"id":0,"classifications":{"vegan":{"applies":"False"}}}]}'), (None, '{"results":[]}'),
+        (2, '{"results":null}'), (2, None), (9, '{"results":[{"id":0,"classifications":{"vegan":{"applies":true}}}]}')], "batch long, reply string")
+    out = RV.parse_replies(replies, index)
+    plan = out._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert plan.count("from_json") == 1 and plan.index("join inner") > plan.rindex("generate posexplode")  # parents come first
+    assert sorted(map(str, (tuple(r) for r in out.collect()))) == sorted(map(str, [
+        ("r1", "vegan", False, 0.6, "llm", "later"), ("r1", "keto", True, 0.7, "llm", "LLM classification"),
+        (None, "vegan", False, 0.7, "llm", "LLM classification")]))
+
+
+def test_the_index_of_parse_review_holds_no_recipe_text(spark, scratch):
+    from larder import catalog
+
+    index = catalog._review_index(spark, "/root/testdata/sf0.001")
+    assert not {"title", "ingredients"} & set(index.columns) and {"batch", "idx", "recipe_id", "diets"} <= set(index.columns)
