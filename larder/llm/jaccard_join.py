@@ -15,10 +15,13 @@ expanded to their members, which are verified exactly.
   whose components still differ are formed. A class pair inside one component cannot change the result, so none is lost.
 * Positions: such a pair is formed only at a shared shingle that leaves room, in both sets, for the overlap that their
   sizes ask for. The first shingle that a linked pair shares always does, so none is lost; classes whose own shingles
-  fill the front of their order, as in copies with many edits, form no pairs at all.
+  fill the front of their order, as in copies with many edits, form no pairs at all. Before texts are read for them, pairs
+  that share too few prefix shingles are dropped: those of large tables that meet by chance share one or two.
 
 Expensive steps are written to the shared folder, and dropped there once their last reader is written. Texts are read
-again for the classes to be verified rather than keeping every set.
+again for the classes to be verified rather than keeping every set; those of other classes are left out before the shuffle
+by a bitmap of a fixed size. What is asked of all rows of a shingle is asked by a window where they arrive, so that they
+are shuffled once.
 
 Defined cases: null or empty text has the empty set and is linked with nothing; fewer words than ``width`` make one
 shingle; repeated rows are linked with each other (an empty one is not); a row without id has a component like any
@@ -34,7 +37,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components
@@ -159,6 +162,27 @@ def _near_size(n: Column, m: Column, percent: int) -> Column:
     return F.lit(100) * F.least(n, m) >= F.lit(percent) * F.greatest(n, m)
 
 
+def _mixed(rows: DataFrame, col: str) -> DataFrame:
+    """Rows of tokens that have several values of ``col``; the rows are placed by token, and are not shuffled again."""
+    one = Window.partitionBy("token")
+    return (rows.withColumn("_least", F.min(col).over(one)).withColumn("_most", F.max(col).over(one))
+            .filter("_least <> _most").drop("_least", "_most"))
+
+
+def _chosen(pivots: int) -> Column:
+    """Up to ``pivots`` groups of a token, over rows (token, grp, d): those of the least ``d``, by as many random orders."""
+    one = Window.partitionBy("token")
+    return F.array_distinct(F.array(*(
+        F.min(F.struct("d", F.xxhash64("grp", F.lit(k)).alias("h"), "grp")).over(one)["grp"] for k in range(pivots))))
+
+
+def _shown(pairs: DataFrame, rows: DataFrame) -> DataFrame:
+    """``a, b, n, m, c``: how many tokens both of ``pairs(a, b, n, m)`` hold in ``rows(vid, token)``, of those that share one."""
+    held = rows.select("vid", "token")
+    return (pairs.join(held.withColumnRenamed("vid", "a"), "a").join(held.withColumnRenamed("vid", "b"), ["b", "token"])
+            .groupBy("a", "b", "n", "m").agg(F.count(F.lit(1)).alias("c")))
+
+
 def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80, common: int = 1 << 20, pivots: int = 4,
                        id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, n_shingles, component_id, part, component`` per row; ``part`` is the text's digest, and ``component`` tells
@@ -172,31 +196,26 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80, commo
                      .withColumn("vid", F.monotonically_increasing_id()), "classes")
 
     prefixes = own.filter("prefix is not null").select("grp", F.posexplode("prefix").alias("at", "token"))
-    # the shuffle carries one row per group, prefix shingle and batch; shingles of one group only drop out here
-    shared = (prefixes.groupBy("token").agg(F.min("grp").alias("g0"), F.max("grp").alias("g1"))
-              .filter("g0 <> g1").select("token"))
-    groups = stored(prefixes.join(shared, "token").dropDuplicates(["token", "grp"]), "shared-prefixes")
+    # one shuffle carries one row per group, prefix shingle and batch; shingles of one group only drop out where they arrive
+    groups = stored(_mixed(prefixes.repartition("token"), "grp").dropDuplicates(["token", "grp"]), "shared-prefixes")
 
     # expand groups to members; a group of several classes is a bucket of its own
     member = classes.select("vid", "n", "grp")
     several = member.groupBy("grp").agg(F.count(F.lit(1)).alias("k"), F.min("vid").alias("pivot")).filter("k > 1")
     within = member.join(several, "grp").filter("vid <> pivot").select(F.col("vid").alias("a"), F.col("pivot").alias("b"))
     bucket = stored(groups.select("token", "grp", "at").join(member, "grp").select("token", "vid", "n", "at").unionByName(
-        several.join(member, "grp").select(F.col("grp").alias("token"), "vid", "n", F.lit(0).alias("at"))), "buckets")
+        several.join(member, "grp").select(F.col("grp").alias("token"), "vid", "n", F.lit(-1).alias("at"))), "buckets")
 
     # pivots: each class against the first member of a few groups of each of its buckets
     first = member.groupBy("grp").agg(F.min("vid").alias("pivot"), F.first("n").alias("m"))
     # a group with most of its prefix shared lies in the middle of its near copies, where most of them link
     shares = groups.groupBy("grp").agg(F.count(F.lit(1)).alias("d")).join(first, "grp").select(
         "grp", F.round(-F.col("d") / F.col("m"), 2).alias("d"))
-    low = groups.join(shares, "grp").groupBy("token").agg(*(
-        F.min(F.struct("d", F.xxhash64("grp", F.lit(k)).alias("h"))).alias(f"p{k}") for k in range(pivots)))
-    chosen = groups.join(low, "token").select("grp", F.explode(F.array(*(f"p{k}.h" for k in range(pivots)))).alias("mark"))
-    chosen = chosen.groupBy("grp", "mark").agg(F.count(F.lit(1)).alias("c"))
-    marks = F.explode(F.array(*(F.xxhash64("grp", F.lit(k)) for k in range(pivots)))).alias("mark")
-    stars = (chosen.join(first.select("pivot", "m", marks), "mark").join(member, "grp")
+    # narrow rows go to their shingle once; its pivots are found there and each is named once, however many marks choose it
+    low = groups.select("token", "grp").join(shares, "grp").repartition("token").select("grp", _chosen(pivots).alias("low"))
+    chosen = low.select("grp", F.explode("low").alias("p")).filter("p <> grp").groupBy("grp", "p").agg(F.count(F.lit(1)).alias("c"))
+    stars = (chosen.join(first.select("pivot", "m", F.col("grp").alias("p")), "p").join(member, "grp")
              .filter(F.col("vid") != F.col("pivot")).filter(_near_size(F.col("n"), F.col("m"), percent))
-             .groupBy("vid", "pivot", "n", "m").agg(F.max("c").alias("c"))
              .filter(F.col("c") >= _needed(F.col("n"), F.col("m"), percent))
              .select(F.col("vid").alias("a"), F.col("pivot").alias("b")))
     pairs = stored(stars.unionByName(within).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
@@ -207,16 +226,19 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80, commo
     # what is left: classes of one bucket whose components still differ
     placed = (bucket.join(label, "vid", "left")
               .select("token", "vid", "n", "at", F.coalesce("component", "vid").alias("c")))
-    mixed = placed.groupBy("token").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).filter("c0 <> c1").select("token")
-    open_ = stored(placed.join(mixed, "token"), "open-buckets")
+    open_ = stored(_mixed(placed.repartition("token"), "c"), "open-buckets")
     dropped(bucket, groups)
     x, y = open_.alias("x"), open_.alias("y")
     n, m = F.col("x.n"), F.col("y.n")
     room = F.least(n - F.col("x.at"), m - F.col("y.at")) >= _overlap(n, m, percent)
     rest = (x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.vid") < F.col("y.vid"))
                    & (F.col("x.c") != F.col("y.c")) & _near_size(n, m, percent) & room)
-            .select(F.col("x.vid").alias("a"), F.col("y.vid").alias("b")).distinct())
+            .groupBy(F.col("x.vid").alias("a"), F.col("y.vid").alias("b"))
+            .agg(F.max(n).alias("n"), F.max(m).alias("m"), F.min("x.at").alias("at")))
     rest = stored(rest.join(pairs, ["a", "b"], "left_anti"), "open-pairs")
+    # members of one group share their prefix; others must show the shared prefix shingles that their sizes ask for
+    shown = _shown(rest.filter("at >= 0"), open_).filter(F.col("c") >= _needed(F.col("n"), F.col("m"), percent))
+    rest = stored(rest.filter("at < 0").select("a", "b").unionByName(shown.select("a", "b")), "near-pairs")
     dropped(open_, pairs)
     links = links.unionByName(verified(rest, classes, rows, work, percent))
 
@@ -251,8 +273,9 @@ def one_of_each(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str
 def verified(pairs: DataFrame, classes: DataFrame, rows: DataFrame, work: Shingler, percent: int) -> DataFrame:
     """Those of ``pairs(a, b)`` of classes whose sets reach the similarity, by intersecting the whole sets."""
     wanted = pairs.select(F.col("a").alias("vid")).unionByName(pairs.select(F.col("b").alias("vid"))).distinct()
-    at = wanted.join(classes.select("vid", "at.id", "at.part"), "vid").alias("w")
-    texts = (rows.alias("t").join(at, F.col("t.id").eqNullSafe(F.col("w.id")) & (F.col("t.part") == F.col("w.part")))
+    at = stored(wanted.join(classes.select("vid", "at.id", "at.part"), "vid"), "wanted")
+    # merge: a join of a few wanted rows and one of many are the same plan
+    texts = (_maybe_among(rows, at).alias("t").hint("merge").join(at.alias("w"), F.col("t.id").eqNullSafe(F.col("w.id")) & (F.col("t.part") == F.col("w.part")))
              .select("w.vid", "t.text"))
     sets = stored(texts.mapInArrow(work.members, "vid long, tokens array<long>").dropDuplicates(["vid"]), "members")
     both = (pairs.join(sets.select(F.col("vid").alias("a"), F.col("tokens").alias("s")), "a")
@@ -260,5 +283,24 @@ def verified(pairs: DataFrame, classes: DataFrame, rows: DataFrame, work: Shingl
     common = F.size(F.array_intersect("s", "t"))
     links = stored(both.filter(F.lit(100) * common >= F.lit(percent) * (F.size("s") + F.size("t") - common)).select("a", "b"),
                    "links")
-    dropped(sets)
+    dropped(sets, at)
     return links
+
+
+def _maybe_among(rows: DataFrame, keys: DataFrame, bits: int = 1 << 24) -> DataFrame:
+    """``id, part, text`` of all rows whose key is in ``keys(id, part)``, and of few others, so that a join shuffles no more
+    texts than it needs. Keys mark a bitmap of a fixed size, which is all that reaches the driver; a full one drops no row."""
+    bit = F.pmod(F.xxhash64("id", "part"), F.lit(bits))
+    marks = keys.select(bit.alias("bit")).groupBy(F.floor(F.col("bit") / 64).alias("word")).agg(
+        F.bit_or(F.expr("shiftleft(1L, CAST(bit % 64 AS INT))")).alias("mask")).toArrow()
+    bitmap = np.zeros(-(-bits // 64), np.uint64)
+    bitmap[marks["word"].to_numpy()] = marks["mask"].to_numpy().view(np.uint64)
+    shared = rows.sparkSession.sparkContext.broadcast(bitmap)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = batch.column(3).to_numpy().astype(np.uint64)
+            mark = shared.value[at >> np.uint64(6)] >> (at & np.uint64(63)) & np.uint64(1)
+            yield batch.select([0, 1, 2]).filter(pa.array(mark.astype(bool)))
+
+    return rows.select("id", "part", "text", bit.alias("bit")).mapInArrow(run, "id long, part long, text string")

@@ -12,7 +12,7 @@ from conftest_llm import LOWER, SF, SPACED, ordered
 from larder.llm import oracles
 from larder.llm.components import components
 from larder.llm.decontamination import decontaminate, uncontaminated
-from larder.llm.jaccard_join import jaccard_components, one_of_each
+from larder.llm.jaccard_join import _maybe_among, _mixed, _shown, jaccard_components, one_of_each
 from larder.llm.substring_dedup import least_positions, remove_repeats
 from larder.llm.wordhash import covered, repeated_window_words, text_words, window_hashes
 
@@ -150,6 +150,41 @@ def test_one_of_each_keeps_a_row_of_every_component(odd, odd_texts):
     assert kept.count() == len(groups) + blanks
 
 
+def test_texts_that_no_pair_wants_are_left_out_before_the_join(spark):
+    rows = spark.createDataFrame([(i if i % 7 else None, i * 31 - 400, f"text {i}") for i in range(2000)], "id long, part long, text string")
+    keys = rows.filter("part % 40 = 0 OR id IS NULL AND part % 3 = 0").select("id", "part")
+    want = {(r.id, r.part) for r in keys.collect()}
+    for bits, most in ((1 << 24, len(want) + 5), (64, 2000), (1, 2000)):
+        got = _maybe_among(rows, keys, bits).collect()
+        assert want <= {(r.id, r.part) for r in got} and len(got) <= most
+        assert all(r.text == f"text {(r.part + 400) // 31}" for r in got)
+    assert _maybe_among(rows, keys.limit(0)).count() == 0
+
+
+def test_rows_of_a_token_are_shuffled_once(spark):
+    rows = spark.createDataFrame([(t, t * 10 + k % (t % 3 + 1)) for t in range(30) for k in range(4)], "token long, grp long")
+    out = _mixed(rows.repartition("token"), "grp").dropDuplicates(["token", "grp"])
+    assert sorted(map(tuple, out.collect())) == [(t, t * 10 + k) for t in range(30) for k in range(t % 3 + 1) if t % 3]
+    assert out._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1].count("Exchange") == 1
+
+
+def test_pairs_that_meet_by_chance_are_not_read(spark, monkeypatch):
+    """Texts that share one phrase of their front are candidates, but not verified; near copies among them still link."""
+    from larder.llm import jaccard_join as J
+
+    rows = [(k, " ".join(["one", "two", "three", "four", "five"] + [f"w{k}x{i}" for i in range(60)])) for k in range(30)]
+    rows += [(100 + k, rows[k][1] + " more") for k in range(5)]
+    asked = []
+    monkeypatch.setattr(J, "verified", lambda pairs, *a, f=J.verified: asked.append(pairs.count()) or f(pairs, *a))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = jaccard_components(docs, common=0).select("doc_id", "n_shingles", "component_id").collect()
+    assert ordered(got) == ordered(r[:3] for r in brute_components(rows))
+    assert sum(asked) < 60
+    held = spark.createDataFrame([(1, 7), (2, 7), (1, 8), (2, 8), (3, 8), (1, 9)], "vid long, token long")
+    pairs = spark.createDataFrame([(1, 2, 5, 6), (1, 3, 5, 7), (3, 4, 1, 1)], "a long, b long, n long, m long")
+    assert ordered(_shown(pairs, held).collect()) == ordered([(1, 2, 5, 6, 2), (1, 3, 5, 7, 1)])
+
+
 def test_components_of_a_chain_and_a_hub(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 60)] + [(7, 7), (3, 2)]
     got = {r.vertex: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
