@@ -15,8 +15,12 @@ expanded to their members, which are verified exactly.
   whose components still differ are formed. A class pair inside one component cannot change the result, so none is lost.
 * Positions: such a pair is formed only at a shared shingle that leaves room, in both sets, for the overlap that their
   sizes ask for. The first shingle that a linked pair shares always does, so none is lost; classes whose own shingles
-  fill the front of their order, as in copies with many edits, form no pairs at all. Before texts are read for them, pairs
-  that share too few prefix shingles are dropped: those of large tables that meet by chance share one or two.
+  fill the front of their order, as in copies with many edits, form no pairs at all.
+* Closed shingles: a prefix shingle that no other component's prefix holds is in neither set of an open pair, if it comes
+  before the end of both prefixes. So the class whose prefix ends first must hold enough open shingles, from the shared one
+  on, for the overlap; of a group of copies with many edits, most meet at none. Before texts are read for them, pairs that
+  share too few prefix shingles are dropped, found from one list a class: those of large tables that meet by chance share
+  one or two.
 
 Expensive steps are written to the shared folder, and dropped there once their last reader is written. Texts are read
 again for the classes to be verified rather than keeping every set; those of other classes are left out before the shuffle
@@ -87,11 +91,22 @@ def _ordered(raw: bytes, width: int, tokens: np.ndarray, seen: np.ndarray) -> np
     own = shingle_set(raw.translate(LOWER_ASCII), width)
     if not tokens.size or not own.size:
         return own
-    at = np.minimum(np.searchsorted(tokens, own), tokens.size - 1)
-    weight = np.where(tokens[at] == own, seen[at], 0)
+    weight = _weights(own, tokens, seen)
     return own if not weight.any() else own[np.argsort(weight, kind="stable")]
 
 
+def _weights(own: np.ndarray, tokens: np.ndarray, seen: np.ndarray) -> np.ndarray:
+    """What each shingle is ordered by before its fingerprint: its reports if it is common, else 0."""
+    at = np.minimum(np.searchsorted(tokens, own), tokens.size - 1)
+    return np.where(tokens[at] == own, seen[at], 0)
+
+
+def _place(token: np.ndarray, tokens: np.ndarray, seen: np.ndarray) -> int:
+    """Place in the global order of the only shingle of ``token``, to its first 31 + 32 bits: a lower place comes before."""
+    weight = int(_weights(token, tokens, seen)[0]) if tokens.size else 0
+    return weight << 32 | int(token[0]) >> 32
+
+
 def _digest(tokens: np.ndarray, salt: int) -> int:
     """64-bit digest of a set or prefix, given in a canonical order."""
     if not tokens.size:
@@ -118,8 +133,8 @@ class Shingler:
             yield own, prefix_size(own.size, self.percent) if own.size else 0
 
     def rows(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """``id, part, n, s1, s2, grp, prefix``: set size and digest, the group (size and prefix), and its prefix in order,
-        given once for a group in each batch."""
+        """``id, part, n, s1, s2, grp, last, prefix``: set size and digest, the group (size and prefix), where its prefix ends
+        in the global order, and the prefix in order, given once for a group in each batch."""
         for batch in batches:
             out, met = [], set()
             for own, k in self.sets(batch):
@@ -127,12 +142,12 @@ class Shingler:
                 first = k > 0 and grp not in met
                 met.add(grp)
                 out.append((own.size, _digest(np.sort(own), 1), _digest(np.sort(own), 2), grp,
-                            own[:k].view(np.int64) if first else None))
+                            _place(own[k - 1:k], *self.common.value) if k else None, own[:k].view(np.int64) if first else None))
             if out:
                 *digests, prefix = zip(*out)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0), batch.column(2), *(pa.array(x, pa.int64()) for x in digests),
-                     pa.array(prefix, pa.list_(pa.int64()))], ["id", "part", "n", "s1", "s2", "grp", "prefix"])
+                     pa.array(prefix, pa.list_(pa.int64()))], ["id", "part", "n", "s1", "s2", "grp", "last", "prefix"])
 
     def members(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """``vid, tokens``: whole sets of (vid, text)."""
@@ -176,11 +191,22 @@ def _chosen(pivots: int) -> Column:
         F.min(F.struct("d", F.xxhash64("grp", F.lit(k)).alias("h"), "grp")).over(one)["grp"] for k in range(pivots))))
 
 
+def _left(rows: DataFrame, percent: int) -> DataFrame:
+    """``rows(vid, n, at)`` of open prefix shingles with ``left``: how many shingles of the class can be in the set of another
+    component whose prefix ends no earlier, if this is the first that they share. Those are the open ones of its prefix from
+    here on, and what lies behind the prefix."""
+    here = Window.partitionBy("vid").orderBy(F.col("at").desc())
+    behind = F.ceil(F.lit(percent) * F.col("n") / F.lit(100) - F.lit(1e-9)) - 1
+    return rows.withColumn("left", behind + F.row_number().over(here))
+
+
 def _shown(pairs: DataFrame, rows: DataFrame) -> DataFrame:
     """``a, b, n, m, c``: how many tokens both of ``pairs(a, b, n, m)`` hold in ``rows(vid, token)``, of those that share one."""
-    held = rows.select("vid", "token")
-    return (pairs.join(held.withColumnRenamed("vid", "a"), "a").join(held.withColumnRenamed("vid", "b"), ["b", "token"])
-            .groupBy("a", "b", "n", "m").agg(F.count(F.lit(1)).alias("c")))
+    wanted = pairs.select(F.col("a").alias("vid")).unionByName(pairs.select(F.col("b").alias("vid"))).distinct()
+    held = rows.select("vid", "token").join(wanted, "vid", "left_semi").groupBy("vid").agg(F.collect_set("token").alias("s"))  # a prefix at most
+    both = (pairs.join(held.select(F.col("vid").alias("a"), "s"), "a")
+            .join(held.select(F.col("vid").alias("b"), F.col("s").alias("t")), "b"))
+    return both.select("a", "b", "n", "m", F.size(F.array_intersect("s", "t")).alias("c")).filter("c > 0")
 
 
 def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80, common: int = 1 << 20, pivots: int = 4,
@@ -189,10 +215,10 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80, commo
     components apart where ids repeat (null for an empty set)."""
     rows = keyed(docs, id_col, text_col).withColumn("part", content_key())
     work = Shingler(docs.sparkSession, common_shingles(rows, width, common), width, percent)
-    own = stored(rows.mapInArrow(work.rows, "id long, part long, n long, s1 long, s2 long, grp long, prefix array<long>"), "sets")
+    own = stored(rows.mapInArrow(work.rows, "id long, part long, n long, s1 long, s2 long, grp long, last long, prefix array<long>"), "sets")
     # classes of equal sets; the row that stands for one is its smallest
     classes = stored(own.filter("n > 0").groupBy("n", "s1", "s2", "grp")
-                     .agg(F.min(F.struct("id", "part")).alias("at"), F.min("id").alias("label"))
+                     .agg(F.min(F.struct("id", "part")).alias("at"), F.min("id").alias("label"), F.min("last").alias("last"))
                      .withColumn("vid", F.monotonically_increasing_id()), "classes")
 
     prefixes = own.filter("prefix is not null").select("grp", F.posexplode("prefix").alias("at", "token"))
@@ -200,11 +226,11 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80, commo
     groups = stored(_mixed(prefixes.repartition("token"), "grp").dropDuplicates(["token", "grp"]), "shared-prefixes")
 
     # expand groups to members; a group of several classes is a bucket of its own
-    member = classes.select("vid", "n", "grp")
+    member = classes.select("vid", "n", "last", "grp")
     several = member.groupBy("grp").agg(F.count(F.lit(1)).alias("k"), F.min("vid").alias("pivot")).filter("k > 1")
     within = member.join(several, "grp").filter("vid <> pivot").select(F.col("vid").alias("a"), F.col("pivot").alias("b"))
-    bucket = stored(groups.select("token", "grp", "at").join(member, "grp").select("token", "vid", "n", "at").unionByName(
-        several.join(member, "grp").select(F.col("grp").alias("token"), "vid", "n", F.lit(-1).alias("at"))), "buckets")
+    bucket = stored(groups.select("token", "grp", "at").join(member, "grp").select("token", "vid", "n", "last", "at").unionByName(
+        several.join(member, "grp").select(F.col("grp").alias("token"), "vid", "n", "last", F.lit(-1).alias("at"))), "buckets")
 
     # pivots: each class against the first member of a few groups of each of its buckets
     first = member.groupBy("grp").agg(F.min("vid").alias("pivot"), F.first("n").alias("m"))
@@ -225,14 +251,17 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80, commo
 
     # what is left: classes of one bucket whose components still differ
     placed = (bucket.join(label, "vid", "left")
-              .select("token", "vid", "n", "at", F.coalesce("component", "vid").alias("c")))
-    open_ = stored(_mixed(placed.repartition("token"), "c"), "open-buckets")
+              .select("token", "vid", "n", "last", "at", F.coalesce("component", "vid").alias("c")))
+    open_ = stored(_left(_mixed(placed.repartition("token"), "c"), percent), "open-buckets")
     dropped(bucket, groups)
     x, y = open_.alias("x"), open_.alias("y")
     n, m = F.col("x.n"), F.col("y.n")
-    room = F.least(n - F.col("x.at"), m - F.col("y.at")) >= _overlap(n, m, percent)
+    need = _overlap(n, m, percent)
+    room = F.least(n - F.col("x.at"), m - F.col("y.at")) >= need
+    enough = ((F.col("x.last") <= F.col("y.last")) & (F.col("x.left") >= need)
+              | (F.col("y.last") <= F.col("x.last")) & (F.col("y.left") >= need))
     rest = (x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.vid") < F.col("y.vid"))
-                   & (F.col("x.c") != F.col("y.c")) & _near_size(n, m, percent) & room)
+                   & (F.col("x.c") != F.col("y.c")) & _near_size(n, m, percent) & room & ((F.col("x.at") < 0) | enough))
             .groupBy(F.col("x.vid").alias("a"), F.col("y.vid").alias("b"))
             .agg(F.max(n).alias("n"), F.max(m).alias("m"), F.min("x.at").alias("at")))
     rest = stored(rest.join(pairs, ["a", "b"], "left_anti"), "open-pairs")

@@ -185,6 +185,58 @@ def test_pairs_that_meet_by_chance_are_not_read(spark, monkeypatch):
     assert ordered(_shown(pairs, held).collect()) == ordered([(1, 2, 5, 6, 2), (1, 3, 5, 7, 1)])
 
 
+def test_copies_with_many_edits_form_few_pairs(spark, monkeypatch):
+    """Variants of one text, each with so many edits that none links with another, and two close copies of some: a pair is
+    formed only if enough of its first shingles are open, and its shared shingles are counted in one row a pair."""
+    from larder.llm import jaccard_join as J
+
+    rng = np.random.default_rng(11)
+    words = [f"v{i}" for i in range(120)]
+    rows = []
+    for k in range(40):
+        variant = list(words)
+        for at in rng.choice(120, 24, replace=False):
+            variant[at] = f"e{k}x{at}"
+        for c in range(3 if k % 8 == 0 else 1):
+            own = list(variant)
+            for at in rng.choice(120, c, replace=False):
+                own[at] = f"c{k}x{c}x{at}"
+            rows.append((len(rows), " ".join(own)))
+    want = brute_components(rows)
+    formed = {}
+
+    def stored(df, name, f=J.stored):
+        out = f(df, name)
+        if name == "open-pairs":
+            formed[name] = out.count()
+        return out
+    monkeypatch.setattr(J, "stored", stored)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for common in (0, 1 << 20):  # by fingerprint alone, own shingles are spread over the whole order
+        got = jaccard_components(docs, common=common, pivots=1).select("doc_id", "n_shingles", "component_id").collect()
+        assert ordered(got) == ordered(r[:3] for r in want)
+        assert formed.pop("open-pairs") < 60
+    held = spark.createDataFrame([(v, t) for v in range(6) for t in range(40)], "vid long, token long")
+    pairs = spark.createDataFrame([(a, b, 50, 50) for b in range(6) for a in range(b)], "a long, b long, n long, m long")
+    plan = _shown(pairs, held)._jdf.queryExecution().optimizedPlan().toString()
+    assert not re.search(r"Join .*token", plan) and {r.c for r in _shown(pairs, held).collect()} == {40}
+
+
+def test_open_shingles_bound_the_overlap(spark):
+    """No linked pair is left out by where prefixes end and how many open shingles they hold, at any limit."""
+    rng = np.random.default_rng(12)
+    rows = []
+    for k in range(120):
+        own = [f"v{i}" for i in range(int(rng.integers(20, 40)))]
+        for at in rng.choice(len(own), int(rng.integers(0, 4)), replace=False):
+            own[at] = f"e{int(rng.integers(0, 3))}"
+        rows.append((k, " ".join(own)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for percent, common in ((60, 0), (80, 0), (90, 40)):
+        got = jaccard_components(docs, width=2, percent=percent, common=common, pivots=1).select("doc_id", "n_shingles", "component_id")
+        assert ordered(got.collect()) == ordered(r[:3] for r in brute_components(rows, 2, percent))
+
+
 def test_components_of_a_chain_and_a_hub(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 60)] + [(7, 7), (3, 2)]
     got = {r.vertex: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
