@@ -45,7 +45,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import content_key, dropped, keyed, raw_texts, row_key, stored, without
+from .shared import content_key, dropped, keyed, raw_texts, row_key, small_batches, stored, without
 from .wordhash import LOWER_ASCII, mix, shingle_set
 
 
@@ -134,9 +134,10 @@ class Shingler:
 
     def rows(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """``id, part, n, s1, s2, grp, last, prefix``: set size and digest, the group (size and prefix), where its prefix ends
-        in the global order, and the prefix in order, given once for a group in each batch."""
+        in the global order, and the prefix in order, given once for a group in a run of batches."""
+        met = set()
         for batch in batches:
-            out, met = [], set()
+            out, met = [], met if len(met) < 1 << 16 else set()
             for own, k in self.sets(batch):
                 grp = _digest(own[:k], own.size + 3)
                 first = k > 0 and grp not in met
@@ -213,6 +214,7 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80, commo
                        id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, n_shingles, component_id, part, component`` per row; ``part`` is the text's digest, and ``component`` tells
     components apart where ids repeat (null for an empty set)."""
+    small_batches(docs)
     rows = keyed(docs, id_col, text_col).withColumn("part", content_key())
     work = Shingler(docs.sparkSession, common_shingles(rows, width, common), width, percent)
     own = stored(rows.mapInArrow(work.rows, "id long, part long, n long, s1 long, s2 long, grp long, last long, prefix array<long>"), "sets")
@@ -222,7 +224,7 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80, commo
                      .withColumn("vid", F.monotonically_increasing_id()), "classes")
 
     prefixes = own.filter("prefix is not null").select("grp", F.posexplode("prefix").alias("at", "token"))
-    # one shuffle carries one row per group, prefix shingle and batch; shingles of one group only drop out where they arrive
+    # one shuffle carries one row per group, prefix shingle and run of batches; shingles of one group only drop out where they arrive
     groups = stored(_mixed(prefixes.repartition("token"), "grp").dropDuplicates(["token", "grp"]), "shared-prefixes")
 
     # expand groups to members; a group of several classes is a bucket of its own

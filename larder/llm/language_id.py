@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from .shared import crc_fold, keyed
+from .shared import crc_fold, keyed, small_batches
 
 UNKNOWN = "und"
 
@@ -207,6 +207,7 @@ def known_language(docs: DataFrame, settings: Settings = Settings(), id_col: str
                    lang_col: str = "lang") -> DataFrame:
     """Rows whose language is recognised, all columns kept: rejects exactly the rows that ``language_id`` calls ``und``, never
     a merely ambiguous text. Where no language could be learned every text is ``und`` and rejected."""
+    small_batches(docs)
     sample = training_rows(docs, settings, id_col, text_col, lang_col)
     shared = docs.sparkSession.sparkContext.broadcast(fit([r["text"] for r in sample], [r["lang"] for r in sample], settings))
 

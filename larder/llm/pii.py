@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import content_key, keyed
+from .shared import content_key, keyed, small_batches
 
 KINDS = ("email", "ip", "card", "phone", "secret")
 
@@ -379,6 +379,7 @@ def redact(docs: DataFrame, settings: Settings = Settings(), id_col: str = "doc_
            length_col: str | None = "n_chars") -> DataFrame:
     """All rows and columns, with every span of the text replaced by its kind and the length column kept true. Null text
     stays null, and a text without spans is returned as it is."""
+    small_batches(docs)
     shared = docs.sparkSession.sparkContext.broadcast(learn(docs, settings, id_col, text_col))
     at, schema = docs.columns.index(text_col), docs.schema
     size = docs.columns.index(length_col) if length_col in docs.columns else None

@@ -34,3 +34,24 @@ def test_registry():
     names = set(e.queries())
     assert {f"op{n}_" for n in range(1, 11)} <= {q.split("_")[0] + "_" for q in names} and "pipeline" in names
     assert set(QUERIES) <= names and set(SQL) <= set(QUERIES)
+
+
+def test_texts_reach_python_in_batches_bounded_by_bytes(spark):
+    """Ten thousand long texts are many batches, not one; a session's own bound stays."""
+    from larder.llm.pii import redact
+
+    def rows_of(batches):
+        for batch in batches:
+            yield batch.select([0]).slice(0, 1).set_column(0, "n", [batch.num_rows])
+
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    for own in (None, str(1 << 26)):
+        session = spark.newSession()
+        if own:
+            session.conf.set(key, own)
+        docs = session.range(0, 4000, 1, 1).selectExpr("id AS doc_id", "repeat('word ', 400) || id AS text", "0L AS n_chars")
+        kept = redact(docs)
+        assert session.conf.get(key) == (own or str(1 << 20))
+        found = [r.n for r in docs.mapInArrow(rows_of, "n long").collect()]
+        assert sum(found) == 4000 and (max(found) < 1500) == (not own)
+        assert kept.count() == 4000
