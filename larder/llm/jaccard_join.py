@@ -45,7 +45,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import content_key, dropped, keyed, raw_texts, row_key, small_batches, stored, without
+from .shared import content_key, dropped, key_bit, key_marks, keyed, raw_texts, row_key, small_batches, stored, without
 from .wordhash import LOWER_ASCII, mix, shingle_set
 
 
@@ -321,9 +321,7 @@ def verified(pairs: DataFrame, classes: DataFrame, rows: DataFrame, work: Shingl
 def _maybe_among(rows: DataFrame, keys: DataFrame, bits: int = 1 << 24) -> DataFrame:
     """``id, part, text`` of all rows whose key is in ``keys(id, part)``, and of few others, so that a join shuffles no more
     texts than it needs. Keys mark a bitmap of a fixed size, which is all that reaches the driver; a full one drops no row."""
-    bit = F.pmod(F.xxhash64("id", "part"), F.lit(bits))
-    marks = keys.select(bit.alias("bit")).groupBy(F.floor(F.col("bit") / 64).alias("word")).agg(
-        F.bit_or(F.expr("shiftleft(1L, CAST(bit % 64 AS INT))")).alias("mask")).toArrow()
+    marks = key_marks(keys, bits).toArrow()
     bitmap = np.zeros(-(-bits // 64), np.uint64)
     bitmap[marks["word"].to_numpy()] = marks["mask"].to_numpy().view(np.uint64)
     shared = rows.sparkSession.sparkContext.broadcast(bitmap)
@@ -334,4 +332,4 @@ def _maybe_among(rows: DataFrame, keys: DataFrame, bits: int = 1 << 24) -> DataF
             mark = shared.value[at >> np.uint64(6)] >> (at & np.uint64(63)) & np.uint64(1)
             yield batch.select([0, 1, 2]).filter(pa.array(mark.astype(bool)))
 
-    return rows.select("id", "part", "text", bit.alias("bit")).mapInArrow(run, "id long, part long, text string")
+    return rows.select("id", "part", "text", key_bit(bits).alias("bit")).mapInArrow(run, "id long, part long, text string")

@@ -13,6 +13,7 @@ from larder.llm import oracles
 from larder.llm.components import components
 from larder.llm.decontamination import decontaminate, uncontaminated
 from larder.llm.jaccard_join import _maybe_among, _mixed, _shown, jaccard_components, one_of_each
+from larder.llm.shared import row_key, stored, without
 from larder.llm.substring_dedup import least_positions, remove_repeats
 from larder.llm.wordhash import covered, repeated_window_words, text_words, window_hashes
 
@@ -161,6 +162,41 @@ def test_texts_that_no_pair_wants_are_left_out_before_the_join(spark):
     assert _maybe_among(rows, keys.limit(0)).count() == 0
 
 
+def shuffled_rows(df):
+    """Rows that the plan of ``df``, which has run, wrote to its shuffles."""
+    def walk(node):
+        kind = node.getClass().getSimpleName()
+        if kind == "AdaptiveSparkPlanExec":
+            return walk(node.executedPlan())
+        if kind.endswith("QueryStageExec"):
+            return walk(node.plan())
+        own = node.metrics().apply("shuffleRecordsWritten").value() if kind == "ShuffleExchangeExec" else 0
+        return own + sum(walk(node.children().apply(k)) for k in range(node.children().size()))
+    return walk(df._jdf.queryExecution().executedPlan())
+
+
+def test_rows_without_a_key_are_not_shuffled(spark):
+    """Of a table that loses few rows, and by a join that is not broadcast, the rows that stay are not moved."""
+    session = spark.newSession()
+    session.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    docs = session.createDataFrame(
+        [(i if i % 7 else None, f"text {i}" if i % 5 else None, i, "x") for i in range(2000)] * 2, "doc_id long, text string, id int, word string")
+    own, part = row_key(docs)
+    keys = stored(docs.filter("id % 40 in (3, 35)").select(own.alias("id"), part.alias("part")).distinct(), "keys")
+    held = {tuple(r) for r in keys.collect()}
+    rows = docs.select("*", own, part).collect()
+    want = {how: ordered(r[:4] for r in rows if (r[4:] in held) == (how == "left_semi")) for how in ("left_anti", "left_semi")}
+    assert len(want["left_semi"]) > 200 and any(r[0] is None for r in want["left_semi"])
+    for how, bits in (("left_anti", 1 << 24), ("left_semi", 1 << 24), ("left_anti", 64), ("left_semi", 64), ("left_anti", 1)):
+        got = without(docs, keys, how, bits=bits)
+        assert got.columns == docs.columns and ordered(got.collect()) == want[how]
+    for how in ("left_anti", "left_semi"):
+        got = without(docs, keys, how)
+        got.collect()
+        assert len(want["left_semi"]) <= shuffled_rows(got) < 2000
+        assert ordered(without(docs, keys.limit(0), how).collect()) == (ordered(r[:4] for r in rows) if how == "left_anti" else [])
+
+
 def test_rows_of_a_token_are_shuffled_once(spark):
     rows = spark.createDataFrame([(t, t * 10 + k % (t % 3 + 1)) for t in range(30) for k in range(4)], "token long, grp long")
     out = _mixed(rows.repartition("token"), "grp").dropDuplicates(["token", "grp"])
